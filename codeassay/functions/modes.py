@@ -14,19 +14,21 @@ _SELF_ENTRY = "def generate_user_report(self"
 def mode_flags(output: Column) -> dict[str, Column]:
     """Failure mode -> boolean, in reporting order. Null output is treated as empty."""
     text = text_of(output)
-    signed = has(text, SIGNATURE)
-    entry = has(text, _ANY_ENTRY)
+    # Cheap outer tests first: a text without "def " or "return " skips the searches inside them.
+    defines, returns = has(text, "def "), has(text, "return ")
+    entry = defines & has(text, _ANY_ENTRY)
     flags = {
-        "signature_parameter_mismatch": ~signed & entry,
-        "completely_different_name": ~entry & has(text, "def "),
-        "no_function_definition": ~has(text, "def "),
+        "signature_parameter_mismatch": entry & ~has(text, SIGNATURE),
+        "completely_different_name": defines & ~has(text, _ANY_ENTRY),
+        "no_function_definition": ~defines,
         "class_introduction": has(text, "class "),
-        "self_parameter_oop": has(text, _SELF_ENTRY),
+        "self_parameter_oop": defines & has(text, _SELF_ENTRY),
         "file_io_hallucination": has(text, "open(", ".txt", ".csv"),
-        "external_dependency_datetime": has(text, "import datetime", "from datetime"),
+        "external_dependency_datetime": has(text, "datetime")
+        & has(text, "import datetime", "from datetime"),
         "suspicious_external_imports": has(text, "import ") & ~has(text, "collections", "operator"),
-        "returns_dict_not_string": has(text, "return {", "return dict"),
-        "returns_non_string_iterable": has(text, "return [", "return ("),
+        "returns_dict_not_string": returns & has(text, "return {", "return dict"),
+        "returns_non_string_iterable": returns & has(text, "return [", "return ("),
         "no_deduplication": ~has(text, "seen", "set()"),
         "no_sorting": ~has(text, "sort"),
         # "active" is part of "inactive", so one search decides both
@@ -44,7 +46,8 @@ def modes_array(flags: dict[str, Column]) -> Column:
 def quick_facts(output: Column) -> dict[str, Column]:
     """The literal facts behind the quick score, each named once."""
     text = text_of(output)
-    signed, self_entry = has(text, SIGNATURE), has(text, _SELF_ENTRY)
+    defines, returns = has(text, "def "), has(text, "return ")
+    signed, self_entry = defines & has(text, SIGNATURE), defines & has(text, _SELF_ENTRY)
     return {
         "empty": text == "",
         "signed": signed,
@@ -55,7 +58,7 @@ def quick_facts(output: Column) -> dict[str, Column]:
         "sorts": has(text, "sort"),
         "separates": has(text, "inactive"),
         "guards": has(text, "isinstance", "None", "type("),
-        "returns_text": has(text, 'return "', "return '", ".join("),
+        "returns_text": returns & has(text, 'return "', "return '") | has(text, ".join("),
     }
 
 

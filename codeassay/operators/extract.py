@@ -25,6 +25,13 @@ def json_answer(output: Column) -> Column:
     return json_answer_udf(F.when(may_be_json(output) & ~is_blank(output), output))
 
 
+def json_answers(df: DataFrame, output: str = "output") -> DataFrame:
+    """Add ``content`` and ``file_path`` of JSON-wrapped answers; null for all others."""
+    parsed = df.withColumn("_json", json_answer(F.col(output)))
+    fields = {f: F.col(f"_json.{f}") for f in ("content", "file_path")}
+    return settle(parsed, fields).drop("_json")
+
+
 def _fenced_body(output: Column) -> Column:
     """Stripped body of the first fenced block; empty or null when there is none.
 

@@ -29,35 +29,36 @@ def features(df: DataFrame, content: str = "content", signature: Column | str =
     return settle(on_disk, feature_columns(F.col("_on_disk"), signature)).drop("_on_disk")
 
 
-def effective_rules(task_specs: DataFrame) -> DataFrame:
-    """One row per task and rule, from the ``scoring_rules`` map of each task.
+def _given_rule(rule: str) -> tuple[Column, Column]:
+    """Weight and check text that a task's ``scoring_rules`` map leaves for one rule.
 
     An absent or empty map means the default rules; a rule missing from a map keeps its default
-    weight, as does a rule without a weight. The eight defaults are literals, so no join is needed.
+    weight, as does a rule without a weight.
     """
-    given = F.col("scoring_rules")
-    use_defaults = given.isNull() | (F.size(given) == 0)
-
-    def row(rule: str, kind: str, weight: int, check_for: str) -> Column:
-        own = F.when(~use_defaults, F.try_element_at(given, F.lit(rule)))
-        own_weight = own["penalty_if_violated"] if kind == "penalty" else own["points"]
-        return F.struct(
-            F.lit(rule).alias("rule"),
-            F.lit(kind).alias("kind"),
-            F.coalesce(own_weight, F.lit(weight)).cast("int").alias("weight"),
-            F.coalesce(own["check_for"], F.lit(check_for)).alias("check_for"),
-        )
+    kind, weight, check_for = DEFAULT_RULES[rule]
+    own = F.try_element_at(F.col("scoring_rules"), F.lit(rule))
+    own_weight = own["penalty_if_violated"] if kind == "penalty" else own["points"]
+    return F.coalesce(own_weight, F.lit(weight)).cast("int"), F.coalesce(own["check_for"], F.lit(check_for))
+
 
-    rows = F.array(*[row(rule, *values) for rule, values in DEFAULT_RULES.items()])
-    return task_specs.select("task_id", F.inline(rows))
+def effective_rules(task_specs: DataFrame) -> DataFrame:
+    """One row per task and rule. The eight defaults are literals, so no join is needed."""
+    rows = []
+    for rule, (kind, *_) in DEFAULT_RULES.items():
+        weight, check_for = _given_rule(rule)
+        rows.append(
+            F.struct(
+                F.lit(rule).alias("rule"), F.lit(kind).alias("kind"), weight.alias("weight"), check_for.alias("check_for")
+            )
+        )
+    return task_specs.select("task_id", F.inline(F.array(*rows)))
 
 
 def rule_weights(task_specs: DataFrame) -> DataFrame:
-    """One row per task: its signature text and eight weight columns ``w_<rule>``."""
-    long = effective_rules(task_specs)
-    return long.groupBy("task_id").agg(
-        F.max(F.when(F.col("rule") == "signature_compliance", F.col("check_for"))).alias("signature"),
-        *[F.max(F.when(F.col("rule") == r, F.col("weight"))).alias(f"w_{r}") for r in DEFAULT_RULES],
+    """One row per task, in place: its signature text and eight weight columns ``w_<rule>``."""
+    _, signature = _given_rule("signature_compliance")
+    return task_specs.select(
+        "task_id", signature.alias("signature"), *[_given_rule(r)[0].alias(f"w_{r}") for r in DEFAULT_RULES]
     )
 
 

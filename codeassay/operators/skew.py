@@ -129,10 +129,11 @@ def lookup_join(
 ) -> DataFrame:
     """Join facts to a lookup that has one row per key.
 
-    A lookup measured as small is broadcast, so the facts do not move. A larger one is joined by a
-    shuffle in which each key is salted over ``SALTS`` tasks by the ``spread`` columns, so a key
-    holding a third of the facts is split instead of landing in one task.
+    The lookup is computed once, into the shared folder, and measured there. A small one is
+    broadcast, so the facts do not move. A larger one is joined by a shuffle that salts each key
+    over ``SALTS`` tasks by the ``spread`` columns, so a key holding a third of the facts is split.
     """
+    lookup = stable(lookup)
     if fits_broadcast(lookup, max_bytes):
         return facts.join(F.broadcast(lookup), on, how)
     salt = F.pmod(F.xxhash64(*(spread or [c for c in facts.columns if c != on])), F.lit(SALTS)).cast("int")

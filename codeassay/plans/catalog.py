@@ -131,8 +131,8 @@ def content_fingerprint(spark, sf):
 
 @query
 def extract_json(spark, sf):
-    answered = corpus.responses(spark, sf).withColumn("j", extract.json_answer(F.col("output")))
-    return answered.filter("j is not null").select("response_id", "j.content", "j.file_path")
+    answered = extract.json_answers(corpus.responses(spark, sf))
+    return answered.filter("content is not null").select("response_id", "content", "file_path")
 
 
 @query
@@ -476,8 +476,7 @@ def response_scoring(spark, sf):
 @query
 def stream_scoring(spark, sf):
     """The same scores, from a stream over the documents file into a Parquet sink."""
-    documents = corpus.table(spark, sf, "documents").schema
-    arriving = spark.readStream.schema(documents).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    arriving = corpus.table_stream(spark, sf, "documents")
     base = scratch_path(spark, "scores")
     scoring_stream.start_scoring_stream(
         arriving.selectExpr(*corpus.RESPONSES), f"{base}/table", f"{base}/log"
@@ -497,8 +496,7 @@ def job_latest_status(spark, sf):
 @query
 def stream_job_status(spark, sf):
     """The same statuses, from a stream over the events file through a change table."""
-    events = corpus.table(spark, sf, "events").schema
-    arriving = spark.readStream.schema(events).option("pathGlobFilter", "events.parquet").parquet(sf)
+    arriving = corpus.table_stream(spark, sf, "events")
     base = scratch_path(spark, "status")
     jobs.start_status_stream(arriving.selectExpr(*corpus.JOB_EVENTS), f"{base}/changes", f"{base}/log").awaitTermination()
     return _shown_status(jobs.current_status(spark.read.parquet(f"{base}/changes")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from codeassay.functions.text import settle
 from codeassay.schemas import (
     DEFAULT_VALIDATION_ORDER,
     REQUIRED_SPEC_FIELDS,
@@ -31,7 +32,7 @@ def parse_task_specs(specs: DataFrame, text: str = "spec_text", folder: str = "f
     survive in ``spec`` (variant). A folder differing from the spec's id is only flagged.
     """
     doc = F.col("spec")
-    parsed = specs.withColumn("spec", F.try_parse_json(F.col(text)))
+    parsed = settle(specs, {"spec": F.try_parse_json(F.col(text))})
     is_object = F.coalesce(F.startswith(F.schema_of_variant(doc), F.lit("OBJECT")), F.lit(False))
 
     def default(path: str, name: str, cast: str = "string") -> Column:
@@ -56,10 +57,13 @@ def parse_task_specs(specs: DataFrame, text: str = "spec_text", folder: str = "f
     rules = F.from_json(
         F.to_json(F.try_variant_get(doc, "$.evaluation.scoring_rules", "variant")), SCORING_RULES
     )
-    return parsed.select(
-        *[c for c in specs.columns],
-        F.when(F.size(problems) == 0, F.lit("valid")).otherwise(F.lit("reject")).alias("status"),
-        problems.alias("problems"),
+    judged = settle(parsed, {"problems": problems})
+    valid = F.size("problems") == 0
+    status = F.when(valid, F.lit("valid")).otherwise(F.lit("reject"))
+    return judged.select(
+        *specs.columns,
+        status.alias("status"),
+        "problems",
         *[_text_field(doc, f).alias(f) for f in REQUIRED_SPEC_FIELDS],
         (F.col(folder) != _text_field(doc, "task_id")).alias("id_mismatch"),
         default("language", "language").alias("language"),

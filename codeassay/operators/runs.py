@@ -93,7 +93,7 @@ def run_scores(
     lines_changed) adds the line measure of the final patch.
     """
     content = F.col("content")
-    joined, signature, weights = attach_rules(with_content(attempts), rules)
+    joined, signature, weights = attach_rules(with_content(attempts), rules, KEY)
     measured = joined.select(
         *KEY,
         "task_id",
@@ -176,7 +176,7 @@ def prompts(attempts: DataFrame, task_specs: DataFrame) -> DataFrame:
     """
     # the task's long texts join last, so they never pass through the carry-forward shuffles
     carried = carried_content(attempts, F.lit(None).cast("string"))
-    current = lookup_join(carried, task_specs, "task_id", "inner", spread=KEY)
+    current = lookup_join(carried, task_specs, "task_id", "inner", spread=KEY, census=attempts.select("task_id"))
     shows_reference = (F.col("iteration") > 1) & (text_of("reference_text") != "")
     reference = F.when(
         shows_reference,

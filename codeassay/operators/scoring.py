@@ -62,7 +62,9 @@ def rule_weights(task_specs: DataFrame) -> DataFrame:
     )
 
 
-def attach_rules(df: DataFrame, rules: DataFrame | None) -> tuple[DataFrame, Column, dict[str, Column]]:
+def attach_rules(
+    df: DataFrame, rules: DataFrame | None, spread: list[str] | None = None
+) -> tuple[DataFrame, Column, dict[str, Column]]:
     """The frame with its rule row joined (if any), the signature to look for, and the rule weights.
 
     Default weights are literals and need no join. Otherwise the rule row of each task travels to
@@ -71,7 +73,8 @@ def attach_rules(df: DataFrame, rules: DataFrame | None) -> tuple[DataFrame, Col
     if rules is None:
         return df, F.lit(SIGNATURE), {r: F.lit(w) for r, (_, w, _) in DEFAULT_RULES.items()}
     weights = {r: F.coalesce(f"w_{r}", F.lit(w)) for r, (_, w, _) in DEFAULT_RULES.items()}
-    return lookup_join(df, rules, "task_id", "left"), F.coalesce("signature", F.lit(SIGNATURE)), weights
+    joined = lookup_join(df, rules, "task_id", "left", spread)
+    return joined, F.coalesce("signature", F.lit(SIGNATURE)), weights
 
 
 def raw_score(found: dict[str, Column], weights: dict[str, Column]) -> Column:
@@ -93,12 +96,18 @@ def content_score(content: Column, signature: Column, weights: dict[str, Column]
     return F.when(content.isNull(), F.lit(0)).otherwise(clamp(total)).cast("int")
 
 
-def compliance_score(df: DataFrame, content: str = "content", rules: DataFrame | None = None) -> DataFrame:
+def compliance_score(
+    df: DataFrame,
+    content: str = "content",
+    rules: DataFrame | None = None,
+    spread: list[str] | None = None,
+) -> DataFrame:
     """Add the eight features, ``raw_score`` and ``compliance_score`` (clamped to 0..10).
 
-    ``rules`` comes from ``rule_weights``. Null content scores 0.
+    ``rules`` comes from ``rule_weights``; ``spread`` names columns that tell the rows of a task
+    apart. Null content scores 0.
     """
-    joined, signature, weights = attach_rules(df, rules)
+    joined, signature, weights = attach_rules(df, rules, spread)
     total = raw_score({r: F.col(r) for r in DEFAULT_RULES}, weights)
     return (
         features(joined, content, signature)

@@ -4,7 +4,7 @@
   holds at most ``BLOCK`` rows, and an ``int`` position gives a group at most 2**31 / BLOCK
   blocks, so neither level ever puts an unbounded group into one task.
 * ``rank_in_groups`` ranks on arbitrary sort keys through one range-partitioned sort.
-* ``lookup_join`` broadcasts only a lookup whose size it has measured, and salts the join otherwise.
+* ``lookup_join`` broadcasts only a lookup whose size it has measured; beyond that it salts hot keys.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from codeassay.session import stable
 BLOCK = 65_536
 MAX_BROADCAST_BYTES = 32 * 1024 * 1024
 SALTS = 32
+MAX_HOT_KEYS = 64
 
 
 def _block(position: str, block: int) -> Column:
@@ -119,23 +120,38 @@ def fits_broadcast(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
     return (total or 0) <= max_bytes
 
 
+def hot_keys(df: DataFrame, on: str, most: int = MAX_HOT_KEYS) -> list:
+    """Keys holding more than ``1 / most`` of the rows; by counting there are fewer than ``most``."""
+    counts = df.groupBy(on).agg(F.count(F.lit(1)).alias("_n"))
+    top = counts.orderBy(F.desc("_n")).limit(most).collect()
+    total = df.count()
+    return [row[on] for row in top if row[on] is not None and row["_n"] * most > total]
+
+
 def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,
     on: str,
     how: str = "left",
     spread: list[str] | None = None,
+    census: DataFrame | None = None,
     max_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Join facts to a lookup that has one row per key.
 
     The lookup is computed once, into the shared folder, and measured there. A small one is
-    broadcast, so the facts do not move. A larger one is joined by a shuffle that salts each key
-    over ``SALTS`` tasks by the ``spread`` columns, so a key holding a third of the facts is split.
+    broadcast, so the facts do not move. A larger one is joined by a shuffle on its key, with each
+    hot key salted over ``SALTS`` tasks by the ``spread`` columns; only the few lookup rows of hot
+    keys are copied. ``census`` is a cheaper frame with the same key distribution to count.
     """
     lookup = stable(lookup)
     if fits_broadcast(lookup, max_bytes):
         return facts.join(F.broadcast(lookup), on, how)
+    hot = hot_keys(facts if census is None else census, on)
+    if not hot:
+        return facts.join(lookup, on, how)
+    is_hot = F.col(on).isin(hot)
     salt = F.pmod(F.xxhash64(*(spread or [c for c in facts.columns if c != on])), F.lit(SALTS)).cast("int")
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return facts.withColumn("_salt", salt).join(copies, [on, "_salt"], how).drop("_salt")
+    salted = facts.withColumn("_salt", F.when(is_hot, salt).otherwise(F.lit(0)))
+    slots = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(lookup.withColumn("_salt", F.explode(slots)), [on, "_salt"], how).drop("_salt")

@@ -186,7 +186,7 @@ def compliance_score_by_task(spark, sf):
     specs = tasks.parse_task_specs(corpus.specs(spark, sf)).filter("status = 'valid'")
     own_task = F.concat(F.lit("task_"), F.col("response_id").cast("string"))
     answers = _answers(spark, sf).withColumn("task_id", own_task).select("response_id", "task_id", "content")
-    scored = scoring.compliance_score(answers, rules=scoring.rule_weights(specs))
+    scored = scoring.compliance_score(answers, rules=scoring.rule_weights(specs), spread=["response_id"])
     return scored.select("response_id", "raw_score", "compliance_score")
 
 
@@ -328,18 +328,9 @@ def leaderboard(spark, sf):
 
 @query
 def prompt_assembly(spark, sf):
-    base = corpus.attempts(spark, sf)
-    task = base.sparkSession.range(1).select(
-        F.lit("task_01").alias("task_id"),
-        F.lit("Report task").alias("name"),
-        F.lit("Fix the report.").alias("objective"),
-        F.array(F.lit("No classes"), F.lit("Keep the signature")).alias("constraints"),
-        F.array(F.lit("Sort active users")).alias("rules"),
-        F.lit("A correct report.").alias("expected_behavior"),
-        F.lit(corpus.TEMPLATE).alias("template_text"),
-        F.lit(corpus.REFERENCE).alias("reference_text"),
-    )
-    return runs.prompts(base, task).select("run_id", "iteration", "prompt")
+    own_task = F.concat(F.lit("task_"), F.col("run_id").cast("string"))
+    base = corpus.attempts(spark, sf).withColumn("task_id", own_task)
+    return runs.prompts(base, corpus.prompt_tasks(spark, sf)).select("run_id", "iteration", "prompt")
 
 
 @query
@@ -441,7 +432,8 @@ def report_required_fields(spark, sf):
 
 @query
 def report_counts(spark, sf):
-    return report.counts(_clean_users(spark, sf))
+    """Counts need no names, so none are read."""
+    return report.counts(report.cleaned(corpus.users(spark, sf).drop("name")))
 
 
 @query

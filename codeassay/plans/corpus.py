@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from codeassay.operators.skew import ordinal
 
 TEMPLATE = "def generate_user_report(users):\n    seen = []\n    return None\n"
-REFERENCE = "def generate_user_report(users):\n    return \"\"\n"
 _MODEL = "case {0} % 3 when 0 then 'qwen2.5-coder' when 1 then 'llama3' else 'mistral' end"
 
 
@@ -190,6 +189,15 @@ def _spec_json() -> str:
 
 SPECS = ["'task_' || cast(doc_id as string) as folder", f"{_spec_json()} as spec_text"]
 
+# Task texts for prompts, one per document, with its whole text as the expected behavior.
+PROMPT_TASKS = [
+    "'task_' || cast(doc_id as string) as task_id",
+    "'Task ' || cast(doc_id as string) as name",
+    "'Fix the ' || source || ' report.' as objective",
+    "text as expected_behavior",
+    "case when doc_id % 3 > 0 then 'def generate_user_report(users):' || chr(10) || '    return \"\"' || chr(10) end as reference_text",
+]
+
 # Files present in each task folder; one folder per document.
 _TASK_FILE_PRESENT = (
     "not (doc_id % 7 = 1 and file = 'template.py') and not (doc_id % 5 = 2 and file = 'reference.py') "
@@ -219,6 +227,7 @@ TEST_OUTCOMES_SQL = _select(
 USERS_SQL = _select(USERS, "customer")
 JOB_EVENTS_SQL = _select(JOB_EVENTS, "events")
 TENANT_INPUTS_SQL = _select(TENANT_INPUTS, "nation")
+PROMPT_TASKS_SQL = _select(PROMPT_TASKS, "documents")
 PROGRAMS_SQL = _select(PROGRAMS, "documents")
 SPECS_SQL = _select(SPECS, "documents")
 TASK_FILES_SQL = (
@@ -285,6 +294,20 @@ def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr(*SPECS)
 
 
+def prompt_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (
+        table(spark, sf_dir, "documents")
+        .selectExpr(*PROMPT_TASKS)
+        .withColumns(
+            {
+                "constraints": F.array(F.lit("No classes"), F.lit("Keep the signature")),
+                "rules": F.array(F.lit("Sort active users")),
+                "template_text": F.lit(TEMPLATE),
+            }
+        )
+    )
+
+
 def task_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.explode(F.array(*[F.lit(f) for f in _TASK_FILES])).alias("file")
     return (

@@ -26,7 +26,7 @@ def with_views(views: dict[str, str], body: str) -> str:
 
 
 WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-TEMPLATE, REFERENCE = text(corpus.TEMPLATE), text(corpus.REFERENCE)
+TEMPLATE = text(corpus.TEMPLATE)
 
 # ---------------------------------------------------------------------------
 # Extraction
@@ -495,24 +495,34 @@ ORACLES["leaderboard"] = with_views(
     round(avg(runtime_seconds), 6) as mean_runtime, cast(sum(bytes_changed) as bigint) as bytes_changed,
     cast(sum(tokens_used) as bigint) as tokens_used from scores group by task_id, model""",
 )
-_PROMPT_HEAD = text(
-    "You are an expert Python developer. Your task is to refactor and fix code.\n\nTASK: Report task\n"
-    "OBJECTIVE: Fix the report.\n\nCONSTRAINTS:\n  - No classes\n  - Keep the signature\n\nRULES:\n"
-    "  - Sort active users\n\nCURRENT CODE:\n```python\n"
-)
-_PROMPT_MIDDLE = text("\n```\n\nEXPECTED BEHAVIOR:\nA correct report.\n\n")
-_PROMPT_TAIL = text(
-    "\n\nOUTPUT INSTRUCTIONS:\n1. Return ONLY the complete, corrected Python code.\n"
-    "2. Wrap your code in ```python``` markers.\n"
-    "3. Do NOT include any explanation or comments outside the code block.\n"
-    "4. Ensure the code is syntactically correct and passes all requirements.\n"
+_PROMPT_TEXTS = (
+    text("You are an expert Python developer. Your task is to refactor and fix code.\n\nTASK: "),
+    text("\nOBJECTIVE: "),
+    text(
+        "\n\nCONSTRAINTS:\n  - No classes\n  - Keep the signature\n\nRULES:\n"
+        "  - Sort active users\n\nCURRENT CODE:\n```python\n"
+    ),
+    text("\n```\n\nEXPECTED BEHAVIOR:\n"),
+    text("\n\n"),
+    text(
+        "\n\nOUTPUT INSTRUCTIONS:\n1. Return ONLY the complete, corrected Python code.\n"
+        "2. Wrap your code in ```python``` markers.\n"
+        "3. Do NOT include any explanation or comments outside the code block.\n"
+        "4. Ensure the code is syntactically correct and passes all requirements.\n"
+    ),
+)
+_REFERENCE_BLOCK = """case when iteration > 1 and t.reference_text is not null then
+    'REFERENCE SOLUTION (for iteration ' || cast(iteration as varchar) || '):' || chr(10)
+      || '```python' || chr(10) || t.reference_text || chr(10) || '```' || chr(10) else '' end"""
+_PROMPT = " || ".join(
+    part
+    for fixed, value in zip(_PROMPT_TEXTS, ("t.name", "t.objective", "before", "t.expected_behavior", _REFERENCE_BLOCK, "''"))
+    for part in (fixed, value)
 )
 ORACLES["prompt_assembly"] = with_views(
-    WRITTEN,
-    f"""select run_id, iteration, {_PROMPT_HEAD} || before || {_PROMPT_MIDDLE} ||
-    case when iteration > 1 then 'REFERENCE SOLUTION (for iteration ' || cast(iteration as varchar) || '):' || chr(10)
-      || '```python' || chr(10) || {REFERENCE} || chr(10) || '```' || chr(10) else '' end || {_PROMPT_TAIL} as prompt
-    from patched""",
+    {**WRITTEN, "tasks": corpus.PROMPT_TASKS_SQL},
+    f"""select run_id, iteration, {_PROMPT} as prompt
+    from patched p join tasks t on t.task_id = 'task_' || cast(p.run_id as varchar)""",
 )
 ORACLES["recent_runs"] = """select run_id from (select distinct conv_id as run_id from conversations where role = 'assistant') r
   order by cast(run_id as varchar) desc limit 10"""

@@ -102,9 +102,14 @@ def mode_totals(responses: DataFrame, output: str = "output") -> DataFrame:
 def failure_mode_distribution(responses: DataFrame) -> DataFrame:
     """Occurrences and share of responses per mode seen, most frequent first."""
     totals = mode_totals(without_errors(responses))
-    seen = (*FAILURE_MODES, NO_FAILURE)
+    rows = F.array(
+        *[
+            F.struct(F.lit(mode).alias("mode"), F.col(mode).alias("occurrences"))
+            for mode in (*FAILURE_MODES, NO_FAILURE)
+        ]
+    )
     return (
-        totals.unpivot("total", list(seen), "mode", "occurrences")
+        totals.select("total", F.inline(rows))
         .filter("occurrences > 0")
         .select("mode", "occurrences", _percent(F.col("occurrences"), F.col("total")).alias("percent"))
         .orderBy(F.desc("occurrences"), "mode")

@@ -10,12 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codeassay.functions.arrow_udfs import diff_stats_udf
-from codeassay.functions.text import read_back
+from codeassay.functions.text import read_back, settle
 from codeassay.operators.extract import extract
 from codeassay.operators.skew import carry_forward
 
 KEY = ["run_id", "iteration"]
 
+# Fixed texts.
+NO_TARGET, NO_CONTENT = "Target file not found", "Parsed output content is empty"
+
 
 def with_content(attempts: DataFrame) -> DataFrame:
     """Add the extracted ``content`` of each attempt; null when the attempt wrote nothing."""
@@ -47,7 +50,7 @@ def carried_content(attempts: DataFrame, template: Column | str) -> DataFrame:
 def patch_size(attempts: DataFrame, template: Column | str) -> DataFrame:
     """``bytes_changed`` (difference in characters), hashes before and after, and patch success.
 
-    Only lengths and hashes are carried forward, so no text leaves the scan.
+    A null template stands for a missing target file: no patch applies. Only lengths and hashes are carried forward, so no text leaves the scan.
     """
     start = read_back(F.lit(template) if isinstance(template, str) else template)
     content = F.col("content")
@@ -60,14 +63,16 @@ def patch_size(attempts: DataFrame, template: Column | str) -> DataFrame:
         F.length(start).alias("_start_chars"),
         F.sha2(start, 256).alias("_start_hash"),
     )
-    patched = F.col("_own").isNotNull()
+    exists, writes = F.col("_start_chars").isNotNull(), F.col("_own").isNotNull()
+    patched = exists & writes
     old_chars = F.coalesce(F.col("_old.n"), F.col("_start_chars"))
     return carry_forward(sizes, "run_id", "iteration", "_own", "_old").select(
         *KEY,
         patched.alias("patch_applied"),
+        F.when(~exists, F.lit(NO_TARGET)).when(~writes, F.lit(NO_CONTENT)).alias("patch_error"),
         F.when(patched, F.abs(F.col("_chars") - old_chars)).otherwise(F.lit(0)).alias("bytes_changed"),
-        F.coalesce(F.col("_old.h"), F.col("_start_hash")).alias("original_hash"),
-        F.coalesce("modified_hash", F.lit("")).alias("modified_hash"),
+        F.when(exists, F.coalesce(F.col("_old.h"), F.col("_start_hash"))).otherwise(F.lit("")).alias("original_hash"),
+        F.when(patched, F.col("modified_hash")).otherwise(F.lit("")).alias("modified_hash"),
     )
 
 
@@ -80,6 +85,4 @@ def diff_measures(pairs: DataFrame, old: str = "content_before", new: str = "con
     changed = after.isNotNull() & (before != after)
     measured = pairs.withColumn("_d", diff_stats_udf(F.when(changed, before), F.when(changed, after)))
     names = ("lines_changed", "lines_added", "lines_deleted", "diff_lines")
-    return measured.withColumns(
-        {n: F.coalesce(F.col(f"_d.{n}"), F.lit(0)).cast("int") for n in names}
-    ).drop("_d")
+    return settle(measured, {n: F.coalesce(F.col(f"_d.{n}"), F.lit(0)).cast("int") for n in names}).drop("_d")

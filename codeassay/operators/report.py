@@ -1,13 +1,15 @@
 """Deduplicated, ordered user reports, one per tenant.
 
 ``users``: tenant, pos (arrival order), id, name, active, is_record, has_name, has_active, and
-optionally has_id. Without has_id, a null id means that the key is absent.
+optionally has_id and id_key. Without has_id, a null id means that the key is absent. ``id_key``, if
+present, decides which ids are equal. ``parse_users`` makes this table from raw JSON items.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from codeassay.functions.text import settle
 from codeassay.operators.skew import rank_in_groups
 
 # A part is small enough for one task to join; a report is the join of its parts by newline.
@@ -17,6 +19,57 @@ PART_LINES = 10_000
 NO_USERS, BAD_INPUT = "No users provided", "Invalid input type"
 
 
+def _shown(doc: Column, path: str) -> Column:
+    """A JSON scalar as report text: True/False for booleans, None for null, 1.0 keeps its point."""
+    kind = F.schema_of_variant(F.try_variant_get(doc, path, "variant"))
+    text = F.try_variant_get(doc, path, "string")
+    whole_decimal = kind.rlike(r"^DECIMAL\(\d\d?,0\)$") & (F.length(text) < 19)
+    return (
+        F.when(kind == "BOOLEAN", F.initcap(text))
+        .when(kind == "VOID", F.lit("None"))
+        .when(whole_decimal, F.concat(text, F.lit(".0")))
+        .otherwise(text)
+    )
+
+
+def _equal_key(doc: Column, path: str) -> Column:
+    """Equal for equal ids: 1, 1.0 and true are one id, while "1" is another. Null for null or absent."""
+    kind = F.schema_of_variant(F.try_variant_get(doc, path, "variant"))
+    text = F.try_variant_get(doc, path, "string")
+    number = F.try_variant_get(doc, path, "double")
+    whole = F.coalesce(number == F.try_variant_get(doc, path, "bigint").cast("double"), F.lit(False))
+    return (
+        F.when(kind == "STRING", F.concat(F.lit("s"), text))
+        .when(kind.isin("BIGINT", "BOOLEAN") | (F.startswith(kind, F.lit("D")) & whole),
+              F.concat(F.lit("n"), F.try_variant_get(doc, path, "bigint").cast("string")))
+        .when(F.startswith(kind, F.lit("D")), F.concat(F.lit("n"), text))
+        .when(kind != "VOID", F.concat(F.lit("j"), text))
+    )
+
+
+def parse_users(raw: DataFrame, item: str = "item") -> DataFrame:
+    """The ``users`` table from raw items (tenant, pos, JSON text). Anything but an object is no record."""
+    doc = F.col("_doc")
+    parsed = settle(raw, {"_doc": F.try_parse_json(F.col(item))})
+
+    def present(key: str) -> Column:
+        return F.try_variant_get(doc, f"$.{key}", "variant").isNotNull()
+
+    active = F.try_variant_get(doc, "$.active", "variant")
+    return parsed.select(
+        "tenant",
+        "pos",
+        _shown(doc, "$.id").alias("id"),
+        _equal_key(doc, "$.id").alias("id_key"),
+        _shown(doc, "$.name").alias("name"),
+        F.when(F.schema_of_variant(active) == "BOOLEAN", F.try_variant_get(doc, "$.active", "boolean")).alias("active"),
+        F.coalesce(F.startswith(F.schema_of_variant(doc), F.lit("OBJECT")), F.lit(False)).alias("is_record"),
+        present("id").alias("has_id"),
+        present("name").alias("has_name"),
+        present("active").alias("has_active"),
+    )
+
+
 def valid_records(users: DataFrame) -> DataFrame:
     """Items that are records; others are skipped before deduplication."""
     return users.filter("is_record").drop("is_record")
@@ -28,11 +81,12 @@ def keep_first(records: DataFrame) -> DataFrame:
     An aggregation rather than a window: a hot id (null above all) shrinks to one row per task
     before anything is shuffled.
     """
-    rest = [c for c in records.columns if c not in ("tenant", "id")]
+    keys = ["tenant", "id_key" if "id_key" in records.columns else "id"]
+    rest = [c for c in records.columns if c not in keys]
     return (
-        records.groupBy("tenant", "id")
+        records.groupBy(*keys)
         .agg(F.min_by(F.struct(*rest), "pos").alias("_first"))
-        .select("tenant", "id", "_first.*")
+        .select(*keys, "_first.*")
         .select(*records.columns)
     )
 

@@ -148,10 +148,9 @@ def lookup_join(
     if fits_broadcast(lookup, max_bytes):
         return facts.join(F.broadcast(lookup), on, how)
     hot = hot_keys(facts if census is None else census, on)
-    if not hot:
-        return facts.join(lookup, on, how)
     is_hot = F.col(on).isin(hot)
     salt = F.pmod(F.xxhash64(*(spread or [c for c in facts.columns if c != on])), F.lit(SALTS)).cast("int")
-    salted = facts.withColumn("_salt", F.when(is_hot, salt).otherwise(F.lit(0)))
+    # null keys match nothing, so they only need spreading
+    salted = facts.withColumn("_salt", F.when(is_hot | F.col(on).isNull(), salt).otherwise(F.lit(0)))
     slots = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     return salted.join(lookup.withColumn("_salt", F.explode(slots)), [on, "_salt"], how).drop("_salt")

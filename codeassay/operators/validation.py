@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codeassay.functions.arrow_udfs import syntax_verdict_udf
+from codeassay.functions.text import settle
 from codeassay.schemas import ERROR_TYPES, REPORT_STAGES
 
 
@@ -15,7 +16,8 @@ def syntax_audit(programs: DataFrame, content: str = "content") -> DataFrame:
     code = F.col(content)
     parsed = programs.withColumn("_v", syntax_verdict_udf(code))
     ok = F.coalesce(F.col("_v.passed"), F.lit(False))
-    return parsed.withColumns(
+    return settle(
+        parsed,
         {
             "syntax_passed": ok,
             "error_type": F.when(code.isNull(), F.lit("patch_application_failed")).when(~ok, F.lit("syntax_error")),
@@ -23,7 +25,7 @@ def syntax_audit(programs: DataFrame, content: str = "content") -> DataFrame:
             "line_number": F.col("_v.line_number"),
             "lines_of_code": F.col("_v.lines_of_code"),
             "import_roots": F.col("_v.import_roots"),
-        }
+        },
     ).drop("_v")
 
 

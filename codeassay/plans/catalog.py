@@ -451,6 +451,12 @@ def report_lines(spark, sf):
     return report.report_lines(_clean_users(spark, sf))
 
 
+@query
+def report_from_json(spark, sf):
+    """Reports from raw JSON items, in which ids have every type."""
+    return report.render(report.report_lines(report.cleaned(report.parse_users(corpus.raw_users(spark, sf)))))
+
+
 @query
 def report_degenerate(spark, sf):
     return report.reports(corpus.tenant_inputs(spark, sf), corpus.users(spark, sf))

@@ -126,6 +126,24 @@ USERS = [
     "c_custkey % 17 <> 0 as has_name",
     "c_custkey % 13 <> 0 as has_active",
 ]
+# Raw user items: ids of every JSON type, incomplete items, items that are no records.
+RAW_USER_SHAPE = "c_custkey % 9"
+_K = "cast(c_custkey - c_custkey % 50 as string)"
+
+
+def _item(id_json: str, name: str, active: str) -> str:
+    return f"'{{\"id\": ' || {id_json} || ', \"name\": ' || {name} || ', \"active\": {active}}}'"
+
+
+_NAME = "'\"' || c_name || '\"'"
+RAW_USERS = [
+    "c_nationkey as tenant",
+    "c_custkey as pos",
+    f"case {RAW_USER_SHAPE} when 0 then {_item(_K, _NAME, 'true')} when 1 then {_item(_K + " || '.0'", _NAME, 'false')} "
+    f"when 2 then {_item("'\"' || " + _K + " || '\"'", _NAME, 'true')} when 3 then '\"text\"' "
+    f"when 4 then '{{\"id\": ' || {_K} || '}}' when 5 then '{{\"name\": ' || {_NAME} || ', \"active\": true}}' "
+    f"when 6 then {_item("'null'", _NAME, '1')} when 7 then '{{bad' else {_item(_K, "'null'", 'false')} end as item",
+]
 JOB_EVENTS = [
     "event_id",
     "ts",
@@ -278,6 +296,10 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").selectExpr(*USERS)
 
 
+def raw_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").selectExpr(*RAW_USERS)
+
+
 def tenant_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").selectExpr(*TENANT_INPUTS)
 

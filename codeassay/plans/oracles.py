@@ -374,6 +374,7 @@ ORACLES["carry_forward_content"] = with_views(
 ORACLES["patch_size"] = with_views(
     WRITTEN,
     """select run_id, iteration, new_content is not null as patch_applied,
+    case when new_content is null then 'Parsed output content is empty' end as patch_error,
     cast(case when new_content is null then 0 else abs(length(new_content) - length(before)) end as int) as bytes_changed,
     sha256(before) as original_hash, coalesce(sha256(new_content), '') as modified_hash from patched""",
 )
@@ -597,6 +598,19 @@ ORACLES["report_listing"] = with_views(
 )
 ORACLES["report_lines"] = with_views(_REPORT, "select tenant, line_no, line from numbered")
 ORACLES["report_render"] = with_views(_REPORT, "select tenant, part, report from rendered")
+_RAW = {
+    "raw": f"select *, {corpus.RAW_USER_SHAPE} as shape, c_custkey - c_custkey % 50 as k from customer",
+    "typed": """select c_nationkey as tenant, c_custkey as pos,
+      case shape when 0 then 'n' || k when 1 then 'n' || k when 2 then 's' || k when 4 then 'n' || k when 8 then 'n' || k end as same,
+      case shape when 1 then k || '.0' when 5 then 'N/A' when 6 then 'None' else cast(k as varchar) end as id,
+      case shape when 8 then 'None' else c_name end as name, shape in (0, 2, 5) as is_active, shape <> 4 as complete
+      from raw where shape not in (3, 7)""",
+    "clean": """select * from (select *, row_number() over (partition by tenant, same order by pos) as rn from typed) t
+      where rn = 1 and complete""",
+    "totals": USERS["totals"],
+    **report_views("clean", "totals"),
+}
+ORACLES["report_from_json"] = with_views(_RAW, "select tenant, part, report from rendered")
 ORACLES["report_degenerate"] = with_views(
     {
         **USERS,

@@ -69,6 +69,12 @@ def test_patch_size(attempts, attempt_rows):
         assert (r.patch_applied, r.bytes_changed, r.original_hash, r.modified_hash) == want
 
 
+def test_missing_target_is_never_patched(spark):
+    df = spark.createDataFrame([(1, 1, "t", "m", fence(SIG), 1.0)], ATTEMPTS)
+    row = diffs.patch_size(df, F.lit(None).cast("string")).first()
+    assert (row.patch_applied, row.patch_error, row.bytes_changed, row.original_hash) == (False, "Target file not found", 0, "")
+
+
 def library_diff(old, new):
     a, b = old.splitlines(), new.splitlines()
     blocks = difflib.SequenceMatcher(None, a, b).get_opcodes()

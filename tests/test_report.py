@@ -108,3 +108,27 @@ def test_hot_null_id_and_long_tenant(spark):
     df = spark.createDataFrame([row("hot", pos, item) for pos, item in enumerate(items)], USERS).repartition(6)
     parts = report.render(report.report_lines(report.cleaned(df)), part_lines=500).orderBy("part").collect()
     assert "\n".join(p.report for p in parts) == expected(items)
+
+
+def test_raw_items(spark):
+    """Equal ids of different types, and the text each scalar shows."""
+    items = {
+        "equal": ['{"id": 1, "name": "int", "active": true}', '{"id": 1.0, "name": "float", "active": true}', '{"id": true, "name": "bool", "active": true}'],
+        "float": ['{"id": 1.0, "name": "a", "active": true}', '{"id": "1", "name": "b", "active": true}', '{"id": 2.5, "name": "c", "active": "true"}'],
+        "bool": ['{"id": true, "name": "a", "active": true}', '{"id": null, "name": null, "active": null}', '{"name": "late", "active": true}'],
+        "none": ['5', 'null', '"x"', '[1]', 'not json'],
+    }
+    import json
+
+    def parsed(text):
+        try:
+            return json.loads(text)
+        except ValueError:
+            return text
+
+    raw = spark.createDataFrame([(t, i, x) for t, xs in items.items() for i, x in enumerate(xs)], "tenant string, pos long, item string")
+    tenants = spark.createDataFrame([(t,) for t in items], "tenant string")
+    lines = report.report_lines(report.cleaned(report.parse_users(raw)), tenants)
+    got = {r.tenant: r.report for r in report.render(lines).collect()}
+    for tenant, texts in items.items():
+        assert got[tenant] == expected([parsed(x) for x in texts]), tenant

@@ -84,6 +84,8 @@ def test_lookup_join_salted_equals_broadcast(spark, how):
     salted = skew.lookup_join(facts, lookup, "k", how, ["id"], max_bytes=0)
     assert skew.hot_keys(facts, "k") == ["hot"]
     assert "_salt" in salted._jdf.queryExecution().toString()
+    unkeyed = spark.range(50).select(F.lit(None).cast("string").alias("k"), "id")
+    assert skew.lookup_join(unkeyed, lookup, "k", how, ["id"], max_bytes=0).count() == (50 if how == "left" else 0)
     even = skew.lookup_join(facts.filter("k <> 'hot'"), lookup, "k", how, ["id"], max_bytes=0)
     assert even.count() == small.filter("k <> 'hot'").count()
     assert small.count() == salted.count()

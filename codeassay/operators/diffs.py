@@ -1,21 +1,22 @@
 """How each attempt changed the code: carried-forward content, sizes, hashes and line diffs.
 
 An attempt with content replaces the file; an empty one leaves it as it was; the next attempt sees
-the last version written. Per-run scans move only numbers; a text is fetched once by the
-(run, iteration) pointer of the attempt that wrote it, which spreads a long run over many tasks.
+the last version written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codeassay.functions.arrow_udfs import diff_stats_udf
-from codeassay.functions.text import read_back, settle
+from codeassay.functions.text import is_blank, read_back, settle
 from codeassay.operators.extract import extract
-from codeassay.operators.skew import carry_forward
+from codeassay.operators.skew import block_of, carry_forward, spans_blocks
 
 KEY = ["run_id", "iteration"]
 
+TEXT_BLOCK = 64
+
 # Fixed texts.
 NO_TARGET, NO_CONTENT = "Target file not found", "Parsed output content is empty"
 
@@ -26,25 +27,47 @@ def with_content(attempts: DataFrame) -> DataFrame:
     return kept.select(*attempts.columns, "content", "format")
 
 
-def _pointers(written: DataFrame) -> DataFrame:
-    """Per attempt, the earlier attempt (``source``) whose content was current before it."""
-    marks = written.select(*KEY, F.when(F.col("content").isNotNull(), F.col("iteration")).alias("_wrote"))
-    return carry_forward(marks, "run_id", "iteration", "_wrote", "source").drop("_wrote")
-
+def carried_content(
+    attempts: DataFrame, template: Column | str, block: int = TEXT_BLOCK
+) -> DataFrame:
+    """Per attempt, the file text before it (``content_before``) and its own new ``content``.
 
-def carried_content(attempts: DataFrame, template: Column | str) -> DataFrame:
-    """Per attempt, the file text before it (``content_before``) and its own new ``content``."""
-    written = with_content(attempts)
+    Texts are extracted and shuffled once. The window that carries them sees at most ``block``
+    attempts of a run, more than retry loops make. Should a run be longer, the rows that open its
+    later blocks get the number of the attempt to inherit from, and fetch that attempt's text.
+    """
     start = read_back(F.lit(template) if isinstance(template, str) else template)
-    sources = written.filter("content is not null").select(
-        F.col("run_id"), F.col("iteration").alias("source"), read_back(F.col("content")).alias("_text")
+    before = (
+        Window.partitionBy("run_id", "_block").orderBy("iteration").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    carried = (
+        with_content(attempts)
+        .withColumn("_block", block_of("iteration", block))
+        .withColumn("_near", F.last(read_back(F.col("content")), ignorenulls=True).over(before))
     )
+    if not spans_blocks(attempts, "iteration", block):
+        return carried.withColumn("content_before", F.coalesce("_near", start)).drop("_block", "_near")
     return (
-        written.join(_pointers(written), KEY)
-        .join(sources, ["run_id", "source"], "left")
-        .withColumn("content_before", F.coalesce("_text", start))
-        .drop("source", "_text")
+        carried.join(_inherited_texts(attempts, block), ["run_id", "_block"], "left")
+        .withColumn("content_before", F.coalesce("_near", "_text", start))
+        .drop("_block", "_near", "_text")
+    )
+
+
+def _inherited_texts(attempts: DataFrame, block: int) -> DataFrame:
+    """Per later block of a long run, the text written last before it: (run_id, _block, _text)."""
+    marks = attempts.select(*KEY, F.when(~is_blank(F.col("output")), F.col("iteration")).alias("_wrote"))
+    sources = (
+        carry_forward(marks, "run_id", "iteration", "_wrote", "_source")
+        .withColumn("_block", block_of("iteration", block))
+        .groupBy("run_id", "_block")
+        .agg(F.min_by("_source", "iteration").alias("_source"))
+        .filter("_source is not null and _block > 0")
+    )
+    texts = with_content(attempts).select(
+        "run_id", F.col("iteration").alias("_source"), read_back(F.col("content")).alias("_text")
     )
+    return sources.join(texts, ["run_id", "_source"]).select("run_id", "_block", "_text")
 
 
 def patch_size(attempts: DataFrame, template: Column | str) -> DataFrame:

@@ -21,17 +21,30 @@ SALTS = 32
 MAX_HOT_KEYS = 64
 
 
-def _block(position: str, block: int) -> Column:
+def block_of(position: str, block: int) -> Column:
     return F.floor(F.col(position) / F.lit(block)).cast("long")
 
 
+def spans_blocks(df: DataFrame, position: str, block: int) -> bool:
+    """Whether any position lies outside the first block: one job over a single column.
+
+    Groups within one block need no second level, so the usual case pays for this check alone. On a
+    Parquet table the filter is answered by row-group statistics.
+    """
+    outside = (F.col(position) >= block) | (F.col(position) < 0)
+    return not df.select(position).filter(outside).isEmpty()
+
+
 def ordinal(df: DataFrame, group: str, position: str, out: str, block: int = BLOCK) -> DataFrame:
     """1-based row number of ``position`` within ``group`` (positions unique within a group).
 
     Only the in-block window moves the rows; block sizes come from the two key columns alone.
     """
-    keyed = df.withColumn("_block", _block(position, block))
+    keyed = df.withColumn("_block", block_of(position, block))
     in_block = Window.partitionBy(group, "_block").orderBy(position)
+    numbered = keyed.withColumn("_row", F.row_number().over(in_block))
+    if not spans_blocks(df, position, block):
+        return numbered.withColumn(out, F.col("_row").cast("int")).drop("_block", "_row")
     earlier = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         keyed.groupBy(group, "_block")
@@ -40,8 +53,7 @@ def ordinal(df: DataFrame, group: str, position: str, out: str, block: int = BLO
         .filter("_before is not null")
     )
     return (
-        keyed.withColumn("_row", F.row_number().over(in_block))
-        .join(offsets, [group, "_block"], "left")
+        numbered.join(offsets, [group, "_block"], "left")
         .withColumn(out, (F.col("_row") + F.coalesce("_before", F.lit(0))).cast("int"))
         .drop("_block", "_row", "_before")
     )
@@ -54,8 +66,11 @@ def carry_forward(
 
     Meant for narrow values (a number, a length, a pointer); texts are then fetched by pointer.
     """
-    keyed = df.withColumn("_block", _block(position, block))
+    keyed = df.withColumn("_block", block_of(position, block))
     before = Window.partitionBy(group, "_block").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+    near = F.last(value, ignorenulls=True).over(before)
+    if not spans_blocks(df, position, block):
+        return keyed.withColumn(out, near).drop("_block")
     earlier = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     inherited = (
         keyed.groupBy(group, "_block")
@@ -64,7 +79,7 @@ def carry_forward(
         .filter("_inherited is not null")
     )
     return (
-        keyed.withColumn("_near", F.last(value, ignorenulls=True).over(before))
+        keyed.withColumn("_near", near)
         .join(inherited, [group, "_block"], "left")
         .withColumn(out, F.coalesce("_near", "_inherited"))
         .drop("_block", "_near", "_inherited")

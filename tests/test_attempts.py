@@ -53,8 +53,11 @@ def walk(attempt_rows):
     return seen
 
 
-def test_carried_content(attempts, attempt_rows):
-    got = {(r.run_id, r.iteration): (r.content_before, r.content) for r in diffs.carried_content(attempts, TEMPLATE).collect()}
+@pytest.mark.parametrize("block", [1, 2, 64])
+def test_carried_content(attempts, attempt_rows, block):
+    rows = diffs.carried_content(attempts, TEMPLATE, block).collect()
+    got = {(r.run_id, r.iteration): (r.content_before, r.content) for r in rows}
+    assert len(rows) == len(got)
     assert got == walk(attempt_rows)
 
 

@@ -89,7 +89,7 @@ def patch_size(attempts: DataFrame, template: Column | str) -> DataFrame:
     exists, writes = F.col("_start_chars").isNotNull(), F.col("_own").isNotNull()
     patched = exists & writes
     old_chars = F.coalesce(F.col("_old.n"), F.col("_start_chars"))
-    return carry_forward(sizes, "run_id", "iteration", "_own", "_old").select(
+    return carry_forward(sizes, "run_id", "iteration", "_own", "_old", census=attempts).select(
         *KEY,
         patched.alias("patch_applied"),
         F.when(~exists, F.lit(NO_TARGET)).when(~writes, F.lit(NO_CONTENT)).alias("patch_error"),

@@ -60,16 +60,23 @@ def ordinal(df: DataFrame, group: str, position: str, out: str, block: int = BLO
 
 
 def carry_forward(
-    df: DataFrame, group: str, position: str, value: str, out: str, block: int = BLOCK
+    df: DataFrame,
+    group: str,
+    position: str,
+    value: str,
+    out: str,
+    block: int = BLOCK,
+    census: DataFrame | None = None,
 ) -> DataFrame:
     """Last non-null ``value`` at an earlier ``position`` of the same group.
 
     Meant for narrow values (a number, a length, a pointer); texts are then fetched by pointer.
+    ``census`` is a cheaper frame with the same positions to check for long groups.
     """
     keyed = df.withColumn("_block", block_of(position, block))
     before = Window.partitionBy(group, "_block").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
     near = F.last(value, ignorenulls=True).over(before)
-    if not spans_blocks(df, position, block):
+    if not spans_blocks(df if census is None else census, position, block):
         return keyed.withColumn(out, near).drop("_block")
     earlier = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     inherited = (

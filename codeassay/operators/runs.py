@@ -38,7 +38,7 @@ def final_attempts(attempts: DataFrame, max_iterations: int | Column = MAX_ITERA
     return executed(attempts, max_iterations).filter("iteration = final_iteration").drop("final_iteration")
 
 
-def iterations_required(attempts: DataFrame, max_iterations: int = MAX_ITERATIONS) -> DataFrame:
+def iterations_required(attempts: DataFrame, max_iterations: int | Column = MAX_ITERATIONS) -> DataFrame:
     """First success, else the number executed. Pure aggregation, combined map-side."""
     return (
         attempts.filter(F.col("iteration") <= max_iterations)
@@ -52,7 +52,7 @@ def iterations_required(attempts: DataFrame, max_iterations: int = MAX_ITERATION
     )
 
 
-def run_duration(attempts: DataFrame, max_iterations: int = MAX_ITERATIONS) -> DataFrame:
+def run_duration(attempts: DataFrame, max_iterations: int | Column = MAX_ITERATIONS) -> DataFrame:
     """Wall time when attempts carry ``ts``, else the sum of executed attempt durations."""
     measure = (
         (F.max("ts").cast("timestamp").cast("double") - F.min("ts").cast("timestamp").cast("double"))
@@ -83,7 +83,7 @@ def run_scores(
     template: str,
     rules: DataFrame | None = None,
     line_diffs: DataFrame | None = None,
-    max_iterations: int = MAX_ITERATIONS,
+    max_iterations: int | Column = MAX_ITERATIONS,
 ) -> DataFrame:
     """One scoring row per run.
 

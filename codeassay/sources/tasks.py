@@ -14,6 +14,24 @@ from codeassay.schemas import (
 )
 
 _INTEGER_FIELDS = ("execution_config.max_iterations", "execution_config.timeout_seconds", "evaluation.max_score")
+_TEXT_FIELDS = (
+    "language",
+    "entry_file",
+    "expected_behavior",
+    "research_signal",
+    "notes",
+    "execution_config.test_command",
+    "evaluation.method",
+    "evaluation.compliance_threshold",
+)
+_OBJECT_FIELDS = (
+    "execution_config",
+    "evaluation",
+    "evaluation.scoring_rules",
+    "model_instructions",
+    "expected_properties",
+    "verification",
+)
 
 
 def _text_field(doc: Column, path: str) -> Column:
@@ -28,7 +46,8 @@ def _kind(doc: Column, path: str) -> Column:
 def parse_task_specs(specs: DataFrame, text: str = "spec_text", folder: str = "folder") -> DataFrame:
     """Parse spec documents natively; ``status`` is 'valid' or 'reject' with ``problems``.
 
-    Required fields must be JSON strings. Absent optional fields take their defaults. Unknown keys
+    Required fields must be JSON strings. Absent optional fields take their defaults; present ones must
+    have their type. Unknown keys
     survive in ``spec`` (variant). A folder differing from the spec's id is only flagged.
     """
     doc = F.col("spec")
@@ -47,7 +66,16 @@ def parse_task_specs(specs: DataFrame, text: str = "spec_text", folder: str = "f
     field_problems = [
         F.when(_kind(doc, f).isNull(), F.lit(f"missing:{f}")).when(_kind(doc, f) != "STRING", F.lit(f"invalid:{f}"))
         for f in REQUIRED_SPEC_FIELDS
-    ] + [integer_problem(path) for path in _INTEGER_FIELDS]
+    ]
+    field_problems += [integer_problem(path) for path in _INTEGER_FIELDS]
+    field_problems += [F.when(_kind(doc, f) != "STRING", F.lit(f"invalid:{f}")) for f in _TEXT_FIELDS]
+    field_problems += [
+        F.when(~F.startswith(_kind(doc, f), F.lit("OBJECT")), F.lit(f"invalid:{f}")) for f in _OBJECT_FIELDS
+    ]
+    stages = "execution_config.validation_order"
+    field_problems.append(
+        F.when(~_kind(doc, stages).isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(f"invalid:{stages}"))
+    )
     problems = (
         F.when(doc.isNull(), F.array(F.lit("invalid_json")))
         .when(~is_object, F.array(F.lit("not_an_object")))

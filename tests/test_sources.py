@@ -43,6 +43,8 @@ def tasks_dir(tmp_path_factory):
     make("broken", '{"task_id": ')
     make("array", "[1]")
     make("typed", FULL | {"name": 3, "execution_config": {"max_iterations": "x", "timeout_seconds": 2.5}})
+    make("optional", FULL | {"language": 5, "notes": None, "verification": [], "evaluation": {"scoring_rules": "x", "max_score": "7"}})
+    make("order", FULL | {"execution_config": {"validation_order": [], "max_iterations": 3.0, "timeout_seconds": True}})
     make("gaps", FULL, files=("template.py",))
     make("no_spec", None)
     return str(root)
@@ -50,7 +52,7 @@ def tasks_dir(tmp_path_factory):
 
 def test_specs(spark, tasks_dir):
     got = {r.folder: r for r in tasks.read_task_specs(spark, tasks_dir).collect()}
-    assert len(got) == 8
+    assert len(got) == 10
     full = got["full"]
     assert (full.status, full.problems, full.id_mismatch) == ("valid", [], False)
     assert (full.max_iterations, full.timeout_seconds, full.test_command, full.max_score) == (5, 60, "run", 20)
@@ -71,6 +73,13 @@ def test_specs(spark, tasks_dir):
     ]
 
 
+def test_optional_fields_have_types(spark, tasks_dir):
+    got = {r.folder: r for r in tasks.read_task_specs(spark, tasks_dir).collect()}
+    assert got["optional"].problems == ["invalid:language", "invalid:notes", "invalid:evaluation.scoring_rules", "invalid:verification"]
+    order = got["order"]
+    assert (order.status, order.validation_order, order.max_iterations, order.timeout_seconds) == ("valid", [], 3, 1)
+
+
 def test_load_one(spark, tasks_dir):
     assert tasks.load_task(spark, tasks_dir, "full").count() == 1
     assert tasks.load_task(spark, tasks_dir, "broken").count() == 0
@@ -80,7 +89,7 @@ def test_load_one(spark, tasks_dir):
 def test_catalog_and_structure(spark, tasks_dir):
     files = tasks.list_task_files(spark, tasks_dir)
     names = [r.task for r in tasks.available_tasks(files).collect()]
-    assert names == sorted(["full", "moved", "bare", "no_workflow", "broken", "array", "typed", "gaps"])
+    assert names == sorted(["full", "moved", "bare", "no_workflow", "broken", "array", "typed", "optional", "order", "gaps"])
     gaps = {r.task: (r.missing_files, r.is_valid) for r in tasks.structure_gaps(files).collect()}
     assert gaps["full"] == ([], True)
     assert gaps["gaps"] == (["reference.py", "tests"], False)

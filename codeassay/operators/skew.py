@@ -4,7 +4,7 @@
   holds at most ``BLOCK`` rows, and an ``int`` position gives a group at most 2**31 / BLOCK
   blocks, so neither level ever puts an unbounded group into one task.
 * ``rank_in_groups`` ranks on arbitrary sort keys through one range-partitioned sort.
-* ``lookup_join`` broadcasts only a lookup whose size it has measured; beyond that it salts hot keys.
+* ``lookup_join`` broadcasts only a lookup whose size it has measured; beyond that it splits hot keys.
 """
 
 from __future__ import annotations
@@ -17,8 +17,6 @@ from codeassay.session import stable
 
 BLOCK = 65_536
 MAX_BROADCAST_BYTES = 32 * 1024 * 1024
-SALTS = 32
-MAX_HOT_KEYS = 64
 
 
 def block_of(position: str, block: int) -> Column:
@@ -142,12 +140,16 @@ def fits_broadcast(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
     return (total or 0) <= max_bytes
 
 
-def hot_keys(df: DataFrame, on: str, most: int = MAX_HOT_KEYS) -> list:
-    """Keys holding more than ``1 / most`` of the rows; by counting there are fewer than ``most``."""
+def hot_keys(df: DataFrame, on: str) -> DataFrame:
+    """Keys with more rows than an average shuffle partition, and how many partitions each would fill.
+
+    With P shuffle partitions, fewer than P keys can hold more than 1/P of the rows each.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fair = max(df.count() / partitions, 1.0)
     counts = df.groupBy(on).agg(F.count(F.lit(1)).alias("_n"))
-    top = counts.orderBy(F.desc("_n")).limit(most).collect()
-    total = df.count()
-    return [row[on] for row in top if row[on] is not None and row["_n"] * most > total]
+    hot = counts.filter(F.col(on).isNotNull() & (F.col("_n") > fair))
+    return stable(hot.select(on, F.ceil(F.col("_n") / F.lit(fair)).cast("int").alias("_salts")))
 
 
 def lookup_join(
@@ -162,17 +164,20 @@ def lookup_join(
     """Join facts to a lookup that has one row per key.
 
     The lookup is computed once, into the shared folder, and measured there. A small one is
-    broadcast, so the facts do not move. A larger one is joined by a shuffle on its key, with each
-    hot key salted over ``SALTS`` tasks by the ``spread`` columns; only the few lookup rows of hot
-    keys are copied. ``census`` is a cheaper frame with the same key distribution to count.
+    broadcast, so the facts do not move. A larger one is joined by a shuffle on its key, in which
+    each hot key is split over as many tasks as its share asks for, by the ``spread`` columns; only
+    lookup rows of hot keys are copied. ``census`` is a cheaper frame with the same keys to count.
     """
     lookup = stable(lookup)
     if fits_broadcast(lookup, max_bytes):
         return facts.join(F.broadcast(lookup), on, how)
-    hot = hot_keys(facts if census is None else census, on)
-    is_hot = F.col(on).isin(hot)
-    salt = F.pmod(F.xxhash64(*(spread or [c for c in facts.columns if c != on])), F.lit(SALTS)).cast("int")
+    # bounded by the number of shuffle partitions, hence the broadcasts
+    hot = F.broadcast(hot_keys(facts if census is None else census, on))
+    partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # null keys match nothing, so they only need spreading
-    salted = facts.withColumn("_salt", F.when(is_hot | F.col(on).isNull(), salt).otherwise(F.lit(0)))
-    slots = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return salted.join(lookup.withColumn("_salt", F.explode(slots)), [on, "_salt"], how).drop("_salt")
+    ways = F.when(F.col(on).isNull(), F.lit(partitions)).otherwise(F.coalesce("_salts", F.lit(1)))
+    row_hash = F.xxhash64(*(spread or [c for c in facts.columns if c != on]))
+    salted = facts.join(hot, on, "left").withColumn("_salt", F.pmod(row_hash, ways).cast("int")).drop("_salts")
+    slots = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    copies = lookup.join(hot, on, "left").withColumn("_salt", F.explode(slots)).drop("_salts")
+    return salted.join(copies, [on, "_salt"], how).drop("_salt")

@@ -7,10 +7,12 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from codeassay.session import stable
 
-__all__ = ["ASCII_LOWER", "in_batches", "order_id", "remainder", "row_digest", "stable", "table"]
+__all__ = ["ASCII_LOWER", "by_text", "fresh", "in_batches", "order_id", "remainder", "row_digest", "stable", "struct_of", "table"]
 
 #: Arguments of ``translate`` that lower-case A-Z and nothing else.
 ASCII_LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -37,6 +39,36 @@ def remainder(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % modulus
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def struct_of(kind: T.DataType, *names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, kind) for n in names])
+
+
+def by_text(fn: Callable[[list[bytes | None]], list | pa.Array], kind: T.DataType) -> Callable[..., Column]:
+    """A column function over texts: ``fn`` gets a batch of UTF-8 texts and returns its results.
+
+    Structs are returned as tuples.
+    """
+    arrow = to_arrow_type(kind)
+    names = [f.name for f in arrow] if isinstance(kind, T.StructType) else None
+
+    def run(texts: pa.Array) -> pa.Array:
+        found = fn(texts.cast(pa.binary()).to_pylist())
+        if names is None:
+            return found if isinstance(found, pa.Array) else pa.array(found, type=arrow)
+        columns = [pa.array([r[k] for r in found], type=arrow.field(k).type) for k in range(len(names))]
+        return pa.StructArray.from_arrays(columns, fields=list(arrow))
+
+    return F.arrow_udf(run, kind)
+
+
 def in_batches(
     df: DataFrame, rows: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str
 ) -> DataFrame:
@@ -45,9 +77,7 @@ def in_batches(
     A batch is a dict of lists; strings arrive as UTF-8 bytes (which are what words are cut from).
     Nothing is kept between batches unless ``rows`` keeps it.
     """
-    target = df.sparkSession.createDataFrame([], schema).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-
+    target = T.DataType.fromDDL(schema)
     arrow = to_arrow_schema(target)
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:

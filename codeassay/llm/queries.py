@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from codeassay.llm import line_dedup
+from codeassay.llm import host_rules, line_dedup
 
 QUERIES = {
+    "op4_host_rules": host_rules.op4_host_rules,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLES = {
+    "op4_host_rules": host_rules.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }

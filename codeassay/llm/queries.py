@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from codeassay.llm import host_rules, line_dedup
+from codeassay.llm import decontaminate, host_rules, line_dedup
 
 QUERIES = {
     "op4_host_rules": host_rules.op4_host_rules,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLES = {
     "op4_host_rules": host_rules.SQL,
+    "op5_decontaminate": decontaminate.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }

@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from codeassay.session import stable
 
-__all__ = ["ASCII_LOWER", "by_text", "fresh", "in_batches", "order_id", "remainder", "row_digest", "stable", "struct_of", "table"]
+__all__ = ["ASCII_LOWER", "by_text", "fresh", "in_batches", "order_id", "remainder", "row_digest", "stable", "struct_of", "table", "worker_cache"]
 
 #: Arguments of ``translate`` that lower-case A-Z and nothing else.
 ASCII_LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -69,6 +69,18 @@ def by_text(fn: Callable[[list[bytes | None]], list | pa.Array], kind: T.DataTyp
     return F.arrow_udf(run, kind)
 
 
+def worker_cache(key: str, make: Callable[[], object]) -> object:
+    """An object that a Python worker keeps from task to task (functions travel by value, so a
+    module's own variables would not last)."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_codeassay_worker_cache", types.ModuleType("_codeassay_worker_cache"))
+    if key not in kept.__dict__:
+        kept.__dict__[key] = make()
+    return kept.__dict__[key]
+
+
 def in_batches(
     df: DataFrame, rows: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str
 ) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from codeassay.llm import decontaminate, host_rules, line_dedup
+from codeassay.llm import decontaminate, host_rules, line_dedup, token_files
 
 QUERIES = {
     "op4_host_rules": host_rules.op4_host_rules,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op7_token_files": token_files.op7_token_files,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLES = {

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from codeassay.llm import decontaminate, host_rules, line_dedup, page_diff, partenum, token_files
+from codeassay.llm import decontaminate, host_rules, line_dedup, mixing, page_diff, partenum, token_files
 
 QUERIES = {
     "op1_page_diff": page_diff.op1_page_diff,
     "op4_host_rules": host_rules.op4_host_rules,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op7_token_files": token_files.op7_token_files,
+    "op8_mixing": mixing.op8_mixing,
     "op9_jaccard_join": partenum.op9_jaccard_join,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLES = {
     "op4_host_rules": host_rules.SQL,
     "op5_decontaminate": decontaminate.SQL,
+    "op8_mixing": mixing.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }

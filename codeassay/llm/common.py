@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from codeassay.session import stable
 
-__all__ = ["ASCII_LOWER", "by_text", "fresh", "in_batches", "order_id", "remainder", "row_digest", "stable", "struct_of", "table", "worker_cache"]
+__all__ = ["ASCII_LOWER", "by_text", "fresh", "in_batches", "order_id", "remainder", "row_digest", "shared", "stable", "struct_of", "table", "worker_cache"]
 
 #: Arguments of ``translate`` that lower-case A-Z and nothing else.
 ASCII_LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -81,6 +83,19 @@ def worker_cache(key: str, make: Callable[[], object]) -> object:
     return kept.__dict__[key]
 
 
+def shared(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A broadcast of ``value``, which tasks load once; its class travels with it."""
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    loaded: list[object] = []
+
+    def get() -> object:
+        if not loaded:
+            loaded.append(pickle.loads(packed.value))
+        return loaded[0]
+
+    return get
+
+
 def in_batches(
     df: DataFrame, rows: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str
 ) -> DataFrame:

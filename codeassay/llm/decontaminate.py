@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeassay.llm.common import by_text, fresh, table
+from codeassay.llm.common import by_text, fresh, shared, table
 
 WINDOW = 10
 #: UTF-8 bytes of item texts in one automaton; more items make more automata, one pass for each.
@@ -185,10 +185,10 @@ _FOUND = T.StructType(
 
 
 def _matcher(spark: SparkSession, automaton: Automaton):
-    shared = spark.sparkContext.broadcast(automaton)
+    load = shared(spark, automaton)
 
     def match(texts: list[bytes | None]) -> list[tuple]:
-        a, found = shared.value, []
+        a, found = load(), []
         for text in texts:
             m = a.match(words_of(text))
             edges = np.flatnonzero(np.diff(np.concatenate(([0], m.hit.astype(np.int8), [0]))))

@@ -16,11 +16,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeassay.llm.common import NULL_ID, fresh, in_batches, order_id, row_digest, stable, table, worker_cache
@@ -75,19 +76,38 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: bytes | None, words: int, hashes: dict[bytes, int]) -> np.ndarray:
-    """The sorted 64-bit hashes of a text's distinct shingles."""
-    cut = (text or b"").lower().split()
-    n = len(cut)
-    if not n:
-        return np.zeros(0, np.uint64)
-    if n < words:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(cut), n)], np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, cut), np.uint64, n)
-    found = np.zeros(n - words + 1, np.uint64)
+def shingles(texts: list[bytes | None], words: int, hashes: dict[bytes, int]) -> Iterator[np.ndarray]:
+    """For each text the sorted 64-bit hashes of its distinct shingles; a few megabytes at a time."""
+    group: list[list[bytes]] = []
+    held = 0
+    for text in texts:
+        group.append((text or b"").lower().split())
+        held += len(text or b"")
+        if held > 1 << 21:
+            yield from _shingles(group, words, hashes)
+            group, held = [], 0
+    yield from _shingles(group, words, hashes)
+
+
+def _shingles(group: list[list[bytes]], words: int, hashes: dict[bytes, int]) -> Iterator[np.ndarray]:
+    sizes = [len(cut) for cut in group]
+    h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(group)), np.uint64, sum(sizes))
+    n = max(len(h) - words + 1, 0)
+    found = np.zeros(n, np.uint64)
     for j in range(words):
-        found = _mix(found + h[j : n - words + 1 + j])
-    return np.unique(found)
+        found *= np.uint64(0xD1342543DE82EF95)
+        found += h[j : n + j]
+    found = _mix(found)
+    at = 0
+    for cut, size in zip(group, sizes, strict=True):
+        if size >= words:
+            own = np.sort(found[at : at + size - words + 1])
+            yield own[np.concatenate(([True], own[1:] != own[:-1]))]
+        elif size:
+            yield np.array([xxhash.xxh64_intdigest(b" ".join(cut), size)], np.uint64)
+        else:
+            yield np.zeros(0, np.uint64)
+        at += size
 
 
 def set_id(elements: np.ndarray) -> int:
@@ -140,8 +160,7 @@ def _common_shingles(docs: DataFrame, scheme: Scheme) -> tuple[np.ndarray, np.nd
 
         for b in batches:
             hashes = _hashes()
-            for text in b["text"]:
-                elements = shingles(text, scheme.words, hashes)
+            for elements in shingles(b["text"], scheme.words, hashes):
                 own = set_id(elements)
                 if own not in seen:
                     seen.add(own)
@@ -168,8 +187,7 @@ def _signed(docs: DataFrame, scheme: Scheme) -> DataFrame:
         for b in batches:
             hashes, (values, counts) = _hashes(), hot.value
             ids, sizes, signed = [], [], []
-            for text in b["text"]:
-                elements = shingles(text, scheme.words, hashes)
+            for elements in shingles(b["text"], scheme.words, hashes):
                 own = set_id(elements)
                 ids.append(own)
                 sizes.append(len(elements))
@@ -264,14 +282,13 @@ def _candidate_sets(docs: DataFrame, signed: DataFrame, wanted: DataFrame, schem
     def cut(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             hashes, mask = _hashes(), shared.value
-            out: dict[str, list] = {"doc": [], "set_id": [], "elements": []}
-            for i, slot, text in zip(b["id"], b["slot"], b["text"], strict=True):
-                if mask[slot >> 3] >> (slot & 7) & 1:
-                    elements = shingles(text, scheme.words, hashes)
-                    out["doc"].append(i)
-                    out["set_id"].append(set_id(elements))
-                    out["elements"].append(elements.tobytes())
-            yield out
+            wanted = [k for k, slot in enumerate(b["slot"]) if mask[slot >> 3] >> (slot & 7) & 1]
+            found = list(shingles([b["text"][k] for k in wanted], scheme.words, hashes))
+            yield {
+                "doc": [b["id"][k] for k in wanted],
+                "set_id": [set_id(x) for x in found],
+                "elements": [x.tobytes() for x in found],
+            }
 
     keyed = docs.select(order_id().alias("id"), "text").withColumn("slot", slot).select("id", "slot", "text")
     found = in_batches(keyed, cut, "doc long, set_id long, elements binary")
@@ -302,12 +319,12 @@ def _similar_sizes(scheme: Scheme, a: str, b: str) -> str:
     return f"least({a}, {b}) * 100 >= {scheme.percent} * greatest({a}, {b})"
 
 
-def _links(docs: DataFrame, signed: DataFrame, scheme: Scheme) -> DataFrame:
-    """Links (a, b) between documents that hold distinct sets, enough of them to connect every component.
+def _roots(docs: DataFrame, signed: DataFrame, scheme: Scheme) -> DataFrame:
+    """(a, b) for documents that hold distinct sets: b is the least document of a's component.
 
     First each group's members are compared with its first one. A group whose members are then in
     one component is done. In the others every pair across components is compared: at once in small
-    groups, first member by first member in the larger ones.
+    groups, block by block in the larger ones.
     """
     groups = stable(_groups(signed))
     small = stable(groups.filter("signature IS NULL").select("sets", "sizes").distinct())
@@ -322,8 +339,7 @@ def _links(docs: DataFrame, signed: DataFrame, scheme: Scheme) -> DataFrame:
     first = small.select(
         F.col("sets")[0].alias("a"), F.col("sizes")[0].alias("na"), F.explode(F.slice(F.arrays_zip("sets", "sizes"), 2, SMALL)).alias("o")
     ).select("a", "na", F.col("o.sets").alias("b"), F.col("o.sizes").alias("nb"))
-    links = stable(_verified(first.filter(_similar_sizes(scheme, "na", "nb")).select("a", "b").distinct(), sets, scheme))
-    roots = components(links)
+    roots = components(_verified(first.filter(_similar_sizes(scheme, "na", "nb")).select("a", "b").distinct(), sets, scheme))
 
     def labelled(members: DataFrame) -> DataFrame:
         with_doc = members.join(node, "set_id")
@@ -349,23 +365,32 @@ def _links(docs: DataFrame, signed: DataFrame, scheme: Scheme) -> DataFrame:
         .select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))
         .distinct()
     )
-    links = stable(links.unionByName(_verified(pairs, sets, scheme)))
-    roots = components(links)
+    roots = components(roots.unionByName(_verified(pairs, sets, scheme)))
 
-    # Larger groups: rounds that compare the first member left with the others of other components.
+    # Larger groups, in rounds: members outside the group's largest component, a block at a time,
+    # against all members of other components. They are done then; the largest one needs no more.
     while True:
         left = labelled(large)
-        ends = left.groupBy("signature").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("set_id", "n", "root")).alias("hub")
-        ).filter("low < high")
-        open_groups = stable(left.join(ends.select("signature", "hub"), "signature"))
+        counted = left.groupBy("signature", "root").agg(F.count(F.lit(1)).alias("m"))
+        main = counted.groupBy("signature").agg(F.max(F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
+        open_groups = stable(left.join(main.filter("roots > 1").select("signature", F.col("main.root").alias("main")), "signature"))
         if open_groups.isEmpty():
-            return links
-        pairs = open_groups.filter("root <> hub.root").filter(_similar_sizes(scheme, "n", "hub.n"))
-        found = _verified(pairs.select(F.col("hub.set_id").alias("a"), F.col("set_id").alias("b")).distinct(), sets, scheme)
-        large = stable(open_groups.filter("set_id <> hub.set_id").select("signature", "set_id", "n"))
-        links = stable(links.unionByName(found))
-        roots = components(links)
+            return roots
+        order = Window.partitionBy("signature").orderBy("set_id")
+        hubs = stable(
+            open_groups.filter("root <> main").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= SMALL)
+            .select("signature", F.col("set_id").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"))
+        )
+        pairs = (
+            open_groups.join(hubs, "signature")
+            .filter("root <> hub_root")
+            .filter(_similar_sizes(scheme, "n", "hub_n"))
+            .select(F.least("hub", "set_id").alias("a"), F.greatest("hub", "set_id").alias("b"))
+            .distinct()
+        )
+        roots = components(roots.unionByName(_verified(pairs, sets, scheme)))
+        done = hubs.select("signature", F.col("hub").alias("set_id"))
+        large = stable(open_groups.select("signature", "set_id", "n").join(done, ["signature", "set_id"], "left_anti"))
 
 
 def jaccard_components(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
@@ -376,8 +401,7 @@ def jaccard_components(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     with equal sets are one node, so copies are not compared.
     """
     signed = stable(_signed(docs, scheme))
-    links = _links(docs, signed, scheme)
-    roots = components(links).select(F.col("a").alias("doc"), "b")
+    roots = _roots(docs, signed, scheme).select(F.col("a").alias("doc"), "b")
     rows = signed.select("id", "digest", "set_id", F.col("n").alias("n_shingles"))
     classes = (
         rows.filter("n_shingles > 0")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from codeassay.llm import decontaminate, host_rules, line_dedup, mixing, page_diff, partenum, qda, token_files
+from codeassay.llm import decontaminate, host_rules, line_dedup, maxent, mixing, page_diff, partenum, qda, token_files
 
 QUERIES = {
     "op1_page_diff": page_diff.op1_page_diff,
     "op3_quadratic_quality": qda.op3_quadratic_quality,
     "op4_host_rules": host_rules.op4_host_rules,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_maxent_score": maxent.op6_maxent_score,
     "op7_token_files": token_files.op7_token_files,
     "op8_mixing": mixing.op8_mixing,
     "op9_jaccard_join": partenum.op9_jaccard_join,

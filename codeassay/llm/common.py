@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from codeassay.session import stable
 
-__all__ = ["ASCII_LOWER", "by_text", "fresh", "in_batches", "order_id", "remainder", "row_digest", "shared", "stable", "struct_of", "table", "worker_cache"]
+__all__ = ["ASCII_LOWER", "by_text", "fresh", "in_batches", "order_id", "ranges", "remainder", "row_digest", "shared", "stable", "struct_of", "table", "worker_cache"]
 
 #: Arguments of ``translate`` that lower-case A-Z and nothing else.
 ASCII_LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -53,6 +53,18 @@ def struct_of(kind: T.DataType, *names: str) -> T.StructType:
     return T.StructType([T.StructField(n, kind) for n in names])
 
 
+def ranges(keys: DataFrame, by: Sequence[str]) -> list[tuple[tuple, tuple]]:
+    """First and last key of each partition of a range partitioning, in order.
+
+    One row per partition comes to the driver, whatever the number of rows. Unlike partition
+    numbers, these bounds are the same in every later job.
+    """
+    key = F.struct(*by)
+    parts = keys.select(*by).repartitionByRange(*by).groupBy(F.spark_partition_id().alias("part"))
+    ends = parts.agg(F.min(key).alias("low"), F.max(key).alias("high")).collect()
+    return sorted((tuple(r.low), tuple(r.high)) for r in ends)
+
+
 def by_text(fn: Callable[[list[bytes | None]], list | pa.Array], kind: T.DataType) -> Callable[..., Column]:
     """A column function over texts: ``fn`` gets a batch of UTF-8 texts and returns its results.
 

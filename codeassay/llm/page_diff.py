@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeassay.llm.common import in_batches, order_id, struct_of, table
+from codeassay.llm.common import in_batches, order_id, ranges, struct_of, table
 
 # Element names of HTML and usual names of page parts.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -244,17 +244,13 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     after them: results don't depend on where ranges end, and a host may fill many of them.
     """
     placed = _placed(pages)
-    key = F.struct(*_ORDER)
-    in_order = placed.select(*_ORDER).repartitionByRange(*_ORDER)
-    # One row per range partition, whatever the number of pages.
-    ends = in_order.groupBy(F.spark_partition_id()).agg(F.min(key).alias("low"), F.max(key).alias("high")).collect()
-    ranges = sorted((tuple(r.low), tuple(r.high)) for r in ends)
-    lows = [r[0] for r in ranges]
+    bounds = ranges(placed, _ORDER)
+    lows = [low for low, _ in bounds]
     belongs = {}
-    for k, (low, high) in enumerate(ranges):
+    for k, (low, high) in enumerate(bounds):
         if k:
             belongs.setdefault(low, []).append(k - 1)
-        if k + 1 < len(ranges):
+        if k + 1 < len(bounds):
             belongs.setdefault(high, []).append(k + 1)
     shared = pages.sparkSession.sparkContext.broadcast((lows, belongs))
 
@@ -304,7 +300,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     kinds = "host string, path string, link string, page long, page_id long, url string, kinds array<byte>, texts array<string>"
     dealt = in_batches(placed, deal, f"part int, own boolean, {kinds}")
-    sorted_parts = dealt.repartitionById(max(1, len(ranges)), F.col("part")).sortWithinPartitions("part", *_ORDER)
+    sorted_parts = dealt.repartitionById(max(1, len(bounds)), F.col("part")).sortWithinPartitions("part", *_ORDER)
     found = in_batches(
         sorted_parts, difference, "page_id long, url string, text string, n_blocks int, n_shared int"
     )

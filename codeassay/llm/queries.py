@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from codeassay.llm import decontaminate, host_rules, line_dedup, maxent, mixing, page_diff, partenum, qda, token_files
+from codeassay.llm import chat_repair, decontaminate, host_rules, line_dedup, maxent, mixing, page_diff, partenum, qda, token_files
 
 QUERIES = {
     "op1_page_diff": page_diff.op1_page_diff,
+    "op2_chat_repair": chat_repair.op2_chat_repair,
     "op3_quadratic_quality": qda.op3_quadratic_quality,
     "op4_host_rules": host_rules.op4_host_rules,
     "op5_decontaminate": decontaminate.op5_decontaminate,

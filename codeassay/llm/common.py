@@ -5,7 +5,9 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ __all__ = ["ASCII_LOWER", "by_text", "fresh", "in_batches", "order_id", "ranges"
 ASCII_LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: The id that a row without one sorts and compares by: after every other.
 NULL_ID = 2**63 - 1
+#: Text that a task takes apart at a time.
+BATCH_BYTES = 1 << 22
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,19 +112,32 @@ def shared(spark: SparkSession, value: object) -> Callable[[], object]:
     return get
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold BATCH_BYTES of strings or bytes each, or one row."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    before = np.cumsum(sizes) - sizes
+    cuts = np.flatnonzero(np.diff(before // BATCH_BYTES)) + 1
+    for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+        yield batch.slice(start, end - start)
+
+
 def in_batches(
     df: DataFrame, rows: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str
 ) -> DataFrame:
     """``mapInArrow`` over plain columns: ``rows`` maps an iterator of batches to one of results.
 
     A batch is a dict of lists; strings arrive as UTF-8 bytes (which are what words are cut from).
-    Nothing is kept between batches unless ``rows`` keeps it.
+    A batch has at most BATCH_BYTES of texts, or one row. Nothing is kept between batches unless
+    ``rows`` keeps it.
     """
     target = T.DataType.fromDDL(schema)
     arrow = to_arrow_schema(target)
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             yield {
                 name: (col.cast(pa.binary()) if pa.types.is_string(col.type) else col).to_pylist()
                 for name, col in zip(batch.schema.names, batch.columns, strict=True)

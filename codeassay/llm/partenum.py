@@ -21,7 +21,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeassay.llm.common import NULL_ID, fresh, in_batches, order_id, row_digest, stable, table, worker_cache
@@ -31,6 +31,8 @@ from codeassay.llm.components import components
 REMEMBERED = 300_000
 #: Members of a group of equal signatures that are handled as one row; larger groups go by rounds.
 SMALL = 64
+#: Cells that are listed beyond the signatures, to rule out pairs before their sets are fetched.
+MORE = 32
 #: Shingles in a chunk of a task that is searched for common ones, and how often they occur in it.
 CHUNK, COMMON = 1 << 21, 3
 #: Entries of the list of common shingles, the most common ones. The result doesn't depend on it.
@@ -114,9 +116,16 @@ def set_id(elements: np.ndarray) -> int:
     return int(np.int64(xxhash.xxh3_64_intdigest(elements.tobytes()) - (1 << 63)))
 
 
-def signatures(elements: np.ndarray, scheme: Scheme, hot: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The k + 1 first cells of a set in each of its bands. ``hot``: sorted common shingles."""
-    found = []
+def signatures(
+    elements: np.ndarray, scheme: Scheme, hot: np.ndarray, count: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, int]:
+    """The k + 1 first cells of a set in each of its bands, the MORE next ones, and a number ``need``.
+
+    Linked sets have at least the lesser of their ``need`` in common among both lists: if k + 1 + m
+    first cells are listed and p are occupied, min(1 + m, p - k) of them are. ``hot``: sorted common
+    shingles.
+    """
+    first, more, need = [], [], MORE + 1
     if len(hot):
         at = np.minimum(np.searchsorted(hot, elements), len(hot) - 1)
         common = np.where(hot[at] == elements, count[at], 0)
@@ -131,11 +140,11 @@ def signatures(elements: np.ndarray, scheme: Scheme, hot: np.ndarray, count: np.
         salt = np.uint64((band + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
         signature = _mix(np.add.reduceat(mixed, starts) ^ salt)
         rank = np.minimum.reduceat(common, starts)
-        if rank.any():
-            found.append(signature[np.lexsort((signature, rank))[: k + 1]])
-        else:
-            found.append(np.partition(signature, k)[: k + 1])
-    return np.concatenate(found).view(np.int64)
+        in_order = signature[np.lexsort((signature, rank))] if rank.any() else np.sort(signature)
+        first.append(in_order[: k + 1])
+        more.append(in_order[k + 1 : k + 1 + MORE])
+        need = min(need, len(starts) - k)
+    return np.concatenate(first).view(np.int64), np.concatenate(more).view(np.int64), need
 
 
 def _hashes() -> _Hashes:
@@ -178,42 +187,55 @@ def _common_shingles(docs: DataFrame, scheme: Scheme) -> tuple[np.ndarray, np.nd
     return top["x"].to_numpy(np.int64).view(np.uint64)[order], top["n"].to_numpy(np.int64)[order]
 
 
+def _list_array(lists: list[np.ndarray | None]) -> pa.Array:
+    """Null lists are empty."""
+    offsets = np.concatenate(([0], np.cumsum([0 if x is None else len(x) for x in lists])))
+    flat = np.concatenate([np.zeros(0, np.int64), *[x for x in lists if x is not None]])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
+
+
 def _signed(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """Per row: id, digest, set_id, n (shingles) and, for the first of equal sets in a task, its signatures."""
+    """Per row: id, digest, set_id, n (shingles); for the first of equal sets in a task its signatures."""
     hot = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, scheme))
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         seen: set[int] = set()
         for b in batches:
             hashes, (values, counts) = _hashes(), hot.value
-            ids, sizes, signed = [], [], []
+            ids, sizes, need = [], [], []
+            lists: tuple[list, list] = ([], [])
             for elements in shingles(b["text"], scheme.words, hashes):
                 own = set_id(elements)
                 ids.append(own)
                 sizes.append(len(elements))
                 if own in seen or not len(elements):
-                    signed.append(None)
+                    found = (None, None, None)
                 else:
                     seen.add(own)
-                    signed.append(signatures(elements, scheme, values, counts))
+                    found = signatures(elements, scheme, values, counts)
+                for own_list, x in zip(lists, found, strict=False):
+                    own_list.append(x)
+                need.append(found[2])
             if len(seen) > 1_000_000:
                 seen.clear()
-            offsets = np.concatenate(([0], np.cumsum([0 if s is None else len(s) for s in signed])))
-            flat = np.concatenate([np.zeros(0, np.int64), *[s for s in signed if s is not None]])
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
-            yield {"id": b["id"], "digest": b["digest"], "set_id": ids, "n": sizes, "signatures": lists}
+            yield {
+                "id": b["id"], "digest": b["digest"], "set_id": ids, "n": sizes, "need": need,
+                "signatures": _list_array(lists[0]), "more": _list_array(lists[1]),
+            }
 
     keyed = docs.select(order_id().alias("id"), row_digest().alias("digest"), "text")
-    return in_batches(keyed, rows, "id long, digest long, set_id long, n long, signatures array<long>")
+    return in_batches(keyed, rows, "id long, digest long, set_id long, n long, need int, signatures array<long>, more array<long>")
 
 
-def _groups(signed: DataFrame) -> DataFrame:
+def _groups(signed: DataFrame, scheme: Scheme) -> DataFrame:
     """Groups of distinct sets with a common signature.
 
     ``sets`` and ``sizes`` of up to SMALL members (signature null), or single members of larger
     groups and of those that may go on in another range partition, each with its signature.
     """
 
+    percent = scheme.percent
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["signature", "sets", "sizes"]
 
@@ -224,8 +246,8 @@ def _groups(signed: DataFrame) -> DataFrame:
 
         held = [np.zeros(0, np.int64)] * 3
         first = True  # the group at hand is the first of the partition, or known to be large
-        for b in batches:
-            sig, sid, n = (np.concatenate((h, c.to_numpy(zero_copy_only=False))) for h, c in zip(held, b.columns, strict=True))
+        for batch_ in batches:
+            sig, sid, n = (np.concatenate((h, c.to_numpy(zero_copy_only=False))) for h, c in zip(held, batch_.columns, strict=True))
             if not len(sig):
                 continue
             new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])))
@@ -244,6 +266,9 @@ def _groups(signed: DataFrame) -> DataFrame:
             if rows.any():
                 yield batch(sig[rows], np.arange(rows.sum() + 1), sid[rows], n[rows])
             small = whole & ~single & (counts > 1)
+            two = np.flatnonzero(small & (counts == 2))
+            a, b = n[starts[two]], n[starts[two] + 1]
+            small[two] = np.minimum(a, b) * 100 >= percent * np.maximum(a, b)
             if small.any():
                 keep = np.repeat(small, counts)
                 yield batch(None, np.concatenate(([0], np.cumsum(counts[small]))), sid[keep], n[keep])
@@ -259,60 +284,94 @@ def _groups(signed: DataFrame) -> DataFrame:
     )
 
 
-def _candidate_sets(docs: DataFrame, signed: DataFrame, wanted: DataFrame, scheme: Scheme) -> DataFrame:
-    """(set_id, doc, elements) of the sets in ``wanted``; ``doc`` is the least id that has the set.
-
-    A bitmap of fixed size lets most texts without candidates be skipped before they are cut.
-    """
-    holders = stable(
-        signed.select("id", "set_id").join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("id").alias("doc"))
-    )
-    slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    bits = holders.select(F.col("doc").alias("id")).select(slot.alias("slot"))
+def _mask(keys: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size for the longs of ``keys`` (key), by hash."""
     per_row = 1 << 15
-    rows = bits.groupBy(F.floor(F.col("slot") / per_row).alias("row")).agg(
+    slots = keys.select(_slot("key").alias("slot"))
+    rows = slots.groupBy(F.floor(F.col("slot") / per_row).alias("row")).agg(
         F.bitmap_construct_agg((F.col("slot") % per_row).cast("long")).alias("bits")
     )
     mask = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in rows.toLocalIterator():
         part = np.frombuffer(r["bits"], np.uint8)
         mask[r["row"] * per_row // 8 : r["row"] * per_row // 8 + len(part)] = part
-    shared = docs.sparkSession.sparkContext.broadcast(mask)
+    return mask
 
-    def cut(batches: Iterator[dict]) -> Iterator[dict]:
-        for b in batches:
-            hashes, mask = _hashes(), shared.value
-            wanted = [k for k, slot in enumerate(b["slot"]) if mask[slot >> 3] >> (slot & 7) & 1]
-            found = list(shingles([b["text"][k] for k in wanted], scheme.words, hashes))
-            yield {
-                "doc": [b["id"][k] for k in wanted],
-                "set_id": [set_id(x) for x in found],
-                "elements": [x.tobytes() for x in found],
-            }
 
-    keyed = docs.select(order_id().alias("id"), "text").withColumn("slot", slot).select("id", "slot", "text")
-    found = in_batches(keyed, cut, "doc long, set_id long, elements binary")
-    return stable(found.join(holders, ["set_id", "doc"], "left_semi").dropDuplicates(["set_id"]))
+def _slot(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
-    """(a, b) of documents for the pairs of set ids that are linked."""
+def _has(mask: np.ndarray, slots: list[int]) -> list[int]:
+    """Positions of the slots whose bit is set."""
+    at = np.array(slots, np.int64)
+    return np.flatnonzero(mask[at >> 3] >> (at & 7).astype(np.uint8) & 1).tolist()
 
-    def rows(batches: Iterator[dict]) -> Iterator[dict]:
+
+def _sets(docs: DataFrame, holders: DataFrame, scheme: Scheme) -> DataFrame:
+    """(set_id, elements) of the documents in ``holders`` (doc), and of a few others.
+
+    The bitmap spares most texts from being cut, and the sets from a join.
+    """
+    shared_mask = docs.sparkSession.sparkContext.broadcast(_mask(holders.select(F.col("doc").alias("key"))))
+
+    def cut(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            out: dict[str, list] = {"a": [], "b": []}
-            for da, db, ea, eb in zip(b["da"], b["db"], b["ea"], b["eb"], strict=True):
-                x, y = np.frombuffer(ea, np.uint64), np.frombuffer(eb, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= scheme.percent * (len(x) + len(y) - both):
-                    out["a"].append(da)
-                    out["b"].append(db)
-            yield out
+            wanted = _has(shared_mask.value, b["slot"])
+            found = list(shingles([b["text"][k] for k in wanted], scheme.words, _hashes()))
+            yield {"set_id": [set_id(x) for x in found], "elements": [x.tobytes() for x in found]}
 
-    one = sets.select(F.col("set_id").alias("a"), F.col("doc").alias("da"), F.col("elements").alias("ea"))
-    two = sets.select(F.col("set_id").alias("b"), F.col("doc").alias("db"), F.col("elements").alias("eb"))
-    joined = pairs.join(one, "a").join(two, "b").select("da", "db", "ea", "eb")
-    return in_batches(joined, rows, "a long, b long")
+    keyed = docs.select(order_id().alias("id"), "text").select(_slot("id").alias("slot"), "text")
+    return stable(in_batches(keyed, cut, "set_id long, elements binary"))
+
+
+@dataclass(frozen=True)
+class _Candidates:
+    """What pairs are verified on: lists of cells, sets, and the least document that holds a set."""
+
+    lists: DataFrame
+    sets: DataFrame
+    holders: DataFrame
+    scheme: Scheme
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """(a, b) of documents for the pairs (a, b) of set ids that are linked."""
+        percent = self.scheme.percent
+        one, two = (self.lists.select(F.col("set_id").alias(x), F.col("need").alias(f"n{x}"), F.col("cells").alias(f"c{x}")) for x in "ab")
+        near = stable(
+            pairs.join(one, "a").join(two, "b")
+            .filter(F.size(F.array_intersect("ca", "cb")) >= F.least("na", "nb"))
+            .select("a", "b").distinct()
+        )
+        ids = near.select(F.explode(F.array("a", "b")).alias("key"))
+        shared_mask = near.sparkSession.sparkContext.broadcast(_mask(ids))
+
+        def needed(batches: Iterator[dict]) -> Iterator[dict]:
+            for b in batches:
+                at = _has(shared_mask.value, b["slot"])
+                yield {"set_id": [b["set_id"][k] for k in at], "elements": [b["elements"][k] for k in at]}
+
+        sets = in_batches(self.sets.select(_slot("set_id").alias("slot"), "set_id", "elements"), needed, "set_id long, elements binary")
+
+        def rows(batches: Iterator[dict]) -> Iterator[dict]:
+            for b in batches:
+                out: dict[str, list] = {"a": [], "b": []}
+                for sa, sb, ea, eb in zip(b["a"], b["b"], b["ea"], b["eb"], strict=True):
+                    x, y = np.frombuffer(ea, np.uint64), np.frombuffer(eb, np.uint64)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        out["a"].append(sa)
+                        out["b"].append(sb)
+                yield out
+
+        first, second = (sets.select(F.col("set_id").alias(x), F.col("elements").alias(f"e{x}")) for x in "ab")
+        found = in_batches(near.join(first, "a").join(second, "b").select("a", "b", "ea", "eb"), rows, "a long, b long")
+        docs = self.holders
+        return (
+            found.join(docs.select(F.col("set_id").alias("a"), F.col("doc").alias("da")), "a")
+            .join(docs.select(F.col("set_id").alias("b"), F.col("doc").alias("db")), "b")
+            .select(F.col("da").alias("a"), F.col("db").alias("b"))
+        )
 
 
 def _similar_sizes(scheme: Scheme, a: str, b: str) -> str:
@@ -326,20 +385,26 @@ def _roots(docs: DataFrame, signed: DataFrame, scheme: Scheme) -> DataFrame:
     one component is done. In the others every pair across components is compared: at once in small
     groups, block by block in the larger ones.
     """
-    groups = stable(_groups(signed))
+    groups = stable(_groups(signed, scheme))
     small = stable(groups.filter("signature IS NULL").select("sets", "sizes").distinct())
     large = groups.filter("signature IS NOT NULL").select("signature", F.col("sets")[0].alias("set_id"), F.col("sizes")[0].alias("n"))
     # A group at the end of a range partition may have a single member after all.
     real = large.groupBy("signature").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("other")).filter("hub < other")
     large = stable(large.join(real.select("signature"), "signature").distinct())
     wanted = small.select(F.explode("sets").alias("set_id")).unionByName(large.select("set_id")).distinct()
-    sets = _candidate_sets(docs, signed, wanted, scheme)
-    node = sets.select("set_id", "doc")
+    members = signed.join(wanted, "set_id", "left_semi")
+    node = stable(members.groupBy("set_id").agg(F.min("id").alias("doc")))
+    lists = stable(
+        members.filter("need IS NOT NULL")
+        .select("set_id", "need", F.concat("signatures", "more").alias("cells"))
+        .dropDuplicates(["set_id"])
+    )
+    candidates = _Candidates(lists, _sets(docs, node, scheme), node, scheme)
 
     first = small.select(
         F.col("sets")[0].alias("a"), F.col("sizes")[0].alias("na"), F.explode(F.slice(F.arrays_zip("sets", "sizes"), 2, SMALL)).alias("o")
     ).select("a", "na", F.col("o.sets").alias("b"), F.col("o.sizes").alias("nb"))
-    roots = components(_verified(first.filter(_similar_sizes(scheme, "na", "nb")).select("a", "b").distinct(), sets, scheme))
+    roots = components(candidates.linked(first.filter(_similar_sizes(scheme, "na", "nb")).select("a", "b").distinct()))
 
     def labelled(members: DataFrame) -> DataFrame:
         with_doc = members.join(node, "set_id")
@@ -365,7 +430,7 @@ def _roots(docs: DataFrame, signed: DataFrame, scheme: Scheme) -> DataFrame:
         .select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))
         .distinct()
     )
-    roots = components(roots.unionByName(_verified(pairs, sets, scheme)))
+    roots = components(roots.unionByName(candidates.linked(pairs)))
 
     # Larger groups, in rounds: members outside the group's largest component, a block at a time,
     # against all members of other components. They are done then; the largest one needs no more.
@@ -388,7 +453,7 @@ def _roots(docs: DataFrame, signed: DataFrame, scheme: Scheme) -> DataFrame:
             .select(F.least("hub", "set_id").alias("a"), F.greatest("hub", "set_id").alias("b"))
             .distinct()
         )
-        roots = components(roots.unionByName(_verified(pairs, sets, scheme)))
+        roots = components(roots.unionByName(candidates.linked(pairs)))
         done = hubs.select("signature", F.col("hub").alias("set_id"))
         large = stable(open_groups.select("signature", "set_id", "n").join(done, ["signature", "set_id"], "left_anti"))
 

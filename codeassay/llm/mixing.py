@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from codeassay.llm.common import fresh, stable, table
 
 LEVELS = ("domain", "lang", "source")
-#: Leading hexadecimal digits of the order key that make a slice of a leaf: 65,536 slices.
-SLICE_DIGITS = 4
+#: Leading hexadecimal digits of the order key by which a leaf is sliced, then its last slice.
+SLICE_DIGITS = (2, 4)
 
 
 @dataclass(frozen=True)
@@ -125,44 +125,47 @@ def leaf_budgets(rows: DataFrame, mixture: Mixture) -> DataFrame:
 
 
 def leaf_cuts(slim: DataFrame, mixture: Mixture) -> DataFrame:
-    """The leaves' budgets with ``cut``: the last order key of the token prefix, '' for none.
+    """The leaves' budgets with ``cut``: the last order key of the token prefix, or a bound for it.
 
-    Slices of the key are summed first, so only the slice in which the budget ends is sorted row by
-    row: a leaf with a third of all rows is a window of 65,536 sums and one of a 65,536th of it.
+    The keys' leading digits are summed first, two at a time: the 256 sums of a leaf tell in which
+    of its slices the budget ends, and only that slice is looked at further. Rows are sorted one by
+    one only in a 65,536th of a leaf, so a leaf with a third of all rows is no large window.
     """
+    leaf = list(LEVELS)
     budgets = stable(leaf_budgets(slim, mixture))
     # Read back from a written table: Spark knows its size.
-    keyed = slim.join(budgets.select(*LEVELS, "full_epochs", "rest"), list(LEVELS)).select(
+    keyed = slim.join(budgets.select(*LEVELS, "full_epochs", "rest"), leaf).select(
         *LEVELS, "tokens", "rest", order_key(mixture.seed, F.col("full_epochs"), F.col("own")).alias("key")
     )
-    part = F.substring("key", 1, SLICE_DIGITS)
-    slices = keyed.groupBy(*LEVELS, part.alias("slice")).agg(F.sum("tokens").alias("t"), F.first("rest").alias("rest"))
+    found = budgets.select(*LEVELS, F.lit("").alias("slice"), F.lit(0).cast("long").alias("before"))
     running = Window.partitionBy(*LEVELS).orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
-    upto = slices.withColumn("upto", F.sum("t").over(running))
-    ends = stable(
-        upto.groupBy(*LEVELS).agg(
-            F.min(F.when(F.col("upto") > F.col("rest"), F.struct("slice", (F.col("upto") - F.col("t")).alias("before")))).alias("e")
+    for digits in SLICE_DIGITS:
+        inside = _inside(keyed, found).withColumn("slice", F.substring("key", 1, digits))
+        slices = inside.groupBy(*LEVELS, "slice").agg(
+            F.sum("tokens").alias("t"), F.max("rest").alias("rest"), F.max("before").alias("before")
         )
-    )
-    inside = keyed.withColumn("slice", part).join(
-        ends.filter("e IS NOT NULL").select(*LEVELS, F.col("e.slice").alias("slice"), F.col("e.before").alias("before")),
-        [*LEVELS, "slice"],
-    )
+        upto = slices.withColumn("upto", F.col("before") + F.sum("t").over(running))
+        end = F.min(F.when(F.col("upto") > F.col("rest"), F.struct("slice", (F.col("upto") - F.col("t")).alias("before"))))
+        # A leaf whose epoch fits as a whole leaves the search.
+        found = stable(upto.groupBy(*LEVELS).agg(end.alias("e")).filter("e IS NOT NULL").select(*LEVELS, "e.slice", "e.before"))
     by_row = Window.partitionBy(*LEVELS).orderBy("key").rangeBetween(Window.unboundedPreceding, 0)
     last = (
-        inside.withColumn("upto", F.col("before") + F.sum("tokens").over(by_row))
+        _inside(keyed, found)
+        .withColumn("upto", F.col("before") + F.sum("tokens").over(by_row))
         .filter("upto <= rest")
         .groupBy(*LEVELS)
         .agg(F.max("key").alias("key"))
     )
-    cut = (
-        F.when(F.col("e").isNull(), F.lit("g"))  # after every key: the epoch fits as a whole
-        .when(F.col("key").isNotNull(), F.col("key"))
-        .otherwise(F.col("e.slice"))  # before every key of that slice, after the slices before it
-    )
-    return stable(
-        budgets.join(ends, list(LEVELS), "left").join(last, list(LEVELS), "left").withColumn("cut", cut).drop("e", "key")
-    )
+    # 'g' is after every key; a slice is before its own keys and after those of the slices before.
+    cut = F.coalesce("key", "slice", F.lit("g"))
+    ends = found.drop("before").join(last, leaf, "left")
+    return stable(budgets.join(ends, leaf, "left").withColumn("cut", cut).drop("slice", "key"))
+
+
+def _inside(keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of the slice in which their leaf's budget ends, with the tokens before it."""
+    joined = keyed.join(found.select(*LEVELS, "slice", "before"), list(LEVELS))
+    return joined.filter(F.col("key").startswith(F.col("slice"))).drop("slice")
 
 
 def _epochs(mixture: Mixture) -> Column:

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -276,7 +277,7 @@ def decontaminate(
     Texts that share no window with an item stay byte for byte. ``n_chars`` follows the text.
     """
     found = find_overlaps(docs, items, window)
-    cut = by_text_and_spans()
+    cut = _cutter()
     overlap = F.col("overlap")
     touched = F.size(overlap["spans"]) > 0
     share = F.aggregate(
@@ -291,8 +292,8 @@ def decontaminate(
     return stay.select(*[c.alias(name) for name, c in new.items()])
 
 
-def by_text_and_spans():
-    import pyarrow as pa
+def _cutter():
+    """A column function over texts and stretches."""
 
     def run(texts: pa.Array, spans: pa.Array) -> pa.Array:
         rows = zip(texts.cast(pa.binary()).to_pylist(), spans.to_pylist(), strict=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from codeassay.llm import chat_repair, decontaminate, host_rules, line_dedup, maxent, mixing, page_diff, partenum, qda, token_files
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_jaccard_join": partenum.op9_jaccard_join,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op4_host_rules": host_rules.SQL,

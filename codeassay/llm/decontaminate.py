@@ -276,7 +276,8 @@ def decontaminate(
 
     Texts that share no window with an item stay byte for byte. ``n_chars`` follows the text.
     """
-    found = find_overlaps(docs, items, window)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    found = find_overlaps(docs.select(row, "text"), items, window)
     cut = _cutter()
     overlap = F.col("overlap")
     touched = F.size(overlap["spans"]) > 0
@@ -285,10 +286,10 @@ def decontaminate(
     )
     stay = found.filter(~touched | (100 * share <= limits.max_percent * overlap["n_words"]))
     text = F.when(touched, cut("text", overlap["spans"])).otherwise(F.col("text"))
-    new = {c: F.col(f"`{c}`") for c in docs.columns}
+    new = {c: F.col("row")[c] for c in docs.columns}
     new["text"] = text
     if "n_chars" in new:
-        new["n_chars"] = F.when(touched, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(touched, F.length(text)).otherwise(new["n_chars"]).cast(docs.schema["n_chars"].dataType)
     return stay.select(*[c.alias(name) for name, c in new.items()])
 
 

@@ -1,0 +1,80 @@
+import llm_cases
+import pytest
+
+from codeassay.llm import mixing as mx
+
+
+def pour(budget, children):
+    """Shares of (weight, capacity) found by bisection on the water level."""
+    low, high = 0.0, 1e12
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(c, mid * w) for w, c in children) < budget else (low, mid)
+    return [min(c, high * w) for w, c in children]
+
+
+def budgets(leaves, m):
+    """{(domain, lang, source): budget} by recursion over the tree."""
+
+    def deal(names, given, depth, prefix):
+        children = sorted({k[depth] for k in names})
+        info = []
+        for c in children:
+            tokens = sum(t for k, t in names.items() if k[depth] == c)
+            fixed = {n: w for lev, n, w in m.weights if lev == mx.LEVELS[depth]}
+            info.append((fixed.get(c, tokens**m.flatten), tokens * m.max_epochs))
+        for c, b in zip(children, pour(given, info), strict=True):
+            below = {k: t for k, t in names.items() if k[depth] == c}
+            if depth == 2:
+                yield (*prefix, c), b
+            else:
+                yield from deal(below, b, depth + 1, (*prefix, c))
+
+    total = sum(leaves.values())
+    return dict(deal(leaves, min(total * m.budget_percent / 100, total * m.max_epochs), 0, ()))
+
+
+@pytest.mark.parametrize(("percent", "epochs", "flatten"), [(100, 3, 0.5), (40, 1, 0.0), (250, 3, 0.3), (300, 2, 1.0)])
+def test_shortages_go_to_siblings_first(spark, percent, epochs, flatten):
+    m = mx.Mixture(budget_percent=percent, max_epochs=epochs, flatten=flatten, long_words=20, weights=(("domain", "long", 0.9), ("lang", "de", 50.0)))
+    docs = llm_cases.table(spark)
+    rows = docs.select(*[c.alias(n) for n, c in mx.leaf_columns(m).items()])
+    leaves = {(r.domain, r.lang, r.source): r.t for r in rows.groupBy(*mx.LEVELS).agg({"tokens": "sum"}).withColumnRenamed("sum(tokens)", "t").collect()}
+    want = budgets(leaves, m)
+    got = {(r.domain, r.lang, r.source): r for r in mx.leaf_budgets(rows, m).collect()}
+    assert got.keys() == want.keys()
+    for k, r in got.items():
+        assert abs(r.budget - want[k]) <= 1 + 1e-6 * want[k]
+        assert 0 <= r.rest < r.tokens or r.full_epochs == epochs
+
+
+def test_a_leaf_takes_a_prefix_of_its_order(spark):
+    m = mx.Mixture(budget_percent=130, max_epochs=3)
+    rows = [(i, " ".join(["w"] * (i % 7 + 1)), "en", "only", 1) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n long")
+    taken = {r.doc_id: r for r in mx.mix(df, m).collect()}
+    total = sum(i % 7 + 2 for i in range(300))
+    spent = sum(r.epochs * r.tokens for r in taken.values())
+    assert len(taken) == 300 and {r.epochs for r in taken.values()} == {1, 2}
+    assert 0 <= total * 1.3 - spent < 9
+    columns = mx.leaf_columns(m)
+    keyed = df.select("doc_id", columns["own"].alias("own"), mx.F.lit(1).alias("e"))
+    order = [r.doc_id for r in keyed.orderBy(mx.order_key(m.seed, mx.F.col("e"), mx.F.col("own"))).collect()]
+    twice = [i for i in order if taken[i].epochs == 2]
+    assert twice == order[: len(twice)]
+    other = {r.doc_id: r.epochs for r in mx.mix(df, mx.Mixture(budget_percent=130, seed=5)).collect()}
+    assert other != {i: r.epochs for i, r in taken.items()}
+
+
+def test_rows_keep_their_columns(spark):
+    docs = llm_cases.table(spark)
+    taken = mx.take_mixture(docs)
+    assert taken.schema == docs.schema
+    want = sum(r.epochs for r in mx.mix(docs).collect())
+    assert taken.count() == want > 0
+    assert mx.mix(llm_cases.empty(spark)).count() == 0 and mx.take_mixture(llm_cases.empty(spark)).count() == 0
+
+
+def test_no_python_in_the_plan(spark):
+    plan = mx.take_mixture(llm_cases.table(spark))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

@@ -1,15 +1,16 @@
 """N-gram Jaccard join with PartEnum signatures.
 
-Texts are sets of hashed word shingles. Two sets of a and b shingles with Jaccard similarity t or more
-differ in k = (a + b)(1 - t)/(1 + t) elements at most. Sets are put in bands of similar size; in a
-band the domain of shingles is partitioned into cells, and a signature is a set's projection on one
-cell. A set whose elements lie in more than k cells agrees with each partner in one of them, and it
-is enough to enumerate its k + 1 first cells in a fixed order: if p(A) and p(B) cells are occupied,
-p - k of either are common, and prefixes of length k + 1 under one total order then meet. (Cells are
-PartEnum's first-level partitions; with so many of them the second level has a single part.)
-
-Any total order is right. Cells of shingles that many texts share come last, which keeps groups small.
-Candidates are verified on the exact sets.
+Texts are sets of hashed word shingles. Sets are put in bands of similar size; in a band the domain
+of shingles is partitioned into cells, and a signature is a band with a subset of the cells, as the
+set occupies it. The partition is the finest, a cell for each 64-bit hash: a shingle that only the
+partner has then never spoils a cell, so for sets of a and b shingles at most
+k = a - ceil(t (a + b) / (1 + t)) cells of the first differ, and subsets of one cell are selective.
+It is enough to enumerate a set's k + 1 first cells in a fixed order, for the largest k in the band:
+sets with i common cells have one among their first a - i + 1 and b - i + 1 under one total order.
+
+Any total order is right. Shingles that many texts share come last, which keeps groups small, and a
+common cell counts only where so few come before it that enough are left. Candidates are verified
+on the exact sets.
 """
 
 from __future__ import annotations
@@ -48,22 +49,19 @@ class Scheme:
     words: int = 5
     percent: int = 80
 
-    def differing(self, a: int, b: int) -> int:
-        return (a + b) * (100 - self.percent) // (100 + self.percent)
+    def common(self, a: int, b: int) -> int:
+        """The least size of the intersection of linked sets of ``a`` and ``b``."""
+        return -(-self.percent * (a + b) // (100 + self.percent))
 
-    def bands(self, n: int) -> list[tuple[int, int]]:
-        """(band, k) of a set of ``n``: sizes 2**band to 2**(band + 1), and the larger partners of these."""
-        band = n.bit_length() - 1
-        found = [(band, self.differing(n, n * 100 // self.percent))]
-        lower = 1 << band
-        if -(-n * self.percent // 100) < lower:
-            found.append((band - 1, self.differing(n, lower - 1)))
-        return found
+    def bands(self, n: int) -> tuple[int, int, int | None]:
+        """Band of a set of ``n`` (sizes 2**band to 2**(band + 1) - 1), k there, and k in the band below.
 
-    @staticmethod
-    def cell_bits(band: int) -> int:
-        """log2 of a band's cells: four to eight for each element, and many for the smallest sets."""
-        return 16 if band < 6 else min(band + 2, 60)
+        The latter is for smaller partners; it is null if all partners are in the set's own band or
+        in the next one, where they come down to it.
+        """
+        band, least = n.bit_length() - 1, -(-n * self.percent // 100)
+        own = n - self.common(n, max(least, 1 << band))
+        return band, own, n - self.common(n, least) if least < 1 << band else None
 
 
 class _Hashes(dict):
@@ -116,35 +114,18 @@ def set_id(elements: np.ndarray) -> int:
     return int(np.int64(xxhash.xxh3_64_intdigest(elements.tobytes()) - (1 << 63)))
 
 
-def signatures(
-    elements: np.ndarray, scheme: Scheme, hot: np.ndarray, count: np.ndarray
-) -> tuple[np.ndarray, np.ndarray, int]:
-    """The k + 1 first cells of a set in each of its bands, the MORE next ones, and a number ``need``.
-
-    Linked sets have at least the lesser of their ``need`` in common among both lists: if k + 1 + m
-    first cells are listed and p are occupied, min(1 + m, p - k) of them are. ``hot``: sorted common
-    shingles.
-    """
-    first, more, need = [], [], MORE + 1
+def first_cells(elements: np.ndarray, length: int, hot: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The ``length`` first cells of a set, in order. ``hot``: sorted common shingles."""
+    cells = _mix(elements)
     if len(hot):
         at = np.minimum(np.searchsorted(hot, elements), len(hot) - 1)
-        common = np.where(hot[at] == elements, count[at], 0)
-    else:
-        common = np.zeros(len(elements), np.int64)
-    mixed = _mix(elements)
-    for band, k in scheme.bands(len(elements)):
-        cell = elements >> np.uint64(64 - scheme.cell_bits(band))
-        starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-        if len(starts) <= k:
-            raise ValueError("a set occupies too few cells for its signatures to be complete")
-        salt = np.uint64((band + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-        signature = _mix(np.add.reduceat(mixed, starts) ^ salt)
-        rank = np.minimum.reduceat(common, starts)
-        in_order = signature[np.lexsort((signature, rank))] if rank.any() else np.sort(signature)
-        first.append(in_order[: k + 1])
-        more.append(in_order[k + 1 : k + 1 + MORE])
-        need = min(need, len(starts) - k)
-    return np.concatenate(first).view(np.int64), np.concatenate(more).view(np.int64), need
+        common = hot[at] == elements
+        if common.any():
+            rank = np.where(common, count[at], 0)
+            return cells[np.lexsort((cells, rank))[:length]]
+    if length < len(cells):
+        cells = np.partition(cells, length - 1)[:length]
+    return np.sort(cells)
 
 
 def _hashes() -> _Hashes:
@@ -190,68 +171,95 @@ def _common_shingles(docs: DataFrame, scheme: Scheme) -> tuple[np.ndarray, np.nd
 def _list_array(lists: list[np.ndarray | None]) -> pa.Array:
     """Null lists are empty."""
     offsets = np.concatenate(([0], np.cumsum([0 if x is None else len(x) for x in lists])))
-    flat = np.concatenate([np.zeros(0, np.int64), *[x for x in lists if x is not None]])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
+    flat = np.concatenate([np.zeros(0, np.uint64), *[x for x in lists if x is not None]])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64)))
 
 
 def _signed(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """Per row: id, digest, set_id, n (shingles); for the first of equal sets in a task its signatures."""
+    """Per row: id, digest, set_id, n (shingles). For the first of equal sets in a task also its band, k
+    there and below, and the first cells: MORE of them beyond the largest k + 1. Linked sets have at
+    least the lesser of their ``need`` in common among these.
+    """
     hot = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, scheme))
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         seen: set[int] = set()
         for b in batches:
             hashes, (values, counts) = _hashes(), hot.value
-            ids, sizes, need = [], [], []
-            lists: tuple[list, list] = ([], [])
+            names = ("set_id", "n", "band", "k", "k_low", "need", "cells")
+            out: dict[str, list] = {name: [] for name in names}
             for elements in shingles(b["text"], scheme.words, hashes):
-                own = set_id(elements)
-                ids.append(own)
-                sizes.append(len(elements))
-                if own in seen or not len(elements):
-                    found = (None, None, None)
-                else:
+                own, n = set_id(elements), len(elements)
+                row = (own, n, None, None, None, None, None)
+                if n and own not in seen:
                     seen.add(own)
-                    found = signatures(elements, scheme, values, counts)
-                for own_list, x in zip(lists, found, strict=False):
-                    own_list.append(x)
-                need.append(found[2])
+                    band, k, k_low = scheme.bands(n)
+                    most = max(k, k_low or 0)
+                    row = (own, n, band, k, k_low, min(MORE + 1, n - most), first_cells(elements, most + 1 + MORE, values, counts))
+                for name, value in zip(names, row, strict=True):
+                    out[name].append(value)
             if len(seen) > 1_000_000:
                 seen.clear()
-            yield {
-                "id": b["id"], "digest": b["digest"], "set_id": ids, "n": sizes, "need": need,
-                "signatures": _list_array(lists[0]), "more": _list_array(lists[1]),
-            }
+            yield {"id": b["id"], "digest": b["digest"], **out, "cells": _list_array(out["cells"])}
 
     keyed = docs.select(order_id().alias("id"), row_digest().alias("digest"), "text")
-    return in_batches(keyed, rows, "id long, digest long, set_id long, n long, need int, signatures array<long>, more array<long>")
+    return in_batches(
+        keyed, rows, "id long, digest long, set_id long, n long, band int, k int, k_low int, need int, cells array<long>"
+    )
 
 
 def _groups(signed: DataFrame, scheme: Scheme) -> DataFrame:
     """Groups of distinct sets with a common signature.
 
     ``sets`` and ``sizes`` of up to SMALL members (signature null), or single members of larger
-    groups and of those that may go on in another range partition, each with its signature.
+    groups and of those that may go on in another range partition, each with its signature and the
+    ``place`` of the cell in the member's order. Members of small groups whose place leaves too few
+    cells for any partner in the group are left out; so are pairs of too different sizes.
     """
-
     percent = scheme.percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["signature", "sets", "sizes"]
+        names = ["signature", "place", "sets", "sizes"]
 
-        def batch(signature: np.ndarray | None, offsets: np.ndarray, sets: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+        def batch(signature, place, offsets: np.ndarray, sets: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
             lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x)) for x in (sets, sizes)]
-            first = pa.nulls(len(offsets) - 1, pa.int64()) if signature is None else pa.array(signature)
-            return pa.RecordBatch.from_arrays([first, *lists], names=names)
-
-        held = [np.zeros(0, np.int64)] * 3
+            nulls = pa.nulls(len(offsets) - 1, pa.int64())
+            first = [nulls if x is None else pa.array(x.astype(np.int64)) for x in (signature, place)]
+            return pa.RecordBatch.from_arrays([*first, *lists], names=names)
+
+        def pruned(keep: np.ndarray, counts: np.ndarray, sid: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Groups of ``counts`` members (those of ``keep``) without members that have no partner."""
+            rows = np.repeat(keep, counts)
+            counts, sid, n, at = counts[keep], sid[rows], n[rows], at[rows]
+            for _ in range(2):
+                if not len(counts):
+                    return
+                starts = np.cumsum(counts) - counts
+                least = np.repeat(np.minimum.reduceat(n, starts), counts)
+                partner = np.maximum(-(-n * percent // 100), least)
+                fits = (at <= n + (-percent * (n + partner)) // (100 + percent)) & (partner * percent <= n * 100)
+                group = np.repeat(np.arange(len(counts)), counts)
+                left = np.bincount(group[fits], minlength=len(counts))
+                fits &= left[group] > 1
+                two = left == 2
+                if two.any():
+                    pair = two[group] & fits
+                    x = n[pair].reshape(-1, 2)
+                    close = x.min(axis=1) * 100 >= percent * x.max(axis=1)
+                    fits[pair] = np.repeat(close, 2)
+                counts = np.bincount(group[fits], minlength=len(counts))
+                counts, sid, n, at = counts[counts > 0], sid[fits], n[fits], at[fits]
+            if len(counts):
+                yield batch(None, None, np.concatenate(([0], np.cumsum(counts))), sid, n)
+
+        held = [np.zeros(0, np.int64)] * 4
         first = True  # the group at hand is the first of the partition, or known to be large
         for batch_ in batches:
-            sig, sid, n = (np.concatenate((h, c.to_numpy(zero_copy_only=False))) for h, c in zip(held, batch_.columns, strict=True))
+            sig, sid, n, at = (np.concatenate((h, c.to_numpy(zero_copy_only=False))) for h, c in zip(held, batch_.columns, strict=True))
             if not len(sig):
                 continue
             new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])))
-            sig, sid, n = sig[new], sid[new], n[new]
+            sig, sid, n, at = sig[new], sid[new], n[new], at[new]
             starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
             counts = np.diff(np.concatenate((starts, [len(sig)])))
             single = counts > SMALL
@@ -264,23 +272,23 @@ def _groups(signed: DataFrame, scheme: Scheme) -> DataFrame:
                 rows[last : len(sig) - 1] = True
                 last = len(sig) - 1
             if rows.any():
-                yield batch(sig[rows], np.arange(rows.sum() + 1), sid[rows], n[rows])
-            small = whole & ~single & (counts > 1)
-            two = np.flatnonzero(small & (counts == 2))
-            a, b = n[starts[two]], n[starts[two] + 1]
-            small[two] = np.minimum(a, b) * 100 >= percent * np.maximum(a, b)
-            if small.any():
-                keep = np.repeat(small, counts)
-                yield batch(None, np.concatenate(([0], np.cumsum(counts[small]))), sid[keep], n[keep])
-            held = [sig[last:], sid[last:], n[last:]]
+                yield batch(sig[rows], at[rows], np.arange(rows.sum() + 1), sid[rows], n[rows])
+            yield from pruned(whole & ~single & (counts > 1), counts, sid, n, at)
+            held = [sig[last:], sid[last:], n[last:], at[last:]]
             first = bool(single[-1])
         if len(held[0]):
-            yield batch(held[0], np.arange(len(held[0]) + 1), held[1], held[2])
-
-    members = signed.select(F.explode("signatures").alias("signature"), "set_id", "n")
+            yield batch(held[0], held[3], np.arange(len(held[0]) + 1), held[1], held[2])
+
+    bands = F.array(F.struct("band", "k"), F.struct((F.col("band") - 1).alias("band"), F.col("k_low").alias("k")))
+    members = (
+        signed.filter("band IS NOT NULL")
+        .select("set_id", "n", "cells", F.explode(F.filter(bands, lambda x: x["k"].isNotNull())).alias("b"))
+        .select("set_id", "n", "b.band", F.posexplode(F.slice("cells", F.lit(1), F.col("b.k") + 1)).alias("place", "cell"))
+        .select(F.xxhash64("cell", "band").alias("signature"), "set_id", "n", F.col("place").cast("long").alias("place"))
+    )
     by = ("signature", "set_id")
     return members.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(
-        run, "signature long, sets array<long>, sizes array<long>"
+        run, "signature long, place long, sets array<long>, sizes array<long>"
     )
 
 
@@ -387,16 +395,23 @@ def _roots(docs: DataFrame, signed: DataFrame, scheme: Scheme) -> DataFrame:
     """
     groups = stable(_groups(signed, scheme))
     small = stable(groups.filter("signature IS NULL").select("sets", "sizes").distinct())
-    large = groups.filter("signature IS NOT NULL").select("signature", F.col("sets")[0].alias("set_id"), F.col("sizes")[0].alias("n"))
+    large = groups.filter("signature IS NOT NULL").select(
+        "signature", F.col("sets")[0].alias("set_id"), F.col("sizes")[0].alias("n"), "place"
+    )
     # A group at the end of a range partition may have a single member after all.
-    real = large.groupBy("signature").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("other")).filter("hub < other")
-    large = stable(large.join(real.select("signature"), "signature").distinct())
+    real = large.groupBy("signature").agg(F.min("n").alias("least"), F.min("set_id").alias("x"), F.max("set_id").alias("y"))
+    partner = "greatest(ceil(n * {0} / 100), least)".format(scheme.percent)
+    large = stable(
+        large.join(real.filter("x < y").select("signature", "least"), "signature")
+        .filter(f"place <= n - ceil({scheme.percent} * (n + {partner}) / {100 + scheme.percent})")
+        .select("signature", "set_id", "n", "place").distinct()
+    )
     wanted = small.select(F.explode("sets").alias("set_id")).unionByName(large.select("set_id")).distinct()
     members = signed.join(wanted, "set_id", "left_semi")
     node = stable(members.groupBy("set_id").agg(F.min("id").alias("doc")))
     lists = stable(
         members.filter("need IS NOT NULL")
-        .select("set_id", "need", F.concat("signatures", "more").alias("cells"))
+        .select("set_id", "need", "cells")
         .dropDuplicates(["set_id"])
     )
     candidates = _Candidates(lists, _sets(docs, node, scheme), node, scheme)
@@ -432,6 +447,7 @@ def _roots(docs: DataFrame, signed: DataFrame, scheme: Scheme) -> DataFrame:
     )
     roots = components(roots.unionByName(candidates.linked(pairs)))
 
+    fewest = f"ceil({scheme.percent} * (n + hub_n) / {100 + scheme.percent})"
     # Larger groups, in rounds: members outside the group's largest component, a block at a time,
     # against all members of other components. They are done then; the largest one needs no more.
     while True:
@@ -444,18 +460,19 @@ def _roots(docs: DataFrame, signed: DataFrame, scheme: Scheme) -> DataFrame:
         order = Window.partitionBy("signature").orderBy("set_id")
         hubs = stable(
             open_groups.filter("root <> main").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= SMALL)
-            .select("signature", F.col("set_id").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"))
+            .select("signature", F.col("set_id").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"), F.col("place").alias("hub_place"))
         )
         pairs = (
             open_groups.join(hubs, "signature")
             .filter("root <> hub_root")
             .filter(_similar_sizes(scheme, "n", "hub_n"))
+            .filter(f"place <= n - {fewest} AND hub_place <= hub_n - {fewest}")
             .select(F.least("hub", "set_id").alias("a"), F.greatest("hub", "set_id").alias("b"))
             .distinct()
         )
         roots = components(roots.unionByName(candidates.linked(pairs)))
         done = hubs.select("signature", F.col("hub").alias("set_id"))
-        large = stable(open_groups.select("signature", "set_id", "n").join(done, ["signature", "set_id"], "left_anti"))
+        large = stable(open_groups.select("signature", "set_id", "n", "place").join(done, ["signature", "set_id"], "left_anti"))
 
 
 def jaccard_components(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:

@@ -204,8 +204,8 @@ def compliance_issues(spark, sf):
 
 @query
 def token_estimate(spark, sf):
-    rows = corpus.responses(spark, sf)
-    return rows.select("response_id", scoring.token_estimate(F.col("model"), F.col("output")).alias("tokens"))
+    rows = corpus.prompted(spark, sf)
+    return rows.select("response_id", scoring.token_estimate(F.col("prompt"), F.col("output")).alias("tokens"))
 
 
 @query

@@ -1,7 +1,8 @@
 """Response corpora derived from the generic test tables.
 
 The tables hold prose only, so each view wraps the whole text of its rows in one of several answer
-shapes. A view is a set of column expressions valid unchanged in Spark SQL and DuckDB; the
+shapes: in prose around a fence, as comment lines of code, or escaped in JSON. Only blank answers and
+error rows come without their text, since that is what they are. A view is a set of column expressions valid unchanged in Spark SQL and DuckDB; the
 ``*_SQL`` forms are used by the SQL counterparts. Ordinals within a group are the exception: Spark
 derives them block-wise, the SQL with a plain window.
 """
@@ -17,22 +18,30 @@ _MODEL = "case {0} % 3 when 0 then 'qwen2.5-coder' when 1 then 'llama3' else 'mi
 
 
 def _lines(*parts: str) -> str:
-    """SQL concatenation of code lines; ``@text`` stands for the row's whole text."""
-    return " || chr(10) || ".join("text" if p == "@text" else f"'{p}'" for p in parts)
+    """SQL concatenation of code lines; ``@text`` stands for the row's whole text, ``@comment`` for it as comments."""
+    return " || chr(10) || ".join({"@text": "text", "@comment": COMMENT}.get(p, f"'{p}'") for p in parts)
+
+
+#: The whole text as comment lines, and as the inside of a JSON string.
+COMMENT = "'# ' || replace(text, chr(10), chr(10) || '# ')"
+_ESCAPED = (
+    "replace(replace(replace(text, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)), chr(10), chr(92) || 'n')"
+)
 
 
 _DEF = "def generate_user_report(users):"
 _BODIES = {
     0: _lines("@text", "```python", _DEF, "    seen = set()", "    return str(len(seen))", "```", "Done."),
-    1: _lines("class Report:", "    def generate_user_report(self, users):", "        return self.users"),
-    2: _lines("```", "def generate_user_report(rows, x):", '    return {"a": 1}', "```"),
-    3: _lines("import datetime", "def other(users):", "    return [u for u in sorted(users)]"),
-    4: """'{"file_path": "template.py", "content": "def generate_user_report(users): return None"}'""",
+    1: _lines("class Report:", "    def generate_user_report(self, users):", "        return self.users", "@comment"),
+    2: _lines("```", "@comment", "def generate_user_report(rows, x):", '    return {"a": 1}', "```"),
+    3: _lines("import datetime", "@comment", "def other(users):", "    return [u for u in sorted(users)]"),
+    4: f"""'{{"file_path": "template.py", "content": "def generate_user_report(users): return None # ' || {_ESCAPED} || '"}}'""",
     5: "''",
-    6: _lines(_DEF, '    f = open("users.csv")', "    return dict(f=f)"),
+    6: _lines(_DEF, "@comment", '    f = open("users.csv")', "    return dict(f=f)"),
     7: """text || ' {"file_path": "t.py", "content": "x = 1"} thanks'""",
     8: _lines(
         "```",
+        "@comment",
         _DEF,
         "    if not isinstance(users, list): users = []",
         "    active = [u for u in users if u]",
@@ -40,16 +49,17 @@ _BODIES = {
         '    return f"{len(active)} {len(inactive)}"',
         "```",
     ),
-    9: _lines("# class Foo is banned", _DEF, '    return ""  # class Bar'),
+    9: _lines("# class Foo is banned", _DEF, '    return ""  # class Bar', "@comment"),
     10: _lines("   ", " "),
     11: _lines("```", "", "```"),
     12: _lines("```python", "a = 1", "```", "@text", "```python", "b = 2", "```"),
-    13: _lines("from collections import deque", _DEF, "    return (1, 2)"),
-    14: "'def generate_user_report(users'",
-    15: "'[1, 2]'",
-    16: _lines("import numpy", "def generate_user_report(users, extra):", "    return numpy.array(users)"),
+    13: _lines("from collections import deque", "@comment", _DEF, "    return (1, 2)"),
+    14: _lines("@comment", "def generate_user_report(users"),
+    15: f"""'[1, 2, "' || {_ESCAPED} || '"]'""",
+    16: _lines("import numpy", "@comment", "def generate_user_report(users, extra):", "    return numpy.array(users)"),
     17: _lines(
         _DEF,
+        "@comment",
         '    if not isinstance(users, list): return "bad"',
         "    seen = set()",
         "    active, inactive = [], []",
@@ -70,12 +80,17 @@ RESPONSES = [
     "cast(n_chars as double) / 4 as latency_ms",
     f"{_DOC_ERROR} as error",
 ]
+#: Responses with the prompt each was made for.
+PROMPTED = [*RESPONSES, "'Fix the ' || source || ' report.' || chr(10) || text as prompt"]
 
+# The text stands inside the fence, as comment lines that carry the turn: no two attempts share one.
+_TURN_MARK = "'# ' || cast(turn as string) || ': '"
 _ATTEMPT_OUTPUT = (
     "case when (run_id + iteration) % 4 = 0 then '' else "
     + _lines("```python", _DEF)
-    + " || chr(10) || '    x = ' || cast(turn as string) || chr(10) || "
-    + _lines("    return str(x)", "```", "@text")
+    + f" || chr(10) || '    x = ' || cast(turn as string) || chr(10) || {_TURN_MARK} || "
+    + f"replace(text, chr(10), chr(10) || {_TURN_MARK}) || chr(10) || "
+    + _lines("    return str(x)", "```")
     + " end"
 )
 _TURNS = [
@@ -157,7 +172,6 @@ TENANT_INPUTS = [
 ]
 
 # Programs: code of known validity, with the whole text carried as comment lines.
-_COMMENT = "'# ' || replace(text, chr(10), chr(10) || '# ')"
 _CODES = {
     0: _lines(_DEF, "    return str(users)"),
     1: _lines("import numpy as np", "import os.path, json", _DEF, "    return np.array(users)"),
@@ -172,7 +186,7 @@ PROGRAMS = [
     f"{_MODEL.format('doc_id')} as model",
     "cast(doc_id % 8 as int) as variant",
     "case doc_id % 8 "
-    + " ".join(f"when {k} then {v} || chr(10) || {_COMMENT}" for k, v in _CODES.items())
+    + " ".join(f"when {k} then {v} || chr(10) || {COMMENT}" for k, v in _CODES.items())
     + " end as content",
 ]
 
@@ -230,6 +244,7 @@ def _select(columns: list[str], source: str) -> str:
 
 _STAGE_VALUES = (("syntax", 1), ("imports", 2), ("tests", 3))
 RESPONSES_SQL = _select(RESPONSES, "documents")
+PROMPTED_SQL = _select(PROMPTED, "documents")
 TURNS_SQL = _select(_TURNS, "conversations where role = 'assistant'")
 ATTEMPTS_SQL = _select(
     ATTEMPTS,
@@ -275,6 +290,10 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr(*RESPONSES)
 
 
+def prompted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").selectExpr(*PROMPTED)
+
+
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").filter("role = 'assistant'").selectExpr(*_TURNS)
     return ordinal(turns, "run_id", "turn", "iteration").selectExpr(*ATTEMPTS)

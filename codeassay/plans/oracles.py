@@ -209,9 +209,9 @@ ORACLES["compliance_issues"] = with_views(
     QUICK, "select response_id, array_to_string(issues, '|') as compliance_issues from quick"
 )
 ORACLES["token_estimate"] = with_views(
-    RESPONSES,
-    """select response_id, cast((coalesce(length(model), 0) + coalesce(length(output), 0)) // 4 as int) as tokens
-    from responses""",
+    {"prompted": corpus.PROMPTED_SQL},
+    """select response_id, cast((coalesce(length(prompt), 0) + coalesce(length(output), 0)) // 4 as int) as tokens
+    from prompted""",
 )
 
 # ---------------------------------------------------------------------------
@@ -380,19 +380,22 @@ ORACLES["patch_size"] = with_views(
 )
 # Known line diffs. Template against an answer: one shared line, then two lines replaced by two.
 # Two answers differ in their second line, or not at all.
+# Between the shared first line and, after the first write, the shared last one nothing is common.
 _DIFFS = {
     **WRITTEN,
-    "diffs": """select run_id, iteration, case when new_content is null or new_content = before then 0
-      when old_content is null then 2 else 1 end as blocks from patched""",
+    "blocks": """select run_id, iteration, new_content is not null and new_content <> before as changed, old_content is null as fresh,
+      len(string_split(new_content, chr(10))) as n_new, len(string_split(old_content, chr(10))) as n_old from patched""",
+    "diffs": """select run_id, iteration, case when not changed then 0 when fresh then n_new - 1 else n_new - 2 end as added,
+      case when not changed then 0 when fresh then 2 else n_old - 2 end as deleted,
+      case when not changed then 0 when fresh then 4 else 5 end as around from blocks""",
 }
 ORACLES["lines_changed"] = with_views(
-    _DIFFS, "select run_id, iteration, cast(blocks as int) as lines_changed from diffs"
+    _DIFFS, "select run_id, iteration, cast(greatest(added, deleted) as int) as lines_changed from diffs"
 )
 ORACLES["diff_summary"] = with_views(
     _DIFFS,
-    """select run_id, iteration, cast(blocks as int) as lines_added, cast(blocks as int) as lines_deleted,
-    cast(2 * blocks as int) as lines_touched,
-    cast(case blocks when 0 then 0 when 1 then 2 + 1 + 2 + 2 else 2 + 1 + 1 + 4 end as int) as diff_lines from diffs""",
+    """select run_id, iteration, cast(added as int) as lines_added, cast(deleted as int) as lines_deleted,
+    cast(added + deleted as int) as lines_touched, cast(added + deleted + around as int) as diff_lines from diffs""",
 )
 
 REPORTS = {

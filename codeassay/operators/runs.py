@@ -173,10 +173,12 @@ def prompts(attempts: DataFrame, task_specs: DataFrame) -> DataFrame:
 
     ``task_specs``: task_id, name, objective, constraints, rules, expected_behavior,
     template_text, reference_text. From the second iteration on the reference solution is shown.
+    An attempt whose task has no specification stays, with a null prompt and status "no_task".
     """
     # the task's long texts join last, so they never pass through the carry-forward shuffles
     carried = carried_content(attempts, F.lit(None).cast("string"))
-    current = lookup_join(carried, task_specs, "task_id", "inner", spread=KEY, census=attempts.select("task_id"))
+    known = task_specs.withColumn("_known", F.lit(True))
+    current = lookup_join(carried, known, "task_id", "left", spread=KEY, census=attempts.select("task_id"))
     shows_reference = (F.col("iteration") > 1) & (text_of("reference_text") != "")
     reference = F.when(
         shows_reference,
@@ -212,7 +214,14 @@ def prompts(attempts: DataFrame, task_specs: DataFrame) -> DataFrame:
         F.lit("4. Ensure the code is syntactically correct and passes all requirements."),
         F.lit(""),
     ]
-    return current.select(*KEY, "task_id", "model", F.concat_ws("\n", *lines).alias("prompt"))
+    known = F.col("_known").isNotNull()
+    return current.select(
+        *KEY,
+        "task_id",
+        "model",
+        F.when(known, F.concat_ws("\n", *lines)).alias("prompt"),
+        F.when(known, "ok").otherwise("no_task").alias("status"),
+    )
 
 
 def recent_runs(runs: DataFrame, limit: int | None = 10, by: str | None = None) -> DataFrame:

@@ -125,11 +125,14 @@ def rank_in_groups(df: DataFrame, groups: list[str], order: list[Column | str],
 
 def _row_bytes(df: DataFrame) -> Column:
     def size(field: T.StructField) -> Column:
-        if isinstance(field.dataType, T.StringType):
-            return F.coalesce(F.octet_length(field.name), F.lit(0))
-        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            return F.coalesce(F.octet_length(F.to_json(field.name)), F.lit(0))
-        return F.lit(8)
+        kind, column = field.dataType, F.col(f"`{field.name}`")
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(column), F.lit(0))
+        if isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+            return F.coalesce(F.octet_length(F.to_json(column)), F.lit(0))
+        if isinstance(kind, (T.NumericType, T.BooleanType, T.DatetimeType, T.NullType, T.AnsiIntervalType)):
+            return F.lit(16)
+        raise TypeError(f"the size of {kind.simpleString()} columns is not known")
 
     return reduce(lambda a, b: a + b, [size(f) + F.lit(8) for f in df.schema.fields])
 

@@ -34,6 +34,19 @@ def _extracted(spark: SparkSession, sf: str) -> DataFrame:
     return extract.extract(corpus.responses(spark, sf))
 
 
+def _shown_summary(summary: DataFrame) -> DataFrame:
+    modes = F.transform(
+        F.map_entries("failure_modes"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))
+    )
+    return summary.select(
+        "total_runs",
+        "compliant_rate",
+        joined("registered_models").alias("registered_models"),
+        "mean_score",
+        joined(F.array_sort(modes)).alias("failure_modes"),
+    )
+
+
 def _answers(spark: SparkSession, sf: str) -> DataFrame:
     """Responses with content; null where extraction failed."""
     return _extracted(spark, sf).withColumn("content", F.when(F.col("success"), F.col("content")))
@@ -120,6 +133,15 @@ def batch_results_roundtrip(spark, sf):
     return back.select("batch_id", "response_id", "run", "model", "score", joined("failure_modes").alias("failure_modes"))
 
 
+@query
+def batch_summary_roundtrip(spark, sf):
+    path = scratch_path(spark, "batch")
+    rows = corpus.responses(spark, sf)
+    results.write_batch_results(rows, path, "b1")
+    schema = batch.batch_summary(rows).select(F.lit("b1").alias("batch_id"), "*").schema
+    return _shown_summary(results.read_batch_summary(spark, path, "b1", schema))
+
+
 @query
 def content_fingerprint(spark, sf):
     docs = corpus.table(spark, sf, "documents")
@@ -330,7 +352,9 @@ def leaderboard(spark, sf):
 def prompt_assembly(spark, sf):
     own_task = F.concat(F.lit("task_"), F.col("run_id").cast("string"))
     base = corpus.attempts(spark, sf).withColumn("task_id", own_task)
-    return runs.prompts(base, corpus.prompt_tasks(spark, sf)).select("run_id", "iteration", "prompt")
+    return runs.prompts(base, corpus.prompt_tasks(spark, sf)).select(
+        "run_id", "iteration", "prompt", "status"
+    )
 
 
 @query
@@ -382,16 +406,7 @@ def failure_mode_distribution(spark, sf):
 @query
 def batch_summary(spark, sf):
     summary = batch.batch_summary(corpus.responses(spark, sf))
-    modes = F.transform(
-        F.map_entries("failure_modes"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))
-    )
-    return summary.select(
-        "total_runs",
-        "compliant_rate",
-        joined("registered_models").alias("registered_models"),
-        "mean_score",
-        joined(F.array_sort(modes)).alias("failure_modes"),
-    )
+    return _shown_summary(summary)
 
 
 @query

@@ -439,12 +439,12 @@ ORACLES["run_duration"] = with_views(
 )
 ORACLES["attempt_explode"] = with_views(
     REPORTS,
-    """select e.run_id, e.task_id, e.model, e.iteration, e.success, p.stage_ord, p.stage, p.passed, p.error_type
+    """select cast(e.run_id as varchar) as run_id, e.task_id, e.model, e.iteration, e.success, p.stage_ord, p.stage, p.passed, p.error_type
     from executed e join present p on p.run_id = e.run_id and p.iteration = e.iteration""",
 )
 ORACLES["run_results_roundtrip"] = with_views(
     REPORTS,
-    """select run_id, task_id, model, cast(max(iteration) as int) as attempts, arg_max(success, iteration) as task_success,
+    """select cast(run_id as varchar) as run_id, task_id, model, cast(max(iteration) as int) as attempts, arg_max(success, iteration) as task_success,
     cast(arg_max(n_stages, iteration) as int) as last_stages from executed group by run_id, task_id, model""",
 )
 OUTCOMES = {
@@ -525,8 +525,9 @@ _PROMPT = " || ".join(
 )
 ORACLES["prompt_assembly"] = with_views(
     {**WRITTEN, "tasks": corpus.PROMPT_TASKS_SQL},
-    f"""select run_id, iteration, {_PROMPT} as prompt
-    from patched p join tasks t on t.task_id = 'task_' || cast(p.run_id as varchar)""",
+    f"""select run_id, iteration, case when t.task_id is not null then {_PROMPT} end as prompt,
+    case when t.task_id is null then 'no_task' else 'ok' end as status
+    from patched p left join tasks t on t.task_id = 'task_' || cast(p.run_id as varchar)""",
 )
 ORACLES["recent_runs"] = """select run_id from (select distinct conv_id as run_id from conversations where role = 'assistant') r
   order by cast(run_id as varchar) desc limit 10"""
@@ -652,3 +653,5 @@ ORACLES["job_latest_status"] = with_views(
     count(*) over (partition by job_id) as transitions from job_events) e where rn = 1""",
 )
 ORACLES["stream_job_status"] = ORACLES["job_latest_status"]
+
+ORACLES["batch_summary_roundtrip"] = ORACLES["batch_summary"]

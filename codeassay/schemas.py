@@ -123,7 +123,7 @@ ATTEMPT = T.StructType(
 )
 RUN_RESULT = T.StructType(
     [
-        T.StructField("run_id", T.LongType()),
+        T.StructField("run_id", T.StringType()),
         T.StructField("task_id", T.StringType()),
         T.StructField("model", T.StringType()),
         T.StructField("execution_attempts", T.ArrayType(ATTEMPT)),

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from codeassay.functions.text import text_of
 from codeassay.operators.batch import batch_summary, scored_batch
 from codeassay.schemas import RUN_RESULT
+from codeassay.session import stable
 
 
 def assemble_runs(attempts: DataFrame) -> DataFrame:
     """Nested run results from executed attempts with stage reports.
 
-    A run has at most ``max_iterations`` executed attempts, which bounds the collected array.
+    A run has at most ``max_iterations`` executed attempts, which bounds the collected array. Run
+    ids are text in the record, whatever they are in ``attempts``.
     """
     attempt = F.struct("iteration", "duration_seconds", "success", "error_type", "stages")
-    return attempts.groupBy("run_id", "task_id", "model").agg(
+    return attempts.groupBy(F.col("run_id").cast("string").alias("run_id"), "task_id", "model").agg(
         F.array_sort(F.collect_list(attempt)).alias("execution_attempts")
     )
 
@@ -23,18 +25,22 @@ def assemble_runs(attempts: DataFrame) -> DataFrame:
 def write_run_results(runs: DataFrame, path: str, mode: str = "append") -> None:
     """Write nested run results as JSON, and each run's last report beside them.
 
-    Rows stay where they are: files are split by task and model without a shuffle.
+    The runs are computed once; the reports come from the files just written to the shared folder.
+    Rows are gathered by task and model, in pieces that adaptive execution splits where a task
+    has many runs, so there are few files for each of them.
     """
+    runs = stable(runs)
     last = F.element_at("execution_attempts", -1)
     reports = runs.select("run_id", "task_id", "model", last.alias("last_attempt"))
-    runs.write.mode(mode).partitionBy("task_id", "model").json(f"{path}/results")
-    reports.write.mode(mode).partitionBy("task_id", "model").parquet(f"{path}/reports")
+    by = ("task_id", "model")
+    runs.hint("rebalance", *by).write.mode(mode).partitionBy(*by).json(f"{path}/results")
+    reports.hint("rebalance", *by).write.mode(mode).partitionBy(*by).parquet(f"{path}/reports")
 
 
-def read_run_results(spark: SparkSession, path: str, run_id: int | None = None) -> DataFrame:
-    """Nested run results; a run that does not exist gives no rows."""
-    runs = spark.read.schema(RUN_RESULT).json(f"{path}/results")
-    return runs if run_id is None else runs.filter(F.col("run_id") == run_id)
+def read_run_results(spark: SparkSession, path: str, run_id: str | int | None = None) -> DataFrame:
+    """Nested run results; a run that does not exist gives no rows, a broken record is an error."""
+    runs = spark.read.schema(RUN_RESULT).option("mode", "FAILFAST").json(f"{path}/results")
+    return runs if run_id is None else runs.filter(F.col("run_id") == str(run_id))
 
 
 def explode_attempts(runs: DataFrame) -> DataFrame:
@@ -67,6 +73,11 @@ def read_batch_runs(spark: SparkSession, path: str, batch_id: str) -> DataFrame:
     return spark.read.parquet(f"{path}/batch_id={batch_id}/runs")
 
 
+def read_batch_summary(spark: SparkSession, path: str, batch_id: str, schema: T.StructType) -> DataFrame:
+    """The summary row as written; ``schema`` is that of ``batch_summary`` with the batch id first."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(f"{path}/batch_id={batch_id}/summary")
+
+
 def fingerprint(text: Column | str) -> Column:
     """SHA-256 of UTF-8 text."""
     return F.sha2(text_of(text), 256)

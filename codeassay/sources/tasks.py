@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from codeassay.functions.text import settle
@@ -116,17 +119,35 @@ def _folder_of(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -2)
 
 
-def read_task_specs(spark: SparkSession, tasks_dir: str) -> DataFrame:
-    """Read every ``<tasks_dir>/<task>/spec.json``."""
-    files = spark.read.text(f"{tasks_dir.rstrip('/')}/*/spec.json", wholetext=True)
+def read_task_specs(spark: SparkSession, tasks_dir: str, folders: str = "*") -> DataFrame:
+    """Read every ``<tasks_dir>/<task>/spec.json``; ``folders`` is a pattern for the task."""
+    files = spark.read.text(f"{tasks_dir.rstrip('/')}/{folders}/spec.json", wholetext=True)
+    # The path of a file is percent-encoded, in which a plus sign stands for itself.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return parse_task_specs(
-        files.select(_folder_of(F.col("_metadata.file_path")).alias("folder"), F.col("value").alias("spec_text"))
+        files.select(_folder_of(path).alias("folder"), F.col("value").alias("spec_text"))
     )
 
 
 def load_task(spark: SparkSession, tasks_dir: str, task_id: str) -> DataFrame:
-    """The spec of one task; empty when it is absent or rejected."""
-    return read_task_specs(spark, tasks_dir).filter((F.col("folder") == task_id) & (F.col("status") == "valid"))
+    """The spec of one task; empty when it is absent or rejected.
+
+    Only that task's folder is listed. Its name is matched literally, whatever it holds.
+    """
+    literal = re.sub(r"([\\*?\[\]{}])", r"\\\1", task_id)
+    try:
+        specs = read_task_specs(spark, tasks_dir, literal)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return parse_task_specs(spark.createDataFrame([], "folder string, spec_text string"))
+    return specs.filter((F.col("folder") == task_id) & (F.col("status") == "valid"))
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path as file sources report it, with scheme and without a slash at the end."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString().rstrip("/")
 
 
 def list_task_files(spark: SparkSession, tasks_dir: str) -> DataFrame:
@@ -134,10 +155,9 @@ def list_task_files(spark: SparkSession, tasks_dir: str) -> DataFrame:
 
     A file below a subfolder counts as that subfolder, so ``tests`` exists when it holds a file.
     """
-    root = tasks_dir.rstrip("/")
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    name = root.rsplit("/", 1)[-1]
-    inside = F.split(F.substring_index(F.col("path"), f"/{name}/", -1), "/")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(tasks_dir).select("path")
+    below = F.col("path").substr(F.lit(len(_qualified(spark, tasks_dir)) + 2), F.length("path"))
+    inside = F.split(below, "/")
     return (
         listed.filter(F.size(inside) >= 2)
         .select(inside[0].alias("task"), inside[1].alias("file"))

@@ -34,8 +34,19 @@ def stable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
     Later stages see the same rows after any loss, and each reads only the columns it needs.
+    ``discard`` removes the table when nothing reads it any more.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._stable_path = path
+    return written
+
+
+def discard(*written: DataFrame) -> None:
+    """Remove the tables that ``stable`` wrote for these frames; nothing may read them any more."""
+    for df in written:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._stable_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

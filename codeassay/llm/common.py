@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
-from codeassay.session import stable
+from codeassay.session import discard, stable
 
-__all__ = ["ASCII_LOWER", "by_text", "fresh", "in_batches", "order_id", "ranges", "remainder", "row_digest", "shared", "stable", "struct_of", "table", "worker_cache"]
+__all__ = ["ASCII_LOWER", "by_text", "discard", "fresh", "in_batches", "order_id", "ranges", "remainder", "row_digest", "shared", "stable", "struct_of", "table", "worker_cache"]
 
 #: Arguments of ``translate`` that lower-case A-Z and nothing else.
 ASCII_LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeassay.llm.common import stable
+from codeassay.llm.common import discard, stable
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -32,7 +32,8 @@ def components(links: DataFrame) -> DataFrame:
             F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
             .alias("e")
         )
-        edges = stable(small.select("e.*").filter("a <> b").distinct())
+        last, edges = edges, stable(small.select("e.*").filter("a <> b").distinct())
+        discard(last)
         now = _signature(edges)
         if now == before:
             break

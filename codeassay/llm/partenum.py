@@ -25,17 +25,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codeassay.llm.common import NULL_ID, fresh, in_batches, order_id, row_digest, stable, table, worker_cache
+from codeassay.llm.common import NULL_ID, discard, fresh, in_batches, order_id, row_digest, stable, table, worker_cache
 from codeassay.llm.components import components
 
 #: Words whose hashes a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Members of a group of equal signatures that are handled as one row; larger groups go by rounds.
 SMALL = 64
 #: Cells that are listed beyond the signatures, to rule out pairs before their sets are fetched.
 MORE = 32
 #: Shingles in a chunk of a task that is searched for common ones, and how often they occur in it.
-CHUNK, COMMON = 1 << 21, 3
+CHUNK, COMMON = 1 << 20, 3
 #: Entries of the list of common shingles, the most common ones. The result doesn't depend on it.
 HOT_LIST = 1 << 16
 #: Bits of the filter for texts that have candidates.
@@ -333,6 +333,27 @@ def _sets(docs: DataFrame, holders: DataFrame, scheme: Scheme) -> DataFrame:
     return stable(in_batches(keyed, cut, "set_id long, elements binary"))
 
 
+def _near(pairs: DataFrame, lists: DataFrame, scheme: Scheme) -> DataFrame:
+    """The distinct pairs (a, b) of set ids that their lists of first cells don't rule out.
+
+    Cells before the last common one that are not common belong to one set only: if the other had
+    them, they would be in its list as well, before that cell. There may be so many of them as
+    linked sets of these sizes can differ by. And ``need`` cells are common at least.
+    """
+    one, two = (
+        lists.select(F.col("set_id").alias(x), F.col("n").alias(f"n{x}"), F.col("need").alias(f"need{x}"), F.col("cells").alias(f"c{x}")) for x in "ab"
+    )
+    fewest = f"ceil({scheme.percent} * (na + nb) / {100 + scheme.percent})"
+    return stable(
+        pairs.distinct().join(one, "a").join(two, "b")
+        .withColumn("both", F.array_intersect("ca", "cb"))
+        .filter("size(both) >= least(needa, needb)")
+        .withColumn("last", F.element_at("both", -1))
+        .filter(f"array_position(ca, last) - size(both) <= na - {fewest} AND array_position(cb, last) - size(both) <= nb - {fewest}")
+        .select("a", "b")
+    )
+
+
 @dataclass(frozen=True)
 class _Candidates:
     """What pairs are verified on: lists of cells, sets, and the least document that holds a set."""
@@ -343,14 +364,11 @@ class _Candidates:
     scheme: Scheme
 
     def linked(self, pairs: DataFrame) -> DataFrame:
+        return self.verified(_near(pairs, self.lists, self.scheme))
+
+    def verified(self, near: DataFrame) -> DataFrame:
         """(a, b) of documents for the pairs (a, b) of set ids that are linked."""
         percent = self.scheme.percent
-        one, two = (self.lists.select(F.col("set_id").alias(x), F.col("need").alias(f"n{x}"), F.col("cells").alias(f"c{x}")) for x in "ab")
-        near = stable(
-            pairs.join(one, "a").join(two, "b")
-            .filter(F.size(F.array_intersect("ca", "cb")) >= F.least("na", "nb"))
-            .select("a", "b").distinct()
-        )
         ids = near.select(F.explode(F.array("a", "b")).alias("key"))
         shared_mask = near.sparkSession.sparkContext.broadcast(_mask(ids))
 
@@ -389,7 +407,8 @@ def _similar_sizes(scheme: Scheme, a: str, b: str) -> str:
 def _roots(docs: DataFrame, signed: DataFrame, scheme: Scheme) -> DataFrame:
     """(a, b) for documents that hold distinct sets: b is the least document of a's component.
 
-    First each group's members are compared with its first one. A group whose members are then in
+    First each group's members are compared with one of them, in larger groups the one with the fewest
+    cells before the common one: it is the nearest to what the members share. A group whose members are then in
     one component is done. In the others every pair across components is compared: at once in small
     groups, block by block in the larger ones.
     """
@@ -398,7 +417,7 @@ def _roots(docs: DataFrame, signed: DataFrame, scheme: Scheme) -> DataFrame:
     large = groups.filter("signature IS NOT NULL").select(
         "signature", F.col("sets")[0].alias("set_id"), F.col("sizes")[0].alias("n"), "place"
     )
-    # A group at the end of a range partition may have a single member after all.
+    # (A group at the end of a range partition may have a single member after all.)
     real = large.groupBy("signature").agg(F.min("n").alias("least"), F.min("set_id").alias("x"), F.max("set_id").alias("y"))
     partner = "greatest(ceil(n * {0} / 100), least)".format(scheme.percent)
     large = stable(
@@ -406,20 +425,29 @@ def _roots(docs: DataFrame, signed: DataFrame, scheme: Scheme) -> DataFrame:
         .filter(f"place <= n - ceil({scheme.percent} * (n + {partner}) / {100 + scheme.percent})")
         .select("signature", "set_id", "n", "place").distinct()
     )
-    wanted = small.select(F.explode("sets").alias("set_id")).unionByName(large.select("set_id")).distinct()
-    members = signed.join(wanted, "set_id", "left_semi")
-    node = stable(members.groupBy("set_id").agg(F.min("id").alias("doc")))
+    discard(groups)
+    in_small = small.select(F.explode("sets").alias("set_id"))
+    wanted = stable(in_small.unionByName(large.select("set_id")).distinct())
     lists = stable(
-        members.filter("need IS NOT NULL")
-        .select("set_id", "need", "cells")
-        .dropDuplicates(["set_id"])
-    )
-    candidates = _Candidates(lists, _sets(docs, node, scheme), node, scheme)
-
+        signed.filter("need IS NOT NULL").join(wanted, "set_id", "left_semi")
+        .select("set_id", "n", "need", "cells").dropDuplicates(["set_id"])
+    )
     first = small.select(
         F.col("sets")[0].alias("a"), F.col("sizes")[0].alias("na"), F.explode(F.slice(F.arrays_zip("sets", "sizes"), 2, SMALL)).alias("o")
     ).select("a", "na", F.col("o.sets").alias("b"), F.col("o.sizes").alias("nb"))
-    roots = components(candidates.linked(first.filter(_similar_sizes(scheme, "na", "nb")).select("a", "b").distinct()))
+    hub = large.groupBy("signature").agg(F.min(F.struct("place", "set_id", "n")).alias("hub"))
+    hubs = large.join(hub, "signature").filter("set_id <> hub.set_id")
+    stars = first.unionByName(hubs.select(F.col("hub.set_id").alias("a"), F.col("hub.n").alias("na"), F.col("set_id").alias("b"), F.col("n").alias("nb")))
+    near = _near(stars.filter(_similar_sizes(scheme, "na", "nb")).select("a", "b"), lists, scheme)
+    # Sets that may be compared: those of pairs that are left, and of groups that have further pairs.
+    further = small.filter(F.size("sets") > 2).select(F.explode("sets").alias("set_id")).unionByName(large.select("set_id"))
+    used = near.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(further).distinct()
+    node = stable(
+        signed.select("id", "set_id").join(used, "set_id", "left_semi").groupBy("set_id").agg(F.min("id").alias("doc"))
+    )
+    candidates = _Candidates(lists, _sets(docs, node, scheme), node, scheme)
+    roots = components(candidates.verified(near))
+    discard(near, wanted)
 
     def labelled(members: DataFrame) -> DataFrame:
         with_doc = members.join(node, "set_id")
@@ -445,7 +473,8 @@ def _roots(docs: DataFrame, signed: DataFrame, scheme: Scheme) -> DataFrame:
         .select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))
         .distinct()
     )
-    roots = components(roots.unionByName(candidates.linked(pairs)))
+    starred, roots = roots, components(roots.unionByName(candidates.linked(pairs)))
+    discard(starred, small)
 
     fewest = f"ceil({scheme.percent} * (n + hub_n) / {100 + scheme.percent})"
     # Larger groups, in rounds: members outside the group's largest component, a block at a time,
@@ -456,6 +485,7 @@ def _roots(docs: DataFrame, signed: DataFrame, scheme: Scheme) -> DataFrame:
         main = counted.groupBy("signature").agg(F.max(F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
         open_groups = stable(left.join(main.filter("roots > 1").select("signature", F.col("main.root").alias("main")), "signature"))
         if open_groups.isEmpty():
+            discard(lists, candidates.sets, node, large, open_groups)
             return roots
         order = Window.partitionBy("signature").orderBy("set_id")
         hubs = stable(
@@ -470,9 +500,11 @@ def _roots(docs: DataFrame, signed: DataFrame, scheme: Scheme) -> DataFrame:
             .select(F.least("hub", "set_id").alias("a"), F.greatest("hub", "set_id").alias("b"))
             .distinct()
         )
-        roots = components(roots.unionByName(candidates.linked(pairs)))
+        found = components(roots.unionByName(candidates.linked(pairs)))
         done = hubs.select("signature", F.col("hub").alias("set_id"))
-        large = stable(open_groups.select("signature", "set_id", "n", "place").join(done, ["signature", "set_id"], "left_anti"))
+        rest = stable(open_groups.select("signature", "set_id", "n", "place").join(done, ["signature", "set_id"], "left_anti"))
+        discard(roots, large, open_groups, hubs)
+        roots, large = found, rest
 
 
 def jaccard_components(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
@@ -484,7 +516,8 @@ def jaccard_components(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     """
     signed = stable(_signed(docs, scheme))
     roots = _roots(docs, signed, scheme).select(F.col("a").alias("doc"), "b")
-    rows = signed.select("id", "digest", "set_id", F.col("n").alias("n_shingles"))
+    rows = stable(signed.select("id", "digest", "set_id", F.col("n").alias("n_shingles")))
+    discard(signed)
     classes = (
         rows.filter("n_shingles > 0")
         .groupBy("set_id")

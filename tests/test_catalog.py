@@ -8,9 +8,10 @@ import pytest
 
 import __spark_entry__ as contract
 from check_sql import kinds, rows
+from codeassay.plans.catalog import QUERIES
+from codeassay.plans.oracles import ORACLES
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -23,6 +24,7 @@ def tables():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert QUERIES.items() <= contract.queries().items() and ORACLES.items() <= contract.oracle_sql().items()
 
 
 @pytest.mark.parametrize("name", list(QUERIES))

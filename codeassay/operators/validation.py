@@ -132,9 +132,51 @@ def regressions(outcomes: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
+def stage_results(programs: DataFrame, verdicts: DataFrame, allowed: Iterable[str]) -> DataFrame:
+    """The three stages of each attempt: run_id, iteration, stage, passed, error_type, error_message.
+
+    ``programs``: run_id, iteration, content; ``verdicts``: run_id, iteration, passed, error_type,
+    error_message of its tests. Code is parsed once for both audits, and its text stays where it is
+    scanned: only verdicts are joined. An attempt without a test verdict has no tests and fails that
+    stage. Stages behind a failure are listed as they would be; ``validation_reports`` cuts them off.
+    """
+    audited = syntax_audit(programs.select("run_id", "iteration", "content"))
+    names = sorted(set(allowed))
+    missing = F.filter(F.coalesce("import_roots", F.array().cast("array<string>")), lambda m: ~m.isin(names))
+    slim = settle(audited, {"missing": missing}).drop("content", "import_roots")
+    tested = verdicts.select(
+        "run_id", "iteration", F.col("passed").alias("_p"), F.col("error_type").alias("_e"), F.col("error_message").alias("_m")
+    )
+    first = F.try_element_at(F.col("missing"), F.lit(1))
+    none = F.lit(None).cast("string")
+
+    def row(stage: str, passed: Column, error: Column, message: Column) -> Column:
+        return F.struct(
+            F.lit(stage).alias("stage"),
+            passed.alias("passed"),
+            F.when(~passed, error).otherwise(none).alias("error_type"),
+            F.when(~passed, message).otherwise(F.lit("")).alias("error_message"),
+        )
+
+    untested = _decode(F.lit(None).cast("int"))
+    stages = F.array(
+        row("syntax", F.col("syntax_passed"), F.col("error_type"), F.col("error_message")),
+        row("imports", F.size("missing") == 0, F.lit("import_error"), F.concat(F.lit("Missing module: "), first)),
+        row(
+            "tests",
+            F.coalesce(F.col("_p"), F.lit(False)),
+            F.coalesce("_e", untested["error_type"]),
+            F.coalesce("_m", untested["error_message"]),
+        ),
+    )
+    return slim.join(tested, ["run_id", "iteration"], "left").select("run_id", "iteration", F.inline(stages))
+
+
 def validation_reports(stage_results: DataFrame) -> DataFrame:
     """First-failure report per attempt: stages up to and including the first failure.
 
+    With an ``error_message`` in the stages, the report has that of the failed stage ('' if none).
+
     Three stages give three fixed slots, so this is one hash aggregation over integers: no window
     and no collected list. Unknown error names decode to null.
     """
@@ -145,9 +187,12 @@ def validation_reports(stage_results: DataFrame) -> DataFrame:
         here = F.col("stage") == stage
         slots.append(F.min(F.when(here, F.col("passed").cast("int"))).alias(f"_{stage}"))
         slots.append(F.min(F.when(here & ~F.col("passed"), error_code)).alias(f"_{stage}_error"))
+        if "error_message" in stage_results.columns:
+            slots.append(F.min(F.when(here & ~F.col("passed"), F.col("error_message"))).alias(f"_{stage}_message"))
     folded = stage_results.groupBy("run_id", "iteration").agg(*slots)
 
     reached, stages, error = F.lit(True), [], F.lit(None).cast("string")
+    message = F.lit(None).cast("string")
     for stage in REPORT_STAGES:
         passed = F.col(f"_{stage}") == 1
         present = reached & F.col(f"_{stage}").isNotNull()
@@ -155,6 +200,8 @@ def validation_reports(stage_results: DataFrame) -> DataFrame:
         entry = F.struct(F.lit(stage).alias("stage"), passed.alias("passed"), own_error.alias("error_type"))
         stages.append(F.when(present, entry))
         error = F.coalesce(error, F.when(present, own_error))
+        if "error_message" in stage_results.columns:
+            message = F.coalesce(message, F.when(present & ~passed, F.col(f"_{stage}_message")))
         reached = present & passed
     return folded.select(
         "run_id",
@@ -162,6 +209,7 @@ def validation_reports(stage_results: DataFrame) -> DataFrame:
         F.coalesce(reached, F.lit(False)).alias("overall_passed"),
         F.array_compact(F.array(*stages)).alias("stages"),
         error.alias("error_type"),
+        *([F.coalesce(message, F.lit("")).alias("error_message")] if "error_message" in stage_results.columns else []),
     ).withColumn(
         "verification_passed", F.exists("stages", lambda s: (s["stage"] == "tests") & s["passed"])
     )

@@ -299,6 +299,19 @@ def test_verdict(spark, sf):
     return validation.test_verdicts(corpus.test_outcomes(spark, sf), keys)
 
 
+@query
+def validation_pipeline(spark, sf):
+    """From programs to reports: both audits and the tests of each program, composed."""
+    key = (F.col("response_id").alias("run_id"), F.lit(1).alias("iteration"))
+    programs = corpus.programs(spark, sf).select(*key, "content")
+    verdicts = validation.test_verdicts(corpus.test_outcomes(spark, sf)).filter("subject = 'modified'")
+    staged = validation.stage_results(programs, verdicts.select(*key, "*"), sys.stdlib_module_names)
+    stages = F.transform("stages", lambda s: s["stage"])
+    return validation.validation_reports(staged).select(
+        "run_id", "overall_passed", "verification_passed", joined(stages).alias("stages"), "error_type", "error_message"
+    )
+
+
 @query
 def validation_report(spark, sf):
     stages = F.transform("stages", lambda s: s["stage"])

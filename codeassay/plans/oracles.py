@@ -655,3 +655,23 @@ ORACLES["job_latest_status"] = with_views(
 ORACLES["stream_job_status"] = ORACLES["job_latest_status"]
 
 ORACLES["batch_summary_roundtrip"] = ORACLES["batch_summary"]
+
+# The validity of each program shape is known; its tests are those of the labels.
+ORACLES["validation_pipeline"] = with_views(
+    {
+        "programs": corpus.PROGRAMS_SQL,
+        **OUTCOMES,
+        "audited": """select p.response_id as run_id, variant in (0, 1, 2, 7) as syntax, variant = 0 as imports,
+          coalesce(v.passed, false) as tests,
+          case when v.response_id is null then 'verification_failed' else v.error_type end as test_error,
+          case when v.response_id is null then 'Test directory not found' else v.error_message end as test_message, variant
+          from programs p left join (select * from verdicts where subject = 'modified') v on v.response_id = p.response_id""",
+    },
+    """select run_id, syntax and imports and tests as overall_passed, syntax and imports and tests as verification_passed,
+    case when not syntax then 'syntax' when not imports then 'syntax|imports' else 'syntax|imports|tests' end as stages,
+    case when variant = 5 then 'patch_application_failed' when not syntax then 'syntax_error'
+      when not imports then 'import_error' when not tests then test_error end as error_type,
+    case variant when 3 then 'Line 1: ''('' was never closed' when 4 then 'Line 2: Indentation error' when 5 then 'File not found'
+      when 6 then 'Line 1: invalid syntax' when 1 then 'Missing module: numpy' when 2 then 'Missing module: pandas'
+      when 7 then 'Missing module: .' else case when tests then '' else test_message end end as error_message from audited""",
+)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import pickle
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from codeassay.session import discard, stable
 
-__all__ = ["ASCII_LOWER", "by_text", "discard", "fresh", "in_batches", "order_id", "ranges", "remainder", "row_digest", "shared", "stable", "struct_of", "table", "worker_cache"]
+__all__ = ["ASCII_LOWER", "by_text", "discard", "fresh", "in_batches", "order_id", "ranges", "release", "remainder", "row_digest", "shared", "small_batches", "stable", "struct_of", "table", "worker_cache"]
 
 #: Arguments of ``translate`` that lower-case A-Z and nothing else.
 ASCII_LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -112,6 +114,27 @@ def shared(spark: SparkSession, value: object) -> Callable[[], object]:
     return get
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished jobs.
+
+    It does so when the driver's JVM finds their plans to be garbage, which may take long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Jobs started inside hand tasks at most so many rows at a time: rows of long texts or sets."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold BATCH_BYTES of strings or bytes each, or one row."""
     sizes = np.zeros(batch.num_rows, np.int64)

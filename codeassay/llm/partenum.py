@@ -8,13 +8,15 @@ k = a - ceil(t (a + b) / (1 + t)) cells of the first differ, and subsets of one
 It is enough to enumerate a set's k + 1 first cells in a fixed order, for the largest k in the band:
 sets with i common cells have one among their first a - i + 1 and b - i + 1 under one total order.
 
-Any total order is right. Shingles that many texts share come last, which keeps groups small, and a
+Any total order is right. Shingles in often used buckets of a hash table come last: a passage that many
+texts share is then in no signature of a text that has enough of its own, so groups stay small. A
 common cell counts only where so few come before it that enough are left. Candidates are verified
 on the exact sets.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codeassay.llm.common import NULL_ID, discard, fresh, in_batches, order_id, row_digest, stable, table, worker_cache
+from codeassay.llm.common import NULL_ID, discard, fresh, in_batches, order_id, release, row_digest, small_batches, stable, table, worker_cache
 from codeassay.llm.components import components
 
 #: Words whose hashes a worker remembers.
@@ -34,10 +36,9 @@ REMEMBERED = 200_000
 SMALL = 64
 #: Cells that are listed beyond the signatures, to rule out pairs before their sets are fetched.
 MORE = 32
-#: Shingles in a chunk of a task that is searched for common ones, and how often they occur in it.
-CHUNK, COMMON = 1 << 20, 3
-#: Entries of the list of common shingles, the most common ones. The result doesn't depend on it.
-HOT_LIST = 1 << 16
+#: Buckets of the table of shingle counts, its blocks, and shingles counted in it at a time. Sets are
+#: the rarer the earlier a shingle comes in their order; the result doesn't depend on it.
+BUCKETS, BLOCKS, CHUNK = 1 << 22, 64, 1 << 20
 #: Bits of the filter for texts that have candidates.
 FILTER_BITS = 1 << 26
 
@@ -114,18 +115,15 @@ def set_id(elements: np.ndarray) -> int:
     return int(np.int64(xxhash.xxh3_64_intdigest(elements.tobytes()) - (1 << 63)))
 
 
-def first_cells(elements: np.ndarray, length: int, hot: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The ``length`` first cells of a set, in order. ``hot``: sorted common shingles."""
+def first_cells(elements: np.ndarray, length: int, counts: np.ndarray) -> np.ndarray:
+    """The ``length`` first cells of a set: by the counts of their buckets, then by hash.
+
+    ``elements`` ascend, so the stable sort breaks ties between equal keys by element: a total order.
+    """
     cells = _mix(elements)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, elements), len(hot) - 1)
-        common = hot[at] == elements
-        if common.any():
-            rank = np.where(common, count[at], 0)
-            return cells[np.lexsort((cells, rank))[:length]]
-    if length < len(cells):
-        cells = np.partition(cells, length - 1)[:length]
-    return np.sort(cells)
+    rank = counts[(elements & np.uint64(len(counts) - 1)).view(np.int64)].astype(np.uint64)
+    key = (rank << np.uint64(32)) | (cells >> np.uint64(32))
+    return cells[np.argsort(key, kind="stable")[:length]]
 
 
 def _hashes() -> _Hashes:
@@ -135,37 +133,51 @@ def _hashes() -> _Hashes:
     return hashes
 
 
-def _common_shingles(docs: DataFrame, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are common within chunks of tasks, by their total; at most HOT_LIST of them."""
+def _bucket_counts(docs: DataFrame, scheme: Scheme) -> np.ndarray:
+    """How many distinct sets of a task hold a shingle of each bucket, added up over all tasks.
 
-    def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        sets: list[np.ndarray] = []
+    The table has a fixed size; tasks hand it on in compressed blocks, which Spark adds up.
+    """
+    size = BUCKETS // BLOCKS
+
+    def count(batches: Iterator[dict]) -> Iterator[dict]:
+        total, sets, held = np.zeros(BUCKETS, np.uint32), [], 0
         seen: set[int] = set()
-        held = 0
 
-        def common() -> dict:
-            values, counts = np.unique(np.concatenate(sets), return_counts=True)
-            keep = counts >= COMMON
-            return {"x": pa.array(values[keep].view(np.int64)), "n": pa.array(counts[keep])}
+        def add() -> None:
+            at = (np.concatenate(sets) & np.uint64(BUCKETS - 1)).view(np.int64)
+            np.add(total, np.bincount(at, minlength=BUCKETS).astype(np.uint32), out=total)
 
         for b in batches:
-            hashes = _hashes()
-            for elements in shingles(b["text"], scheme.words, hashes):
+            for elements in shingles(b["text"], scheme.words, _hashes()):
                 own = set_id(elements)
-                if own not in seen:
+                if own not in seen and len(elements):
                     seen.add(own)
                     sets.append(elements)
                     held += len(elements)
                 if held > CHUNK:
-                    yield common()
-                    sets, seen, held = [], set(), 0
+                    add()
+                    sets.clear()
+                    held = 0
         if sets:
-            yield common()
+            add()
+        for k in range(BLOCKS):
+            yield {"block": [k], "counts": [zlib.compress(total[k * size : (k + 1) * size].tobytes(), 1)]}
+
+    def add_up(batches: Iterator[dict]) -> Iterator[dict]:
+        totals: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, packed in zip(b["block"], b["counts"], strict=True):
+                found = np.frombuffer(zlib.decompress(packed), np.uint32)
+                totals[k] = totals[k] + found if k in totals else found
+        for k, found in totals.items():
+            yield {"block": [k], "counts": [zlib.compress(found.tobytes(), 1)]}
 
-    counted = in_batches(docs.select("text"), rows, "x long, n long").groupBy("x").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "x").limit(HOT_LIST).toPandas()
-    order = np.argsort(top["x"].to_numpy(np.int64).view(np.uint64))
-    return top["x"].to_numpy(np.int64).view(np.uint64)[order], top["n"].to_numpy(np.int64)[order]
+    blocks = in_batches(docs.select("text"), count, "block int, counts binary").repartition(8, "block")
+    out = np.zeros(BUCKETS, np.uint32)
+    for r in in_batches(blocks, add_up, "block int, counts binary").toLocalIterator():
+        out[r["block"] * size : (r["block"] + 1) * size] += np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
+    return out
 
 
 def _list_array(lists: list[np.ndarray | None]) -> pa.Array:
@@ -180,12 +192,12 @@ def _signed(docs: DataFrame, scheme: Scheme) -> DataFrame:
     there and below, and the first cells: MORE of them beyond the largest k + 1. Linked sets have at
     least the lesser of their ``need`` in common among these.
     """
-    hot = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, scheme))
+    table_of = docs.sparkSession.sparkContext.broadcast(_bucket_counts(docs, scheme))
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         seen: set[int] = set()
         for b in batches:
-            hashes, (values, counts) = _hashes(), hot.value
+            hashes, counts = _hashes(), table_of.value
             names = ("set_id", "n", "band", "k", "k_low", "need", "cells")
             out: dict[str, list] = {name: [] for name in names}
             for elements in shingles(b["text"], scheme.words, hashes):
@@ -195,7 +207,7 @@ def _signed(docs: DataFrame, scheme: Scheme) -> DataFrame:
                     seen.add(own)
                     band, k, k_low = scheme.bands(n)
                     most = max(k, k_low or 0)
-                    row = (own, n, band, k, k_low, min(MORE + 1, n - most), first_cells(elements, most + 1 + MORE, values, counts))
+                    row = (own, n, band, k, k_low, min(MORE + 1, n - most), first_cells(elements, most + 1 + MORE, counts))
                 for name, value in zip(names, row, strict=True):
                     out[name].append(value)
             if len(seen) > 1_000_000:
@@ -250,7 +262,13 @@ def _groups(signed: DataFrame, scheme: Scheme) -> DataFrame:
                 counts = np.bincount(group[fits], minlength=len(counts))
                 counts, sid, n, at = counts[counts > 0], sid[fits], n[fits], at[fits]
             if len(counts):
-                yield batch(None, None, np.concatenate(([0], np.cumsum(counts))), sid, n)
+                # The member with the fewest cells before the common one comes first, if it matters.
+                group = np.repeat(np.arange(len(counts)), counts)
+                front = np.lexsort((sid, at * (counts[group] > 2), group))[np.cumsum(counts) - counts]
+                first = np.zeros(len(sid), np.int64)
+                first[front] = -1
+                order = np.lexsort((sid, first, group))
+                yield batch(None, None, np.concatenate(([0], np.cumsum(counts))), sid[order], n[order])
 
         held = [np.zeros(0, np.int64)] * 4
         first = True  # the group at hand is the first of the partition, or known to be large
@@ -407,8 +425,8 @@ def _similar_sizes(scheme: Scheme, a: str, b: str) -> str:
 def _roots(docs: DataFrame, signed: DataFrame, scheme: Scheme) -> DataFrame:
     """(a, b) for documents that hold distinct sets: b is the least document of a's component.
 
-    First each group's members are compared with one of them, in larger groups the one with the fewest
-    cells before the common one: it is the nearest to what the members share. A group whose members are then in
+    First each group's members are compared with one of them, the one with the fewest cells before the
+    common one: it is the nearest to what the members share. A group whose members are then in
     one component is done. In the others every pair across components is compared: at once in small
     groups, block by block in the larger ones.
     """
@@ -426,6 +444,7 @@ def _roots(docs: DataFrame, signed: DataFrame, scheme: Scheme) -> DataFrame:
         .select("signature", "set_id", "n", "place").distinct()
     )
     discard(groups)
+    release(docs.sparkSession)
     in_small = small.select(F.explode("sets").alias("set_id"))
     wanted = stable(in_small.unionByName(large.select("set_id")).distinct())
     lists = stable(
@@ -448,6 +467,7 @@ def _roots(docs: DataFrame, signed: DataFrame, scheme: Scheme) -> DataFrame:
     candidates = _Candidates(lists, _sets(docs, node, scheme), node, scheme)
     roots = components(candidates.verified(near))
     discard(near, wanted)
+    release(docs.sparkSession)
 
     def labelled(members: DataFrame) -> DataFrame:
         with_doc = members.join(node, "set_id")
@@ -464,15 +484,14 @@ def _roots(docs: DataFrame, signed: DataFrame, scheme: Scheme) -> DataFrame:
         F.min("root").alias("low"),
         F.max("root").alias("high"),
     )
-    pairs = (
-        by_group.filter("low < high")
-        .select(F.posexplode(F.slice("m", 2, SMALL)).alias("k", "x"), "m")
-        .select("x", F.explode(F.expr(f"slice(m, k + 3, {SMALL})")).alias("y"))
-        .filter("x.root <> y.root")
-        .filter(_similar_sizes(scheme, "x.n", "y.n"))
-        .select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))
-        .distinct()
+    # Members outside the group's largest component against all of the others.
+    main = F.expr("element_at(array_sort(transform(array_distinct(m.root), r -> struct(size(filter(m, x -> x.root = r)) as c, r as r))), -1).r")
+    crossing = F.expr(
+        f"""flatten(transform(filter(m, x -> x.root <> main), x -> transform(
+            filter(m, y -> y.root <> x.root AND (y.root = main OR y.set_id > x.set_id) AND {_similar_sizes(scheme, "x.n", "y.n")}),
+            y -> struct(least(x.set_id, y.set_id) as a, greatest(x.set_id, y.set_id) as b))))"""
     )
+    pairs = by_group.filter("low < high").withColumn("main", main).select(F.explode(crossing).alias("p")).select("p.*").distinct()
     starred, roots = roots, components(roots.unionByName(candidates.linked(pairs)))
     discard(starred, small)
 
@@ -514,10 +533,12 @@ def jaccard_components(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     links. Texts without words (null, empty) are linked with nothing, not even each other. Rows
     with equal sets are one node, so copies are not compared.
     """
-    signed = stable(_signed(docs, scheme))
-    roots = _roots(docs, signed, scheme).select(F.col("a").alias("doc"), "b")
+    with small_batches(docs.sparkSession):
+        signed = stable(_signed(docs, scheme))
+        roots = _roots(docs, signed, scheme).select(F.col("a").alias("doc"), "b")
     rows = stable(signed.select("id", "digest", "set_id", F.col("n").alias("n_shingles")))
     discard(signed)
+    release(docs.sparkSession)
     classes = (
         rows.filter("n_shingles > 0")
         .groupBy("set_id")

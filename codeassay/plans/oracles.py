@@ -419,7 +419,7 @@ ORACLES["validation_report"] = with_views(
 )
 ORACLES["error_type_mix"] = with_views(
     REPORTS,
-    """select model, error_type, count(*) as attempts from judged where not success and error_type is not null
+    """select model, error_type, count(*) as attempts from executed where not success and error_type is not null
     group by model, error_type""",
 )
 ORACLES["final_attempt"] = with_views(

@@ -7,7 +7,6 @@ but the first holder. What leaves the pass are compressed bitmaps of the lines t
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 

@@ -422,9 +422,11 @@ def _similar_sizes(scheme: Scheme, a: str, b: str) -> str:
     return f"least({a}, {b}) * 100 >= {scheme.percent} * greatest({a}, {b})"
 
 
-def _roots(docs: DataFrame, signed: DataFrame, scheme: Scheme) -> DataFrame:
+def _roots(docs: DataFrame, signed: DataFrame, rows: DataFrame, scheme: Scheme) -> DataFrame:
     """(a, b) for documents that hold distinct sets: b is the least document of a's component.
 
+    ``rows`` has the ids and sets of all rows; ``signed`` is removed as soon as it isn't needed.
+
     First each group's members are compared with one of them, the one with the fewest cells before the
     common one: it is the nearest to what the members share. A group whose members are then in
     one component is done. In the others every pair across components is compared: at once in small
@@ -451,6 +453,8 @@ def _roots(docs: DataFrame, signed: DataFrame, scheme: Scheme) -> DataFrame:
         signed.filter("need IS NOT NULL").join(wanted, "set_id", "left_semi")
         .select("set_id", "n", "need", "cells").dropDuplicates(["set_id"])
     )
+    discard(signed)
+    release(docs.sparkSession)
     first = small.select(
         F.col("sets")[0].alias("a"), F.col("sizes")[0].alias("na"), F.explode(F.slice(F.arrays_zip("sets", "sizes"), 2, SMALL)).alias("o")
     ).select("a", "na", F.col("o.sets").alias("b"), F.col("o.sizes").alias("nb"))
@@ -462,7 +466,7 @@ def _roots(docs: DataFrame, signed: DataFrame, scheme: Scheme) -> DataFrame:
     further = small.filter(F.size("sets") > 2).select(F.explode("sets").alias("set_id")).unionByName(large.select("set_id"))
     used = near.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(further).distinct()
     node = stable(
-        signed.select("id", "set_id").join(used, "set_id", "left_semi").groupBy("set_id").agg(F.min("id").alias("doc"))
+        rows.select("id", "set_id").join(used, "set_id", "left_semi").groupBy("set_id").agg(F.min("id").alias("doc"))
     )
     candidates = _Candidates(lists, _sets(docs, node, scheme), node, scheme)
     roots = components(candidates.verified(near))
@@ -535,9 +539,9 @@ def jaccard_components(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     """
     with small_batches(docs.sparkSession):
         signed = stable(_signed(docs, scheme))
-        roots = _roots(docs, signed, scheme).select(F.col("a").alias("doc"), "b")
-    rows = stable(signed.select("id", "digest", "set_id", F.col("n").alias("n_shingles")))
-    discard(signed)
+        rows = stable(signed.select("id", "digest", "set_id", F.col("n").alias("n_shingles")))
+        release(docs.sparkSession)
+        roots = _roots(docs, signed, rows, scheme).select(F.col("a").alias("doc"), "b")
     release(docs.sparkSession)
     classes = (
         rows.filter("n_shingles > 0")

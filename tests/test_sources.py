@@ -114,8 +114,8 @@ def test_run_results_round_trip(spark, tmp_path):
     assert results.read_run_results(spark, path, 77).count() == 0
     long = {(r.run_id, r.iteration, r.stage): (r.stage_ord, r.passed) for r in results.explode_attempts(back).collect()}
     assert long == {
-        **{(1, i, s): (o, s == "syntax") for i in (1, 2) for o, s in ((1, "syntax"), (2, "imports"))},
-        **{(2, i, s): (o, s != "tests" or i == 2) for i in (1, 2) for o, s in ((1, "syntax"), (2, "imports"), (3, "tests"))},
+        **{("1", i, s): (o, s == "syntax") for i in (1, 2) for o, s in ((1, "syntax"), (2, "imports"))},
+        **{("2", i, s): (o, s != "tests" or i == 2) for i in (1, 2) for o, s in ((1, "syntax"), (2, "imports"), (3, "tests"))},
     }
     last = spark.read.parquet(f"{path}/reports").filter("run_id = 2").first().last_attempt
     assert (last.iteration, last.success, len(last.stages)) == (2, True, 3)

@@ -71,7 +71,7 @@ def ranges(keys: DataFrame, by: Sequence[str]) -> list[tuple[tuple, tuple]]:
     return sorted((tuple(r.low), tuple(r.high)) for r in ends)
 
 
-def by_text(fn: Callable[[list[bytes | None]], list | pa.Array], kind: T.DataType) -> Callable[..., Column]:
+def by_text(fn: Callable[[list[bytes | None]], list], kind: T.DataType) -> Callable[..., Column]:
     """A column function over texts: ``fn`` gets a batch of UTF-8 texts and returns its results.
 
     Structs are returned as tuples.
@@ -80,9 +80,11 @@ def by_text(fn: Callable[[list[bytes | None]], list | pa.Array], kind: T.DataTyp
     names = [f.name for f in arrow] if isinstance(kind, T.StructType) else None
 
     def run(texts: pa.Array) -> pa.Array:
-        found = fn(texts.cast(pa.binary()).to_pylist())
+        found: list = []
+        for start in range(0, len(texts), 500):  # a batch's texts are not taken out all at once
+            found += fn(texts.slice(start, 500).cast(pa.binary()).to_pylist())
         if names is None:
-            return found if isinstance(found, pa.Array) else pa.array(found, type=arrow)
+            return pa.array(found, type=arrow)
         columns = [pa.array([r[k] for r in found], type=arrow.field(k).type) for k in range(len(names))]
         return pa.StructArray.from_arrays(columns, fields=list(arrow))
 
@@ -90,15 +92,18 @@ def by_text(fn: Callable[[list[bytes | None]], list | pa.Array], kind: T.DataTyp
 
 
 def worker_cache(key: str, make: Callable[[], object]) -> object:
-    """An object that a Python worker keeps from task to task (functions travel by value, so a
-    module's own variables would not last)."""
+    """An object that a Python worker keeps from task to task, until another one is asked for.
+
+    (Functions travel by value, so a module's own variables would not last.)
+    """
     import sys
     import types
 
     kept = sys.modules.setdefault("_codeassay_worker_cache", types.ModuleType("_codeassay_worker_cache"))
-    if key not in kept.__dict__:
-        kept.__dict__[key] = make()
-    return kept.__dict__[key]
+    if getattr(kept, "held", (None,))[0] != key:
+        kept.held = (None, None)
+        kept.held = (key, make())
+    return kept.held[1]
 
 
 def shared(spark: SparkSession, value: object) -> Callable[[], object]:

@@ -25,7 +25,7 @@ END_ID = 1
 SEGMENT_IDS = 1 << 20
 _END = b"\n"
 #: Distinct words whose ids a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 
 
 def default_tokenizer() -> str:
@@ -70,8 +70,8 @@ class WordEncoder:
         """Encode the new words, many in one call; a piece's offset tells the word it belongs to."""
         new, self.numbers.new = self.numbers.new, []
         pieces, counts = [self.table], [self.starts[:0]]
-        for k in range(0, len(new), 100_000):
-            groups = [new[i : i + 200] for i in range(k, min(k + 100_000, len(new)), 200)]
+        for k in range(0, len(new), 20_000):
+            groups = [new[i : i + 200] for i in range(k, min(k + 20_000, len(new)), 200)]
             joined = [b" ".join(g).decode() for g in groups]
             for group, text, e in zip(
                 groups, joined, self.tokenizer.encode_batch(joined, add_special_tokens=False), strict=True

@@ -44,7 +44,20 @@ _IMPLIED = {
 }
 _SPACED = frozenset("br td th img".split())
 _SILENT = frozenset("script style head title template svg".split())
-_CHROME = re.compile(
+#: Whole tokens of a class or id that name a page part.
+_CHROME = frozenset(
+    "nav navbar navigation nav-menu main-nav site-nav menu menus main-menu site-menu header site-header masthead footer "
+    "site-footer sidebar side-bar sidebars ad ads advert adverts advertisement advertisements advertising ad-slot "
+    "sponsor sponsored sponsors promo promos banner cookie cookies cookie-notice cookie-banner cookie-consent cookie-bar consent "
+    "gdpr notice notices notification notifications alert alerts breadcrumb breadcrumbs comment comments commentlist comment-list "
+    "respond disqus disqus_thread replies share sharing share-buttons social social-links social-share related related-posts "
+    "recommended newsletter subscribe subscription signup sign-up login search search-form searchform pager pagination "
+    "widget widgets popup modal overlay toolbar copyright skip skiplink skip-link hidden".split()
+)
+#: Names that an article's own parts have too.
+_PARTS_OF_ARTICLES = frozenset("header footer notice notices alert alerts".split())
+#: Parts of tokens that only make a block doubtful.
+_DOUBTFUL = re.compile(
     r"(?:^|[-_\s])(?:nav(?:bar|igation)?|menus?|header|footer|masthead|side-?bar|ads?|adverts?|advert[a-z]*|sponsor(?:ed|s)?|"
     r"promos?|banner|cookies?|consent|gdpr|notices?|notifications?|alerts?|breadcrumbs?|comments?|commentlist|respond|"
     r"disqus|replies|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|search|"
@@ -53,52 +66,81 @@ _CHROME = re.compile(
 )
 _CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-KEEP, OPEN, DROP = 1, 0, -1
+#: In an article (main elements count as such); doubtful in one; named as a page part; neither.
+KEEP, OPEN, DROP, BESIDE = 1, 0, -1, -2
 #: A neighbour that has more than this share of a page's characters is a copy of it, not a template.
 COPY_PERCENT = 80
 
 
 class _Blocks(HTMLParser):
-    """Collects (kind, text) of the blocks of a page in order; kind is KEEP, OPEN or DROP.
+    """Collects the blocks of a page in order.
 
-    Text of dropped inline elements (a button, an advert in a sentence) is left out of its block.
+    Text of dropped inline elements (a button, an advert in a sentence) is left out of its block. Whether a
+    class or id drops an element is known at the end only: a named element that turns out to hold an
+    article or main element is none, unless it is itself part of an article (as comments are).
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[int, str]] = []
-        self._text: list[str] = []
-        #: Open elements: name, kind, and kind of the block they are in.
-        self._open: list[tuple[str, int, int]] = [("", OPEN, OPEN)]
+        #: Kind, named element and (text, named element) pieces of each block.
+        self.found: list[tuple[int, int, list[tuple[str, int]]]] = []
+        self._text: list[tuple[str, int]] = []
+        #: Named elements: the one around, and whether its name counts. The first stands for none.
+        self._around, self._counts, self._of_article = [0], [False], [False]
+        #: Open elements: name, kind, kind of the block they are in, named element, that of the block, in an article.
+        self._open: list[tuple[str, int, int, int, int, bool]] = [("", BESIDE, BESIDE, 0, 0, False)]
 
     def _break(self) -> None:
         if self._text:
-            text = " ".join("".join(self._text).split())
-            self._text.clear()
+            self.found.append((self._open[-1][2], self._open[-1][4], self._text))
+            self._text = []
+
+    def blocks(self) -> list[tuple[int, str]]:
+        gone = [False]
+        for k in range(1, len(self._around)):
+            gone.append(self._counts[k] or gone[self._around[k]])
+        out = []
+        for kind, named, pieces in self.found:
+            kind = DROP if gone[named] else kind
+            text = " ".join("".join(t for t, n in pieces if kind == DROP or not gone[n]).split())
             if text:
-                self.blocks.append((self._open[-1][2], text))
-
-    def _inside(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
-        kind = self._open[-1][1]
-        if kind == DROP or tag in _NEVER or (tag == "header" and kind != KEEP):
-            return DROP
+                out.append((kind, text))
+        return out
+
+    def _inside(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[int, int, bool]:
+        """Kind, named element and whether in an article, for what is in a new element."""
+        _, kind, _, named, _, of_article = self._open[-1]
+        if kind == DROP or tag in _NEVER or (tag == "header" and kind == BESIDE):
+            return DROP, named, of_article
         if not attrs and tag not in ("article", "main"):
-            return kind
+            return kind, named, of_article
         a = dict(attrs)
         role = (a.get("role") or "").lower()
         if role in _CHROME_ROLES or "hidden" in a or (a.get("aria-hidden") or "").lower() == "true":
-            return DROP
+            return DROP, named, of_article
         if _HIDDEN.search(a.get("style") or ""):
-            return DROP
+            return DROP, named, of_article
+        if tag in ("article", "main") or role in ("article", "main"):
+            k = named
+            while self._counts[k] and not self._of_article[k]:
+                self._counts[k] = False
+                k = self._around[k]
+            return KEEP, named, of_article or tag == "article" or role == "article"
         if tag in ("html", "body", "h1", "h2", "h3", "h4", "h5", "h6"):
-            return kind
-        if any(_CHROME.search(a.get(k) or "") for k in ("class", "id")):
-            return DROP
-        return KEEP if tag in ("article", "main") or role in ("article", "main") else kind
+            return kind, named, of_article
+        names = [a.get(k) or "" for k in ("class", "id")]
+        for name in names:
+            for token in name.lower().split():
+                if token in _CHROME and (kind == BESIDE or token not in _PARTS_OF_ARTICLES):
+                    self._around.append(named)
+                    self._counts.append(True)
+                    self._of_article.append(of_article)
+                    return kind, len(self._around) - 1, of_article
+        return OPEN if kind == KEEP and any(map(_DOUBTFUL.search, names)) else kind, named, of_article
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _SPACED:
-            self._text.append(" ")
+            self._text.append((" ", 0))
         block = tag in _BLOCKS
         if block:
             self._break()
@@ -108,8 +150,9 @@ class _Blocks(HTMLParser):
                 for name, until in _IMPLIED[tag]:
                     self._end(name, until)
         if tag not in _VOID:
-            kind = self._inside(tag, attrs)
-            self._open.append((tag, kind, kind if block else self._open[-1][2]))
+            kind, named, of_article = self._inside(tag, attrs)
+            of_block = (kind, named) if block else (self._open[-1][2], self._open[-1][4])
+            self._open.append((tag, kind, of_block[0], named, of_block[1], of_article))
 
     handle_startendtag = handle_starttag
 
@@ -131,9 +174,9 @@ class _Blocks(HTMLParser):
             self._end(tag, _BLOCKS)
 
     def handle_data(self, data: str) -> None:
-        name, kind, block = self._open[-1]
+        name, kind, block, named, *_ = self._open[-1]
         if (kind != DROP or block == DROP) and name not in _SILENT:
-            self._text.append(data)
+            self._text.append((data, named))
 
     def close(self) -> None:
         super().close()
@@ -145,9 +188,9 @@ def blocks_of(html: bytes | None) -> list[tuple[int, str]]:
     parser = _Blocks()
     parser.feed((html or b"").decode())
     parser.close()
-    if any(kind == KEEP for kind, _ in parser.blocks):
-        return [(kind if kind == KEEP else DROP, text) for kind, text in parser.blocks]
-    return parser.blocks
+    blocks = parser.blocks()
+    beside = DROP if any(kind == KEEP for kind, _ in blocks) else OPEN
+    return [(beside if kind == BESIDE else kind, text) for kind, text in blocks]
 
 
 def place_of(url: bytes | None) -> tuple[str, str]:

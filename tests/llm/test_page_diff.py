@@ -54,6 +54,23 @@ def test_blocks(page, wanted):
     assert texts(page) == wanted
 
 
+@pytest.mark.parametrize(
+    ("page", "wanted"),
+    [
+        ("<div class='has-sidebar'><p>a</p></div>", ["a"]),
+        ("<main class='no-sidebar'><p>a</p></main>", ["a"]),
+        ("<main class='search'><p>a</p></main>", ["a"]),
+        ("<article class='post tag-search category-social comments-open'><p>a</p></article>", ["a"]),
+        ("<article><div class='entry-header'><h1>T</h1></div><p>a</p></article>", ["T", "a"]),
+        ("<div class='sidebar'><div class='ad'>x</div><article>a</article></div><div class='menu'>m</div>", ["a"]),
+        ("<div id='search'><div class='widget'><main>a <span class='ad'>x</span> b</main></div></div>", ["a b"]),
+        ("<article>a<div class='comments'><article>me too</article></div></article>", ["a"]),
+    ],
+)
+def test_names_of_page_parts(page, wanted):
+    assert texts(page) == wanted
+
+
 def brute(rows):
     """Every pair of neighbours over the whole sorted table."""
     order = sorted(rows, key=lambda r: (*pd.place_of((r[1] or "").encode()), r[1] or "", r[0]))

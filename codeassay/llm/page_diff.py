@@ -2,9 +2,9 @@
 
 Pages are cut into blocks of text. Pages of a host are ordered by URL path, and each is aligned with
 its neighbours by the longest common subsequence of their lines; a line that a page shares with a
-neighbour is template and goes. Markup that says what it is has the last word: blocks inside an
-article stay even where two pages share them, blocks of menus, footers, forms and the like go even
-where no neighbour has them. Without an article, differencing decides on every other block.
+neighbour is template and goes. Only blocks that markup names as menus, footers, forms and the like go
+even where no neighbour has them. Differencing decides on all others, also beside an article; in an
+article it takes what both neighbours hold, unless that is a small share (a shared paragraph stays).
 """
 
 from __future__ import annotations
@@ -66,8 +66,13 @@ _DOUBTFUL = re.compile(
 )
 _CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-#: In an article (main elements count as such); doubtful in one; named as a page part; neither.
+#: From KEEP on: number of the article a block is in (main elements count as such). OPEN: on a page without
+#: one, or doubtful in one. BESIDE: outside the articles of a page. DROP: named as a page part.
 KEEP, OPEN, DROP, BESIDE = 1, 0, -1, -2
+#: Neighbours that hold at most this share of an article's characters leave it whole.
+SMALL_PERCENT = 20
+#: What is left of a page or an article, in characters, that makes it no copy.
+LEFT_CHARS = 20
 #: A neighbour that has more than this share of a page's characters is a copy of it, not a template.
 COPY_PERCENT = 80
 
@@ -87,6 +92,7 @@ class _Blocks(HTMLParser):
         self._text: list[tuple[str, int]] = []
         #: Named elements: the one around, and whether its name counts. The first stands for none.
         self._around, self._counts, self._of_article = [0], [False], [False]
+        self._articles = 0
         #: Open elements: name, kind, kind of the block they are in, named element, that of the block, in an article.
         self._open: list[tuple[str, int, int, int, int, bool]] = [("", BESIDE, BESIDE, 0, 0, False)]
 
@@ -125,7 +131,8 @@ class _Blocks(HTMLParser):
             while self._counts[k] and not self._of_article[k]:
                 self._counts[k] = False
                 k = self._around[k]
-            return KEEP, named, of_article or tag == "article" or role == "article"
+            self._articles += 1
+            return self._articles, named, of_article or tag == "article" or role == "article"
         if tag in ("html", "body", "h1", "h2", "h3", "h4", "h5", "h6"):
             return kind, named, of_article
         names = [a.get(k) or "" for k in ("class", "id")]
@@ -136,7 +143,7 @@ class _Blocks(HTMLParser):
                     self._counts.append(True)
                     self._of_article.append(of_article)
                     return kind, len(self._around) - 1, of_article
-        return OPEN if kind == KEEP and any(map(_DOUBTFUL.search, names)) else kind, named, of_article
+        return OPEN if kind >= KEEP and any(map(_DOUBTFUL.search, names)) else kind, named, of_article
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _SPACED:
@@ -189,8 +196,9 @@ def blocks_of(html: bytes | None) -> list[tuple[int, str]]:
     parser.feed((html or b"").decode())
     parser.close()
     blocks = parser.blocks()
-    beside = DROP if any(kind == KEEP for kind, _ in blocks) else OPEN
-    return [(beside if kind == BESIDE else kind, text) for kind, text in blocks]
+    if any(kind >= KEEP for kind, _ in blocks):
+        return blocks
+    return [(OPEN if kind == BESIDE else kind, text) for kind, text in blocks]
 
 
 def place_of(url: bytes | None) -> tuple[str, str]:
@@ -247,8 +255,37 @@ def common_lines(a: list[str], b: list[str]) -> tuple[set[int], set[int]]:
     return in_a, in_b
 
 
-def main_text(blocks: list[tuple[int, str]], shared: set[int]) -> str:
-    return "\n".join(t for k, (kind, t) in enumerate(blocks) if kind == KEEP or (kind == OPEN and k not in shared))
+def main_text(
+    blocks: list[tuple[int, str]], shared: set[int], met: bool | None = None, both: set[int] | None = None
+) -> str:
+    """The text without template, given the blocks that a neighbour shares and those that ``both`` do.
+
+    ``met`` tells whether there was a neighbour to compare with. Without one, text beside articles stays
+    if it is longer than theirs. An article of which both neighbours leave nothing is a teaser if more
+    than its text is left of the page, or else one that has copies, and stays.
+    """
+    met = bool(shared) if met is None else met
+    both = shared if both is None else both
+    size, held, beside, left = {}, {}, 0, 0
+    for k, (kind, text) in enumerate(blocks):
+        if kind >= KEEP:
+            size[kind] = size.get(kind, 0) + len(text)
+            held[kind] = held.get(kind, 0) + (len(text) if k in both else 0)
+            left += len(text) if k not in both else 0
+        elif kind != DROP:
+            beside += len(text) if kind == BESIDE else 0
+            left += len(text) if k not in shared and (met or kind == OPEN) else 0
+    alone = met or beside > sum(size.values())
+    decided = {
+        n: 100 * held[n] > SMALL_PERCENT * size[n] and (size[n] - held[n] >= LEFT_CHARS or left > size[n]) for n in size
+    }
+
+    def stays(k: int, kind: int) -> bool:
+        if kind >= KEEP:
+            return k not in both or not decided[kind]
+        return kind == OPEN and k not in shared or kind == BESIDE and alone and k not in shared
+
+    return "\n".join(t for k, (kind, t) in enumerate(blocks) if stays(k, kind))
 
 
 def shared_blocks(a: list[tuple[int, str]], b: list[tuple[int, str]]) -> tuple[set[int], set[int]]:
@@ -320,28 +357,28 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             return {
                 "page_id": [page["page_id"]],
                 "url": [page["url"]],
-                "text": [main_text(page["blocks"], page["shared"])],
+                "text": [main_text(page["blocks"], page["left"] | page["right"], page["met"], page["left"] & page["right"])],
                 "n_blocks": [len(page["blocks"])],
-                "n_shared": [len(page["shared"])],
+                "n_shared": [len(page["left"] | page["right"])],
             }
 
         for b in batches:
             for row in zip(*b.values(), strict=True):
                 page = dict(zip(b, row, strict=True))
                 page["blocks"] = [(k, t.decode() if isinstance(t, bytes) else t) for k, t in zip(page.pop("kinds"), page.pop("texts"), strict=True)]
-                page["shared"] = set()
+                page["left"], page["right"], page["met"] = set(), set(), False
                 if before is not None:
                     if part == page["part"] and before["host"] == page["host"]:
-                        left, right = shared_blocks(before["blocks"], page["blocks"])
-                        before["shared"] |= left
-                        page["shared"] |= right
+                        before["right"], page["left"] = shared_blocks(before["blocks"], page["blocks"])
+                        before["met"] |= bool(page["blocks"])
+                        page["met"] |= bool(before["blocks"])
                     if before["own"]:
                         yield result(before)
                 part, before = page["part"], page
         if before is not None and before["own"]:
             yield result(before)
 
-    kinds = "host string, path string, link string, page long, page_id long, url string, kinds array<byte>, texts array<string>"
+    kinds = "host string, path string, link string, page long, page_id long, url string, kinds array<int>, texts array<string>"
     dealt = in_batches(placed, deal, f"part int, own boolean, {kinds}")
     sorted_parts = dealt.repartitionById(max(1, len(bounds)), F.col("part")).sortWithinPartitions("part", *_ORDER)
     found = in_batches(

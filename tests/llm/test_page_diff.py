@@ -99,6 +99,30 @@ def test_differencing_finds_unmarked_template_lines(spark):
     assert "Welcome" not in got[1][0] and "story 1 line 0" in got[1][0]
 
 
+def test_differencing_decides_beside_and_in_articles(spark):
+    """A body in plain divs beside teasers; a menu in main; a paragraph that all articles share."""
+    r = random.Random(5)
+    words = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    menu, teaser, note = words(20), words(15), words(5)
+    bodies = {h: [words(60) for _ in range(5)] for h in "abc"}
+    page = {
+        "a": lambda x: f"<div>{menu}</div><div>{x}</div><article class='card'>{teaser}</article>",
+        "b": lambda x: f"<main><div>{menu}</div><div>{x}</div></main>",
+        "c": lambda x: f"<div>{menu}</div><article><p>{x}</p><p>{note}</p></article>",
+    }
+    rows = [(n, f"https://{h}/{i}", page[h](x), h) for n, (h, i, x) in enumerate((h, i, x) for h in page for i, x in enumerate(bodies[h]))]
+    got = {x.url: x.text for x in pd.extract_pages(spark.createDataFrame(rows, DDL)).collect()}
+    for h in page:
+        for i, body in enumerate(bodies[h]):
+            text = got[f"https://{h}/{i}"]
+            assert body in text
+            assert (note in text) == (h == "c")
+            if 0 < i < 4:  # the first and last page have one neighbour: not enough to take from an article
+                assert menu not in text and teaser not in text
+    alone = "<div>" + "body " * 50 + "</div><article class='card'>teaser</article>"
+    assert "body body" in pd.main_text(pd.blocks_of(alone.encode()), set())
+
+
 def test_results_do_not_depend_on_ranges(spark):
     rows = list(site(60, random.Random(3)))
     before = spark.conf.get("spark.sql.shuffle.partitions")

@@ -12,16 +12,18 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 from math import isqrt
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeassay.llm.common import in_batches, order_id, ranges, struct_of, table
+from codeassay.llm.common import BATCH_BYTES, discard, in_batches, order_id, stable, struct_of, table
 
 # Element names of HTML and usual names of page parts.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -71,9 +73,10 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 KEEP, OPEN, DROP, BESIDE = 1, 0, -1, -2
 #: Neighbours that hold at most this share of an article's characters leave it whole.
 SMALL_PERCENT = 20
-#: What is left of a page or an article, in characters, that makes it no copy.
-LEFT_CHARS = 20
-#: A neighbour that has more than this share of a page's characters is a copy of it, not a template.
+#: What must be left of a page or an article, in characters, that it is no copy, and of a page in percent.
+LEFT_CHARS, LEFT_PERCENT = 20, 1
+#: A neighbour that has more than this share of a page's characters may be a near copy of it: where there is
+#: another neighbour, lines need that one's word too.
 COPY_PERCENT = 80
 
 
@@ -288,15 +291,49 @@ def main_text(
     return "\n".join(t for k, (kind, t) in enumerate(blocks) if stays(k, kind))
 
 
+@dataclass
+class Verdict:
+    """What a neighbour says of a page: the blocks both have, and whether it may be a near copy."""
+
+    shared: set[int]
+    near: bool
+
+
+def compare(a: list[tuple[int, str]], b: list[tuple[int, str]]) -> tuple[Verdict | None, Verdict | None]:
+    """The verdicts of two neighbours on each other; none on a page of which the other leaves almost nothing."""
+    found = common_lines([t for _, t in a], [t for _, t in b])
+
+    def verdict(blocks: list[tuple[int, str]], shared: set[int]) -> Verdict | None:
+        size = sum(len(t) for kind, t in blocks if kind != DROP)
+        left = sum(len(t) for k, (kind, t) in enumerate(blocks) if kind != DROP and k not in shared)
+        if left < LEFT_CHARS or 100 * left < LEFT_PERCENT * size:
+            return None
+        return Verdict(shared, 100 * left < (100 - COPY_PERCENT) * size)
+
+    return verdict(a, found[0]), verdict(b, found[1])
+
+
 def shared_blocks(a: list[tuple[int, str]], b: list[tuple[int, str]]) -> tuple[set[int], set[int]]:
-    """Blocks that two neighbours share; none on a page of which the other is nearly a copy."""
-    in_a, in_b = common_lines([t for _, t in a], [t for _, t in b])
+    """Blocks that two neighbours share; none on a page of which the other is a copy."""
+    left, right = compare(a, b)
+    return (left.shared if left else set()), (right.shared if right else set())
+
+
+def judged(blocks: list[tuple[int, str]], left: Verdict | None, right: Verdict | None) -> tuple[str, int]:
+    """Text of a page after the verdicts of its neighbours, and how many blocks they share."""
+    none = Verdict(set(), False)
+    one, two = left or none, right or none
+    both, either = one.shared & two.shared, one.shared | two.shared
+    shared = either
+    if left and right:
+        shared = both | (set() if left.near else left.shared) | (set() if right.near else right.shared)
+    return main_text(blocks, shared, bool(left or right), both), len(either)
 
-    def unless_copy(blocks: list[tuple[int, str]], shared: set[int]) -> set[int]:
-        held = sum(len(blocks[k][1]) for k in shared)
-        return set() if 100 * held > COPY_PERCENT * sum(len(t) for _, t in blocks) else shared
 
-    return unless_copy(a, in_a), unless_copy(b, in_b)
+def core_of(blocks: list[tuple[int, str]]) -> bytes:
+    """Digest of the blocks that aren't named page parts; empty if there are none."""
+    core = [f"{kind} {text}" for kind, text in blocks if kind != DROP]
+    return xxhash.xxh3_128_digest("\n".join(core)) if core else b""
 
 
 def _placed(pages: DataFrame) -> DataFrame:
@@ -312,27 +349,90 @@ def _placed(pages: DataFrame) -> DataFrame:
     ).select("place.host", "place.path", F.coalesce("url", F.lit("")).alias("link"), "page", "page_id", "url", "html")
 
 
-_ORDER = ("host", "path", "link", "page")
+_ORDER = ("host", "path", "link", "page", "core")
+_KEY = "host string, path string, link string, page long, core binary"
+
+
+def _key(host: bytes, path: bytes, link: bytes, page: int, core: bytes) -> tuple:
+    return host.decode(), path.decode(), link.decode(), page, core
+
+
+def _page(key: tuple | None) -> tuple | None:
+    """Host and core: equal pages of a host, next to each other, have the same neighbours."""
+    return key and (key[0], key[4])
+
+
+def _bounds(placed: DataFrame) -> tuple[list[tuple], dict[tuple, list[int]]]:
+    """First keys of ranges of the order, and the ranges to which pages outside of them are neighbours.
+
+    The neighbours of a range are the nearest pages before and after it that are not equal to its first
+    and last one, however many ranges the equal ones fill. Six keys for each range come to the driver.
+    """
+    spark = placed.sparkSession
+
+    def keys(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            core = [core_of(blocks_of(html)) for html in b.pop("html")]
+            yield {k: [v.decode() for v in b[k]] if k != "page" else b[k] for k in _ORDER[:4]} | {"core": core}
+
+    found = stable(in_batches(placed.select(*_ORDER[:4], "html"), keys, _KEY))
+
+    def ends(batches: Iterator[dict]) -> Iterator[dict]:
+        low = first = second = last = other = None
+        for b in batches:
+            for row in zip(*(b[k] for k in _ORDER), strict=True):
+                key = _key(*row)
+                low = low or key
+                if not key[4]:
+                    continue
+                first = first or key
+                if second is None and _page(key) != _page(first):
+                    second = key
+                if last is not None and _page(key) != _page(last):
+                    other = last
+                last = key
+        if low:
+            yield {"low": [low], "first": [first], "second": [second], "last": [last], "other": [other]}
+
+    names = _ORDER
+    pack = lambda out: {k: [v and dict(zip(names, v, strict=True)) for v in vs] for k, vs in out.items()}
+    fields = _KEY.replace(" ", ": ").replace(",: ", ", ")
+    parts = found.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *_ORDER).sortWithinPartitions(*_ORDER)
+    rows = in_batches(
+        parts, lambda batches: map(pack, ends(batches)), ", ".join(f"{k} struct<{fields}>" for k in ("low", "first", "second", "last", "other"))
+    ).collect()
+    unpack = lambda r: r and (*tuple(r)[:4], bytes(r.core))
+    found_ends = sorted((tuple(map(unpack, r)) for r in rows), key=lambda r: r[0])
+    discard(found)
+    belongs: dict[tuple, list[int]] = {}
+    for step in (1, -1):
+        near = far = None  # the nearest page so far, and the nearest that is not equal to it
+        for k in range(len(found_ends))[::step]:
+            _, first, second, last, other = found_ends[k]
+            if first is None:
+                continue
+            if step < 0:
+                first, second, last, other = last, other, first, second
+            wanted = near if _page(near) != _page(first) else far
+            if wanted and wanted[0] == first[0]:
+                belongs.setdefault(wanted, []).append(k)
+            far = other or (near if _page(near) != _page(last) else far)
+            near = last
+    return [r[0] for r in found_ends], belongs
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html; others are ignored): page_id, url, text, n_blocks, n_shared.
 
     ``n_shared`` counts the blocks that a neighbour (the previous or next page of the host by path,
-    then URL, then id) has in common with the page. A null page has no blocks and an empty text.
-    Ranges of that order are dealt to tasks together with the last page before and the first one
-    after them: results don't depend on where ranges end, and a host may fill many of them.
+    then URL, then id, that isn't equal but for named page parts) has in common with the page. A page of
+    nothing but such parts is no neighbour and has none. A null page has no blocks and an empty text.
+    Ranges of that order are dealt to tasks together with the neighbours of their first and last
+    pages: results don't depend on where ranges end, and a host or a group of copies may fill many of them.
     """
     placed = _placed(pages)
-    bounds = ranges(placed, _ORDER)
-    lows = [low for low, _ in bounds]
-    belongs = {}
-    for k, (low, high) in enumerate(bounds):
-        if k:
-            belongs.setdefault(low, []).append(k - 1)
-        if k + 1 < len(bounds):
-            belongs.setdefault(high, []).append(k + 1)
-    shared = pages.sparkSession.sparkContext.broadcast((lows, belongs))
+    bounds = _bounds(placed)
+    shared = pages.sparkSession.sparkContext.broadcast(bounds)
 
     def deal(batches: Iterator[dict]) -> Iterator[dict]:
         lows, belongs = shared.value
@@ -341,8 +441,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 out: dict[str, list] = {k: [] for k in ("part", "own", *_ORDER, "page_id", "url", "kinds", "texts")}
                 part = {k: v[start : start + 200] for k, v in b.items()}
                 for host, path, link, page, page_id, url, html in zip(*part.values(), strict=True):
-                    place = (host.decode(), path.decode(), link.decode(), page)
                     blocks = blocks_of(html)
+                    place = _key(host, path, link, page, core_of(blocks))
                     own = max(0, bisect_right(lows, place) - 1)
                     for to in (own, *belongs.get(place, ())):
                         row = (to, to == own, *place, page_id, url and url.decode(), [k for k, _ in blocks], [t for _, t in blocks])
@@ -351,36 +451,51 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 yield out
 
     def difference(batches: Iterator[dict]) -> Iterator[dict]:
-        part = before = None
-
-        def result(page: dict) -> dict:
-            return {
-                "page_id": [page["page_id"]],
-                "url": [page["url"]],
-                "text": [main_text(page["blocks"], page["left"] | page["right"], page["met"], page["left"] & page["right"])],
-                "n_blocks": [len(page["blocks"])],
-                "n_shared": [len(page["left"] | page["right"])],
-            }
-
+        def result(rows: list[tuple], blocks: list[tuple[int, str]], left: Verdict | None, right: Verdict | None) -> dict:
+            text, n_shared = judged(blocks, left, right)
+            at_once = 1 + BATCH_BYTES // (200 + len(text))
+            for start in range(0, len(rows), at_once):
+                some = rows[start : start + at_once]
+                yield {
+                    "page_id": [r[0] for r in some],
+                    "url": [r[1] for r in some],
+                    "text": [text] * len(some),
+                    "n_blocks": [len(blocks)] * len(some),
+                    "n_shared": [n_shared] * len(some),
+                }
+
+        def closed(run: dict, after: list[tuple[int, str]] | None) -> Iterator[dict]:
+            for blocks, left, rows in run.values():
+                if rows:
+                    right = compare(blocks, after)[0] if after else None
+                    yield from result(rows, blocks, left, right)
+
+        # Equal pages in a row: by their blocks, named parts too, what they are, the verdict from before, and rows.
+        run: dict[bytes, tuple[list, Verdict | None, list]] = {}
+        place = before = latest = None
         for b in batches:
             for row in zip(*b.values(), strict=True):
                 page = dict(zip(b, row, strict=True))
-                page["blocks"] = [(k, t.decode() if isinstance(t, bytes) else t) for k, t in zip(page.pop("kinds"), page.pop("texts"), strict=True)]
-                page["left"], page["right"], page["met"] = set(), set(), False
-                if before is not None:
-                    if part == page["part"] and before["host"] == page["host"]:
-                        before["right"], page["left"] = shared_blocks(before["blocks"], page["blocks"])
-                        before["met"] |= bool(page["blocks"])
-                        page["met"] |= bool(before["blocks"])
-                    if before["own"]:
-                        yield result(before)
-                part, before = page["part"], page
-        if before is not None and before["own"]:
-            yield result(before)
-
-    kinds = "host string, path string, link string, page long, page_id long, url string, kinds array<int>, texts array<string>"
+                blocks = [(k, t.decode() if isinstance(t, bytes) else t) for k, t in zip(page["kinds"], page["texts"], strict=True)]
+                mine = [(page["page_id"], page["url"])] if page["own"] else []
+                if not page["core"]:
+                    yield from result(mine, blocks, None, None)
+                    continue
+                here = (page["part"], page["host"], page["core"])
+                if here != place:
+                    near = place is not None and here[:2] == place[:2]
+                    yield from closed(run, blocks if near else None)
+                    before, run, place = (latest if near else None), {}, here
+                latest = blocks
+                key = xxhash.xxh3_128_digest("\n".join(f"{k} {t}" for k, t in blocks))
+                if key not in run:
+                    run[key] = (blocks, compare(before, blocks)[1] if before else None, [])
+                run[key][2].extend(mine)
+        yield from closed(run, None)
+
+    kinds = f"{_KEY}, page_id long, url string, kinds array<int>, texts array<string>"
     dealt = in_batches(placed, deal, f"part int, own boolean, {kinds}")
-    sorted_parts = dealt.repartitionById(max(1, len(bounds)), F.col("part")).sortWithinPartitions("part", *_ORDER)
+    sorted_parts = dealt.repartitionById(max(1, len(bounds[0])), F.col("part")).sortWithinPartitions("part", *_ORDER)
     found = in_batches(
         sorted_parts, difference, "page_id long, url string, text string, n_blocks int, n_shared int"
     )

@@ -137,6 +137,30 @@ def test_results_do_not_depend_on_ranges(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+@pytest.mark.parametrize("parts", [1, 13])
+def test_copies_meet_the_nearest_different_page(spark, parts):
+    """Long template over short texts, in groups of copies that differ in an advert at most, over many ranges."""
+    menu = "".join(f"<li>entry {k} of the long menu</li>" for k in range(40))
+    rows = []
+    for i in range(90):
+        body = f"short text number {i // 15} of the host"
+        ad = f"<div class='ad'>advert {i % 2}</div>"
+        rows.append((i, f"https://h/{i:03}", f"<ul>{menu}</ul>{ad}<div>{body}</div>" if i % 15 != 7 else None, "h"))
+    near = "The same words in a long text. " * 20
+    for i, line in enumerate(("written on the third of May", "written on the fourth of June", None)):
+        text = f"<div>{near}</div><div>{line}</div>" if line else "<div>All else is different here</div>"
+        rows.append((100 + i, f"https://n/{i}", f"<div>Welcome to the host</div>{text}", "n"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {r.page_id: r.text for r in pd.extract_pages(spark.createDataFrame(rows, DDL)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for i in range(90):
+        assert got[i] == ("" if i % 15 == 7 else f"short text number {i // 15} of the host")
+    assert near.strip() in got[101] and "Welcome" not in got[101]
+
+
 def test_odd_rows(spark):
     long = "<article>" + "<p>word</p>" * 20_000 + "</article>"
     rows = [

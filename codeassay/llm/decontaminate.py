@@ -61,7 +61,7 @@ class Automaton:
     @classmethod
     def of(cls, items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> Automaton:
         """Items are (id, words); those without words have no windows."""
-        a = cls(window)
+        a = cls(window, shortest=window)
         items = [(i, w) for i, w in items if w]
         numbered = []
         for i, words in items:

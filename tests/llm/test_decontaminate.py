@@ -44,6 +44,25 @@ def test_matches_are_those_of_brute_force(seed):
         assert (m.n_words, int(m.hit.sum()), sorted(a.ids[i] for i in m.items)) == brute(text, items)
 
 
+@pytest.mark.parametrize("window", [3, 5])
+def test_small_windows_between_unknown_words(window):
+    r = random.Random(window)
+    words = [f"w{k}" for k in range(40)]
+    items = [(str(i), [r.choice(words).encode() for _ in range(12)]) for i in range(6)]
+    a = dc.Automaton.of(items, window)
+    windows = {tuple(w[i : i + window]): i for _, w in items for i in range(len(w) - window + 1)}
+    for _ in range(60):
+        text = []
+        while len(text) < 60:
+            item, at = r.choice(items)[1], r.randrange(12)
+            text += [*item[at : at + r.randrange(1, 10)], b"unknown"]
+        hit = {i + j for i in range(len(text)) if tuple(text[i : i + window]) in windows for j in range(window)}
+        want = sorted(k for k, w in items if any(tuple(w[i : i + window]) == tuple(text[j : j + window]) for i in range(13 - window) for j in range(len(text))))
+        m = a.match(text)
+        assert (set(m.hit.nonzero()[0].tolist()), sorted(a.ids[i] for i in m.items)) == (hit, want)
+        assert hit
+
+
 @pytest.mark.parametrize("shard_bytes", [1 << 24, 300])
 def test_odd_rows_and_several_automata(spark, shard_bytes):
     r = random.Random(9)

@@ -1,15 +1,17 @@
 """Benchmark decontamination with a generalised suffix automaton over words of test items.
 
-The automaton of all normalised items is built on a bounded shard of items at a time and sent to
-the tasks. Each text streams through it once; the length of the longest match that ends at a word
+Automata of a bounded number of states are built in tasks, each over some of the items, and sent to the
+tasks one after the other. Each text streams through each of them once; the length of the longest match that ends at a word
 tells which words belong to an occurrence of a window (ten consecutive words of an item, or a whole
 shorter item).
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeassay.llm.common import by_text, fresh, shared, table
+from codeassay.llm.common import by_text, discard, fresh, in_batches, shared, stable, table
 
 WINDOW = 10
-#: UTF-8 bytes of item texts in one automaton; more items make more automata, one pass for each.
-SHARD_BYTES = 16 * 1024 * 1024
+#: UTF-8 bytes and words of items in one automaton at most (or one piece of an item); more items make more
+#: automata, one pass for each. An automaton has at most two states a word, and one.
+SHARD_BYTES, SHARD_WORDS = 16 * 1024 * 1024, 1 << 17
 _SEPARATORS = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
@@ -161,19 +164,47 @@ class Automaton:
                     items.add(item)
 
 
-def _shards(items: DataFrame, shard_bytes: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Bounded groups of distinct (item_id, text) rows, one at a time on the driver.
+def pieces_of(words: list[bytes], window: int) -> Iterator[list[bytes]]:
+    """Parts of an item of SHARD_WORDS words at most (or two windows), which have all its windows."""
+    size = max(SHARD_WORDS, 2 * window)
+    for start in range(0, max(1, len(words) - window + 1), size - window + 1):
+        yield words[start : start + size]
 
-    Item ids are taken as text, a null id as the empty one. A shard has ``shard_bytes`` on average.
+
+def _automata(items: DataFrame, window: int, shard_bytes: int) -> DataFrame:
+    """(number, states): the automata of all distinct (item_id, text) rows, as a written table.
+
+    Tasks build them; one begins a new automaton when the next piece of an item would overfill it. Item
+    ids are taken as text, a null id as the empty one.
     """
-    distinct = items.select(
-        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text"
-    ).dropna(subset=["text"])
+    distinct = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").dropna(subset=["text"])
+
+    def build(batches: Iterator[dict]) -> Iterator[dict]:
+        held: list[tuple[str, list[bytes]]] = []
+        n_words = n_bytes = 0
+
+        def built() -> dict:
+            a = Automaton.of(held, window)
+            return {"n_states": [len(a.length)], "states": [pickle.dumps(a.__dict__)]}
+
+        for b in batches:
+            for item, text in zip(b["item_id"], b["text"], strict=True):
+                for piece in pieces_of(words_of(text), window):
+                    size = sum(map(len, piece)) + len(piece)
+                    if held and (n_words + len(piece) > SHARD_WORDS or n_bytes + size > shard_bytes):
+                        yield built()
+                        held.clear()
+                        n_words = n_bytes = 0
+                    if piece:
+                        held.append((item.decode(), piece))
+                        n_words, n_bytes = n_words + len(piece), n_bytes + size
+        if held:
+            yield built()
+
     total = distinct.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // shard_bytes))
-    for k in range(n):
-        shard = distinct.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).distinct()
-        yield [(r[0], words_of(r[1].encode())) for r in shard.toLocalIterator()]
+    tasks = max(1, -(-total // min(shard_bytes, 8 * SHARD_WORDS)))
+    built = in_batches(distinct.distinct().coalesce(tasks), build, "n_states long, states binary")
+    return stable(built.withColumn("number", F.monotonically_increasing_id()))
 
 
 _FOUND = T.StructType(
@@ -185,11 +216,14 @@ _FOUND = T.StructType(
 )
 
 
-def _matcher(spark: SparkSession, automaton: Automaton):
-    load = shared(spark, automaton)
+def _matcher(spark: SparkSession, states: bytes):
+    load = shared(spark, states)
+    loaded: list[Automaton] = []
 
     def match(texts: list[bytes | None]) -> list[tuple]:
-        a, found = load(), []
+        if not loaded:
+            loaded.append(Automaton(**pickle.loads(load())))
+        a, found = loaded[0], []
         for text in texts:
             m = a.match(words_of(text))
             edges = np.flatnonzero(np.diff(np.concatenate(([0], m.hit.astype(np.int8), [0]))))
@@ -205,24 +239,47 @@ def find_overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard
     ``spans`` holds start and end word of each maximal stretch of hit words, in turn; ``items`` the
     ids (as text, in order) of items with a window in the text. Null and empty texts have no words,
     items without words no windows. A column of that name in ``docs`` is replaced.
+
+    If there are several automata, ``docs`` is written with a number for each row, the hits of each automaton
+    are written before the next one is loaded, and all are merged by row: the driver and each task hold one
+    automaton at a time.
     """
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c.lower() != "overlap"]
-    names: list[str] = []
-    for shard in _shards(items, shard_bytes):
-        name = fresh(docs, f"_overlap{len(names)}")
-        docs = docs.withColumn(name, _matcher(spark, Automaton.of(shard, window))("text"))
-        names.append(name)
-    if len(names) == 1:
-        found = F.col(names[0])
-    else:
-        spans = by_text(_union_spans, T.ArrayType(T.IntegerType()))
-        found = F.struct(
-            F.col(names[0])["n_words"].alias("n_words"),
-            spans(F.concat_ws(";", *[F.concat_ws(",", F.transform(F.col(n)["spans"], lambda x: x.cast("string"))) for n in names])).alias("spans"),
-            F.array_sort(F.array_distinct(F.concat(*[F.col(n)["items"] for n in names]))).alias("items"),
-        )
-    return docs.select(*[F.col(f"`{c}`") for c in kept], found.alias("overlap"))
+    automata = _automata(items, window, shard_bytes)
+    numbers = [r.number for r in automata.select("number").orderBy("number").collect()]
+
+    def matcher(number: int):
+        return _matcher(spark, bytes(automata.filter(F.col("number") == number).first()["states"]))
+
+    if len(numbers) < 2:
+        match = matcher(numbers[0]) if numbers else _matcher(spark, pickle.dumps(Automaton.of([], window).__dict__))
+        discard(automata)
+        return docs.select(*[F.col(f"`{c}`") for c in kept], match("text").alias("overlap"))
+    row = fresh(docs, "_row")
+    keyed = stable(docs.select(*[F.col(f"`{c}`") for c in kept], F.monotonically_increasing_id().alias(row)))
+    parts = []
+    for number in numbers:
+        m = keyed.select(F.col(row).alias("row"), matcher(number)("text").alias("m")).filter(F.size("m.spans") > 0)
+        parts.append(stable(m.select("row", "m.spans", "m.items")))
+    discard(automata)
+    text = F.concat_ws(",", F.transform("spans", lambda x: x.cast("string")))
+    spans = by_text(_union_spans, T.ArrayType(T.IntegerType()))
+    merged = (
+        reduce(DataFrame.unionAll, parts)
+        .groupBy("row")
+        .agg(F.concat_ws(";", F.collect_list(text)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    )
+    hits = stable(merged.select(F.col("row").alias(row), F.struct(spans("spans").alias("spans"), "items").alias("_hits")))
+    discard(*parts)
+    hit = fresh(docs, "_hits")
+    n_words = by_text(lambda texts: [len(words_of(t)) for t in texts], T.LongType())
+    found = F.struct(
+        n_words("text").alias("n_words"),
+        F.coalesce(F.col(hit)["spans"], F.array().cast("array<int>")).alias("spans"),
+        F.coalesce(F.col(hit)["items"], F.array().cast("array<string>")).alias("items"),
+    )
+    return keyed.join(hits.withColumnRenamed("_hits", hit), row, "left").select(*[F.col(f"`{c}`") for c in kept], found.alias("overlap"))
 
 
 def _union_spans(rows: list[bytes | None]) -> list[list[int]]:

@@ -85,6 +85,28 @@ def test_odd_rows_and_several_automata(spark, shard_bytes):
     assert none.filter("size(overlap.spans) > 0").count() == 0
 
 
+@pytest.mark.parametrize("window", [4, 10])
+def test_automata_are_bounded_by_words(spark, monkeypatch, window):
+    """Items over the bound are cut with all their windows; no automaton has more than two states a word."""
+    monkeypatch.setattr(dc, "SHARD_WORDS", 40)
+    r = random.Random(2)
+    long = [llm_cases.prose(r, 300) for _ in range(3)]
+    items = [(i, x) for i, x in enumerate(long)] + [(10 + i, llm_cases.prose(r, 8)) for i in range(20)]
+    benchmark = spark.createDataFrame([(*x, "n") for x in items], ITEMS)
+    states = [row.n_states for row in dc._automata(benchmark, window, dc.SHARD_BYTES).collect()]
+    assert len(states) > 20 and max(states) <= 2 * 40 + 1
+    at = [w.split() for w in long]
+    docs = [(k, "x " + " ".join(at[k % 3][5 * k : 5 * k + 30]) + " y " + items[3 + k % 20][1]) for k in range(50)] + [(99, None)]
+    found = dc.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), benchmark, window).collect()
+    one = dc.Automaton.of([(str(i), dc.words_of(x.encode())) for i, x in items], window)
+    assert len(found) == 51
+    for row in found:
+        m = one.match(dc.words_of((row.text or "").encode()))
+        hit = {w for a, b in zip(row.overlap.spans[::2], row.overlap.spans[1::2]) for w in range(a, b)}
+        assert (row.overlap.n_words, hit) == (m.n_words, set(m.hit.nonzero()[0].tolist()))
+        assert row.overlap["items"] == sorted({one.ids[i] for i in m.items})
+
+
 def test_removal(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
     clean = "Nothing here,  to see.\n\tReally! " * 5

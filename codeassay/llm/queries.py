@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from codeassay.llm import chat_repair, decontaminate, exact_dedup, host_rules, line_dedup, maxent, mixing, page_diff, partenum, qda, token_files
+from codeassay.llm import chat_repair, decontaminate, exact_dedup, filter_audit, host_rules, line_dedup, maxent, mixing, page_diff, partenum, qda, token_files
 
 QUERIES = {
     "op1_page_diff": page_diff.op1_page_diff,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_jaccard_join": partenum.op9_jaccard_join,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
     "op13_exact_dedup": exact_dedup.op13_exact_dedup,
     "pipeline": corpus_pipeline.run,
 }
@@ -24,5 +25,6 @@ ORACLES = {
     "op5_decontaminate": decontaminate.SQL,
     "op8_mixing": mixing.SQL,
     "op10_line_dedup": line_dedup.SQL,
+    "op11_filter_audit": filter_audit.SQL,
     "op13_exact_dedup": exact_dedup.SQL,
 }

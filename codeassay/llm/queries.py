@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from codeassay.llm import chat_repair, decontaminate, exact_dedup, filter_audit, host_rules, line_dedup, maxent, mixing, page_diff, partenum, qda, token_files
+from codeassay.llm import chat_repair, decontaminate, exact_dedup, filter_audit, host_rules, line_dedup, maxent, mixing, page_diff, partenum, qda, spelling, token_files
 
 QUERIES = {
     "op1_page_diff": page_diff.op1_page_diff,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_jaccard_join": partenum.op9_jaccard_join,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
     "op13_exact_dedup": exact_dedup.op13_exact_dedup,
     "pipeline": corpus_pipeline.run,
 }

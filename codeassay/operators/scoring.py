@@ -54,11 +54,11 @@ def effective_rules(task_specs: DataFrame) -> DataFrame:
     return task_specs.select("task_id", F.inline(F.array(*rows)))
 
 
-def rule_weights(task_specs: DataFrame) -> DataFrame:
+def rule_weights(task_specs: DataFrame, *further: Column) -> DataFrame:
     """One row per task, in place: its signature text and eight weight columns ``w_<rule>``."""
     _, signature = _given_rule("signature_compliance")
     return task_specs.select(
-        "task_id", signature.alias("signature"), *[_given_rule(r)[0].alias(f"w_{r}") for r in DEFAULT_RULES]
+        "task_id", *further, signature.alias("signature"), *[_given_rule(r)[0].alias(f"w_{r}") for r in DEFAULT_RULES]
     )
 
 

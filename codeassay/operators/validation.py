@@ -56,21 +56,22 @@ _VERDICTS = (
     ("timeout", "Pytest execution timed out"),
     ("verification_failed", "One or more pytest tests failed"),
 )
-_PASSED, _NO_TESTS = len(_VERDICTS), len(_VERDICTS) + 1
+PASSED, NO_TESTS = len(_VERDICTS), len(_VERDICTS) + 1
 
 
-def _verdict_code() -> Column:
+def verdict_code() -> Column:
     outcome = F.col("outcome")
     return (
         F.when(outcome == "crash", F.lit(0))
         .when(outcome == "timeout", F.lit(1))
-        .when(outcome == "passed", F.lit(_PASSED))
+        .when(outcome == "passed", F.lit(PASSED))
         .otherwise(F.lit(2))
     )
 
 
-def _decode(code: Column) -> dict[str, Column]:
-    passed = F.coalesce(code == _PASSED, F.lit(False))
+def verdict_columns(code: Column) -> dict[str, Column]:
+    """passed, error_type and error_message of a verdict code; a null code stands for no tests."""
+    passed = F.coalesce(code == PASSED, F.lit(False))
     error, message = F.when(passed, F.lit(None).cast("string")), F.when(passed, F.lit(""))
     for at, (kind, text) in enumerate(_VERDICTS):
         error, message = error.when(code == at, F.lit(kind)), message.when(code == at, F.lit(text))
@@ -89,7 +90,7 @@ def test_verdicts(outcomes: DataFrame, keys: DataFrame | None = None) -> DataFra
     """
     folded = (
         outcomes.groupBy("response_id", "subject")
-        .agg(F.min(_verdict_code()).alias("_code"), F.count(F.lit(1)).alias("tests"))
+        .agg(F.min(verdict_code()).alias("_code"), F.count(F.lit(1)).alias("tests"))
     )
     if keys is not None:
         bare = (
@@ -98,7 +99,15 @@ def test_verdicts(outcomes: DataFrame, keys: DataFrame | None = None) -> DataFra
             .select("response_id", F.lit("modified").alias("subject"), F.lit(None).cast("int").alias("_code"), F.lit(0).cast("long").alias("tests"))
         )
         folded = folded.unionByName(bare)
-    return folded.withColumns(_decode(F.col("_code"))).drop("_code")
+    return folded.withColumns(verdict_columns(F.col("_code"))).drop("_code")
+
+
+def regression_details(modified: Column) -> Column:
+    """What a report says of a regression, from the verdict code of the modified file."""
+    return F.concat(
+        F.lit("Reference solution passes tests but modified solution fails. Modified error: "),
+        verdict_columns(modified)["error_message"],
+    )
 
 
 def regressions(outcomes: DataFrame) -> DataFrame:
@@ -107,23 +116,19 @@ def regressions(outcomes: DataFrame) -> DataFrame:
     A response without reference outcomes is skipped (false).
     """
     def code(subject: str) -> Column:
-        return F.min(F.when(F.col("subject") == subject, _verdict_code()))
+        return F.min(F.when(F.col("subject") == subject, verdict_code()))
 
     folded = outcomes.groupBy("response_id").agg(
         code("reference").alias("_reference"), code("modified").alias("_modified")
     )
-    modified = _decode(F.col("_modified"))
-    regressed = F.coalesce(F.col("_reference") == _PASSED, F.lit(False)) & ~modified["passed"]
-    details = F.concat(
-        F.lit("Reference solution passes tests but modified solution fails. Modified error: "),
-        modified["error_message"],
-    )
+    modified = verdict_columns(F.col("_modified"))
+    regressed = F.coalesce(F.col("_reference") == PASSED, F.lit(False)) & ~modified["passed"]
     return folded.select(
         "response_id",
-        F.coalesce(F.col("_reference") == _PASSED, F.lit(False)).alias("reference_passed"),
+        F.coalesce(F.col("_reference") == PASSED, F.lit(False)).alias("reference_passed"),
         modified["passed"].alias("modified_passed"),
         regressed.alias("regression_detected"),
-        F.when(regressed, details).otherwise(F.lit("")).alias("regression_details"),
+        F.when(regressed, regression_details(F.col("_modified"))).otherwise(F.lit("")).alias("regression_details"),
     )
 
 
@@ -158,7 +163,7 @@ def stage_results(programs: DataFrame, verdicts: DataFrame, allowed: Iterable[st
             F.when(~passed, message).otherwise(F.lit("")).alias("error_message"),
         )
 
-    untested = _decode(F.lit(None).cast("int"))
+    untested = verdict_columns(F.lit(None).cast("int"))
     stages = F.array(
         row("syntax", F.col("syntax_passed"), F.col("error_type"), F.col("error_message")),
         row("imports", F.size("missing") == 0, F.lit("import_error"), F.concat(F.lit("Missing module: "), first)),

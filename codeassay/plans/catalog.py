@@ -10,11 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from codeassay.operators import batch, diffs, extract, report, runs, scoring, validation
+from codeassay.operators import batch, diffs, extract, judging, report, runs, scoring, validation
 from codeassay.plans import corpus
-from codeassay.schemas import DEFAULT_RULES
+from codeassay.schemas import DEFAULT_RULES, RUN_ARTIFACTS, SCORING_RESULT
 from codeassay.session import scratch_path
-from codeassay.sources import results, tasks
+from codeassay.sources import records, results, tasks
 from codeassay.streaming import jobs, scoring as scoring_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,20 +52,20 @@ def _answers(spark: SparkSession, sf: str) -> DataFrame:
     return _extracted(spark, sf).withColumn("content", F.when(F.col("success"), F.col("content")))
 
 
-def _reports(spark: SparkSession, sf: str) -> DataFrame:
-    return validation.validation_reports(corpus.stage_results(corpus.attempts(spark, sf)))
+def _tasks(spark: SparkSession, sf: str) -> DataFrame:
+    specs = tasks.parse_task_specs(corpus.specs(spark, sf))
+    return judging.task_rules(specs.filter("status = 'valid'"))
 
 
-def _attempts_with_reports(spark: SparkSession, sf: str) -> DataFrame:
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    """Executed attempts, judged by their own code, their tests and their task's limits and rules."""
     base = corpus.attempts(spark, sf)
-    return runs.with_reports(base, validation.validation_reports(corpus.stage_results(base)))
+    return judging.judge(base, corpus.attempt_tests(base), corpus.TEMPLATE, sys.stdlib_module_names, _tasks(spark, sf))
 
 
-def _scores(spark: SparkSession, sf: str) -> DataFrame:
-    base = corpus.attempts(spark, sf)
-    regressed = validation.regressions(corpus.test_outcomes(spark, sf)).withColumnRenamed("response_id", "run_id")
-    reports = validation.validation_reports(corpus.stage_results(base))
-    return runs.run_scores(base, reports, regressed, corpus.TEMPLATE)
+def _line_diffs(spark: SparkSession, sf: str) -> DataFrame:
+    carried = diffs.carried_content(corpus.attempts(spark, sf), corpus.TEMPLATE)
+    return diffs.diff_measures(carried).select("run_id", "iteration", "lines_changed")
 
 
 def _clean_users(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,29 +102,86 @@ def task_catalog(spark, sf):
     return tasks.available_tasks(corpus.task_files(spark, sf))
 
 
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    task_rules = _tasks(spark, sf)
+    kept = judging.within_limits(corpus.attempts(spark, sf), task_rules).select("run_id", "iteration", "output")
+    return records.run_records(_judged(spark, sf), kept, F.lit(corpus.TEMPLATE))
+
+
 @query
 def attempt_explode(spark, sf):
-    nested = results.assemble_runs(runs.executed(_attempts_with_reports(spark, sf)))
-    return results.explode_attempts(nested)
+    return records.explode_records(_records(spark, sf))
+
+
+def _shown_attempts(runs_read: DataFrame) -> DataFrame:
+    """Every field of whole run records, a row per attempt."""
+    whole = runs_read.select("*", F.explode("execution_attempts").alias("a"))
+    report = F.col("a.validation_report")
+    shown = F.transform(
+        report["stages"],
+        lambda s: F.concat_ws(
+            ",", s["stage"], s["passed"].cast("string"), F.coalesce(s["error_type"], F.lit("-")), s["error_message"],
+            F.array_join(F.array_sort(F.transform(F.map_entries(s["details"]), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";"),
+        ),
+    )
+    return whole.select(
+        "run_id",
+        "timestamp",
+        "task_id",
+        "task_name",
+        "model_name",
+        "a.iteration",
+        F.col("a.timestamp").alias("attempt_timestamp"),
+        F.sha2("a.model_output_raw", 256).alias("output_sha256"),
+        "a.duration_seconds",
+        "a.success",
+        report["overall_passed"].alias("overall_passed"),
+        joined(shown).alias("stages"),
+        report["regression_detected"].alias("regression_detected"),
+        report["regression_details"].alias("regression_details"),
+        report["original_template_hash"].alias("original_template_hash"),
+        report["modified_template_hash"].alias("modified_template_hash"),
+        *[F.col(f"scoring.{f}").alias(f"scored_{f}") for f in SCORING_RESULT.names],
+        *[F.col(f"artifacts.{f}").alias(f"artifact_{f}") for f in RUN_ARTIFACTS.names],
+        "runtime_logs",
+        "notes",
+    )
 
 
 @query
 def run_results_roundtrip(spark, sf):
-    nested = results.assemble_runs(runs.executed(_attempts_with_reports(spark, sf)))
+    """Whole records written and read back, each field compared."""
+    path = scratch_path(spark, "runs")
+    records.commit_runs(_records(spark, sf), path, "c1")
+    return _shown_attempts(records.read_runs(spark, path))
+
+
+@query
+def run_reports_roundtrip(spark, sf):
+    """The reports that are committed beside the records."""
     path = scratch_path(spark, "runs")
-    results.write_run_results(nested, path)
-    back = results.read_run_results(spark, path)
-    last = F.element_at("execution_attempts", -1)
-    return back.select(
+    records.commit_runs(_records(spark, sf), path, "c1")
+    report = F.col("validation_report")
+    return records.read_reports(spark, path).select(
         "run_id",
-        "task_id",
-        "model",
-        F.size("execution_attempts").alias("attempts"),
-        last["success"].alias("task_success"),
-        F.size(last["stages"]).alias("last_stages"),
+        report["overall_passed"].alias("overall_passed"),
+        F.size(report["stages"]).alias("stages"),
+        report["regression_details"].alias("regression_details"),
+        report["modified_template_hash"].alias("modified_template_hash"),
     )
 
 
+@query
+def run_results_rejects(spark, sf):
+    """Broken lines of a store, next to good ones, which stay readable."""
+    path = scratch_path(spark, "runs")
+    lines = corpus.table(spark, sf, "documents").selectExpr(*corpus.RUN_LINES)
+    lines.write.partitionBy("kind", "task_id", "model_name").text(f"{path}/commit=c1")
+    good = records.read_runs(spark, path).select("run_id", F.lit(None).cast("string").alias("line"), F.lit("good").alias("status"))
+    bad = records.rejected_runs(spark, path).select(F.lit(None).cast("string").alias("run_id"), "line", F.col("reason").alias("status"))
+    return good.unionByName(bad)
+
+
 @query
 def batch_results_roundtrip(spark, sf):
     path = scratch_path(spark, "batch")
@@ -314,22 +371,30 @@ def validation_pipeline(spark, sf):
 
 @query
 def validation_report(spark, sf):
+    """Reports of executed attempts."""
     stages = F.transform("stages", lambda s: s["stage"])
-    return _reports(spark, sf).select(
-        "run_id", "iteration", "overall_passed", "verification_passed", joined(stages).alias("stages"), "error_type"
-    )
+    return _judged(spark, sf).select(
+        "run_id", "iteration", F.col("success").alias("overall_passed"), "verification_passed",
+        joined(stages).alias("stages"), "error_type", "error_message",
+    )
 
 
 @query
 def regression_join(spark, sf):
+    """Regressions of final attempts: looked for behind three passed stages only."""
+    final = _judged(spark, sf).filter("is_final")
+    return final.select("run_id", "iteration", "success", "regression_detected", "regression_details")
+
+
+@query
+def response_regressions(spark, sf):
+    """Regressions of single responses with tests, whatever their stages say."""
     return validation.regressions(corpus.test_outcomes(spark, sf))
 
 
 @query
 def error_type_mix(spark, sf):
-    return validation.error_type_mix(
-        runs.executed(_attempts_with_reports(spark, sf)).withColumnRenamed("success", "overall_passed")
-    )
+    return validation.error_type_mix(_judged(spark, sf).withColumnRenamed("success", "overall_passed"))
 
 
 # --- runs -------------------------------------------------------------------
@@ -337,37 +402,37 @@ def error_type_mix(spark, sf):
 
 @query
 def final_attempt(spark, sf):
-    final = runs.final_attempts(_attempts_with_reports(spark, sf))
-    return final.select("run_id", "iteration", "success", "error_type")
+    return _judged(spark, sf).filter("is_final").select("run_id", "iteration", "success", "error_type")
 
 
 @query
 def iterations_required(spark, sf):
-    return runs.iterations_required(_attempts_with_reports(spark, sf))
+    """Under each task's own limit."""
+    final = _judged(spark, sf).filter("is_final")
+    return final.select("run_id", F.col("iteration").alias("iterations_required"), F.col("success").alias("task_success"))
 
 
 @query
 def run_duration(spark, sf):
-    return runs.run_duration(_attempts_with_reports(spark, sf))
+    return runs.run_duration(_judged(spark, sf), sys.maxsize)
 
 
 @query
 def run_scores(spark, sf):
-    return _scores(spark, sf)
+    return judging.run_scores(_judged(spark, sf), _line_diffs(spark, sf))
 
 
 @query
 def leaderboard(spark, sf):
-    return runs.leaderboard(_scores(spark, sf))
+    return runs.leaderboard(judging.run_scores(_judged(spark, sf)))
 
 
 @query
 def prompt_assembly(spark, sf):
-    own_task = F.concat(F.lit("task_"), F.col("run_id").cast("string"))
-    base = corpus.attempts(spark, sf).withColumn("task_id", own_task)
-    return runs.prompts(base, corpus.prompt_tasks(spark, sf)).select(
-        "run_id", "iteration", "prompt", "status"
-    )
+    """Prompts of the attempts that the loop runs."""
+    ran = _judged(spark, sf).select("run_id", "iteration")
+    base = corpus.attempts(spark, sf).join(ran, ["run_id", "iteration"], "left_semi")
+    return runs.prompts(base, corpus.prompt_tasks(spark, sf)).select("run_id", "iteration", "prompt", "status")
 
 
 @query

@@ -83,12 +83,15 @@ RESPONSES = [
 #: Responses with the prompt each was made for.
 PROMPTED = [*RESPONSES, "'Fix the ' || source || ' report.' || chr(10) || text as prompt"]
 
-# The text stands inside the fence, as comment lines that carry the turn: no two attempts share one.
+# The text stands inside the fence, as comment lines that carry the turn: no two attempts share one. Some
+# code doesn't parse, some imports what there is not.
 _TURN_MARK = "'# ' || cast(turn as string) || ': '"
 _ATTEMPT_OUTPUT = (
-    "case when (run_id + iteration) % 4 = 0 then '' else "
-    + _lines("```python", _DEF)
-    + f" || chr(10) || '    x = ' || cast(turn as string) || chr(10) || {_TURN_MARK} || "
+    "case when (run_id + iteration) % 4 = 0 then '' else '```python' || chr(10) || "
+    "case when outcome = 2 then 'import pkg_' || cast(turn as string) || chr(10) else '' end || "
+    + _lines(_DEF)
+    + " || chr(10) || case when outcome = 1 then '    x = = ' else '    x = ' end"
+    + f" || cast(turn as string) || chr(10) || {_TURN_MARK} || "
     + f"replace(text, chr(10), chr(10) || {_TURN_MARK}) || chr(10) || "
     + _lines("    return str(x)", "```")
     + " end"
@@ -102,25 +105,32 @@ _TURNS = [
 ]
 ATTEMPTS = [
     "run_id",
-    "'task_01' as task_id",
+    "'task_' || cast(run_id % 150 as string) as task_id",
     f"{_MODEL.format('run_id')} as model",
     "iteration",
     "outcome",
     f"{_ATTEMPT_OUTPUT} as output",
     "duration_seconds",
+    "'2024-01-' || right('0' || cast(run_id % 28 + 1 as string), 2) || 'T00:' || right('0' || cast(turn % 60 as string), 2) || ':00' as timestamp",
 ]
-_STAGE_RESULTS = [
+#: Test outcomes of attempts: of the modified file, the reference solution and a rerun of the modified file.
+#: Some attempts have no tests, some tasks no reference, some runs no rerun.
+_ATTEMPT_TESTS = [
     "run_id",
     "iteration",
-    "stage",
-    "stage_ord",
-    "not ((outcome = 1 and stage_ord = 1) or (outcome = 2 and stage_ord = 2) "
-    "or (outcome in (1, 3, 4) and stage_ord = 3)) as passed",
-    "case when outcome = 1 and stage_ord = 1 then 'syntax_error' "
-    "when outcome = 2 and stage_ord = 2 then 'import_error' "
-    "when outcome in (1, 3) and stage_ord = 3 then 'verification_failed' "
-    "when outcome = 4 and stage_ord = 3 then 'timeout' end as error_type",
+    "subject",
+    "test_id",
+    "case when subject = 'modified' and test_id = 2 and outcome = 3 then 'failed' "
+    "when subject = 'modified' and test_id = 2 and outcome = 4 then 'timeout' "
+    "when subject = 'modified' and test_id = 3 and (run_id + iteration) % 13 = 0 then 'crash' "
+    "when subject = 'reference' and test_id = 1 and run_id % 6 = 1 then 'failed' "
+    "when subject = 'rerun' and test_id = 3 and (run_id + iteration) % 3 = 0 "
+    "then case when run_id % 2 = 0 then 'failed' else 'timeout' end else 'passed' end as outcome",
 ]
+_HAS_TESTS = (
+    "(run_id * 3 + iteration) % 11 <> 0 and not (subject = 'reference' and run_id % 7 = 3) "
+    "and not (subject = 'rerun' and run_id % 5 = 0)"
+)
 _TEST_OUTCOMES = [
     "doc_id as response_id",
     "subject",
@@ -205,7 +215,8 @@ def _spec_json() -> str:
     name = "case when doc_id % 12 = 3 then '42' else '\"Task ' || cast(doc_id as string) || '\"' end"
     workflow = "case when doc_id % 12 = 1 then '' else ', \"workflow\": \"bugfix\"' end"
     config = (
-        "case doc_id % 12 when 4 then '' when 6 then ', \"execution_config\": {\"max_iterations\": 5, \"x\": 1}' "
+        "case doc_id % 12 when 0 then ', \"execution_config\": {\"max_iterations\": 2}' when 4 then '' "
+        "when 6 then ', \"execution_config\": {\"max_iterations\": 5, \"x\": 1}' when 9 then ', \"execution_config\": {\"max_iterations\": 1}' "
         "when 10 then ', \"execution_config\": {\"max_iterations\": \"many\"}' "
         "else ', \"execution_config\": {\"timeout_seconds\": ' || cast(n_chars as string) || '}' end"
     )
@@ -230,6 +241,16 @@ PROMPT_TASKS = [
     "case when doc_id % 3 > 0 then 'def generate_user_report(users):' || chr(10) || '    return \"\"' || chr(10) end as reference_text",
 ]
 
+# Lines of a run store, one per document with its whole text: good, cut off, of another type, without an id.
+_LINE_HEAD = "'{\"run_id\": \"r' || cast(doc_id as string) || '\", \"notes\": \"' || " + _ESCAPED
+RUN_LINES = [
+    "'result' as kind",
+    "'task_' || cast(doc_id % 10 as string) as task_id",
+    f"{_MODEL.format('doc_id')} as model_name",
+    f"case doc_id % 4 when 0 then {_LINE_HEAD} || '\"}}' when 1 then {_LINE_HEAD} when 2 then {_LINE_HEAD} || '\", \"execution_attempts\": 7}}' "
+    "else '{\"notes\": \"' || " + _ESCAPED + " || '\"}' end as value",
+]
+
 # Files present in each task folder; one folder per document.
 _TASK_FILE_PRESENT = (
     "not (doc_id % 7 = 1 and file = 'template.py') and not (doc_id % 5 = 2 and file = 'reference.py') "
@@ -242,7 +263,6 @@ def _select(columns: list[str], source: str) -> str:
     return f"select {', '.join(columns)} from {source}"
 
 
-_STAGE_VALUES = (("syntax", 1), ("imports", 2), ("tests", 3))
 RESPONSES_SQL = _select(RESPONSES, "documents")
 PROMPTED_SQL = _select(PROMPTED, "documents")
 TURNS_SQL = _select(_TURNS, "conversations where role = 'assistant'")
@@ -250,8 +270,10 @@ ATTEMPTS_SQL = _select(
     ATTEMPTS,
     f"(select *, cast(row_number() over (partition by run_id order by turn) as int) as iteration from ({TURNS_SQL}) t) a",
 )
-STAGE_RESULTS_SQL = _select(
-    _STAGE_RESULTS, "attempts cross join (values ('syntax', 1), ('imports', 2), ('tests', 3)) as s(stage, stage_ord)"
+ATTEMPT_TESTS_SQL = _select(
+    _ATTEMPT_TESTS,
+    "attempts cross join (values ('modified'), ('reference'), ('rerun')) as s(subject) "
+    f"cross join (values (1), (2), (3)) as t(test_id) where {_HAS_TESTS}",
 )
 TEST_OUTCOMES_SQL = _select(
     _TEST_OUTCOMES,
@@ -299,9 +321,11 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal(turns, "run_id", "turn", "iteration").selectExpr(*ATTEMPTS)
 
 
-def stage_results(attempts_df: DataFrame) -> DataFrame:
-    stages = F.array(*[F.struct(F.lit(s).alias("stage"), F.lit(o).alias("stage_ord")) for s, o in _STAGE_VALUES])
-    return attempts_df.select("run_id", "iteration", "outcome", F.inline(stages)).selectExpr(*_STAGE_RESULTS)
+def attempt_tests(attempts_df: DataFrame) -> DataFrame:
+    subjects = F.explode(F.array(F.lit("modified"), F.lit("reference"), F.lit("rerun"))).alias("subject")
+    tests = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("test_id")
+    listed = attempts_df.select("run_id", "iteration", "outcome", subjects).select("*", tests)
+    return listed.filter(_HAS_TESTS).selectExpr(*_ATTEMPT_TESTS)
 
 
 def test_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:

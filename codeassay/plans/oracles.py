@@ -321,14 +321,17 @@ ORACLES["rules_effective"] = with_views(
       as task_id, rule, kind, weight, check_for
       from rules join (select folder, o from rule_maps) m on m.folder = rules.task_id""",
 )
+WIDE_RULES = {
+    **RULES,
+    "wide": "select task_id, max(check_for) filter (rule = 'signature_compliance') as sig, "
+    + ", ".join(f"max(weight) filter (rule = '{r}') as w_{r}" for r in DEFAULT_RULES)
+    + " from (select coalesce(json_extract_string(m.o, '$.task_id'), r.task_id) as task_id, rule, weight, check_for"
+    " from rules r join rule_maps m on m.folder = r.task_id) q group by task_id",
+}
 ORACLES["compliance_score_by_task"] = with_views(
     {
         **EXTRACTED,
-        **RULES,
-        "wide": "select task_id, max(check_for) filter (rule = 'signature_compliance') as sig, "
-        + ", ".join(f"max(weight) filter (rule = '{r}') as w_{r}" for r in DEFAULT_RULES)
-        + " from (select coalesce(json_extract_string(m.o, '$.task_id'), r.task_id) as task_id, rule, weight, check_for"
-        " from rules r join rule_maps m on m.folder = r.task_id) q group by task_id",
+        **WIDE_RULES,
         "own": f"""select e.response_id, e.success, e.content, coalesce(w.sig, {SIGNATURE}) as sig, """
         + ", ".join(f"coalesce(w.w_{r}, {DEFAULT_WEIGHTS[r]}) as w_{r}" for r in DEFAULT_RULES)
         + " from extracted e left join wide w on w.task_id = 'task_' || cast(e.response_id as varchar)",
@@ -378,74 +381,136 @@ ORACLES["patch_size"] = with_views(
     cast(case when new_content is null then 0 else abs(length(new_content) - length(before)) end as int) as bytes_changed,
     sha256(before) as original_hash, coalesce(sha256(new_content), '') as modified_hash from patched""",
 )
-# Known line diffs. Template against an answer: one shared line, then two lines replaced by two.
-# Two answers differ in their second line, or not at all.
-# Between the shared first line and, after the first write, the shared last one nothing is common.
+# Known line diffs. An answer shares its function line with the template, and its last line with other answers; what
+# stands before and between them is replaced as a whole, an import line first.
 _DIFFS = {
     **WRITTEN,
     "blocks": """select run_id, iteration, new_content is not null and new_content <> before as changed, old_content is null as fresh,
-      len(string_split(new_content, chr(10))) as n_new, len(string_split(old_content, chr(10))) as n_old from patched""",
+      len(string_split(new_content, chr(10))) as n_new, len(string_split(old_content, chr(10))) as n_old,
+      coalesce(starts_with(new_content, 'import '), false)::int as top_new, coalesce(starts_with(old_content, 'import '), false)::int as top_old
+      from patched""",
     "diffs": """select run_id, iteration, case when not changed then 0 when fresh then n_new - 1 else n_new - 2 end as added,
       case when not changed then 0 when fresh then 2 else n_old - 2 end as deleted,
+      case when not changed then 0 when fresh then top_new + greatest(n_new - 1 - top_new, 2)
+        else greatest(top_new, top_old) + greatest(n_new - 2 - top_new, n_old - 2 - top_old) end as touched,
       case when not changed then 0 when fresh then 4 else 5 end as around from blocks""",
 }
-ORACLES["lines_changed"] = with_views(
-    _DIFFS, "select run_id, iteration, cast(greatest(added, deleted) as int) as lines_changed from diffs"
-)
+ORACLES["lines_changed"] = with_views(_DIFFS, "select run_id, iteration, cast(touched as int) as lines_changed from diffs")
 ORACLES["diff_summary"] = with_views(
     _DIFFS,
     """select run_id, iteration, cast(added as int) as lines_added, cast(deleted as int) as lines_deleted,
     cast(added + deleted as int) as lines_touched, cast(added + deleted + around as int) as diff_lines from diffs""",
 )
 
-REPORTS = {
-    **ATTEMPTS,
-    "stage_results": corpus.STAGE_RESULTS_SQL,
-    "present": """select * from (select *, coalesce(sum(case when passed then 0 else 1 end) over (partition by run_id, iteration
-      order by stage_ord rows between unbounded preceding and 1 preceding), 0) as failed_before from stage_results) s
-      where failed_before = 0""",
-    "reports": """select run_id, iteration, count(*) filter (passed) = 3 as overall_passed,
-      coalesce(bool_or(passed) filter (stage = 'tests'), false) as verification_passed,
-      string_agg(stage, '|' order by stage_ord) as stages, max(error_type) as error_type, count(*) as n_stages
-      from present group by run_id, iteration""",
-    "judged": """select a.*, r.overall_passed as success, r.verification_passed, r.error_type, r.n_stages
-      from attempts a join reports r on r.run_id = a.run_id and r.iteration = a.iteration""",
-    "limited": """select *, coalesce(min(case when success then iteration end) over (partition by run_id),
-      max(iteration) over (partition by run_id)) as final_iteration from judged where iteration <= 3""",
-    "executed": "select * from limited where iteration <= final_iteration",
+def _of_code(code: str, *values: str) -> str:
+    """What a verdict code stands for: crash, timeout, failed tests, passed, no tests."""
+    return f"case coalesce({code}, 4) " + " ".join(f"when {k} then {text(v)}" for k, v in enumerate(values)) + " end"
+
+
+_CODE = "min(case outcome when 'crash' then 0 when 'timeout' then 1 when 'passed' then 3 else 2 end)"
+_ERRORS = ("runtime_crash", "timeout", "verification_failed")
+_MESSAGES = ("Failed to execute pytest", "Pytest execution timed out", "One or more pytest tests failed", "", "Test directory not found")
+# What code parses and imports is read off its text: `x = = ` doesn't parse, and only missing packages are imported.
+JUDGED = {
+    **WIDE_RULES,
+    "tasks": """select json_extract_string(o, '$.task_id') as task_id, json_extract_string(o, '$.name') as task_name,
+      coalesce(try_cast(json_extract_string(o, '$.execution_config.max_iterations') as int), 3) as task_limit
+      from objects where problems = ''""",
+    "all_attempts": corpus.ATTEMPTS_SQL,
+    "attempts": f"""select a.*, t.task_name, coalesce(w.sig, {SIGNATURE}) as sig, """
+    + ", ".join(f"coalesce(w.w_{r}, {DEFAULT_WEIGHTS[r]}) as w_{r}" for r in DEFAULT_RULES)
+    + """ from all_attempts a left join tasks t on t.task_id = a.task_id left join wide w on w.task_id = a.task_id
+      where a.iteration <= coalesce(t.task_limit, 3)""",
+    **{k: v for k, v in WRITTEN.items() if k != "attempts"},
+    "outcomes": corpus.ATTEMPT_TESTS_SQL,
+    "folded": f"""select run_id, iteration, count(*) filter (subject = 'modified') as tests, {_CODE} filter (subject = 'modified') as modified,
+      {_CODE} filter (subject = 'reference') as reference, {_CODE} filter (subject = 'rerun') as rerun from outcomes group by run_id, iteration""",
+    "audited": r"""select *, not contains(current, '    x = = ') as p1, regexp_extract(current, '^import (pkg_[0-9]+)', 1) as missing,
+      len(regexp_split_to_array(regexp_replace(current, '\n$', ''), '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]')) as n_lines
+      from (select *, coalesce(new_content, before) as current from patched) c""",
+    "staged": """select a.*, coalesce(f.tests, 0) as tests, f.modified, f.reference, f.rerun, p1 and missing = '' as p2,
+      p1 and missing = '' and coalesce(f.modified, 4) = 3 as p3
+      from audited a left join folded f on f.run_id = a.run_id and f.iteration = a.iteration""",
+    "ran": """select * from (select *, coalesce(bool_or(p3) over (partition by run_id order by iteration
+      rows between unbounded preceding and 1 preceding), false) as earlier from staged) s where not earlier""",
+    "compliance": f"select *, cast(greatest(0, least(10, {raw_score({r: f'w_{r}' for r in DEFAULT_RULES})})) as int) as compliance_score "
+    f"from (select *, {features('sig')} from (select * exclude (content, success), current as content from ran) r) f",
+    "executed": f"""select *, iteration = max(iteration) over (partition by run_id) as is_final, p3 as success,
+      case when not p1 then 'syntax' when not p2 then 'syntax|imports' else 'syntax|imports|tests' end as stage_names,
+      case when not p1 then 'syntax_error' when not p2 then 'import_error' when not p3 then {_of_code('modified', *_ERRORS, '', _ERRORS[2])} end as error_type,
+      case when not p1 then 'Line 2: invalid syntax' when not p2 then 'Missing module: ' || missing when not p3 then {_of_code('modified', *_MESSAGES)} else '' end
+        as error_message,
+      p3 and coalesce(reference, 4) = 3 and coalesce(rerun, modified) <> 3 as regression_detected,
+      case when p3 and coalesce(reference, 4) = 3 and coalesce(rerun, modified) <> 3
+        then 'Reference solution passes tests but modified solution fails. Modified error: ' || {_of_code('coalesce(rerun, modified)', *_MESSAGES)}
+        else '' end as regression_details,
+      round(sum(duration_seconds) over (partition by run_id order by iteration rows unbounded preceding), 6) as runtime_seconds,
+      cast(case when new_content is null then 0 else abs(length(new_content) - length(before)) end as int) as bytes_changed,
+      cast(length(coalesce(output, '')) as int) as model_output_length from compliance""",
+    "finals": "select * from executed where is_final",
 }
 ORACLES["validation_report"] = with_views(
-    REPORTS, "select run_id, iteration, overall_passed, verification_passed, stages, error_type from reports"
+    JUDGED,
+    """select run_id, iteration, success as overall_passed, success as verification_passed, stage_names as stages, error_type, error_message
+    from executed""",
 )
 ORACLES["error_type_mix"] = with_views(
-    REPORTS,
-    """select model, error_type, count(*) as attempts from executed where not success and error_type is not null
-    group by model, error_type""",
-)
-ORACLES["final_attempt"] = with_views(
-    REPORTS,
-    """select run_id, iteration, success, error_type from (select *, row_number() over (partition by run_id
-    order by iteration desc) as rn from executed) e where rn = 1""",
+    JUDGED, "select model, error_type, count(*) as attempts from executed where error_type is not null group by model, error_type"
 )
+ORACLES["final_attempt"] = with_views(JUDGED, "select run_id, iteration, success, error_type from finals")
 ORACLES["iterations_required"] = with_views(
-    REPORTS,
-    """select run_id, max(iteration) as iterations_required, bool_or(success) as task_success
-    from executed group by run_id""",
+    JUDGED, "select run_id, iteration as iterations_required, success as task_success from finals"
 )
 ORACLES["run_duration"] = with_views(
-    REPORTS,
-    """select run_id, count(*) as attempts, round(sum(duration_seconds), 6) as runtime_seconds
-    from executed group by run_id""",
+    JUDGED, "select run_id, count(*) as attempts, round(sum(duration_seconds), 6) as runtime_seconds from executed group by run_id"
 )
-ORACLES["attempt_explode"] = with_views(
-    REPORTS,
-    """select cast(e.run_id as varchar) as run_id, e.task_id, e.model, e.iteration, e.success, p.stage_ord, p.stage, p.passed, p.error_type
-    from executed e join present p on p.run_id = e.run_id and p.iteration = e.iteration""",
+ORACLES["regression_join"] = with_views(
+    JUDGED, "select run_id, iteration, success, regression_detected, regression_details from finals"
 )
+ORACLES["attempt_explode"] = with_views(
+    JUDGED,
+    """select cast(run_id as varchar) as run_id, task_id, model, iteration, success, s.stage_ord, s.stage, n_stages > s.stage_ord or success as passed,
+    case when n_stages = s.stage_ord then error_type end as error_type, case when n_stages = s.stage_ord then error_message else '' end as error_message
+    from (select *, cast(len(string_split(stage_names, '|')) as int) as n_stages from executed) e
+    cross join (values (1, 'syntax'), (2, 'imports'), (3, 'tests')) as s(stage_ord, stage) where s.stage_ord <= n_stages""",
+)
+_SHOWN_STAGE = "concat_ws(',', '{0}', e.{1}::varchar, case when e.{1} then '-' else e.error_type end, case when e.{1} then '' else e.error_message end, {2})"
+_SHOWN_STAGES = "concat_ws('|', " + ", ".join(
+    f"case when {reached} then {_SHOWN_STAGE.format(stage, passed, details)} end"
+    for stage, reached, passed, details in (
+        ("syntax", "true", "p1", "case when e.p1 then 'lines_of_code=' || e.n_lines else 'line_number=2' end"),
+        ("imports", "e.p1", "p2", "case when e.p2 then '' else 'missing_module=' || e.missing end"),
+        ("tests", "e.p2", "p3", "'tests=' || e.tests"),
+    )
+) + ")"
+_SCORED = (
+    "success as task_success", "success as verification_passed", "regression_detected", "compliance_score", "iteration as iterations_required",
+    "bytes_changed", "runtime_seconds", "cast(model_output_length // 4 as int) as tokens_used", "model", "task_id", "timestamp",
+    "model_output_length", "error_type",
+)
 ORACLES["run_results_roundtrip"] = with_views(
-    REPORTS,
-    """select cast(run_id as varchar) as run_id, task_id, model, cast(max(iteration) as int) as attempts, arg_max(success, iteration) as task_success,
-    cast(arg_max(n_stages, iteration) as int) as last_stages from executed group by run_id, task_id, model""",
+    JUDGED,
+    f"""select cast(e.run_id as varchar) as run_id, f.timestamp, e.task_id, e.task_name, e.model as model_name, e.iteration,
+    e.timestamp as attempt_timestamp, sha256(coalesce(e.output, '')) as output_sha256, e.duration_seconds, e.success, e.success as overall_passed,
+    {_SHOWN_STAGES} as stages, e.regression_detected, e.regression_details,
+    sha256(e.before) as original_template_hash, sha256(e.current) as modified_template_hash, """
+    + ", ".join(f"f.{c.split(' as ')[0]} as scored_{c.split(' as ')[-1]}" if "cast" not in c else f"cast(f.{c[5:]}".replace(" as tokens", " as scored_tokens") for c in _SCORED)
+    + f""", cast(e.run_id as varchar) as artifact_run_id, sha256({TEMPLATE}) as artifact_original_template_hash,
+    sha256(f.current) as artifact_modified_template_hash, sha256({TEMPLATE}) as artifact_reference_solution_hash,
+    'kind=report/run_id=' || cast(e.run_id as varchar) as artifact_validation_report_path, '' as runtime_logs, cast(null as varchar) as notes
+    from (select * from executed) e join finals f on f.run_id = e.run_id""",
+)
+ORACLES["run_reports_roundtrip"] = with_views(
+    JUDGED,
+    """select cast(run_id as varchar) as run_id, success as overall_passed, cast(len(string_split(stage_names, '|')) as int) as stages,
+    regression_details, sha256(current) as modified_template_hash from finals""",
+)
+ORACLES["run_results_rejects"] = with_views(
+    {"lines": f"select {', '.join(corpus.RUN_LINES)} from documents"},
+    """select case when status = 'good' then json_extract_string(doc, '$.run_id') end as run_id, case when status <> 'good' then value end as line, status
+    from (select value, doc, case when doc is null or coalesce(json_type(doc, '$.execution_attempts'), 'ARRAY') <> 'ARRAY' then 'malformed'
+      when json_extract_string(doc, '$.run_id') is null then 'no run_id' else 'good' end as status
+      from (select value, case when json_valid(value) then value end as doc from lines) l) q""",
 )
 OUTCOMES = {
     "test_outcomes": corpus.TEST_OUTCOMES_SQL,
@@ -469,30 +534,14 @@ ORACLES["test_verdict"] = with_views(
     union all select doc_id, 'modified', 0, false, 'verification_failed', 'Test directory not found' from documents
     where doc_id not in (select response_id from verdicts where subject = 'modified')""",
 )
-ORACLES["regression_join"] = with_views(OUTCOMES, "select * from regressions")
-SCORES = {
-    **{k: v for k, v in WRITTEN.items()},
-    **{k: v for k, v in REPORTS.items() if k != "attempts"},
-    **OUTCOMES,
-    "now": f"""select p.run_id, p.iteration, p.new_content, p.before, p.output,
-      coalesce(p.new_content, p.before) as content from patched p""",
-    "featured": f"select *, {features(SIGNATURE)} from now",
-    "compliance": f"select *, cast(greatest(0, least(10, {raw_score(DEFAULT_WEIGHTS)})) as int) as compliance_score from featured",
-    "durations": "select run_id, round(sum(duration_seconds), 6) as runtime_seconds from executed group by run_id",
-    "scores": """select e.run_id, e.task_id, e.model, e.success as task_success, e.verification_passed,
-      coalesce(g.regression_detected, false) as regression_detected, c.compliance_score,
-      e.iteration as iterations_required,
-      cast(case when c.new_content is null then 0 else abs(length(c.new_content) - length(c.before)) end as int) as bytes_changed,
-      d.runtime_seconds, cast(length(coalesce(e.output, '')) // 4 as int) as tokens_used,
-      cast(length(coalesce(e.output, '')) as int) as model_output_length,
-      case when not e.success then e.error_type end as error_type
-      from executed e join compliance c on c.run_id = e.run_id and c.iteration = e.iteration
-      join durations d on d.run_id = e.run_id left join regressions g on g.response_id = e.run_id
-      where e.iteration = e.final_iteration""",
-}
-ORACLES["run_scores"] = with_views(SCORES, "select * from scores")
+ORACLES["response_regressions"] = with_views(OUTCOMES, "select * from regressions")
+_FINAL = "select run_id, task_id, model, " + ", ".join(c for c in _SCORED if c not in ("model", "task_id", "timestamp")) + " from finals"
+ORACLES["run_scores"] = with_views(
+    {**JUDGED, "finals_of": _FINAL, "line_diffs": with_views(_DIFFS, "select * from diffs")},
+    "select s.*, cast(d.touched as int) as lines_changed from finals_of s join line_diffs d on d.run_id = s.run_id and d.iteration = s.iterations_required",
+)
 ORACLES["leaderboard"] = with_views(
-    SCORES,
+    {**JUDGED, "scores": _FINAL},
     """select task_id, model, count(*) as runs, round(avg(task_success::int), 6) as success_rate,
     round(avg(verification_passed::int), 6) as verification_rate, round(avg(regression_detected::int), 6) as regression_rate,
     round(avg(compliance_score), 6) as mean_compliance, round(avg(iterations_required), 6) as mean_iterations,
@@ -524,10 +573,10 @@ _PROMPT = " || ".join(
     for part in (fixed, value)
 )
 ORACLES["prompt_assembly"] = with_views(
-    {**WRITTEN, "tasks": corpus.PROMPT_TASKS_SQL},
+    {**JUDGED, "prompt_tasks": corpus.PROMPT_TASKS_SQL},
     f"""select run_id, iteration, case when t.task_id is not null then {_PROMPT} end as prompt,
     case when t.task_id is null then 'no_task' else 'ok' end as status
-    from patched p left join tasks t on t.task_id = 'task_' || cast(p.run_id as varchar)""",
+    from executed p left join prompt_tasks t on t.task_id = p.task_id""",
 )
 ORACLES["recent_runs"] = """select run_id from (select distinct conv_id as run_id from conversations where role = 'assistant') r
   order by cast(run_id as varchar) desc limit 10"""

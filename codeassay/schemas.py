@@ -130,6 +130,66 @@ RUN_RESULT = T.StructType(
     ]
 )
 
+def _fields(*pairs: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in pairs])
+
+
+_TEXT, _INT, _FLOAT, _FLAG = T.StringType(), T.IntegerType(), T.DoubleType(), T.BooleanType()
+STAGE_RESULT = _fields(
+    ("stage", _TEXT), ("passed", _FLAG), ("error_type", _TEXT), ("error_message", _TEXT), ("details", T.MapType(_TEXT, _TEXT))
+)
+VALIDATION_REPORT = _fields(
+    ("overall_passed", _FLAG),
+    ("stages", T.ArrayType(STAGE_RESULT)),
+    ("regression_detected", _FLAG),
+    ("regression_details", _TEXT),
+    ("original_template_hash", _TEXT),
+    ("modified_template_hash", _TEXT),
+)
+EXECUTION_ATTEMPT = _fields(
+    ("iteration", _INT),
+    ("timestamp", _TEXT),
+    ("model_output_raw", _TEXT),
+    ("duration_seconds", _FLOAT),
+    ("validation_report", VALIDATION_REPORT),
+    ("success", _FLAG),
+)
+SCORING_RESULT = _fields(
+    ("task_success", _FLAG),
+    ("verification_passed", _FLAG),
+    ("regression_detected", _FLAG),
+    ("compliance_score", _INT),
+    ("iterations_required", _INT),
+    ("bytes_changed", _INT),
+    ("runtime_seconds", _FLOAT),
+    ("tokens_used", _INT),
+    ("model", _TEXT),
+    ("task_id", _TEXT),
+    ("timestamp", _TEXT),
+    ("model_output_length", _INT),
+    ("error_type", _TEXT),
+)
+RUN_ARTIFACTS = _fields(
+    ("run_id", _TEXT),
+    ("original_template_hash", _TEXT),
+    ("modified_template_hash", _TEXT),
+    ("reference_solution_hash", _TEXT),
+    ("validation_report_path", _TEXT),
+)
+#: A run as the run store keeps it, whole.
+RUN_RECORD = _fields(
+    ("run_id", _TEXT),
+    ("timestamp", _TEXT),
+    ("task_id", _TEXT),
+    ("task_name", _TEXT),
+    ("model_name", _TEXT),
+    ("execution_attempts", T.ArrayType(EXECUTION_ATTEMPT)),
+    ("scoring", SCORING_RESULT),
+    ("artifacts", RUN_ARTIFACTS),
+    ("runtime_logs", _TEXT),
+    ("notes", _TEXT),
+)
+
 JSON_ANSWER = T.StructType(
     [
         T.StructField("content", T.StringType()),

@@ -44,9 +44,15 @@ def stable(df: DataFrame) -> DataFrame:
     return written
 
 
+def hadoop_path(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, and the path, as Hadoop knows them."""
+    sc = spark.sparkContext
+    found = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(sc._jsc.hadoopConfiguration()), found
+
+
 def discard(*written: DataFrame) -> None:
     """Remove the tables that ``stable`` wrote for these frames; nothing may read them any more."""
     for df in written:
-        sc = df.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(df._stable_path)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        fs, path = hadoop_path(df.sparkSession, df._stable_path)
+        fs.delete(path, True)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from codeassay.functions.modes import mode_flags
 from codeassay.operators.scoring import failure_modes, quick_scores
@@ -31,6 +31,35 @@ def missing_cells(grid: DataFrame, responses: DataFrame) -> DataFrame:
     return grid.join(done, ["run", "model"], "left_anti")
 
 
+#: Runs that one bitmap tells of: the 4096 bytes of ``bitmap_construct_agg``.
+SLICE = 4096 * 8
+
+
+def unseen_cells(responses: DataFrame, n_runs: int, models: Sequence[str] = REGISTERED_MODELS) -> DataFrame:
+    """Cells of the grid of runs 1 to ``n_runs`` and models that have no usable response.
+
+    Responses become one bitmap for each model and slice of runs, combined map-side. Only slices travel; a slice
+    without gaps is dropped whole, and of the others only bytes with a gap are looked into.
+    """
+    names = F.array(*[F.lit(m) for m in models])
+    usable = without_errors(responses).filter(F.col("model").isin(*models) & F.col("run").between(1, n_runs))
+    run = F.col("run").cast("long")
+    seen = usable.groupBy("model", F.bitmap_bucket_number(run).alias("slice")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(run)).alias("bits"))
+    cell, slices = F.col("id"), -(-n_runs // SLICE)
+    grid = responses.sparkSession.range(slices * len(models)).select(
+        F.element_at(names, (cell % len(models) + 1).cast("int")).alias("model"), (F.floor(cell / len(models)) + 1).alias("slice")
+    )
+    # runs of the slice, the last one being shorter
+    width = F.least(F.lit(SLICE), F.lit(n_runs) - (F.col("slice") - 1) * SLICE).cast("int")
+    gaps = """flatten(transform(filter(sequence(0, (width - 1) div 8), i -> bits IS NULL OR substring(bits, i + 1, 1) <> X'FF'),
+        i -> transform(filter(sequence(0, 7), k -> i * 8 + k < width AND (bits IS NULL OR getbit(cast(conv(hex(substring(bits, i + 1, 1)), 16, 10) AS INT), k) = 0)),
+                       k -> i * 8 + k)))"""
+    open_slices = grid.join(seen, ["model", "slice"], "left").withColumn("width", width)
+    open_slices = open_slices.filter(F.col("bits").isNull() | (F.bitmap_count("bits") < F.col("width")))
+    at = open_slices.select("model", "slice", F.explode(F.expr(gaps)).alias("at"))
+    return at.select(((F.col("slice") - 1) * SLICE + F.col("at") + 1).cast("int").alias("run"), "model")
+
+
 def without_errors(responses: DataFrame) -> DataFrame:
     return responses.filter(F.col("error").isNull())
 
@@ -129,23 +158,21 @@ def failure_category_rollup(responses: DataFrame) -> DataFrame:
     return totals.select(F.inline(rows))
 
 
-def batch_summary(responses: DataFrame, models: Sequence[str] = REGISTERED_MODELS) -> DataFrame:
-    """One summary row; ``failure_modes`` maps the modes seen to their counts."""
-    kept = without_errors(responses)
-    flags = mode_flags(F.col("output"))
-    rows = quick_scores(kept).select(
-        "score", "is_compliant", *[flag.alias(mode) for mode, flag in flags.items()]
-    )
+def _summary_totals(flags: dict[str, Column]) -> list[Column]:
+    """Aggregates of a summary over rows with score and is_compliant; ``flags`` tells of each failure mode."""
     clean = F.lit(True)
     for mode in FAILURE_MODES:
-        clean = clean & ~F.col(mode)
-    totals = rows.agg(
+        clean = clean & ~flags[mode]
+    return [
         F.count(F.lit(1)).alias("total_runs"),
         F.count_if("is_compliant").alias("_compliant"),
         F.coalesce(F.round(F.avg("score"), 6), F.lit(0.0)).alias("mean_score"),
-        *[F.count_if(F.col(mode)).alias(mode) for mode in FAILURE_MODES],
+        *[F.count_if(flags[mode]).alias(mode) for mode in FAILURE_MODES],
         F.count_if(clean).alias(NO_FAILURE),
-    )
+    ]
+
+
+def _summary(totals: DataFrame, models: Sequence[str]) -> DataFrame:
     entries = F.array(
         *[F.struct(F.lit(m).alias("key"), F.col(m).alias("value")) for m in (*FAILURE_MODES, NO_FAILURE)]
     )
@@ -158,6 +185,33 @@ def batch_summary(responses: DataFrame, models: Sequence[str] = REGISTERED_MODEL
     )
 
 
+def batch_summary(responses: DataFrame, models: Sequence[str] = REGISTERED_MODELS) -> DataFrame:
+    """One summary row; ``failure_modes`` maps the modes seen to their counts."""
+    kept = without_errors(responses)
+    flags = mode_flags(F.col("output"))
+    rows = quick_scores(kept).select(
+        "score", "is_compliant", *[flag.alias(mode) for mode, flag in flags.items()]
+    )
+    return _summary(rows.agg(*_summary_totals({mode: F.col(mode) for mode in FAILURE_MODES})), models)
+
+
+def observed_batch(scored: DataFrame) -> tuple[DataFrame, Observation]:
+    """``scored_batch`` rows, and an observation of their summary that whatever action reads them makes."""
+    seen = Observation("batch_summary")
+    flags = {mode: F.array_contains("failure_modes", mode) for mode in FAILURE_MODES}
+    return scored.observe(seen, *_summary_totals(flags)), seen
+
+
+def observed_summary(spark: SparkSession, seen: Observation, models: Sequence[str] = REGISTERED_MODELS) -> DataFrame:
+    """The summary row of an observation whose action has ended."""
+    found = seen.get
+    counts = [n for n in found if n != "mean_score"]
+    totals = spark.createDataFrame(
+        [(*[found[n] for n in counts], found["mean_score"])], ", ".join(f"`{n}` long" for n in counts) + ", mean_score double"
+    )
+    return _summary(totals, models)
+
+
 def route_models(requests: DataFrame, models: Sequence[str] = REGISTERED_MODELS) -> DataFrame:
     """The preferred model if registered, else round robin on ``index``. The registry is a literal."""
     if not models:

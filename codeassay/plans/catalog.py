@@ -455,10 +455,10 @@ def evaluation_grid(spark, sf):
 
 @query
 def missing_cells(spark, sf):
-    """Cells of a grid over fine-grained runs (one per latency) that have no usable response."""
-    rows = corpus.responses(spark, sf).withColumn("run", (F.col("latency_ms") * 4).cast("int"))
+    """Cells of the grid up to the highest run seen that have no usable response."""
+    rows = corpus.responses(spark, sf)
     n_runs = rows.agg(F.max("run")).first()[0] or 0
-    return batch.missing_cells(batch.evaluation_grid(spark, n_runs), rows)
+    return batch.unseen_cells(rows, n_runs)
 
 
 @query
@@ -586,8 +586,8 @@ def job_latest_status(spark, sf):
 
 @query
 def stream_job_status(spark, sf):
-    """The same statuses, from a stream over the events file through a change table."""
+    """The same statuses, from a stream over the events file into a keyed table that is compacted."""
     arriving = corpus.table_stream(spark, sf, "events")
     base = scratch_path(spark, "status")
-    jobs.start_status_stream(arriving.selectExpr(*corpus.JOB_EVENTS), f"{base}/changes", f"{base}/log").awaitTermination()
-    return _shown_status(jobs.current_status(spark.read.parquet(f"{base}/changes")))
+    jobs.start_status_table(arriving.selectExpr(*corpus.JOB_EVENTS), f"{base}/table", f"{base}/log", compact_every=1).awaitTermination()
+    return _shown_status(jobs.read_status_table(spark, f"{base}/table"))

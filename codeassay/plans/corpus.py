@@ -74,7 +74,7 @@ RESPONSES = [
     "doc_id as response_id",
     "'task_01' as task_id",
     f"{_MODEL.format('doc_id')} as model",
-    "cast(doc_id % 7 + 1 as int) as run",
+    "cast(floor(doc_id / 3) as int) + 1 as run",
     "cast(doc_id % 20 as int) as variant",
     f"case when doc_id % 11 <> 0 then {_BODY} end as output",
     "cast(n_chars as double) / 4 as latency_ms",

@@ -257,13 +257,9 @@ ORACLES["evaluation_grid"] = with_views(
     left join responses r on r.run = g.run and r.model = g.model and r.error is null group by g.run, g.model""",
 )
 ORACLES["missing_cells"] = with_views(
-    {
-        **RESPONSES,
-        "fine": "select * replace (cast(latency_ms * 4 as int) as run) from responses",
-        "grid": _GRID.format(rows="fine"),
-    },
+    {**RESPONSES, "grid": _GRID.format(rows="responses")},
     """select run, model from grid g
-    where not exists (select 1 from fine r where r.run = g.run and r.model = g.model and r.error is null)""",
+    where not exists (select 1 from responses r where r.run = g.run and r.model = g.model and r.error is null)""",
 )
 ORACLES["model_routing"] = """select event_id, case when preferred in ('qwen2.5-coder', 'llama3', 'mistral') then preferred
   else ['qwen2.5-coder', 'llama3', 'mistral'][cast(index % 3 as int) + 1] end as model

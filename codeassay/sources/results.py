@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from codeassay.functions.text import text_of
-from codeassay.operators.batch import batch_summary, scored_batch
+from codeassay.operators.batch import observed_batch, observed_summary, scored_batch
 from codeassay.schemas import RUN_RESULT
-from codeassay.session import stable
+from codeassay.session import hadoop_path, stable
 
 
 def assemble_runs(attempts: DataFrame) -> DataFrame:
@@ -63,10 +63,18 @@ def explode_attempts(runs: DataFrame) -> DataFrame:
 
 
 def write_batch_results(responses: DataFrame, path: str, batch_id: str) -> None:
-    """Per-response rows as Parquet and the summary row as JSON, both under the batch id."""
+    """Per-response rows as Parquet and the summary row as JSON, both under the batch id.
+
+    Responses are scored once: the summary is observed while the rows are written. It is written last and
+    tells that the batch is complete; a write that fails leaves none, and the same batch may be written again.
+    """
+    spark, folder = responses.sparkSession, f"{path}/batch_id={batch_id}"
     tag = F.lit(batch_id).alias("batch_id")
-    scored_batch(responses).select(tag, "*").write.parquet(f"{path}/batch_id={batch_id}/runs")
-    batch_summary(responses).select(tag, "*").write.json(f"{path}/batch_id={batch_id}/summary")
+    fs, old = hadoop_path(spark, f"{folder}/summary")
+    fs.delete(old, True)
+    rows, seen = observed_batch(scored_batch(responses))
+    rows.select(tag, "*").write.mode("overwrite").parquet(f"{folder}/runs")
+    observed_summary(spark, seen).select(tag, "*").write.json(f"{folder}/summary")
 
 
 def read_batch_runs(spark: SparkSession, path: str, batch_id: str) -> DataFrame:

@@ -123,3 +123,16 @@ def test_routing(spark):
 
 def test_latency_is_kept(responses):
     assert batch.scored_batch(responses).filter(F.col("latency_ms").isNull()).isEmpty()
+
+
+@pytest.mark.parametrize("n_runs", [0, 1, 9, 70_000])
+def test_unseen_cells_are_those_of_the_grid(spark, n_runs):
+    """Runs on both sides of a slice's end, errors, other models, runs beyond the grid, repeated cells."""
+    r = random.Random(n_runs)
+    runs = [r.randint(1, 70_000) for _ in range(3000)] + [1, 2, 8, 9, 32768, 32769, 65536, 65537, 70_000, 70_001, 0, -5] * 3
+    rows = [(i, "t", r.choice(["llama3", "mistral", "other"]), run, "x", 1.0, "e" if r.random() < 0.3 else None) for i, run in enumerate(runs)]
+    rows += [(10_000 + k, "t", "qwen2.5-coder", k, "x", 1.0, None) for k in range(1, 32769)]  # a slice without gaps
+    df = spark.createDataFrame(rows, RESPONSES)
+    got = batch.unseen_cells(df, n_runs)
+    want = batch.missing_cells(batch.evaluation_grid(spark, n_runs), df)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()

@@ -46,7 +46,7 @@ def test_no_cross_joins(spark, name):
 
 
 NATIVE = ["failure_modes", "quick_score", "compliance_issues", "failure_mode_distribution", "score_distribution", "batch_summary",
-          "test_verdict", "regression_join", "validation_report", "report_counts", "report_dedup_first", "job_latest_status",
+          "test_verdict", "response_regressions", "report_counts", "report_dedup_first", "job_latest_status",
           "extract_fenced", "spec_conformance", "rules_effective"]
 
 
@@ -68,8 +68,7 @@ def test_one_python_pass(spark, name):
 @pytest.mark.parametrize(
     "name, columns",
     [
-        ("final_attempt", "conv_id:bigint,turn:bigint,role:string"),
-        ("regression_join", "doc_id:bigint,quality:int,toxic:int"),
+        ("response_regressions", "doc_id:bigint,quality:int,toxic:int"),
         ("job_latest_status", "event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string"),
         ("report_counts", "c_custkey:bigint,c_nationkey:int,c_acctbal:double"),
     ],

@@ -2,10 +2,12 @@
 
 import hashlib
 import json
+import os
 
 import pytest
+from pyspark.sql import functions as F
 
-from codeassay.operators import runs, validation
+from codeassay.operators import batch, runs, validation
 from codeassay.schemas import RESPONSES
 from codeassay.sources import registry, results, tasks
 from test_attempts import ATTEMPTS, STAGES, stage_rows
@@ -131,6 +133,29 @@ def test_batch_results(spark, tmp_path):
     assert (summary.total_runs, summary.batch_id) == (1, "b7")
 
 
+def test_a_batch_is_scored_once_and_its_summary_comes_last(spark, tmp_path):
+    rows = [(i, "t", "llama3", i, ["sort", "class A", None, "def f(): return [1]"][i % 4], 2.0, "HTTP 500" if i % 7 == 0 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, RESPONSES).repartition(5)
+    path = str(tmp_path)
+    for _ in range(2):  # again: the batch is replaced
+        results.write_batch_results(df, path, "b")
+    want = batch.batch_summary(df)
+    got = results.read_batch_summary(spark, path, "b", want.select(F.lit("b").alias("batch_id"), "*").schema)
+    assert got.drop("batch_id").first().asDict() == want.first().asDict()
+    assert results.read_batch_runs(spark, path, "b").count() == 51
+    broken = df.withColumn("output", F.when(F.col("response_id") == 33, F.raise_error(F.lit("lost"))).otherwise(F.col("output")))
+    with pytest.raises(Exception, match="lost"):
+        results.write_batch_results(broken, path, "b")
+    assert not os.path.exists(f"{path}/batch_id=b/summary")
+
+
+def test_no_rows_have_a_summary(spark, tmp_path):
+    df = spark.createDataFrame([(1, "t", "llama3", 1, "x", 2.0, "HTTP 500")], RESPONSES)
+    results.write_batch_results(df, str(tmp_path), "b")
+    row = spark.read.json(f"{tmp_path}/batch_id=b/summary").first()
+    assert (row.total_runs, row.compliant_rate, row.mean_score) == (0, 0.0, 0.0)
+
+
 def test_fingerprints(spark, tasks_dir):
     df = spark.createDataFrame([("é",), ("",), (None,)], "t string")
     got = [r.h for r in df.select(results.fingerprint("t").alias("h")).collect()]

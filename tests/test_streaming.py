@@ -1,5 +1,9 @@
 """Streams give the batch answers, also when files arrive in several rounds and out of order."""
 
+import datetime
+import os
+import random
+
 from codeassay.functions.text import has
 from codeassay.streaming import jobs, scoring
 from codeassay.schemas import RESPONSES
@@ -40,3 +44,60 @@ def test_status_stream_ignores_late_events(spark, tmp_path):
 def test_has_needs_no_escaping(spark):
     df = spark.createDataFrame([("100%_[x]",), ("100x",)], "t string")
     assert [r.m for r in df.select(has(df.t, "%_[").alias("m")).collect()] == [True, False]
+
+
+EVENTS = "event_id long, ts timestamp, job_id long, status string"
+
+
+def _files(spark, folder, n, late=True):
+    """n files of events; some events are late, some repeat a time."""
+    r = random.Random(4)
+    start = datetime.datetime(2024, 1, 1)
+    rows = []
+    for k in range(n):
+        part = []
+        for j in range(30):
+            minutes = r.randrange(max(0, k - 3), k + 1) * 10 if late else k * 10
+            part.append((k * 100 + j, start + datetime.timedelta(minutes=minutes), r.randrange(40), r.choice(["queued", "running", "completed", "failed"])))
+        spark.createDataFrame(part, EVENTS).coalesce(1).write.mode("append").parquet(folder)
+        rows += part
+    return spark.createDataFrame(rows, EVENTS)
+
+
+def test_a_status_table_stays_small_over_many_batches(spark, tmp_path):
+    events = _files(spark, str(tmp_path / "in"), 30)
+    arriving = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    table = str(tmp_path / "table")
+    query = jobs.start_status_table(arriving, table, str(tmp_path / "log"), compact_every=4)
+    query.awaitTermination()
+    assert len([p for p in query.recentProgress if p.numInputRows]) == 30
+    assert all(not p.stateOperators for p in query.recentProgress)  # nothing is kept between batches
+    assert len(os.listdir(f"{table}/base")) == 1 and len(os.listdir(f"{table}/changes")) < 4
+    assert jobs.read_status_table(spark, table).exceptAll(jobs.latest_status(events)).isEmpty()
+    assert jobs.read_status_table(spark, table).count() == jobs.latest_status(events).count()
+    # a late event of one more batch can't win
+    late = spark.createDataFrame([(10**6, datetime.datetime(2023, 1, 1), j, "queued") for j in range(40)], EVENTS)
+    late.write.mode("append").parquet(str(tmp_path / "in"))
+    jobs.start_status_table(arriving, table, str(tmp_path / "log"), compact_every=4).awaitTermination()
+    assert jobs.read_status_table(spark, table).exceptAll(jobs.latest_status(events.unionByName(late))).isEmpty()
+
+
+def test_a_batch_that_runs_again_counts_once(spark, tmp_path):
+    events = _files(spark, str(tmp_path / "in"), 6)
+    arriving = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    table = str(tmp_path / "table")
+    for log in ("one", "two"):  # all batches again, as after the loss of the log
+        jobs.start_status_table(arriving, table, str(tmp_path / log), compact_every=3).awaitTermination()
+    # a base that a stopped run left without its mark is not read
+    os.makedirs(f"{table}/base/epoch=99")
+    found = jobs.read_status_table(spark, table)
+    assert found.exceptAll(jobs.latest_status(events)).isEmpty() and found.count() == jobs.latest_status(events).count()
+
+
+def test_ended_jobs_expire(spark, tmp_path):
+    rows = [(1, datetime.datetime(2024, 1, 1), 1, "completed"), (2, datetime.datetime(2024, 1, 1), 2, "running"), (3, datetime.datetime(2024, 3, 1), 3, "failed")]
+    spark.createDataFrame(rows, EVENTS).write.parquet(str(tmp_path / "in"))
+    arriving = spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in"))
+    table = str(tmp_path / "table")
+    jobs.start_status_table(arriving, table, str(tmp_path / "log"), compact_every=1, keep="30 days").awaitTermination()
+    assert {r.job_id for r in jobs.read_status_table(spark, table).collect()} == {2, 3}

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codeassay.functions.text import settle
 from codeassay.llm.common import by_text, discard, fresh, in_batches, shared, stable, table
 
 WINDOW = 10
@@ -212,11 +213,13 @@ _FOUND = T.StructType(
         T.StructField("n_words", T.LongType()),
         T.StructField("spans", T.ArrayType(T.IntegerType())),
         T.StructField("items", T.ArrayType(T.StringType())),
+        T.StructField("rest", T.StringType()),
     ]
 )
 
 
-def _matcher(spark: SparkSession, states: bytes):
+def _matcher(spark: SparkSession, states: bytes, cut: bool = False):
+    """A column function over texts; ``rest`` is the text without its hit words if ``cut`` and there are any."""
     load = shared(spark, states)
     loaded: list[Automaton] = []
 
@@ -227,18 +230,22 @@ def _matcher(spark: SparkSession, states: bytes):
         for text in texts:
             m = a.match(words_of(text))
             edges = np.flatnonzero(np.diff(np.concatenate(([0], m.hit.astype(np.int8), [0]))))
-            found.append((m.n_words, edges.tolist(), sorted({a.ids[i] for i in m.items})))
+            rest = without_spans(text, edges.tolist()).decode() if cut and len(edges) else None
+            found.append((m.n_words, edges.tolist(), sorted({a.ids[i] for i in m.items}), rest))
         return found
 
     return by_text(match, _FOUND)
 
 
-def find_overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``docs`` with a column ``overlap``: n_words, spans and items of each text.
+def find_overlaps(
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, cut: bool = False
+) -> DataFrame:
+    """``docs`` with a column ``overlap``: n_words, spans, items and rest of each text.
 
     ``spans`` holds start and end word of each maximal stretch of hit words, in turn; ``items`` the
     ids (as text, in order) of items with a window in the text. Null and empty texts have no words,
-    items without words no windows. A column of that name in ``docs`` is replaced.
+    items without words no windows. ``rest`` is the text without its hit words if ``cut`` and it has any, or
+    null. A column ``overlap`` in ``docs`` is replaced.
 
     If there are several automata, ``docs`` is written with a number for each row, the hits of each automaton
     are written before the next one is loaded, and all are merged by row: the driver and each task hold one
@@ -253,7 +260,8 @@ def find_overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard
         return _matcher(spark, bytes(automata.filter(F.col("number") == number).first()["states"]))
 
     if len(numbers) < 2:
-        match = matcher(numbers[0]) if numbers else _matcher(spark, pickle.dumps(Automaton.of([], window).__dict__))
+        states = bytes(automata.first()["states"]) if numbers else pickle.dumps(Automaton.of([], window).__dict__)
+        match = _matcher(spark, states, cut)
         discard(automata)
         return docs.select(*[F.col(f"`{c}`") for c in kept], match("text").alias("overlap"))
     row = fresh(docs, "_row")
@@ -273,13 +281,31 @@ def find_overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard
     hits = stable(merged.select(F.col("row").alias(row), F.struct(spans("spans").alias("spans"), "items").alias("_hits")))
     discard(*parts)
     hit = fresh(docs, "_hits")
-    n_words = by_text(lambda texts: [len(words_of(t)) for t in texts], T.LongType())
     found = F.struct(
-        n_words("text").alias("n_words"),
+        _counter(cut)("text", F.col(hit)["spans"]).alias("_c"),
         F.coalesce(F.col(hit)["spans"], F.array().cast("array<int>")).alias("spans"),
         F.coalesce(F.col(hit)["items"], F.array().cast("array<string>")).alias("items"),
     )
-    return keyed.join(hits.withColumnRenamed("_hits", hit), row, "left").select(*[F.col(f"`{c}`") for c in kept], found.alias("overlap"))
+    merged = keyed.join(hits.withColumnRenamed("_hits", hit), row, "left").select(*[F.col(f"`{c}`") for c in kept], found.alias("overlap"))
+    o = F.col("overlap")
+    parts = [o["_c"]["n_words"].alias("n_words"), o["spans"].alias("spans"), o["items"].alias("items"), o["_c"]["rest"].alias("rest")]
+    return merged.withColumn("overlap", F.struct(*parts))
+
+
+def _counter(cut: bool):
+    """A column function over texts and stretches: n_words and rest."""
+    kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("rest", T.StringType())])
+
+    def run(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        counts, rests = [], []
+        for start in range(0, len(texts), 500):  # a batch's texts are not taken out all at once
+            part = texts.slice(start, 500).cast(pa.binary()).to_pylist()
+            for text, stretches in zip(part, spans.slice(start, 500).to_pylist(), strict=True):
+                counts.append(len(words_of(text)))
+                rests.append(without_spans(text, stretches).decode() if cut and text and stretches else None)
+        return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(rests, pa.string())], names=["n_words", "rest"])
+
+    return F.arrow_udf(run, kind)
 
 
 def _union_spans(rows: list[bytes | None]) -> list[list[int]]:
@@ -331,35 +357,29 @@ def decontaminate(
 ) -> DataFrame:
     """``docs`` (same columns) without the hit words; mostly copied texts go.
 
-    Texts that share no window with an item stay byte for byte. ``n_chars`` follows the text.
+    Texts that share no window with an item stay byte for byte, null and empty ones too. ``n_chars`` follows
+    the text. Each text meets an automaton once: what was found is settled before rows are filtered by it.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    found = find_overlaps(docs.select(row, "text"), items, window)
-    cut = _cutter()
+    found = find_overlaps(docs.select(row, "text"), items, window, cut=True)
     overlap = F.col("overlap")
     touched = F.size(overlap["spans"]) > 0
     share = F.aggregate(
         F.transform(overlap["spans"], lambda x, k: F.when(k % 2 == 1, x).otherwise(-x)), F.lit(0), lambda a, x: a + x
     )
-    stay = found.filter(~touched | (100 * share <= limits.max_percent * overlap["n_words"]))
-    text = F.when(touched, cut("text", overlap["spans"])).otherwise(F.col("text"))
+    values = {"touched": touched, "rest": overlap["rest"], "share": share, "n_words": overlap["n_words"]}
+    stay = settle(found.drop("text"), values).filter(
+        ~F.col("touched") | (100 * F.col("share") <= limits.max_percent * F.col("n_words"))
+    )
     new = {c: F.col("row")[c] for c in docs.columns}
-    new["text"] = text
-    if "n_chars" in new:
-        new["n_chars"] = F.when(touched, F.length(text)).otherwise(new["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    for c in docs.columns:
+        if c.lower() == "text":
+            new[c] = F.when(F.col("touched"), F.col("rest")).otherwise(new[c])
+        elif c == "n_chars":
+            new[c] = F.when(F.col("touched"), F.length("rest")).otherwise(new[c]).cast(docs.schema[c].dataType)
     return stay.select(*[c.alias(name) for name, c in new.items()])
 
 
-def _cutter():
-    """A column function over texts and stretches."""
-
-    def run(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        rows = zip(texts.cast(pa.binary()).to_pylist(), spans.to_pylist(), strict=True)
-        return pa.array([without_spans(t, s).decode() if t and s else "" for t, s in rows], pa.string())
-
-    return F.arrow_udf(run, T.StringType())
-
-
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_overlaps(
         table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")

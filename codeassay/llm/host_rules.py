@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeassay.llm.common import by_text, fresh, stable, struct_of, table
+from codeassay.llm.common import by_text, fresh, small_batches, stable, struct_of, table
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -192,16 +192,19 @@ def host_rules(docs: DataFrame, limits: Verdicts = Verdicts()) -> DataFrame:
 def keep_good(docs: DataFrame, limits: Verdicts = Verdicts()) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns unchanged.
 
-    One pass sums the hosts' failures, a second measures again and filters, so no text is shuffled.
+    Each text is measured once: the rows are written with their statistics, which both the sums of the
+    hosts and the filter read (columns apart, so no text is read for the sums). A null text has no
+    words and goes; rows without a host form one.
     """
-    verdicts = _verdict_maps(text_stats(docs), limits)
     stats, host, maps = (fresh(docs, name) for name in ("_stats", "_host", "_verdicts"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    with small_batches(docs.sparkSession):
+        measured = stable(docs.select(*names, _host().alias(host), stats_of("text").alias(stats)))
+    verdicts = _verdict_maps(measured.select(F.col(host).alias("host"), F.col(stats).alias("stats")), limits)
     return (
-        docs.withColumn(stats, stats_of("text"))
-        .withColumn(host, _host())
-        .join(verdicts.select(F.col("host").alias(host), F.col("verdicts").alias(maps)), host, "left")
+        measured.join(verdicts.select(F.col("host").alias(host), F.col("verdicts").alias(maps)), host, "left")
         .filter(~base_failed(_columns(stats)) & (F.size(_rejecting(stats, maps)) == 0))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+        .select(*names)
     )
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeassay.llm import pfor
-from codeassay.llm.common import in_batches, order_id, row_digest, stable, table, worker_cache
+from codeassay.llm.common import in_batches, order_id, row_digest, small_batches, stable, table, worker_cache
 
 END_ID = 1
 #: A segment ends with the document that brings it to so many ids.
@@ -163,13 +163,9 @@ def write_segments(docs: DataFrame, tokenizer: str, segment_ids: int = SEGMENT_I
         .sortWithinPartitions(*by)
         .select("doc_id", "text")
     )
-    return stable(
-        in_batches(
-            ordered,
-            rows,
-            "part int, segment int, first long, n_tokens long, doc_ids array<long>, payload binary",
-        )
-    )
+    kind = "part int, segment int, first long, n_tokens long, doc_ids array<long>, payload binary"
+    with small_batches(docs.sparkSession):
+        return stable(in_batches(ordered, rows, kind))
 
 
 def read_segments(segments: DataFrame) -> DataFrame:

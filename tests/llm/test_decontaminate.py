@@ -123,3 +123,19 @@ def test_removal(spark):
     assert "lambda" not in got[2].text.lower() and got[2].text.count("Really!") == 10 and got[2].n_chars == len(got[2].text)
     assert dc.find_overlaps(cut, benchmark).filter("size(overlap.spans) > 0").count() == 0
     assert dc.decontaminate(llm_cases.table(spark), benchmark).schema == llm_cases.table(spark).schema
+
+
+def test_each_text_meets_the_automaton_once(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    cut = dc.decontaminate(llm_cases.table(spark), spark.createDataFrame([(1, item, "n")], ITEMS))
+    assert cut._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_cuts_with_several_automata_are_those_of_one(spark, monkeypatch):
+    common = llm_cases.rows()[5][1]
+    items = [(1, common), (2, " ".join(common.split()[3:25])), (3, llm_cases.rows()[20][1])]
+    benchmark = spark.createDataFrame([(*x, "n") for x in items], ITEMS)
+    df = llm_cases.table(spark)
+    one = Counter((r.doc_id, r.text) for r in dc.decontaminate(df, benchmark).collect())
+    monkeypatch.setattr(dc, "SHARD_WORDS", 20)
+    assert Counter((r.doc_id, r.text) for r in dc.decontaminate(df, benchmark).collect()) == one

@@ -74,3 +74,13 @@ def test_rows_keep_all_columns(spark):
     assert kept.schema == df.schema
     want = hr.host_rules(df).filter("kept").groupBy("doc_id").count().collect()
     assert Counter(r.doc_id for r in kept.collect()) == Counter({r.doc_id: r["count"] for r in want})
+
+
+def test_each_text_is_measured_once(spark, tmp_path):
+    """The rows that come back are read from what was measured."""
+    df = llm_cases.table(spark)
+    kept = hr.keep_good(df)
+    assert "ArrowEvalPython" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert kept.schema == df.schema and hr.keep_good(llm_cases.empty(spark)).count() == 0
+    judged = Counter(r.doc_id for r in hr.host_rules(df).filter("kept").collect())
+    assert Counter(r.doc_id for r in kept.collect()) == judged

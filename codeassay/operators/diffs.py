@@ -33,7 +33,7 @@ def carried_content(
     """Per attempt, the file text before it (``content_before``) and its own new ``content``.
 
     Texts are extracted and shuffled once. The window that carries them sees at most ``block``
-    attempts of a run, more than retry loops make. Should a run be longer, the rows that open its
+    attempts of a run, more than retry loops make. Should a run be longer, which is found when the query runs, its
     later blocks get the number of the attempt to inherit from, and fetch that attempt's text.
     """
     start = read_back(F.lit(template) if isinstance(template, str) else template)
@@ -45,8 +45,6 @@ def carried_content(
         .withColumn("_block", block_of("iteration", block))
         .withColumn("_near", F.last(read_back(F.col("content")), ignorenulls=True).over(before))
     )
-    if not spans_blocks(attempts, "iteration", block):
-        return carried.withColumn("content_before", F.coalesce("_near", start)).drop("_block", "_near")
     return (
         carried.join(_inherited_texts(attempts, block), ["run_id", "_block"], "left")
         .withColumn("content_before", F.coalesce("_near", "_text", start))
@@ -56,7 +54,8 @@ def carried_content(
 
 def _inherited_texts(attempts: DataFrame, block: int) -> DataFrame:
     """Per later block of a long run, the text written last before it: (run_id, _block, _text)."""
-    marks = attempts.select(*KEY, F.when(~is_blank(F.col("output")), F.col("iteration")).alias("_wrote"))
+    spans = spans_blocks(attempts, "iteration", block)
+    marks = attempts.filter(spans).select(*KEY, F.when(~is_blank(F.col("output")), F.col("iteration")).alias("_wrote"))
     sources = (
         carry_forward(marks, "run_id", "iteration", "_wrote", "_source")
         .withColumn("_block", block_of("iteration", block))
@@ -64,7 +63,7 @@ def _inherited_texts(attempts: DataFrame, block: int) -> DataFrame:
         .agg(F.min_by("_source", "iteration").alias("_source"))
         .filter("_source is not null and _block > 0")
     )
-    texts = with_content(attempts).select(
+    texts = with_content(attempts.filter(spans)).select(
         "run_id", F.col("iteration").alias("_source"), read_back(F.col("content")).alias("_text")
     )
     return sources.join(texts, ["run_id", "_source"]).select("run_id", "_block", "_text")

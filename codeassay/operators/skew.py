@@ -1,14 +1,15 @@
 """Ordered and lookup operations that stay bounded when one group holds much of the table.
 
 * ``ordinal`` and ``carry_forward`` split each group into blocks of consecutive positions. A block
-  holds at most ``BLOCK`` rows, and an ``int`` position gives a group at most 2**31 / BLOCK
-  blocks, so neither level ever puts an unbounded group into one task.
+  holds at most ``BLOCK`` rows. Summaries of blocks are scanned as a tree of FAN blocks to a node, so
+  sparse or 64-bit positions never put more than FAN summaries into a window either.
 * ``rank_in_groups`` ranks on arbitrary sort keys through one range-partitioned sort.
 * ``lookup_join`` broadcasts only a lookup whose size it has measured; beyond that it splits hot keys.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -16,39 +17,71 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from codeassay.session import stable
 
 BLOCK = 65_536
+#: Blocks (or nodes) that a node of the tree of summaries has below it, as bits.
+FAN_BITS = 16
 MAX_BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def block_of(position: str, block: int) -> Column:
-    return F.floor(F.col(position) / F.lit(block)).cast("long")
+    """Number of the block of a whole position; blocks of negative positions have negative numbers."""
+    return F.expr(f"(`{position}` - pmod(`{position}`, {block}L)) div {block}L")
 
 
-def spans_blocks(df: DataFrame, position: str, block: int) -> bool:
-    """Whether any position lies outside the first block: one job over a single column.
+def spans_blocks(df: DataFrame, position: str, block: int) -> Column:
+    """Whether any position lies outside the first block, as a condition that is found when the query runs.
 
-    Groups within one block need no second level, so the usual case pays for this check alone. On a
-    Parquet table the filter is answered by row-group statistics.
+    Summaries filtered by it are empty in the usual case, and what joins them is planned anew without them. On a
+    Parquet table row-group statistics answer it.
     """
     outside = (F.col(position) >= block) | (F.col(position) < 0)
-    return not df.select(position).filter(outside).isEmpty()
+    return df.select(position).filter(outside).exists()
+
+
+def _scan_blocks(blocks: DataFrame, group: str, bits: int, fold: Callable[[Column, Column], Column], join: Callable[[Column, Column], Column], over: Callable[[Column], Column]) -> DataFrame:
+    """(group, _block, _before): what the blocks before each block of a group amount to.
+
+    ``blocks`` has (group, _block, _v), one row a block. As in a parallel prefix sum, summaries go up a tree with
+    2**FAN_BITS children to a node, then the sums before each node come down. ``bits`` is the width of block numbers.
+    ``fold`` combines values of a node in order, ``join`` a far value with a near one, ``over`` those in a window.
+    Groups of one block take no part.
+    """
+    levels = max(1, -(-bits // FAN_BITS))
+    ends = blocks.groupBy(group).agg(F.min("_block").alias("_lo"), F.max("_block").alias("_hi"))
+    nodes = [blocks.join(ends.filter("_lo < _hi").select(group), group, "left_semi")]
+    for _ in range(levels - 1):
+        up = nodes[-1].groupBy(group, F.shiftright("_block", FAN_BITS).alias("_up"))
+        nodes.append(up.agg(fold(F.col("_v"), F.col("_block")).alias("_v")).withColumnRenamed("_up", "_block"))
+    earlier = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = nodes[-1].select(group, "_block", over(F.col("_v")).over(earlier).alias("_before"))
+    for level in reversed(nodes[:-1]):
+        near = Window.partitionBy(group, "_up").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        placed = level.withColumn("_up", F.shiftright("_block", FAN_BITS)).withColumn("_near", over(F.col("_v")).over(near))
+        far = before.select(group, F.col("_block").alias("_up"), F.col("_before").alias("_far"))
+        before = placed.join(far, [group, "_up"], "left").select(group, "_block", join(F.col("_far"), F.col("_near")).alias("_before"))
+    return before.filter("_before is not null")
+
+
+def _block_bits(df: DataFrame, position: str, block: int) -> int:
+    width = 64 if df.schema[position].dataType.simpleString() == "bigint" else 32
+    return width - (block.bit_length() - 1)
 
 
 def ordinal(df: DataFrame, group: str, position: str, out: str, block: int = BLOCK) -> DataFrame:
-    """1-based row number of ``position`` within ``group`` (positions unique within a group).
+    """1-based row number of the whole ``position`` within ``group`` (positions unique within a group).
 
     Only the in-block window moves the rows; block sizes come from the two key columns alone.
     """
     keyed = df.withColumn("_block", block_of(position, block))
     in_block = Window.partitionBy(group, "_block").orderBy(position)
     numbered = keyed.withColumn("_row", F.row_number().over(in_block))
-    if not spans_blocks(df, position, block):
-        return numbered.withColumn(out, F.col("_row").cast("int")).drop("_block", "_row")
-    earlier = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        keyed.groupBy(group, "_block")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(group, "_block", F.sum("_n").over(earlier).alias("_before"))
-        .filter("_before is not null")
+    sizes = keyed.filter(spans_blocks(df, position, block)).groupBy(group, "_block").agg(F.count(F.lit(1)).alias("_v"))
+    offsets = _scan_blocks(
+        sizes,
+        group,
+        _block_bits(df, position, block),
+        fold=lambda v, at: F.sum(v),
+        join=lambda far, near: F.when(far.isNull() & near.isNull(), None).otherwise(F.coalesce(far, F.lit(0)) + F.coalesce(near, F.lit(0))),
+        over=F.sum,
     )
     return (
         numbered.join(offsets, [group, "_block"], "left")
@@ -74,20 +107,21 @@ def carry_forward(
     keyed = df.withColumn("_block", block_of(position, block))
     before = Window.partitionBy(group, "_block").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
     near = F.last(value, ignorenulls=True).over(before)
-    if not spans_blocks(df if census is None else census, position, block):
-        return keyed.withColumn(out, near).drop("_block")
-    earlier = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    inherited = (
-        keyed.groupBy(group, "_block")
-        .agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(position))).alias("_last"))
-        .select(group, "_block", F.last("_last", ignorenulls=True).over(earlier).alias("_inherited"))
-        .filter("_inherited is not null")
+    last = F.max_by(value, F.when(F.col(value).isNotNull(), F.col(position)))
+    spans = spans_blocks(df if census is None else census, position, block)
+    inherited = _scan_blocks(
+        keyed.filter(spans).groupBy(group, "_block").agg(last.alias("_v")),
+        group,
+        _block_bits(df, position, block),
+        fold=lambda v, at: F.max_by(v, F.when(v.isNotNull(), at)),
+        join=lambda far, close: F.coalesce(close, far),
+        over=lambda v: F.last(v, ignorenulls=True),
     )
     return (
-        keyed.withColumn("_near", near)
+        keyed.withColumn("_here", near)
         .join(inherited, [group, "_block"], "left")
-        .withColumn(out, F.coalesce("_near", "_inherited"))
-        .drop("_block", "_near", "_inherited")
+        .withColumn(out, F.coalesce("_here", "_before"))
+        .drop("_block", "_here", "_before")
     )
 
 

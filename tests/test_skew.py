@@ -95,3 +95,40 @@ def test_lookup_join_salted_equals_broadcast(spark, how):
 def test_size_measure(spark):
     df = spark.createDataFrame([("k", "x" * 1000, ["a"])], "k string, t string, a array<string>")
     assert skew.fits_broadcast(df, 2000) and not skew.fits_broadcast(df, 1000)
+
+
+@pytest.mark.parametrize("block", [10, 65536])
+def test_sparse_64_bit_positions(spark, block, monkeypatch):
+    """Every row is its own block, far apart; nodes of the tree have four children."""
+    monkeypatch.setattr(skew, "FAN_BITS", 16 if block > 10 else 8)
+    r = random.Random(6)
+    rows = [("hot", p, r.choice([None, p])) for p in r.sample(range(-(2**40), 2**62), 300)] + [("b", 5, 7), ("b", 2**61, None), ("c", 1, 1)]
+    df = spark.createDataFrame(rows, "g string, pos long, v long")
+    numbered = {(x.g, x.pos): x.n for x in skew.ordinal(df, "g", "pos", "n", block).collect()}
+    carried = {(x.g, x.pos): x.p for x in skew.carry_forward(df, "g", "pos", "v", "p", block).collect()}
+    assert len(numbered) == len(carried) == len(rows)
+    for g in ("hot", "b", "c"):
+        last = None
+        for k, (_, pos, v) in enumerate(sorted((x for x in rows if x[0] == g), key=lambda x: x[1]), 1):
+            assert (numbered[g, pos], carried[g, pos]) == (k, last)
+            last = v if v is not None else last
+
+
+def test_no_job_runs_while_a_block_wise_query_is_built(spark, frame):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "")
+    df = skew.ordinal(skew.carry_forward(frame, "g", "pos", "v", "p", 10), "g", "pos", "n", 10)
+    assert not tracker.getJobIdsForGroup("building")
+    assert df.count() > 0 and tracker.getJobIdsForGroup("building")
+    spark.sparkContext.setJobGroup("tests", "")
+
+
+def test_windows_of_summaries_are_bounded(spark):
+    """Blocks of a hot group, each of one row: no window sees more than the children of one node."""
+    df = spark.range(5000).select(F.lit("g").alias("g"), (F.col("id") * 1000).alias("pos"), F.lit(1).alias("v"))
+    blocks = df.select("g", skew.block_of("pos", 10).alias("_block"), "v").groupBy("g", "_block").agg(F.count("v").alias("_v"))
+    sums = skew._scan_blocks(blocks, "g", 60, lambda v, at: F.sum(v), lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), F.sum)
+    assert sums.filter("_block > 0").count() == 4999
+    assert sums.orderBy(F.desc("_block")).first()["_before"] == 4999
+    plan = sums._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_up#") > 0 and plan.count("Window [") >= 4

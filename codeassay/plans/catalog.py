@@ -14,7 +14,7 @@ from codeassay.operators import batch, diffs, extract, judging, report, runs, sc
 from codeassay.plans import corpus
 from codeassay.schemas import DEFAULT_RULES, RUN_ARTIFACTS, SCORING_RESULT
 from codeassay.session import scratch_path
-from codeassay.sources import records, results, tasks
+from codeassay.sources import records, registry, results, tasks
 from codeassay.streaming import jobs, scoring as scoring_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -205,6 +205,25 @@ def content_fingerprint(spark, sf):
     return docs.select("doc_id", results.fingerprint("text").alias("sha256"))
 
 
+@query
+def file_fingerprints(spark, sf):
+    """Hashes of files that hold a hundred documents each, half of them read in pieces."""
+    path = scratch_path(spark, "files")
+    texts = corpus.table(spark, sf, "documents").selectExpr("doc_id", "cast(floor(doc_id / 100) as int) as bucket", "coalesce(text, '') as text")
+    texts.repartition("bucket").sortWithinPartitions("bucket", "doc_id").select("bucket", "text").write.partitionBy("bucket").text(path)
+    median = F.expr("approx_percentile(length, 0.5)")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
+    hashed = results.file_fingerprints(spark, path, found.agg(median).first()[0] or 0, "*.txt")
+    return hashed.select(F.regexp_extract("path", r"bucket=(\d+)", 1).cast("int").alias("bucket"), "sha256")
+
+
+@query
+def model_registry(spark, sf):
+    """Registered models in order, with the responses of each; responses of others are not counted."""
+    counts = corpus.responses(spark, sf).groupBy("model").agg(F.count(F.lit(1)).alias("responses"))
+    return registry.with_models(counts).select("ordinal", "name", F.coalesce("responses", F.lit(0).cast("long")).alias("responses"))
+
+
 # --- extraction -------------------------------------------------------------
 
 

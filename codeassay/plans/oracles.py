@@ -351,6 +351,13 @@ ORACLES["task_structure_gaps"] = with_views(
     from tasks t left join missing m on m.task = t.task group by t.task""",
 )
 ORACLES["task_catalog"] = with_views(_FILES, "select distinct task from files where file = 'spec.json'")
+ORACLES["file_fingerprints"] = """select cast(doc_id // 100 as int) as bucket,
+  sha256(string_agg(coalesce(text, '') || chr(10), '' order by doc_id)) as sha256 from documents group by 1"""
+ORACLES["model_registry"] = with_views(
+    RESPONSES,
+    """select m.ordinal, m.name, count(r.response_id) as responses
+    from (values (0, 'qwen2.5-coder'), (1, 'llama3'), (2, 'mistral')) as m(ordinal, name) left join responses r on r.model = m.name group by 1, 2""",
+)
 ORACLES["content_fingerprint"] = "select doc_id, sha256(text) as sha256 from documents"
 
 # ---------------------------------------------------------------------------

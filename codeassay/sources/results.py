@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from codeassay.functions.text import text_of
@@ -91,7 +97,55 @@ def fingerprint(text: Column | str) -> Column:
     return F.sha2(text_of(text), 256)
 
 
-def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of every file below ``path``; a file that cannot be read has an empty one."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.coalesce(F.sha2("content", 256), F.lit("")).alias("sha256"))
+#: Files up to this size are hashed whole by the built-in; larger ones are read in pieces of CHUNK bytes.
+WHOLE_BYTES, CHUNK = 64 << 20, 4 << 20
+
+
+def _streamed(files: DataFrame) -> DataFrame:
+    """(path, sha256) of files read piece by piece through their file system, whatever their size."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch["path"].to_pylist():
+                digest = hashlib.sha256()
+                try:
+                    system, inside = pa.fs.FileSystem.from_uri(quote(path, safe=":/@"))
+                    with system.open_input_stream(inside, compression=None) as stream:
+                        while piece := stream.read(CHUNK):
+                            digest.update(piece)
+                    found = digest.hexdigest()
+                except OSError:
+                    found = ""
+                yield pa.RecordBatch.from_pydict({"path": [path], "sha256": [found]})
+
+    return files.mapInArrow(rows, "path string, sha256 string")
+
+
+def _streamable(path: str) -> bool:
+    """Whether tasks can open the path without Spark."""
+    try:
+        pa.fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    except (OSError, ValueError):
+        return False
+    return True
+
+
+def file_fingerprints(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTES, name: str = "*") -> DataFrame:
+    """SHA-256 of every file below ``path`` with such a name; a file that cannot be read has an empty one.
+    Spark's listing leaves files without bytes out.
+
+    Files up to ``whole_bytes`` are hashed in the JVM. Each larger one is a stream in one task, which holds
+    a piece of it at a time; there are as many tasks as such files ask for by their bytes. In a store
+    that only Spark's readers know, all files are hashed whole, up to the 2 GB that an array holds.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(path)
+    small = files.filter(F.col("length") <= whole_bytes)
+    large = files.filter(F.col("length") > whole_bytes).select("path", "length")
+    n, total = large.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    whole = [F.col("path"), F.coalesce(F.sha2("content", 256), F.lit("")).alias("sha256")]
+    hashed = small.select(*whole)
+    if not n:
+        return hashed
+    if not _streamable(large.first()["path"]):
+        return files.select(*whole)
+    tasks = max(1, min(n, -(-total // max(whole_bytes, 1))))
+    return hashed.unionByName(_streamed(large.repartition(tasks, "path").select("path")))

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -163,3 +164,26 @@ def test_fingerprints(spark, tasks_dir):
     files = results.file_fingerprints(spark, f"{tasks_dir}/full").collect()
     assert len(files) == 4
     assert hashlib.sha256(b"x = 1\n").hexdigest() in {r.sha256 for r in files}
+
+
+@pytest.mark.parametrize("whole", [0, 100, results.WHOLE_BYTES])
+def test_files_in_pieces_have_the_hash_of_the_whole(spark, tmp_path, whole):
+    r = random.Random(3)
+    texts = {f"d{k % 3}/f{k}": r.randbytes(k * k * 7) for k in range(1, 12)} | {"a b%20[1]#é": b"odd", "big": r.randbytes(results.CHUNK * 2 + 5)}
+    for name, text in texts.items():
+        os.makedirs(tmp_path / os.path.dirname(name), exist_ok=True)
+        (tmp_path / name).write_bytes(text)
+    got = {r.path.split(f"{tmp_path}/")[1]: r.sha256 for r in results.file_fingerprints(spark, str(tmp_path), whole).collect()}
+    assert got == {name: hashlib.sha256(text).hexdigest() for name, text in texts.items()}
+
+
+def test_a_file_beyond_two_gigabytes(spark, tmp_path):
+    """No array of bytes could hold it; most of it is a hole, so it takes no disk."""
+    with open(tmp_path / "huge", "wb") as f:
+        f.write(b"head")
+        f.truncate((1 << 31) + 12345)
+    want = hashlib.sha256(b"head")
+    for _ in range((1 << 31) // (1 << 26)):
+        want.update(bytes(1 << 26))
+    want.update(bytes(12345 - 4))
+    assert [r.sha256 for r in results.file_fingerprints(spark, str(tmp_path)).collect()] == [want.hexdigest()]

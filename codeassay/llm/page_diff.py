@@ -36,6 +36,8 @@ _NEVER = frozenset(
     "nav footer aside form script style noscript template head title button select option textarea iframe svg canvas "
     "object audio video dialog menu map datalist legend".split()
 )
+#: What a page has and a form of it has not.
+_LANDMARKS = frozenset("article main nav header footer h1".split())
 _IN_TABLE = frozenset("html body tr tbody thead tfoot caption".split())
 _IMPLIED = {
     "li": (("li", frozenset({"ul", "ol", "menu"})),),
@@ -85,7 +87,8 @@ class _Blocks(HTMLParser):
 
     Text of dropped inline elements (a button, an advert in a sentence) is left out of its block. Whether a
     class or id drops an element is known at the end only: a named element that turns out to hold an
-    article or main element is none, unless it is itself part of an article (as comments are).
+    article or main element is none, unless it is itself part of an article (as comments are). A form beside
+    articles counts as named; one that holds a landmark of the page or its title wraps the page and is none.
     """
 
     def __init__(self) -> None:
@@ -94,7 +97,7 @@ class _Blocks(HTMLParser):
         self.found: list[tuple[int, int, list[tuple[str, int]]]] = []
         self._text: list[tuple[str, int]] = []
         #: Named elements: the one around, and whether its name counts. The first stands for none.
-        self._around, self._counts, self._of_article = [0], [False], [False]
+        self._around, self._counts, self._of_article, self._form = [0], [False], [False], [False]
         self._articles = 0
         #: Open elements: name, kind, kind of the block they are in, named element, that of the block, in an article.
         self._open: list[tuple[str, int, int, int, int, bool]] = [("", BESIDE, BESIDE, 0, 0, False)]
@@ -119,6 +122,13 @@ class _Blocks(HTMLParser):
     def _inside(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[int, int, bool]:
         """Kind, named element and whether in an article, for what is in a new element."""
         _, kind, _, named, _, of_article = self._open[-1]
+        if tag in _LANDMARKS:
+            k = named
+            while k:
+                self._counts[k] = self._counts[k] and not self._form[k]
+                k = self._around[k]
+        if kind == BESIDE and (tag == "form" or ("role", "form") in attrs):
+            return kind, self._named(named, of_article, form=True), of_article
         if kind == DROP or tag in _NEVER or (tag == "header" and kind == BESIDE):
             return DROP, named, of_article
         if not attrs and tag not in ("article", "main"):
@@ -142,12 +152,17 @@ class _Blocks(HTMLParser):
         for name in names:
             for token in name.lower().split():
                 if token in _CHROME and (kind == BESIDE or token not in _PARTS_OF_ARTICLES):
-                    self._around.append(named)
-                    self._counts.append(True)
-                    self._of_article.append(of_article)
-                    return kind, len(self._around) - 1, of_article
+                    return kind, self._named(named, of_article), of_article
         return OPEN if kind >= KEEP and any(map(_DOUBTFUL.search, names)) else kind, named, of_article
 
+    def _named(self, around: int, of_article: bool, form: bool = False) -> int:
+        """A new named element inside another one."""
+        self._around.append(around)
+        self._counts.append(True)
+        self._of_article.append(of_article)
+        self._form.append(form)
+        return len(self._around) - 1
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _SPACED:
             self._text.append((" ", 0))

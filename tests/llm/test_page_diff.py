@@ -185,3 +185,19 @@ def test_articles_of_the_tables_come_out_whole(spark):
         parts = re.split(r"</?(?:p|h1|br)>", inner.replace("<b>", ""))
         lines = [" ".join(html.unescape(x).split()) for x in parts]
         assert got[p.page_id] == "\n".join(x for x in lines if x)
+
+
+@pytest.mark.parametrize("body", [
+    "<nav>Menu</nav><div>{0}</div>", "<div><h1>Title</h1><p>{0}</p></div>", "<article>{0}</article><div class='menu'>Menu</div>",
+    "<div><form><main>{0}</main></form></div><footer>End</footer>",
+])
+def test_a_form_around_the_page_is_none(body):
+    text = "The body of the page, which no form holds."
+    html = f"<html><body><form id='aspnetForm' action='/'><input type=hidden>{body.format(text)}<form class='x'>Your name</form></form></body></html>"
+    kept = [t for kind, t in pd.blocks_of(html.encode()) if kind != pd.DROP]
+    assert text in kept and "Menu" not in kept and "End" not in kept
+
+
+def test_forms_of_a_page_go():
+    html = "<body><form><p>Search here</p></form><article><p>Text.</p><form role=form><p>Say something</p></form></article><div role='form'>Sign in</div></body>"
+    assert [t for kind, t in pd.blocks_of(html.encode()) if kind != pd.DROP] == ["Text."]

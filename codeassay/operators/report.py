@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codeassay.functions.text import settle
-from codeassay.operators.skew import rank_in_groups
+from codeassay.operators.skew import number_in_groups
 
 # A part is small enough for one task to join; a report is the join of its parts by newline.
 PART_LINES = 10_000
@@ -114,7 +114,7 @@ def counts(clean: DataFrame) -> DataFrame:
 def listing(clean: DataFrame) -> DataFrame:
     """Rank within tenant and status: active by name, then arrival; inactive by arrival."""
     keyed = clean.withColumn("_key", F.when(F.col("is_active"), F.col("name")))
-    return rank_in_groups(keyed, ["tenant", "is_active"], ["_key", "pos"], "position").drop("_key")
+    return number_in_groups(keyed, ["tenant", "is_active"], ["_key", "pos"], "position").drop("_key")
 
 
 def _user_line(clean: DataFrame) -> Column:
@@ -166,7 +166,7 @@ def report_lines(clean: DataFrame, tenants: DataFrame | None = None) -> DataFram
         _user_line(clean).alias("line"),
     )
     lines = totals.select("tenant", F.inline(rows)).unionByName(people)
-    return rank_in_groups(lines, ["tenant"], ["section", "sort_name", "pos"], "line_no").select(
+    return number_in_groups(lines, ["tenant"], ["section", "sort_name", "pos"], "line_no").select(
         "tenant", "line_no", "line"
     )
 

@@ -3,7 +3,8 @@
 * ``ordinal`` and ``carry_forward`` split each group into blocks of consecutive positions. A block
   holds at most ``BLOCK`` rows. Summaries of blocks are scanned as a tree of FAN blocks to a node, so
   sparse or 64-bit positions never put more than FAN summaries into a window either.
-* ``rank_in_groups`` ranks on arbitrary sort keys through one range-partitioned sort.
+* ``number_in_groups`` ranks on ascending keys within slices whose bounds are fixed before, ``rank_in_groups`` on
+  arbitrary sort orders through one range-partitioned sort that is written.
 * ``lookup_join`` broadcasts only a lookup whose size it has measured; beyond that it splits hot keys.
 """
 
@@ -125,6 +126,67 @@ def carry_forward(
     )
 
 
+#: Keys that are looked at for each bound, and characters of a text in a bound (texts that agree in them share a slice).
+SAMPLED, BOUND_CHARS = 32, 256
+
+
+def range_bounds(df: DataFrame, keys: list[str], slices: int) -> list[tuple]:
+    """Ascending keys that cut ``df`` into about ``slices`` slices of its rows, fewer for few rows.
+
+    Only keys are read: once to count them, once for a sample by hash, of which some SAMPLED keys a slice come to the
+    driver, texts cut to BOUND_CHARS.
+    """
+    rows = df.select(*keys)
+    every = max(1, rows.count() // (slices * SAMPLED))
+    cut = [F.left(c, F.lit(BOUND_CHARS)).alias(c) if df.schema[c].dataType.simpleString() == "string" else F.col(c) for c in keys]
+    sample = rows.filter(F.pmod(F.xxhash64(*keys), F.lit(every)) == 0).select(*cut).orderBy(*keys).collect()
+    stride = max(SAMPLED, -(-len(sample) // slices))
+    found = [tuple(r) for r in sample[stride::stride]]
+    return [b for k, b in enumerate(found) if not k or b != found[k - 1]]
+
+
+def slice_of(df: DataFrame, keys: list[str], bounds: list[tuple]) -> Column:
+    """How many bounds a row's keys have reached: a binary search, nulls before all values."""
+    if not bounds:
+        return F.lit(0)
+    key = F.struct(*[F.col(c).alias(c) for c in keys])
+    ends = F.array(*[F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(keys, b, strict=True)]) for b in bounds])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+
+    def further(low: Column, step: Column) -> Column:
+        return F.when(F.coalesce(F.get(ends, low + step - 1) <= key, F.lit(False)), low + step).otherwise(low)
+
+    return F.aggregate(steps, F.lit(0), further)
+
+
+def number_in_groups(df: DataFrame, groups: list[str], keys: list[str], out: str, slices: int | None = None) -> DataFrame:
+    """1-based rank within ``groups`` by ascending ``keys`` (a total order, nulls first), for groups of any size.
+
+    Bounds on groups and keys together are found while the query is built, and are part of it: every job, also one
+    that runs again after a loss, cuts the rows alike. Rows move once, to their slice; each (slice, group) is ranked
+    alone and shifted by the group's rows in earlier slices. Nothing is written.
+    """
+    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = range_bounds(df, [*groups, *keys], slices)
+    keyed = df.withColumn("_slice", slice_of(df, [*groups, *keys], bounds))
+    in_slice = Window.partitionBy("_slice", *groups).orderBy(*keys)
+    earlier = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    # Only the first group of a slice can continue from an earlier one, so this frame has fewer rows than
+    # there are slices: a proven bound for the broadcast.
+    shifts = (
+        keyed.groupBy("_slice", *groups)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select("_slice", *groups, F.sum("_n").over(earlier).alias("_shift"))
+        .filter("_shift is not null")
+    )
+    ranked = keyed.withColumn("_row", F.row_number().over(in_slice)).alias("r")
+    same = reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("_slice", *groups)])
+    return ranked.join(F.broadcast(shifts).alias("s"), same, "left").select(
+        *[F.col(f"r.{c}") for c in df.columns],
+        (F.col("r._row") + F.coalesce("s._shift", F.lit(0))).cast("long").alias(out),
+    )
+
+
 def rank_in_groups(df: DataFrame, groups: list[str], order: list[Column | str], out: str) -> DataFrame:
     """1-based rank within ``groups`` by ``order`` (a total order), for groups of any size.
 

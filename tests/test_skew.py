@@ -132,3 +132,37 @@ def test_windows_of_summaries_are_bounded(spark):
     assert sums.orderBy(F.desc("_block")).first()["_before"] == 4999
     plan = sums._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("_up#") > 0 and plan.count("Window [") >= 4
+
+
+@pytest.mark.parametrize("slices", [1, 2, 7, 64])
+def test_number_in_groups(spark, slices):
+    """Groups over many slices, null groups and keys, long texts that agree in their first characters."""
+    r = random.Random(slices)
+    names = [None, "", "a", "b" * 200 + "x", "b" * 200 + "y", "b" * 200, "é", "Z"]
+    rows = [(r.choice(["hot", "hot", "hot", "b", None]), r.choice(names), i) for i in range(3000)] + [("c", "one", -1)]
+    df = spark.createDataFrame(rows, "g string, name string, pos long").repartition(6)
+    want = {}
+    for g in {x[0] for x in rows}:
+        mine = sorted((x for x in rows if x[0] == g), key=lambda x: (x[1] is not None, (x[1] or "").encode(), x[2]))
+        want |= {x: k for k, x in enumerate(mine, 1)}
+    for parts in (6, 3):  # the same however the rows lie
+        got = skew.number_in_groups(df.repartition(parts), ["g"], ["name", "pos"], "n", slices).collect()
+        assert len(got) == len(rows) and {(x.g, x.name, x.pos): x.n for x in got} == want
+    bounds = skew.range_bounds(df, ["g", "name", "pos"], slices)
+    assert len(bounds) <= slices + 1 and (slices < 7 or len(bounds) > slices // 2)
+    assert all(len(b[1] or "") <= skew.BOUND_CHARS for b in bounds)
+    sizes = [x["count"] for x in df.groupBy(skew.slice_of(df, ["g", "name", "pos"], bounds).alias("s")).count().collect()]
+    assert sum(sizes) == len(rows) and (slices < 7 or max(sizes) < 3 * len(rows) / len(bounds) + 100)
+
+
+def test_numbering_writes_nothing_and_stays_the_same(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(skew, "stable", None)
+    df = spark.range(5000).select((F.col("id") % 2).alias("g"), (F.lit(5000) - F.col("id")).alias("k"))
+    ranked = skew.number_in_groups(df, ["g"], ["k"], "n", 16)
+    first = sorted(map(tuple, ranked.collect()))
+    assert first == sorted(map(tuple, ranked.collect()))  # a job that runs again
+    assert [n for g, _, n in first if g == 0] == list(range(1, 2501))
+
+
+def test_numbering_no_rows(spark):
+    assert skew.number_in_groups(spark.createDataFrame([], "g string, k int"), ["g"], ["k"], "n").count() == 0

@@ -12,8 +12,9 @@ sets with i common cells have one among their first a - i + 1 and b - i + 1 unde
 
 Any total order is right. Shingles in often used buckets of a hash table come last: a passage that many
 texts share is then in no signature of a text that has enough of its own, so groups stay small. A
-common cell counts only where so few come before it that enough are left. Candidates are verified
-on the exact sets.
+common cell counts only where so few come before it that enough are left. Pairs that share a signature are
+first held against bitmaps of the whole sets, of one or two bits a shingle, which rule out almost all
+pairs that aren't linked and none that is. What is left is verified on the exact sets.
 """
 
 from __future__ import annotations
@@ -31,16 +32,17 @@ from pyspark.sql import functions as F
 
 from codeassay.llm.common import NULL_ID, discard, fresh, in_batches, order_id, release, row_digest, small_batches, stable, table, worker_cache
 from codeassay.llm.components import components
+from codeassay.operators.skew import lookup_join
 
 #: Words whose hashes a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Members of a group of equal signatures that are handled as one row; larger groups go by rounds.
 SMALL = 64
-#: Cells that are listed beyond the signatures, to rule out pairs before their sets are fetched.
-MORE = 32
 #: Buckets of the table of shingle counts, its blocks, and shingles counted in it at a time. Sets are
 #: the rarer the earlier a shingle comes in their order; the result doesn't depend on it.
 BUCKETS, BLOCKS, CHUNK = 1 << 22, 64, 1 << 20
+#: Bytes up to which the components of all sets are broadcast; beyond, rows of hot sets are split.
+SMALL_LOOKUP = 4 << 20
 #: Bits of the filter for texts that have candidates.
 FILTER_BITS = 1 << 26
 
@@ -128,6 +130,28 @@ def first_cells(elements: np.ndarray, length: int, counts: np.ndarray) -> np.nda
     return cells[np.argsort(key, kind="stable")[:length]]
 
 
+def bitmap(elements: np.ndarray) -> bytes:
+    """Parities of a set: each element toggles one bit of as many as the next power of two above its size (64 at least).
+
+    The bits in which two such bitmaps of equal length differ are at most as many as the elements that
+    are in one of the sets only: common elements toggle the same bit twice.
+    """
+    size = max(64, 1 << len(elements).bit_length())
+    at = (_mix(elements) & np.uint64(size - 1)).view(np.int64)
+    return np.packbits(np.bincount(at, minlength=size) & 1 == 1, bitorder="little").tobytes()
+
+
+def least_difference(one: bytes, two: bytes) -> int:
+    """At least so many elements are in one of the sets of two bitmaps only; the longer one is folded."""
+    if len(one) < len(two):
+        one, two = two, one
+    x, size = int.from_bytes(one, "little"), len(one) * 8
+    while size > len(two) * 8:
+        size //= 2
+        x = (x >> size) ^ (x & ((1 << size) - 1))
+    return (x ^ int.from_bytes(two, "little")).bit_count()
+
+
 def _hashes() -> _Hashes:
     hashes = worker_cache("word hashes", _Hashes)
     if len(hashes) > REMEMBERED:
@@ -191,8 +215,7 @@ def _list_array(lists: list[np.ndarray | None]) -> pa.Array:
 
 def _signed(docs: DataFrame, scheme: Scheme) -> DataFrame:
     """Per row: id, digest, set_id, n (shingles). For the first of equal sets in a task also its band, k
-    there and below, and the first cells: MORE of them beyond the largest k + 1. Linked sets have at
-    least the lesser of their ``need`` in common among these.
+    there and below, the first cells (the largest k + 1) and its bitmap.
     """
     table_of = docs.sparkSession.sparkContext.broadcast(_bucket_counts(docs, scheme))
 
@@ -200,7 +223,7 @@ def _signed(docs: DataFrame, scheme: Scheme) -> DataFrame:
         seen: set[int] = set()
         for b in batches:
             hashes, counts = _hashes(), table_of.value
-            names = ("set_id", "n", "band", "k", "k_low", "need", "cells")
+            names = ("set_id", "n", "band", "k", "k_low", "cells", "bits")
             out: dict[str, list] = {name: [] for name in names}
             for elements in shingles(b["text"], scheme.words, hashes):
                 own, n = set_id(elements), len(elements)
@@ -209,7 +232,7 @@ def _signed(docs: DataFrame, scheme: Scheme) -> DataFrame:
                     seen.add(own)
                     band, k, k_low = scheme.bands(n)
                     most = max(k, k_low or 0)
-                    row = (own, n, band, k, k_low, min(MORE + 1, n - most), first_cells(elements, most + 1 + MORE, counts))
+                    row = (own, n, band, k, k_low, first_cells(elements, most + 1, counts), bitmap(elements))
                 for name, value in zip(names, row, strict=True):
                     out[name].append(value)
             if len(seen) > 1_000_000:
@@ -218,7 +241,7 @@ def _signed(docs: DataFrame, scheme: Scheme) -> DataFrame:
 
     keyed = docs.select(order_id().alias("id"), row_digest().alias("digest"), "text")
     return in_batches(
-        keyed, rows, "id long, digest long, set_id long, n long, band int, k int, k_low int, need int, cells array<long>"
+        keyed, rows, "id long, digest long, set_id long, n long, band int, k int, k_low int, cells array<long>, bits binary"
     )
 
 
@@ -312,17 +335,23 @@ def _groups(signed: DataFrame, scheme: Scheme) -> DataFrame:
     )
 
 
-def _mask(keys: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size for the longs of ``keys`` (key), by hash."""
-    per_row = 1 << 15
+#: Bits in a row of a bitmap.
+_ROW = 1 << 15
+
+
+def _mask_rows(keys: DataFrame) -> DataFrame:
+    """(row, bits): a bitmap of FILTER_BITS for the longs of ``keys`` (key), by hash; empty rows are left out."""
     slots = keys.select(_slot("key").alias("slot"))
-    rows = slots.groupBy(F.floor(F.col("slot") / per_row).alias("row")).agg(
-        F.bitmap_construct_agg((F.col("slot") % per_row).cast("long")).alias("bits")
-    )
+    bits = F.bitmap_construct_agg((F.col("slot") % _ROW).cast("long"))
+    return slots.groupBy(F.floor(F.col("slot") / _ROW).alias("row")).agg(bits.alias("bits"))
+
+
+def _mask(keys: DataFrame) -> np.ndarray:
+    """The bitmap of ``_mask_rows`` as one array."""
     mask = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in rows.toLocalIterator():
+    for r in _mask_rows(keys).toLocalIterator():
         part = np.frombuffer(r["bits"], np.uint8)
-        mask[r["row"] * per_row // 8 : r["row"] * per_row // 8 + len(part)] = part
+        mask[r["row"] * _ROW // 8 : r["row"] * _ROW // 8 + len(part)] = part
     return mask
 
 
@@ -330,6 +359,14 @@ def _slot(column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
 
 
+def _marked(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Rows whose long is among ``keys`` (key), and a few others: the bitmap, of fixed size, goes to the rows."""
+    at = rows.withColumn("_slot", _slot(column)).withColumn("row", F.floor(F.col("_slot") / _ROW))
+    met = at.join(F.broadcast(_mask_rows(keys)), "row")
+    byte = "cast(conv(hex(substring(bits, cast(_slot % {0} div 8 + 1 AS INT), 1)), 16, 10) AS INT)".format(_ROW)
+    return met.filter(f"getbit({byte}, cast(_slot % 8 AS INT)) = 1").select(*[F.col(c) for c in rows.columns])
+
+
 def _has(mask: np.ndarray, slots: list[int]) -> list[int]:
     """Positions of the slots whose bit is set."""
     at = np.array(slots, np.int64)
@@ -353,51 +390,43 @@ def _sets(docs: DataFrame, holders: DataFrame, scheme: Scheme) -> DataFrame:
     return stable(in_batches(keyed, cut, "set_id long, elements binary"))
 
 
-def _near(pairs: DataFrame, lists: DataFrame, scheme: Scheme) -> DataFrame:
-    """The distinct pairs (a, b) of set ids that their lists of first cells don't rule out.
+def _near(pairs: DataFrame, maps: DataFrame, scheme: Scheme) -> DataFrame:
+    """The distinct pairs (a, b) of set ids that their bitmaps don't rule out, as a written table.
 
-    Cells before the last common one that are not common belong to one set only: if the other had
-    them, they would be in its list as well, before that cell. There may be so many of them as
-    linked sets of these sizes can differ by. And ``need`` cells are common at least.
+    Sets of a and b elements are linked if at most (a + b) (1 - t) / (1 + t) are in one of them only.
     """
-    one, two = (
-        lists.select(F.col("set_id").alias(x), F.col("n").alias(f"n{x}"), F.col("need").alias(f"need{x}"), F.col("cells").alias(f"c{x}")) for x in "ab"
-    )
-    fewest = f"ceil({scheme.percent} * (na + nb) / {100 + scheme.percent})"
-    return stable(
-        pairs.distinct().join(one, "a").join(two, "b")
-        .withColumn("both", F.array_intersect("ca", "cb"))
-        .filter("size(both) >= least(needa, needb)")
-        .withColumn("last", F.element_at("both", -1))
-        .filter(f"array_position(ca, last) - size(both) <= na - {fewest} AND array_position(cb, last) - size(both) <= nb - {fewest}")
-        .select("a", "b")
-    )
+    percent = scheme.percent
+
+    def rows(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            out: dict[str, list] = {"a": [], "b": []}
+            for x, y, nx, ny, one, two in zip(b["a"], b["b"], b["na"], b["nb"], b["ba"], b["bb"], strict=True):
+                if least_difference(one, two) * (100 + percent) <= (nx + ny) * (100 - percent):
+                    out["a"].append(x)
+                    out["b"].append(y)
+            yield out
+
+    one, two = (maps.select(F.col("set_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}")) for x in "ab")
+    both = pairs.distinct().join(one, "a").join(two, "b")
+    return stable(in_batches(both.select("a", "b", "na", "nb", "ba", "bb"), rows, "a long, b long"))
 
 
 @dataclass(frozen=True)
 class _Candidates:
-    """What pairs are verified on: lists of cells, sets, and the least document that holds a set."""
+    """What pairs are verified on: bitmaps, sets, and the least document that holds a set."""
 
-    lists: DataFrame
+    maps: DataFrame
     sets: DataFrame
     holders: DataFrame
     scheme: Scheme
 
     def linked(self, pairs: DataFrame) -> DataFrame:
-        return self.verified(_near(pairs, self.lists, self.scheme))
+        return self.verified(_near(pairs, self.maps, self.scheme))
 
     def verified(self, near: DataFrame) -> DataFrame:
         """(a, b) of documents for the pairs (a, b) of set ids that are linked."""
         percent = self.scheme.percent
-        ids = near.select(F.explode(F.array("a", "b")).alias("key"))
-        shared_mask = near.sparkSession.sparkContext.broadcast(_mask(ids))
-
-        def needed(batches: Iterator[dict]) -> Iterator[dict]:
-            for b in batches:
-                at = _has(shared_mask.value, b["slot"])
-                yield {"set_id": [b["set_id"][k] for k in at], "elements": [b["elements"][k] for k in at]}
-
-        sets = in_batches(self.sets.select(_slot("set_id").alias("slot"), "set_id", "elements"), needed, "set_id long, elements binary")
+        sets = _marked(self.sets, "set_id", near.select(F.explode(F.array("a", "b")).alias("key")))
 
         def rows(batches: Iterator[dict]) -> Iterator[dict]:
             for b in batches:
@@ -451,10 +480,9 @@ def _roots(docs: DataFrame, signed: DataFrame, rows: DataFrame, scheme: Scheme)
     release(docs.sparkSession)
     in_small = small.select(F.explode("sets").alias("set_id"))
     wanted = stable(in_small.unionByName(large.select("set_id")).distinct())
-    lists = stable(
-        signed.filter("need IS NOT NULL").join(wanted, "set_id", "left_semi")
-        .select("set_id", "n", "need", "cells").dropDuplicates(["set_id"])
-    )
+    maps = stable(
+        signed.filter("bits IS NOT NULL").select("set_id", "n", "bits").join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"])
+    )
     discard(signed)
     release(docs.sparkSession)
     first = small.select(
@@ -463,14 +491,13 @@ def _roots(docs: DataFrame, signed: DataFrame, rows: DataFrame, scheme: Scheme)
     hub = large.groupBy("signature").agg(F.min(F.struct("place", "set_id", "n")).alias("hub"))
     hubs = large.join(hub, "signature").filter("set_id <> hub.set_id")
     stars = first.unionByName(hubs.select(F.col("hub.set_id").alias("a"), F.col("hub.n").alias("na"), F.col("set_id").alias("b"), F.col("n").alias("nb")))
-    near = _near(stars.filter(_similar_sizes(scheme, "na", "nb")).select("a", "b"), lists, scheme)
+    near = _near(stars.filter(_similar_sizes(scheme, "na", "nb")).select("a", "b"), maps, scheme)
     # Sets that may be compared: those of pairs that are left, and of groups that have further pairs.
     further = small.filter(F.size("sets") > 2).select(F.explode("sets").alias("set_id")).unionByName(large.select("set_id"))
     used = near.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(further).distinct()
-    node = stable(
-        rows.select("id", "set_id").join(used, "set_id", "left_semi").groupBy("set_id").agg(F.min("id").alias("doc"))
-    )
-    candidates = _Candidates(lists, _sets(docs, node, scheme), node, scheme)
+    least = rows.groupBy("set_id").agg(F.min("id").alias("doc"))  # combined before it moves: a set may have any number of rows
+    node = stable(least.join(used, "set_id", "left_semi"))
+    candidates = _Candidates(maps, _sets(docs, node, scheme), node, scheme)
     roots = components(candidates.verified(near))
     discard(near, wanted)
     release(docs.sparkSession)
@@ -510,7 +537,7 @@ def _roots(docs: DataFrame, signed: DataFrame, rows: DataFrame, scheme: Scheme)
         main = counted.groupBy("signature").agg(F.max(F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
         open_groups = stable(left.join(main.filter("roots > 1").select("signature", F.col("main.root").alias("main")), "signature"))
         if open_groups.isEmpty():
-            discard(lists, candidates.sets, node, large, open_groups)
+            discard(maps, candidates.sets, node, large, open_groups)
             return roots
         order = Window.partitionBy("signature").orderBy("set_id")
         hubs = stable(
@@ -552,7 +579,9 @@ def jaccard_components(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
         .join(roots, "doc", "left")
         .select("set_id", F.coalesce("b", "doc").alias("component"))
     )
-    found = rows.filter("n_shingles > 0").join(classes, "set_id").select("id", "digest", "n_shingles", "component")
+    worded = rows.filter("n_shingles > 0")
+    joined = lookup_join(worded, classes, "set_id", "inner", spread=["id", "digest"], census=worded.select("set_id"), max_bytes=SMALL_LOOKUP)
+    found = joined.select("id", "digest", "n_shingles", "component")
     alone = rows.filter("n_shingles = 0").select("id", "digest", "n_shingles", F.col("id").alias("component"))
     return found.unionByName(alone)
 

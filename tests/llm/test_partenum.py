@@ -60,7 +60,6 @@ def family(r, base, n, most):
 def test_components_of_families(spark, monkeypatch, seed):
     if seed % 2:  # nearly every group is large, and rounds are short
         monkeypatch.setattr(pe, "SMALL", 3)
-        monkeypatch.setattr(pe, "MORE", 2)
     r = random.Random(seed)
     texts = []
     for size in (3, 8, 40, 120):
@@ -115,6 +114,22 @@ def test_prefixes_meet():
         assert found[0] & found[1]
 
 
+def test_bitmaps_never_rule_out_a_difference():
+    """They tell at most the elements that are in one set only, and nearly all of them if those are few."""
+    r = np.random.default_rng(3)
+    for _ in range(600):
+        n = int(r.integers(1, 2000))
+        a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        b = np.concatenate([a[r.random(len(a)) > r.random()], r.integers(0, 2**63, int(r.integers(1, n + 1))).astype(np.uint64)])
+        b = np.unique(b)
+        apart = len(np.setxor1d(a, b))
+        told = pe.least_difference(pe.bitmap(a), pe.bitmap(b))
+        assert told == pe.least_difference(pe.bitmap(b), pe.bitmap(a)) <= apart
+        assert pe.least_difference(pe.bitmap(a), pe.bitmap(a)) == 0
+        if n > 200 and apart > (len(a) + len(b)) // 3 and min(len(a), len(b)) * 100 >= 80 * max(len(a), len(b)):
+            assert told * 180 > (len(a) + len(b)) * 20
+
+
 def test_one_row_of_each_group_stays(spark):
     df = llm_cases.table(spark)
     kept = pe.keep_one(df)

@@ -190,7 +190,8 @@ def mix(docs: DataFrame, mixture: Mixture = Mixture()) -> DataFrame:
 def take_mixture(docs: DataFrame, mixture: Mixture = Mixture()) -> DataFrame:
     """The rows of ``docs`` that are taken, each as often as its epochs, with all their columns.
 
-    Only the leaves' cuts meet the texts, so no text is shuffled.
+    Only the leaves' cuts meet the texts, so no text is shuffled. Null languages and sources count as empty
+    ones, a null text as one token; rows equal in id and text tie in the order and are taken together.
     """
     names = leaf_columns(mixture)
     slim = stable(docs.select(*[c.alias(n) for n, c in names.items()]))

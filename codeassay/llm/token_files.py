@@ -118,7 +118,8 @@ def write_segments(docs: DataFrame, tokenizer: str, segment_ids: int = SEGMENT_I
     """The written table of file images: part, segment, first, doc_ids, n_tokens, payload.
 
     Parts and the segments in them are in ascending order of id, null ids last; rows that share an
-    id are ordered by their text's digest. ``first`` counts the ids before a segment in its part.
+    id are ordered by their text's digest, and equal rows are written each. A null or empty text is its end id alone.
+    ``first`` counts the ids before a segment in its part.
     """
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:

@@ -92,7 +92,7 @@ def test_queries_against_sql(spark, name):
     from check_sql import rows
 
     con = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "labels"):
         con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     assert rows(queries.QUERIES[name](spark, SF).toPandas()) == rows(con.execute(queries.ORACLES[name]).df())
 

@@ -1,13 +1,18 @@
 """Hashed maximum-entropy language model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). The most frequent words are classes of
-their own; the others are hashed into classes by their last letters. The class softmax has hashed
-features of the history: the class before (n-gram), the one before that (skip) and both together.
-Its weights are fitted by gradient updates: tasks add up the gradients of the contexts they hold.
-Within a class, words have their smoothed share of the class's tokens.
-
-Counts of all words stay in a table. Only a bounded head of it (HEAD words) goes to the tasks; a text's
-other words are joined to the table, each of which is rare by construction, so no key is hot.
+P(word | history) = P(class | history) * P(word | class, history). The most frequent words are
+classes of their own; the others are hashed into classes, whose number grows with the corpus. The
+class softmax has hashed features of the classes before: the last (n-gram), the one before that (skip) and
+both together. Its weights are fitted by gradient updates: tasks add up the gradients of the contexts they hold.
+
+Within a class the choice goes down a binary tree over its words, at each node by a softmax over the
+two sides whose features are the words before: the last (n-gram), the one before that (skip) and both. Such
+features belong to one class, so the events of a class are shuffled together; its task fits their weights by
+Newton steps and scores with them. Feature tables grow with the events. Without features, words
+would have their smoothed share of the class's tokens.
+
+Counts of all words stay in a table. Only a bounded head of it (HEAD words) goes to the tasks; other
+words are counted where the events of their class meet.
 """
 
 from __future__ import annotations
@@ -29,13 +34,24 @@ from codeassay.llm.common import in_batches, remainder, shared, stable, table
 HEAD = 1 << 18
 #: Distinct words a task counts before it hands them on.
 COUNTED = 300_000
+#: Cells of contexts and classes a task counts before it hands them on.
+CELLS = 1 << 21
+#: Rows of weights whose gradients are added up together.
+SLICE = 256
+#: Groups that the rows of texts go through the shuffle in.
+PASSED = 1024
+#: What is said of an event: learned from, scored, its word is outside the head.
+LEARN, SCORE, OUTSIDE = 1, 2, 4
 #: The token that ends a text; no word is empty.
 END = b""
 
 
 @dataclass(frozen=True)
 class Shape:
-    """Classes (single words, then hashed endings), rows of hashed features, and the training."""
+    """Classes (single words, then hashed endings), rows of hashed features, and the training.
+
+    An ending of 0 letters is the whole word. ``rounds`` and ``ridge`` are those of the words within classes.
+    """
 
     single: int = 32
     hashed: int = 32
@@ -44,6 +60,17 @@ class Shape:
     steps: int = 20
     rate: float = 0.5
     decay: float = 1e-6
+    rounds: int = 2
+    ridge: float = 1.0
+
+    @classmethod
+    def grown(cls, tokens: int) -> Shape:
+        """Classes whose cells (two classes before, one class) are as many as a quarter of the tokens.
+
+        Whole words are hashed, so that no class outgrows the others: a word that would is single.
+        """
+        classes = max(64, round((tokens / 4) ** (1 / 3)))
+        return cls(single=classes // 3, hashed=classes - classes // 3, ending=0, rows=max(2048, 8 * classes))
 
     @property
     def classes(self) -> int:
@@ -53,6 +80,10 @@ class Shape:
         return self.single + xxhash.xxh32_intdigest(word[-self.ending :]) % self.hashed
 
 
+def word_key(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word)
+
+
 def tokens_of(text: bytes | None) -> list[bytes]:
     found = (text or b"").lower().split()
     found.append(END)
@@ -96,14 +127,13 @@ def _head(counts: DataFrame) -> dict[bytes, int]:
 
 @dataclass
 class Vocabulary:
-    """The head with its classes and logs, and the classes' totals."""
+    """The head with its classes, logs and keys, and the totals."""
 
     shape: Shape
     number: dict[bytes, int]
     cls: np.ndarray
     log_count: np.ndarray
-    in_class: np.ndarray
-    log_class: np.ndarray
+    key: np.ndarray
     n_tokens: int
     n_types: int
 
@@ -112,29 +142,12 @@ def _vocabulary(counts: DataFrame, shape: Shape) -> Vocabulary:
     head = _head(counts)
     single = [END, *sorted((w for w in head if w != END), key=lambda w: (-head[w], w))[: shape.single - 1]]
     own = {w: k for k, w in enumerate(single)}
-
-    def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        found = np.zeros((shape.classes, 2), np.int64)
-        for b in batches:
-            for t, n in zip(b["token"], b["n"], strict=True):
-                k = own.get(t)
-                found[shape.hashed_class(t) if k is None else k] += (n, 1)
-        yield {"c": list(range(shape.classes)), "n": found[:, 0].tolist(), "types": found[:, 1].tolist()}
-
-    sums = in_batches(counts, rows, "c int, n long, types long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("types").alias("t"))
-    n, types = np.zeros(shape.classes), np.zeros(shape.classes)
-    for r in sums.collect():
-        n[r.c], types[r.c] = r.n, r.t
+    total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).first()
     words = list(head)
     cls = np.array([own[w] if w in own else shape.hashed_class(w) for w in words], np.int64)
     log_count = np.log10(np.array([head[w] for w in words], float) + 0.5)
-    # One slot of each hashed class is for words that were not seen.
-    log_class = np.log10(n + 0.5 * (types + 1))
-    log_class[: shape.single] = 0
-    in_class = np.where(cls < shape.single, 0, log_count - log_class[cls])
-    return Vocabulary(
-        shape, {w: k for k, w in enumerate(words)}, cls, log_count, in_class, log_class, int(n.sum()), int(types.sum())
-    )
+    key = np.array([word_key(w) for w in words], np.uint64)
+    return Vocabulary(shape, {w: k for k, w in enumerate(words)}, cls, log_count, key, total.n or 0, total.types)
 
 
 class _Numbers(dict):
@@ -169,27 +182,48 @@ class _Numbers(dict):
 
 def _contexts(cls: np.ndarray, starts: np.ndarray, classes: int) -> np.ndarray:
     """For each token the number of its two classes before; a text begins after an end (class 0)."""
-    before = np.concatenate(([0], cls[:-1]))
-    earlier = np.concatenate(([0, 0], cls[:-2]))[: len(cls)]
-    before[starts] = 0
-    earlier[starts] = 0
+    before, earlier = _before(cls, starts, 0)
     return earlier * classes + before
 
 
+def _before(values: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """What the token before each has, and the one before that; a text begins after ends."""
+    ends = np.full(2, end, values.dtype)
+    before = np.concatenate((ends[:1], values[:-1]))
+    earlier = np.concatenate((ends, values[:-2]))[: len(values)]
+    earlier[starts] = end  # the token before a text is an end already
+    return before, earlier
+
+
 def context_counts(docs: DataFrame, vocabulary: Callable[[], Vocabulary], shape: Shape) -> DataFrame:
     """(context, c, n): how often class c follows a context, over all tokens of ``docs``."""
     size = shape.classes
 
+    def cells(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        cell, back = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+        return cell, np.bincount(back, np.concatenate([n for _, n in parts])).astype(np.int64)
+
+    def out(cell: np.ndarray, n: np.ndarray) -> dict:
+        return {"context": pa.array(cell // size, pa.int32()), "c": pa.array(cell % size, pa.int32()), "n": pa.array(n)}
+
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         numbers = _Numbers(vocabulary())
-        total = np.zeros(size**3, np.int64)
+        parts, held = [], 0
         for b in batches:
-            if b["text"]:
-                found, starts, cls_of, _ = numbers.of(b["text"])
-                cls = cls_of[found]
-                total += np.bincount(_contexts(cls, starts, size) * size + cls, minlength=size**3)
-        at = np.flatnonzero(total)
-        yield {"context": pa.array(at // size, pa.int32()), "c": pa.array(at % size, pa.int32()), "n": pa.array(total[at])}
+            if not b["text"]:
+                continue
+            found, starts, cls_of, _ = numbers.of(b["text"])
+            cls = cls_of[found]
+            parts.append(np.unique(_contexts(cls, starts, size) * size + cls, return_counts=True))
+            held += len(parts[-1][0])
+            if held > CELLS:
+                parts = [cells(parts)]
+                held = len(parts[0][0])
+                if held > CELLS // 2:
+                    yield out(*parts[0])
+                    parts, held = [], 0
+        if parts:
+            yield out(*cells(parts))
 
     partial = in_batches(docs.select("text"), rows, "context int, c int, n long")
     return partial.groupBy("context", "c").agg(F.sum("n").alias("n"))
@@ -213,37 +247,54 @@ def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
 def train(contexts: DataFrame, shape: Shape) -> np.ndarray:
     """Weights (rows, classes) by full gradient steps with Adam's scaling.
 
-    Each step is a job over ``contexts``, whose size is bounded by the classes; a task returns one
-    gradient of fixed size.
+    Each step is a job over ``contexts``, whose size is bounded by the classes. A task returns one
+    gradient in slices of SLICE rows, which are added up slice by slice.
     """
     spark = contexts.sparkSession
     weights = np.zeros((shape.rows, shape.classes))
     mean, square = np.zeros_like(weights), np.zeros_like(weights)
-    held = stable(contexts.repartition(4, "context"))
-    total = held.agg(F.sum("n")).first()[0] or 0
+    contexts = stable(contexts)
+
+    def packed(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            yield {"cells": [np.stack([np.array(b[c], np.int64) for c in ("context", "c", "n")]).tobytes()]}
+
+    ordered = contexts.select("context", "c", "n").repartition("context").sortWithinPartitions("context")
+    held = stable(in_batches(ordered, packed, "cells binary"))
+    total = contexts.agg(F.sum("n")).first()[0] or 0
     for step in range(1, shape.steps + 1 if total else 1):
         current = shared(spark, weights)
 
         def gradient(batches: Iterator[dict], current: Callable = current) -> Iterator[dict]:
             w = current()
             out = np.zeros_like(w)
-            for b in batches:
-                if not b["n"]:
+            for cells in (c for b in batches for c in b["cells"]):
+                context, c, n = np.frombuffer(cells, np.int64).reshape(3, -1)
+                if not len(n):
                     continue
-                ctx, back = np.unique(np.array(b["context"], np.int64), return_inverse=True)
-                n, c = np.array(b["n"], float), np.array(b["c"], np.int64)
+                ctx, back = np.unique(context, return_inverse=True)
                 rows = features(ctx, shape)
                 error = np.exp(log_softmax(w, rows)) * np.bincount(back, n)[:, None]
-                np.subtract.at(error, (back, c), n)
-                for k in range(rows.shape[1]):
-                    np.add.at(out, rows[:, k], error)
-            at = np.flatnonzero(out.ravel())
-            yield {"k": pa.array(at, pa.int32()), "g": pa.array(out.ravel()[at])}
-
-        summed = in_batches(held, gradient, "k int, g double").groupBy("k").agg(F.sum("g").alias("g")).toPandas()
-        g = np.zeros(weights.size)
-        g[summed["k"].to_numpy()] = summed["g"].to_numpy() / total
-        g = g.reshape(weights.shape) + shape.decay * weights
+                error[back, c] -= n  # a context and a class are one cell
+                for row in rows.T:
+                    order = np.argsort(row, kind="stable")
+                    at, first = np.unique(row[order], return_index=True)
+                    out[at] += np.add.reduceat(error[order], first, axis=0)
+            for k in range(0, len(out), SLICE):
+                if (part := out[k : k + SLICE]).any():
+                    yield {"k": [k], "g": [part.astype(np.float32).tobytes()]}
+
+        def added(group: pa.Table) -> pa.Table:
+            parts = group.column("g").to_pylist()
+            out = np.zeros(len(parts[0]) // 4)
+            for part in parts:
+                out += np.frombuffer(part, np.float32)
+            return pa.table({"k": group.column("k").slice(0, 1), "g": pa.array([out.tobytes()], pa.binary())})
+
+        g = np.zeros_like(weights)
+        for r in in_batches(held, gradient, "k int, g binary").groupBy("k").applyInArrow(added, "k int, g binary").collect():
+            g[r.k : r.k + SLICE] = np.frombuffer(r.g).reshape(-1, shape.classes)
+        g = g / total + shape.decay * weights
         mean, square = 0.8 * mean + 0.2 * g, 0.95 * square + 0.05 * g * g
         scaled = (mean / (1 - 0.8**step)) / (np.sqrt(square / (1 - 0.95**step)) + 1e-9)
         weights = weights - shape.rate * (1 - (step - 1) / shape.steps) * scaled
@@ -251,29 +302,158 @@ def train(contexts: DataFrame, shape: Shape) -> np.ndarray:
 
 
 def class_table(weights: np.ndarray, shape: Shape) -> np.ndarray:
-    """log10 P(class | context) of every context."""
+    """log10 P(class | context) of every context; for few classes."""
     every = np.arange(shape.classes**2)
     return log_softmax(weights, features(every, shape)) / np.log(10)
 
 
-def score_texts(docs: DataFrame, training: DataFrame, shape: Shape = Shape()) -> DataFrame:
+def normalizers(weights: np.ndarray, shape: Shape) -> np.ndarray:
+    """Of every context the log of the sum that the softmax divides by."""
+    out = np.empty(shape.classes**2)
+    for start in range(0, len(out), 4096):
+        part = features(np.arange(start, min(start + 4096, len(out))), shape)
+        out[start : start + 4096] = weights[part[:, 0], 0] + sum(weights[r, 0] for r in part.T[1:]) - log_softmax(weights, part)[:, 0]
+    return out
+
+
+def _tree(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Huffman's tree: (depth, leaf) the nodes from the root to each leaf, -1 below it, and the sides taken there;
+    of each node the log of the second side's weight over the first's."""
+    size = len(weights)
+    order = np.argsort(weights, kind="stable")
+    leaves, inner = weights[order].tolist(), []
+    side, odds = np.zeros(2 * size - 1, bool), np.zeros(size - 1)
+    up = [0] * (2 * size - 1)
+    i = j = 0
+    for node in range(size, 2 * size - 1):
+        pair = []
+        for second in (False, True):
+            if i < size and (j >= len(inner) or leaves[i] <= inner[j]):
+                child, weight, i = i, leaves[i], i + 1
+            else:
+                child, weight, j = size + j, inner[j], j + 1
+            up[child], side[child] = node, second
+            pair.append(weight)
+        odds[node - size] = np.log(pair[1] / pair[0])
+        inner.append(pair[0] + pair[1])
+    depth = [0] * (2 * size - 1)
+    for k in range(2 * size - 3, -1, -1):
+        depth[k] = depth[up[k]] + 1
+    parent, depths = np.array(up), np.array(depth)
+    deepest = int(depths.max())
+    nodes, sides = np.full((deepest, size), -1, np.int32), np.zeros((deepest, size), bool)
+    at, leaf = np.arange(size), order
+    while len(at := at[live := depths[at] > 0]):
+        leaf = leaf[live]
+        nodes[depths[at] - 1, leaf] = parent[at] - size
+        sides[depths[at] - 1, leaf] = side[at]
+        at = parent[at]
+    return nodes, sides, odds
+
+
+def _log_words(leaf: np.ndarray, words: np.ndarray, n: np.ndarray, weights: np.ndarray, shape: Shape) -> np.ndarray:
+    """log P(leaf | words before) of distinct events, fitted to the first ones: those with a count in ``n``.
+
+    ``words`` has a row for each family of features. A node's features are no other node's, so the
+    tree is fitted level by level; a family's features exclude each other, so each has a Newton step of its own.
+    """
+    nodes, sides, odds = _tree(weights)
+    out = np.zeros(len(leaf))
+    live = np.arange(len(leaf))
+    for level in range(len(nodes)):
+        live = live[nodes[level][leaf[live]] >= 0]
+        node, y = nodes[level][leaf[live]], sides[level][leaf[live]]
+        k = int(np.searchsorted(live, len(n)))
+        count, want = n[live[:k]], y[:k].astype(float)
+        bits = max(8, (2 * k).bit_length())
+        salt = node.astype(np.uint32) * np.uint32(0x9E3779B1)
+        at = [(((w[live] ^ salt) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)).astype(np.int32) for w in words]
+        fitted = [np.zeros(1 << bits) for _ in words]
+        z = odds[node]
+        for _ in range(shape.rounds if k else 0):
+            for w, index in zip(fitted, at, strict=True):
+                p = 1 / (1 + np.exp(-z[:k]))
+                down = np.bincount(index[:k], count * (want - p), len(w)) - shape.ridge * w
+                curve = np.bincount(index[:k], count * p * (1 - p), len(w)) + shape.ridge
+                step = np.clip(down / curve, -2, 2)
+                w += step
+                z += step[index]
+        out[live] -= np.logaddexp(0, np.where(y, -z, z))
+    return out
+
+
+def _class_scores(
+    word: np.ndarray, before: np.ndarray, earlier: np.ndarray, learn: np.ndarray, shape: Shape
+) -> tuple[np.ndarray, np.ndarray]:
+    """Of a class's events how often the word occurs among those learned from, and log10 P(word | class, history)."""
+    words, counts = np.unique(word[learn], return_counts=True)
+    if not len(words):
+        return np.zeros(len(word), np.int64), np.zeros(len(word))
+    leaf = np.minimum(np.searchsorted(words, word), len(words) - 1)
+    leaf = np.where(words[leaf] == word, leaf, len(words)).astype(np.int32)  # the last is for words not seen
+    both = before * np.uint32(0xC2B2AE35) ^ earlier * np.uint32(0x27D4EB2F)
+    both ^= both >> np.uint32(15)
+    # Equal events are learned and scored as one, those to learn from first.
+    event = (before.astype(np.uint64) << np.uint64(32) | earlier) * np.uint64(0x9E3779B97F4A7C15)
+    event = (event ^ (event >> np.uint64(29))) + leaf.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    _, first, back = np.unique(event, return_index=True, return_inverse=True)
+    n = np.bincount(back, learn, len(first))
+    order = np.argsort(n == 0, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    first, n = first[order], n[order]
+    found = _log_words(
+        leaf[first], np.stack([before[first], earlier[first], both[first]]), n[: np.count_nonzero(n)], np.append(counts + 0.5, 0.5), shape
+    )
+    return np.append(counts, 0)[leaf], found[place[back]] / np.log(10)
+
+
+#: Columns of a blob of events: row, word (its number in the head, or its key), features of the words before, flags.
+_KINDS = {False: ("<i8", "<u4", "<u4", "<u4", "u1"), True: ("<i8", "<u8", "<u4", "<u4", "u1")}
+
+
+def _packed(columns: list[np.ndarray], outside: bool) -> bytes:
+    return b"".join(c.astype(kind).tobytes() for c, kind in zip(columns, _KINDS[outside], strict=True))
+
+
+def _unpacked(blob: bytes, outside: bool) -> list[np.ndarray]:
+    size = len(blob) // sum(np.dtype(k).itemsize for k in _KINDS[outside])
+    columns, start = [], 0
+    for kind in _KINDS[outside]:
+        columns.append(np.frombuffer(blob, kind, size, start))
+        start += columns[-1].nbytes
+    return columns
+
+
+def score_texts(docs: DataFrame, training: DataFrame, shape: Shape | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text; others are ignored): doc_id, n_tokens, n_known, train_tokens,
     base_score and score, with everything learned from the texts of ``training``.
 
     A null text has one token, the end. ``score`` is the model's log10 probability; a word that was
-    not seen shares one slot of its class, as in the base all unseen words share one.
+    not seen shares one slot of its class, as in the base all unseen words share one. Without a shape, the
+    model's grows with the training tokens.
     """
-    spark = docs.sparkSession
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(False).alias("learn"), F.lit(True).alias("scored"))
+    learned = training.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("learn"), F.lit(False).alias("scored"))
+    return score_marked(scored.union(learned), shape)
+
+
+def score_marked(texts: DataFrame, shape: Shape | None = None) -> DataFrame:
+    """``score_texts`` over one table (doc_id, text, learn, scored) of texts to learn from, to score or both."""
+    spark = texts.sparkSession
+    training = texts.filter("learn").select("text")
     counts = stable(word_counts(training))
+    if shape is None:
+        shape = Shape.grown(counts.agg(F.sum("n")).first()[0] or 0)
     found = _vocabulary(counts, shape)
-    vocabulary = shared(spark, found)
+    vocabulary, head_keys = shared(spark, found), shared(spark, found.key)
     weights = train(context_counts(training, vocabulary, shape), shape)
-    log_classes = shared(spark, class_table(weights, shape).astype(np.float64))
+    log_classes = shared(spark, (weights, normalizers(weights, shape)))
     log_total = float(np.log10(found.n_tokens + 0.5 * (found.n_types + 1)))
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         v, numbers = vocabulary(), _Numbers(vocabulary())
-        by_context = log_classes().ravel()
+        by_feature, sums = log_classes()
         size, known = shape.classes, len(v.cls)
         for b in batches:
             if not b["text"]:
@@ -282,60 +462,83 @@ def score_texts(docs: DataFrame, training: DataFrame, shape: Shape = Shape()) ->
             cls = cls_of[at]
             lengths = np.diff(np.concatenate((starts, [len(at)])))
             in_head = at < known
-            index = np.where(in_head, at, 0)
-            of_class = by_context[_contexts(cls, starts, size) * size + cls]
-            if known:
-                base = np.where(in_head, v.log_count[index], 0.0)
-                inside = np.where(in_head, v.in_class[index], -v.log_class[cls])
-            else:
-                base, inside = np.zeros(len(at)), -v.log_class[cls]
-            # Words outside the head: one row for each document and word.
-            rest = np.flatnonzero(at >= numbers.fixed)
-            doc = np.repeat(np.arange(len(lengths)), lengths)[rest]
-            pairs, tf = np.unique(doc * (len(others) + 1) + (at[rest] - numbers.fixed), return_counts=True)
-            which, word = pairs // (len(others) + 1), pairs % (len(others) + 1)
-            names = pa.array([w.decode() for w in others] or [""], pa.string())
+            base = np.where(in_head, v.log_count[np.where(in_head, at, 0)], 0.0) if known else np.zeros(len(at))
+            context = _contexts(cls, starts, size)
+            of_class = -sums[context]
+            for r in features(context, shape).T:
+                of_class += by_feature[r, cls]
             row = np.array(b["row"], np.int64)
-            none = pa.nulls(len(pairs), pa.int64())
+            scored = np.array(b["scored"], bool)
             ended = 0 if numbers.end_known else 1  # an end that was never seen: 0.5 tokens of the base
             summary = {
-                "row": pa.array(row),
-                "token": pa.array([f"\n{r}" for r in b["row"]], pa.string()),
-                "tf": pa.nulls(len(row), pa.int32()),
+                "row": row,
                 "doc_id": pa.array(b["doc_id"], pa.int64()),
-                "n_tokens": pa.array(lengths),
-                "known": pa.array(np.add.reduceat(in_head.astype(np.int64), starts)),
-                "base": pa.array(np.add.reduceat(base, starts) + ended * np.log10(0.5) - lengths * log_total),
-                "score": pa.array(np.add.reduceat(of_class + inside, starts)),
+                "n_tokens": lengths,
+                "known": np.add.reduceat(in_head.astype(np.int64), starts),
+                "base": np.add.reduceat(base, starts) + ended * np.log10(0.5) - lengths * log_total,
+                "score": np.add.reduceat(of_class, starts) / np.log(10),
             }
-            yield summary
-            if len(pairs):
-                yield {
-                    "row": pa.array(row[which]),
-                    "token": names.take(pa.array(word)),
-                    "tf": pa.array(tf, pa.int32()),
-                    "doc_id": none,
-                    "n_tokens": none,
-                    "known": none,
-                    "base": pa.nulls(len(pairs), pa.float64()),
-                    "score": pa.nulls(len(pairs), pa.float64()),
-                }
-
-    keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = in_batches(
-        keyed, rows, "row long, token string, tf int, doc_id long, n_tokens long, known long, base double, score double"
-    )
-    log_count = F.col("tf") * F.log10(F.coalesce(F.col("n"), F.lit(0)) + 0.5)
-    joined = parts.join(counts, "token", "left").select(
-        "row",
-        "doc_id",
-        "n_tokens",
-        F.coalesce("known", F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("known"),
-        F.coalesce("base", log_count).alias("base"),
-        F.coalesce("score", log_count).alias("score"),
-    )
+            yield {
+                "class": np.full(scored.sum(), -1 - (row[0] ^ row[0] >> 33) % PASSED).tolist(),
+                **{name: pa.array(c).filter(pa.array(scored)) for name, c in summary.items()},
+                "outside": pa.nulls(scored.sum(), pa.bool_()),
+                "events": pa.nulls(scored.sum(), pa.binary()),
+            }
+            # Words within classes: their events go to the class's task.
+            end = [] if numbers.end_known else [END]
+            key = np.concatenate((v.key, np.array([word_key(w) for w in (*end, *others)], np.uint64)))
+            history = (key >> np.uint64(32)).astype(np.uint32)[at]
+            before, earlier = _before(history, starts, word_key(END) >> 32)
+            flags = np.repeat(LEARN * np.array(b["learn"], np.uint8) + SCORE * scored.astype(np.uint8), lengths)
+            owner = np.repeat(row, lengths)
+            for outside in (False, True):
+                event = np.flatnonzero((cls >= shape.single) & (in_head != outside))
+                event = event[np.argsort(cls[event].astype(np.uint16), kind="stable")]
+                word = key[at[event]] if outside else at[event]
+                columns = [owner[event], word, before[event], earlier[event], flags[event] + OUTSIDE * outside]
+                held, first = np.unique(cls[event], return_index=True)
+                ends = [*first.tolist()[1:], len(event)]
+                if len(held):
+                    none = {name: pa.nulls(len(held), pa.int64()) for name in ("row", "doc_id", "n_tokens", "known")}
+                    yield {
+                        "class": held.tolist(),
+                        **none,
+                        "base": pa.nulls(len(held), pa.float64()),
+                        "score": pa.nulls(len(held), pa.float64()),
+                        "outside": [outside] * len(held),
+                        "events": [_packed([c[i:j] for c in columns], outside) for i, j in zip(first, ends, strict=True)],
+                    }
+
+    def of_class(group: pa.Table) -> pa.Table:
+        names = ["row", "doc_id", "n_tokens", "known", "base", "score"]
+        if group.column("class")[0].as_py() < 0:
+            return group.select(names)
+        parts = [
+            _unpacked(e, o) for e, o in zip(group.column("events").to_pylist(), group.column("outside").to_pylist(), strict=True)
+        ]
+        key = head_keys()
+        word = np.concatenate([p[1] if p[1].dtype == np.uint64 else key[p[1]] for p in parts])
+        row, before, earlier, flags = (np.concatenate([p[k] for p in parts]) for k in (0, 2, 3, 4))
+        n, score = _class_scores(word, before, earlier, flags & LEARN > 0, shape)
+        scored = flags & SCORE > 0
+        new = flags[scored] & OUTSIDE > 0  # the others are in the base already
+        row, back = np.unique(row[scored], return_inverse=True)
+        n, score = n[scored], score[scored]
+        none = pa.nulls(len(row), pa.int64())
+        known, base, score = (
+            pa.array(np.bincount(back, weights, len(row)).astype(kind))
+            for weights, kind in ((new & (n > 0), np.int64), (np.where(new, np.log10(n + 0.5), 0), float), (score, float))
+        )
+        columns = [pa.array(row), none, none, known, base, score]
+        return pa.table(dict(zip(names, columns, strict=True)))
+
+    result = "row long, doc_id long, n_tokens long, known long, base double, score double"
+    keyed = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "learn", "scored")
+    parts = in_batches(keyed, rows, f"class int, {result}, outside boolean, events binary")
     return (
-        joined.groupBy("row")
+        parts.groupBy("class")
+        .applyInArrow(of_class, result)
+        .groupBy("row")
         .agg(
             F.max("doc_id").alias("doc_id"),
             F.max("n_tokens").alias("n_tokens"),
@@ -352,6 +555,6 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def op6_maxent_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    scored = score_texts(docs, docs.filter(~held_out()))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"))
+    scored = score_marked(docs.select("doc_id", "text", (~F.col("held_out")).alias("learn"), F.lit(True).alias("scored")))
     return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -98,3 +98,61 @@ def test_held_out_texts_are_likelier_than_by_the_base(spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1)
     out = [r for r in rows if r.held_out]
     assert np.sum([r.score for r in out]) > np.sum([r.base_score for r in out])
+
+
+def test_the_model_grows_with_the_corpus():
+    few, many = me.Shape.grown(10**6), me.Shape.grown(10**9)
+    assert many.classes > 5 * few.classes and many.rows > 2 * few.rows and me.Shape.grown(0).classes >= 64
+
+
+def test_words_before_count_within_a_class(spark):
+    """Two words of one class after two words of one class: only features of the words themselves tell."""
+    shape = me.Shape(single=1, hashed=1, rows=64, steps=4)
+    texts = ["red apple", "blue plum"] * 20 + ["red x apple", "blue x plum"] * 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tries = ["red apple", "blue apple", "red x plum", "blue x plum"]
+    found = me.score_texts(spark.createDataFrame(list(enumerate(tries)), "doc_id long, text string"), df, shape)
+    score = [r.score for r in found.orderBy("doc_id").collect()]
+    assert score[0] > score[1] + 0.3 and score[3] > score[2] + 0.3
+
+
+def brute_log_words(leaf, words, n, weights, shape):
+    """The tree's fit with features in dictionaries, event by event."""
+    nodes, sides, odds = me._tree(weights)
+    z = {}
+    for level in range(len(nodes)):
+        live = [e for e in range(len(leaf)) if nodes[level][leaf[e]] >= 0]
+        z.update({(level, e): odds[nodes[level][leaf[e]]] for e in live})
+        fitted = [{} for _ in words]
+        for _ in range(shape.rounds):
+            for family, w in zip(words, fitted, strict=True):
+                sums: dict = {}
+                for e in (e for e in live if e < len(n)):
+                    p = 1 / (1 + math.exp(-z[level, e]))
+                    s = sums.setdefault((nodes[level][leaf[e]], family[e]), [0, 0])
+                    s[0] += n[e] * (sides[level][leaf[e]] - p)
+                    s[1] += n[e] * p * (1 - p)
+                change = {k: max(-2, min(2, (a - shape.ridge * w.get(k, 0)) / (b + shape.ridge))) for k, (a, b) in sums.items()}
+                for k, x in change.items():
+                    w[k] = w.get(k, 0) + x
+                for e in live:
+                    z[level, e] += change.get((nodes[level][leaf[e]], family[e]), 0)
+    return [
+        -sum(math.log1p(math.exp(-x if sides[l][leaf[e]] else x)) for (l, e2), x in z.items() if e2 == e) for e in range(len(leaf))
+    ]
+
+
+def test_words_within_a_class_against_brute_force():
+    rng = np.random.default_rng(5)
+    leaf = rng.integers(0, 6, 60).astype(np.int32)
+    words = rng.integers(0, 2**32, (3, 4), dtype=np.uint64).astype(np.uint32)
+    words = np.stack([w[rng.integers(0, 4, 60)] for w in words])
+    n, weights = rng.integers(1, 4, 40).astype(float), np.append(np.bincount(leaf[:40], minlength=5)[:5] + 0.5, 0.5)
+    leaf[:40] = np.minimum(leaf[:40], 4)
+    got = me._log_words(leaf, words, n, weights, SMALL)
+    assert np.allclose(got, brute_log_words(leaf, words, n, weights, SMALL), atol=1e-6)
+
+
+def test_gain_over_the_base_on_held_out_texts(spark):
+    out = [r for r in me.op6_maxent_score(spark, "/root/testdata/sf0.1").collect() if r.held_out]
+    assert sum(r.score - r.base_score for r in out) > 0.4 * sum(r.n_tokens for r in out)

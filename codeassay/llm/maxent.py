@@ -34,8 +34,8 @@ from codeassay.llm.common import in_batches, remainder, shared, stable, table
 HEAD = 1 << 18
 #: Distinct words a task counts before it hands them on.
 COUNTED = 300_000
-#: Cells of contexts and classes a task counts before it hands them on.
-CELLS = 1 << 21
+#: Cells of contexts and classes that are added up together.
+CELLS = 1 << 20
 #: Rows of weights whose gradients are added up together.
 SLICE = 256
 #: Groups that the rows of texts go through the shuffle in.
@@ -196,37 +196,38 @@ def _before(values: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarra
 
 
 def context_counts(docs: DataFrame, vocabulary: Callable[[], Vocabulary], shape: Shape) -> DataFrame:
-    """(context, c, n): how often class c follows a context, over all tokens of ``docs``."""
+    """How often each class follows each context, over all tokens of ``docs``: (n, cells), rows of contexts in
+    order, where n is their sum and cells are the contexts, the classes and the counts, in bytes."""
     size = shape.classes
-
-    def cells(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        cell, back = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-        return cell, np.bincount(back, np.concatenate([n for _, n in parts])).astype(np.int64)
-
-    def out(cell: np.ndarray, n: np.ndarray) -> dict:
-        return {"context": pa.array(cell // size, pa.int32()), "c": pa.array(cell % size, pa.int32()), "n": pa.array(n)}
+    parts = -(-(size**3) // CELLS)  # a part has every so manyth context
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         numbers = _Numbers(vocabulary())
-        parts, held = [], 0
         for b in batches:
             if not b["text"]:
                 continue
             found, starts, cls_of, _ = numbers.of(b["text"])
             cls = cls_of[found]
-            parts.append(np.unique(_contexts(cls, starts, size) * size + cls, return_counts=True))
-            held += len(parts[-1][0])
-            if held > CELLS:
-                parts = [cells(parts)]
-                held = len(parts[0][0])
-                if held > CELLS // 2:
-                    yield out(*parts[0])
-                    parts, held = [], 0
-        if parts:
-            yield out(*cells(parts))
-
-    partial = in_batches(docs.select("text"), rows, "context int, c int, n long")
-    return partial.groupBy("context", "c").agg(F.sum("n").alias("n"))
+            context = _contexts(cls, starts, size)
+            span = (-(-(size**2) // parts)) * size
+            cell, n = np.unique(context % parts * span + context // parts * size + cls, return_counts=True)
+            held, first = np.unique(cell // span, return_index=True)
+            ends = [*first.tolist()[1:], len(cell)]
+            both = np.stack([cell % span, n]).astype(np.uint32)
+            yield {"part": held.tolist(), "cells": [both[:, i:j].tobytes() for i, j in zip(first, ends, strict=True)]}
+
+    def added(group: pa.Table) -> pa.Table:
+        total = np.zeros(-(-(size**2) // parts) * size, np.int64)
+        for cells in group.column("cells"):
+            cell, n = np.frombuffer(cells.as_py(), np.uint32).reshape(2, -1)
+            total[cell] += n
+        cell = np.flatnonzero(total)
+        context = cell // size * parts + group.column("part")[0].as_py()
+        packed = np.stack([context, cell % size, total[cell]]).tobytes()
+        return pa.table({"n": pa.array([int(total.sum())], pa.int64()), "cells": pa.array([packed], pa.binary())})
+
+    partial = in_batches(docs.select("text"), rows, "part int, cells binary")
+    return partial.groupBy("part").applyInArrow(added, "n long, cells binary")
 
 
 def features(context: np.ndarray, shape: Shape) -> np.ndarray:
@@ -247,21 +248,14 @@ def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
 def train(contexts: DataFrame, shape: Shape) -> np.ndarray:
     """Weights (rows, classes) by full gradient steps with Adam's scaling.
 
-    Each step is a job over ``contexts``, whose size is bounded by the classes. A task returns one
+    Each step is a job over ``contexts`` (of ``context_counts``), whose size is bounded by the classes. A task returns one
     gradient in slices of SLICE rows, which are added up slice by slice.
     """
     spark = contexts.sparkSession
     weights = np.zeros((shape.rows, shape.classes))
     mean, square = np.zeros_like(weights), np.zeros_like(weights)
-    contexts = stable(contexts)
-
-    def packed(batches: Iterator[dict]) -> Iterator[dict]:
-        for b in batches:
-            yield {"cells": [np.stack([np.array(b[c], np.int64) for c in ("context", "c", "n")]).tobytes()]}
-
-    ordered = contexts.select("context", "c", "n").repartition("context").sortWithinPartitions("context")
-    held = stable(in_batches(ordered, packed, "cells binary"))
-    total = contexts.agg(F.sum("n")).first()[0] or 0
+    held = stable(contexts)
+    total = held.agg(F.sum("n")).first()[0] or 0
     for step in range(1, shape.steps + 1 if total else 1):
         current = shared(spark, weights)
 
@@ -292,7 +286,7 @@ def train(contexts: DataFrame, shape: Shape) -> np.ndarray:
             return pa.table({"k": group.column("k").slice(0, 1), "g": pa.array([out.tobytes()], pa.binary())})
 
         g = np.zeros_like(weights)
-        for r in in_batches(held, gradient, "k int, g binary").groupBy("k").applyInArrow(added, "k int, g binary").collect():
+        for r in in_batches(held.select("cells"), gradient, "k int, g binary").groupBy("k").applyInArrow(added, "k int, g binary").collect():
             g[r.k : r.k + SLICE] = np.frombuffer(r.g).reshape(-1, shape.classes)
         g = g / total + shape.decay * weights
         mean, square = 0.8 * mean + 0.2 * g, 0.95 * square + 0.05 * g * g

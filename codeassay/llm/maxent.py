@@ -35,7 +35,7 @@ HEAD = 1 << 18
 #: Distinct words a task counts before it hands them on.
 COUNTED = 300_000
 #: Cells of contexts and classes that are added up together.
-CELLS = 1 << 20
+CELLS = 1 << 18
 #: Rows of weights whose gradients are added up together.
 SLICE = 256
 #: Groups that the rows of texts go through the shuffle in.
@@ -197,7 +197,7 @@ def _before(values: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarra
 
 def context_counts(docs: DataFrame, vocabulary: Callable[[], Vocabulary], shape: Shape) -> DataFrame:
     """How often each class follows each context, over all tokens of ``docs``: (n, cells), rows of contexts in
-    order, where n is their sum and cells are the contexts, the classes and the counts, in bytes."""
+    order, where n is their sum and cells are the counts, the contexts and the classes, in bytes."""
     size = shape.classes
     parts = -(-(size**3) // CELLS)  # a part has every so manyth context
 
@@ -223,7 +223,7 @@ def context_counts(docs: DataFrame, vocabulary: Callable[[], Vocabulary], shape:
             total[cell] += n
         cell = np.flatnonzero(total)
         context = cell // size * parts + group.column("part")[0].as_py()
-        packed = np.stack([context, cell % size, total[cell]]).tobytes()
+        packed = b"".join(x.astype(k).tobytes() for x, k in ((total[cell], np.int64), (context, np.int32), (cell % size, np.int32)))
         return pa.table({"n": pa.array([int(total.sum())], pa.int64()), "cells": pa.array([packed], pa.binary())})
 
     partial = in_batches(docs.select("text"), rows, "part int, cells binary")
@@ -257,13 +257,14 @@ def train(contexts: DataFrame, shape: Shape) -> np.ndarray:
     held = stable(contexts)
     total = held.agg(F.sum("n")).first()[0] or 0
     for step in range(1, shape.steps + 1 if total else 1):
-        current = shared(spark, weights)
+        current = shared(spark, weights.astype(np.float32))
 
         def gradient(batches: Iterator[dict], current: Callable = current) -> Iterator[dict]:
-            w = current()
+            w = current().astype(float)
             out = np.zeros_like(w)
             for cells in (c for b in batches for c in b["cells"]):
-                context, c, n = np.frombuffer(cells, np.int64).reshape(3, -1)
+                n = np.frombuffer(cells, np.int64, len(cells) // 16)
+                context, c = np.frombuffer(cells, np.int32, offset=n.nbytes).reshape(2, -1).astype(np.int64)
                 if not len(n):
                     continue
                 ctx, back = np.unique(context, return_inverse=True)

@@ -17,31 +17,32 @@ words are counted where the events of their class meet.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeassay.llm.common import in_batches, remainder, shared, stable, table
+from codeassay.llm.common import discard, in_batches, release, remainder, shared, stable, table
 
 #: Words whose counts are sent to the tasks, at most.
 HEAD = 1 << 18
-#: Distinct words a task counts before it hands them on.
-COUNTED = 300_000
+#: Counts of words (of a batch each) a task holds before it adds them up and hands them on.
+COUNTED = 1_000_000
 #: Cells of contexts and classes that are added up together.
 CELLS = 1 << 18
+#: Tokens whose cells a task holds before it counts them and hands them on.
+HELD = 1 << 21
 #: Rows of weights whose gradients are added up together.
 SLICE = 256
 #: Groups that the rows of texts go through the shuffle in.
 PASSED = 1024
-#: What is said of an event: learned from, scored, its word is outside the head.
-LEARN, SCORE, OUTSIDE = 1, 2, 4
+#: What is said of an event: learned from, scored.
+LEARN, SCORE = 1, 2
 #: The token that ends a text; no word is empty.
 END = b""
 
@@ -90,18 +91,41 @@ def tokens_of(text: bytes | None) -> list[bytes]:
     return found
 
 
+def _cut(texts: list[bytes | None]) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts in turn (``tokens_of`` without ends), and how many each text has."""
+    column = pa.array([t or b"" for t in texts], pa.binary()).view(pa.string())
+    found = pc.ascii_split_whitespace(pc.ascii_lower(pc.ascii_trim_whitespace(column)))
+    words, sizes = found.flatten(), pc.list_value_length(found).to_numpy().astype(np.int64)
+    full = pc.binary_length(words).to_numpy() > 0
+    if not full.all():  # what is split from a text without words is one empty word
+        none = np.zeros(len(full) + 1, np.int64)
+        np.cumsum(~full, out=none[1:])
+        ends = np.cumsum(sizes)
+        sizes = sizes - (none[ends] - none[ends - sizes])
+        words = words.filter(pa.array(full))
+    return words, sizes
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(token, n): how often each token occurs in ``docs``; added up in tasks first."""
 
+    def added(held: list[pa.Table]) -> dict:
+        total = pa.concat_tables(held).group_by("token", use_threads=False).aggregate([("n", "sum")]).combine_chunks()
+        return {"token": pa.array(total["token"].combine_chunks()), "n": total["n_sum"].combine_chunks()}
+
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        counts: Counter = Counter()
+        held: list[pa.Table] = []
         for b in batches:
-            for text in b["text"]:
-                counts.update(tokens_of(text))
-                if len(counts) > COUNTED:
-                    yield {"token": [t.decode() for t in counts], "n": list(counts.values())}
-                    counts = Counter()
-        yield {"token": [t.decode() for t in counts], "n": list(counts.values())}
+            if not b["text"]:
+                continue
+            found = _cut(b["text"])[0].value_counts()
+            ends = pa.table({"token": pa.array([END.decode()]), "n": pa.array([len(b["text"])], pa.int64())})
+            held += [pa.table({"token": found.field(0), "n": found.field(1)}), ends]
+            if sum(map(len, held)) > COUNTED:
+                yield added(held)
+                held = []
+        if held:
+            yield added(held)
 
     partial = in_batches(docs.select("text"), rows, "token string, n long")
     return partial.groupBy("token").agg(F.sum("n").alias("n"))
@@ -130,13 +154,17 @@ class Vocabulary:
     """The head with its classes, logs and keys, and the totals."""
 
     shape: Shape
-    number: dict[bytes, int]
+    words: pa.Array
     cls: np.ndarray
     log_count: np.ndarray
     key: np.ndarray
     n_tokens: int
     n_types: int
 
+    @property
+    def number(self) -> dict[bytes, int]:
+        return {w: k for k, w in enumerate(self.words.cast(pa.binary()).to_pylist())}
+
 
 def _vocabulary(counts: DataFrame, shape: Shape) -> Vocabulary:
     head = _head(counts)
@@ -144,40 +172,40 @@ def _vocabulary(counts: DataFrame, shape: Shape) -> Vocabulary:
     own = {w: k for k, w in enumerate(single)}
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).first()
     words = list(head)
-    cls = np.array([own[w] if w in own else shape.hashed_class(w) for w in words], np.int64)
+    cls = np.array([own[w] if w in own else shape.hashed_class(w) for w in words], np.int32)
     log_count = np.log10(np.array([head[w] for w in words], float) + 0.5)
     key = np.array([word_key(w) for w in words], np.uint64)
-    return Vocabulary(shape, {w: k for k, w in enumerate(words)}, cls, log_count, key, total.n or 0, total.types)
+    return Vocabulary(shape, pa.array(words, pa.binary()).view(pa.string()), cls, log_count, key, total.n or 0, total.types)
 
 
-class _Numbers(dict):
-    """Numbers of words: those of the head, then the batch's others as they come."""
+class _Numbers:
+    """Numbers of words: those of the head, the end, then the batch's others as they come."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        super().__init__(vocabulary.number)
-        self.others: list[bytes] = []
-        for word in (END,):
-            self.setdefault(word, len(self))
-        self.fixed = len(self)
-        self.end_known = END in vocabulary.number
         self.v = vocabulary
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = self.fixed + len(self.others)
-        self.others.append(word)
-        return number
+        known = len(vocabulary.words)
+        self.end = pc.index(vocabulary.words, END.decode()).as_py()
+        self.end_known = self.end >= 0
+        if not self.end_known:
+            self.end = known
+        self.fixed = max(known, self.end + 1)
 
     def of(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
         """Token numbers of all texts in turn, each text's first position, classes by number, new words."""
-        cut = [tokens_of(t) for t in texts]
-        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
-        others, self.others = self.others, []
-        for word in others:
-            del self[word]
+        words, sizes = _cut(texts)
+        coded = words.dictionary_encode()
+        number = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.v.words), -1).to_numpy().copy()
+        new = number < 0
+        others = coded.dictionary.filter(pa.array(new)).view(pa.binary()).to_pylist()
+        number[new] = self.fixed + np.arange(len(others), dtype=np.int32)
+        last = np.cumsum(sizes + 1) - 1
+        inner = np.ones(len(words) + len(texts), bool)
+        inner[last] = False
+        numbers = np.full(len(inner), self.end, np.int32)
+        numbers[inner] = number[coded.indices.to_numpy()]
         extra = [0] if not self.end_known else []
-        new = np.array(extra + [self.v.shape.hashed_class(w) for w in others], np.int64)
-        return numbers, np.cumsum(sizes) - sizes, np.concatenate((self.v.cls, new)), others
+        cls = np.array(extra + [self.v.shape.hashed_class(w) for w in others], np.int32)
+        return numbers, last - sizes, np.concatenate((self.v.cls, cls)), others
 
 
 def _contexts(cls: np.ndarray, starts: np.ndarray, classes: int) -> np.ndarray:
@@ -195,39 +223,61 @@ def _before(values: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarra
     return before, earlier
 
 
+def _by_both(shape: Shape) -> np.ndarray:
+    """All contexts, in order of the row that both classes before are hashed into."""
+    return np.argsort(features(np.arange(shape.classes**2), shape)[:, 3], kind="stable")
+
+
 def context_counts(docs: DataFrame, vocabulary: Callable[[], Vocabulary], shape: Shape) -> DataFrame:
-    """How often each class follows each context, over all tokens of ``docs``: (n, cells), rows of contexts in
-    order, where n is their sum and cells are the counts, the contexts and the classes, in bytes."""
+    """How often each class follows each context, over all tokens of ``docs``: (n, contexts, cells), rows of contexts that
+    follow each other in ``_by_both``. n is their sum; contexts are the contexts and their counts and numbers of
+    cells, cells the counts and classes, in bytes."""
     size = shape.classes
-    parts = -(-(size**3) // CELLS)  # a part has every so manyth context
+    span = max(1, CELLS // size)  # contexts of a part
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         numbers = _Numbers(vocabulary())
+        place = np.empty(size**2, np.int32)
+        place[_by_both(shape)] = np.arange(size**2, dtype=np.int32)
+        held: list[np.ndarray] = []
+
+        def counted() -> dict:
+            cell, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            parts, first = np.unique(cell // (span * size), return_index=True)
+            ends = [*first.tolist()[1:], len(cell)]
+            both = np.stack([cell % (span * size), n]).astype(np.uint32)
+            return {"part": parts.tolist(), "cells": [both[:, i:j].tobytes() for i, j in zip(first, ends, strict=True)]}
+
         for b in batches:
             if not b["text"]:
                 continue
             found, starts, cls_of, _ = numbers.of(b["text"])
             cls = cls_of[found]
-            context = _contexts(cls, starts, size)
-            span = (-(-(size**2) // parts)) * size
-            cell, n = np.unique(context % parts * span + context // parts * size + cls, return_counts=True)
-            held, first = np.unique(cell // span, return_index=True)
-            ends = [*first.tolist()[1:], len(cell)]
-            both = np.stack([cell % span, n]).astype(np.uint32)
-            yield {"part": held.tolist(), "cells": [both[:, i:j].tobytes() for i, j in zip(first, ends, strict=True)]}
+            held.append(place[_contexts(cls, starts, size)].astype(np.int64) * size + cls)
+            if sum(map(len, held)) > HELD:
+                yield counted()
+        if held:
+            yield counted()
 
     def added(group: pa.Table) -> pa.Table:
-        total = np.zeros(-(-(size**2) // parts) * size, np.int64)
+        total = np.zeros(span * size, np.int64)
         for cells in group.column("cells"):
             cell, n = np.frombuffer(cells.as_py(), np.uint32).reshape(2, -1)
             total[cell] += n
         cell = np.flatnonzero(total)
-        context = cell // size * parts + group.column("part")[0].as_py()
-        packed = b"".join(x.astype(k).tobytes() for x, k in ((total[cell], np.int64), (context, np.int32), (cell % size, np.int32)))
-        return pa.table({"n": pa.array([int(total.sum())], pa.int64()), "cells": pa.array([packed], pa.binary())})
+        of_context = total.reshape(span, size).sum(axis=1)
+        at = np.flatnonzero(of_context)
+        cells = np.bincount(cell // size, minlength=span)[at]
+        context = _by_both(shape)[group.column("part")[0].as_py() * span + at]
+        packed = [
+            b"".join(x.astype(kind).tobytes() for x, kind in columns)
+            for columns in (((of_context[at], np.int64), (context, np.int64), (cells, np.int64)), ((total[cell], np.int64), (cell % size, np.int32)))
+        ]
+        return pa.table({"n": pa.array([int(total.sum())], pa.int64()), **{k: pa.array([x], pa.binary()) for k, x in zip(("contexts", "cells"), packed, strict=True)}})
 
     partial = in_batches(docs.select("text"), rows, "part int, cells binary")
-    return partial.groupBy("part").applyInArrow(added, "n long, cells binary")
+    return partial.groupBy("part").applyInArrow(added, "n long, contexts binary, cells binary")
 
 
 def features(context: np.ndarray, shape: Shape) -> np.ndarray:
@@ -245,54 +295,83 @@ def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
 
+def _summed(slices: DataFrame, shape: Shape, kind: type) -> np.ndarray:
+    """Sums of rows of weights: (k, at, g) has rows ``at`` of the k-th slice, as numbers and floats of a kind in bytes."""
+    classes = shape.classes
+
+    def added(group: pa.Table) -> pa.Table:
+        out = np.zeros((SLICE, classes))
+        for at, part in zip(group.column("at").to_pylist(), group.column("g").to_pylist(), strict=True):
+            out[np.frombuffer(at, np.int32)] += np.frombuffer(part, kind).reshape(-1, classes)
+        return pa.table({"k": group.column("k").slice(0, 1), "g": pa.array([out.tobytes()], pa.binary())})
+
+    total = np.zeros((-(-shape.rows // SLICE) * SLICE, classes))
+    for r in slices.groupBy("k").applyInArrow(added, "k int, g binary").collect():
+        total[r.k * SLICE : (r.k + 1) * SLICE] = np.frombuffer(r.g).reshape(SLICE, classes)
+    return total[: shape.rows]
+
+
+def _slices(out: np.ndarray, kind: type) -> Iterator[dict]:
+    for k in range(0, len(out), SLICE):
+        at = np.flatnonzero(out[k : k + SLICE].any(axis=1))
+        if len(at):
+            yield {"k": [k // SLICE], "at": [at.astype(np.int32).tobytes()], "g": [out[k + at].astype(kind).tobytes()]}
+
+
 def train(contexts: DataFrame, shape: Shape) -> np.ndarray:
     """Weights (rows, classes) by full gradient steps with Adam's scaling.
 
-    Each step is a job over ``contexts`` (of ``context_counts``), whose size is bounded by the classes. A task returns one
-    gradient in slices of SLICE rows, which are added up slice by slice.
+    A gradient is what the model expects of each feature and class less what was counted, which is added up once.
+    Each step is a job over the ``contexts`` (of ``context_counts``), whose size is bounded by the classes. A task returns one
+    gradient in slices of SLICE rows, without the rows of other tasks' contexts; they are added up slice by slice.
     """
     spark = contexts.sparkSession
     weights = np.zeros((shape.rows, shape.classes))
     mean, square = np.zeros_like(weights), np.zeros_like(weights)
     held = stable(contexts)
     total = held.agg(F.sum("n")).first()[0] or 0
+
+    def counted(batches: Iterator[dict]) -> Iterator[dict]:
+        out = np.zeros((shape.rows, shape.classes))
+        for packed, cells in (x for b in batches for x in zip(b["contexts"], b["cells"], strict=True)):
+            _, context, each = np.frombuffer(packed, np.int64).reshape(3, -1)
+            n = np.frombuffer(cells, np.int64, len(cells) // 12)
+            c = np.frombuffer(cells, np.int32, offset=n.nbytes)
+            for row in features(context, shape).T:
+                np.add.at(out.reshape(-1), np.repeat(row * shape.classes, each) + c, n)
+        yield from _slices(out, np.float64)
+
+    seen = _summed(in_batches(held.select("contexts", "cells"), counted, "k int, at binary, g binary"), shape, np.float64) if total else weights
     for step in range(1, shape.steps + 1 if total else 1):
         current = shared(spark, weights.astype(np.float32))
 
-        def gradient(batches: Iterator[dict], current: Callable = current) -> Iterator[dict]:
-            w = current().astype(float)
-            out = np.zeros_like(w)
-            for cells in (c for b in batches for c in b["cells"]):
-                n = np.frombuffer(cells, np.int64, len(cells) // 16)
-                context, c = np.frombuffer(cells, np.int32, offset=n.nbytes).reshape(2, -1).astype(np.int64)
+        def expected(batches: Iterator[dict], current: Callable = current) -> Iterator[dict]:
+            w = current()
+            out = np.zeros(w.shape)
+            for packed in (x for b in batches for x in b["contexts"]):
+                n, context, _ = np.frombuffer(packed, np.int64).reshape(3, -1)
                 if not len(n):
                     continue
-                ctx, back = np.unique(context, return_inverse=True)
-                rows = features(ctx, shape)
-                error = np.exp(log_softmax(w, rows)) * np.bincount(back, n)[:, None]
-                error[back, c] -= n  # a context and a class are one cell
-                for row in rows.T:
+                rows = features(context, shape)
+                p = w[rows[:, 3]]
+                for row in rows.T[:3]:
+                    p += w[row]
+                p -= p.max(axis=1, keepdims=True)
+                np.exp(p, out=p)
+                p *= (n / p.sum(axis=1)).astype(np.float32)[:, None]
+                out[0] += p.sum(axis=0)
+                for row in rows.T[1:]:
                     order = np.argsort(row, kind="stable")
                     at, first = np.unique(row[order], return_index=True)
-                    out[at] += np.add.reduceat(error[order], first, axis=0)
-            for k in range(0, len(out), SLICE):
-                if (part := out[k : k + SLICE]).any():
-                    yield {"k": [k], "g": [part.astype(np.float32).tobytes()]}
-
-        def added(group: pa.Table) -> pa.Table:
-            parts = group.column("g").to_pylist()
-            out = np.zeros(len(parts[0]) // 4)
-            for part in parts:
-                out += np.frombuffer(part, np.float32)
-            return pa.table({"k": group.column("k").slice(0, 1), "g": pa.array([out.tobytes()], pa.binary())})
-
-        g = np.zeros_like(weights)
-        for r in in_batches(held.select("cells"), gradient, "k int, g binary").groupBy("k").applyInArrow(added, "k int, g binary").collect():
-            g[r.k : r.k + SLICE] = np.frombuffer(r.g).reshape(-1, shape.classes)
+                    out[at] += np.add.reduceat(p[order], first, axis=0)
+            yield from _slices(out, np.float32)
+
+        g = _summed(in_batches(held.select("contexts"), expected, "k int, at binary, g binary"), shape, np.float32) - seen
         g = g / total + shape.decay * weights
         mean, square = 0.8 * mean + 0.2 * g, 0.95 * square + 0.05 * g * g
         scaled = (mean / (1 - 0.8**step)) / (np.sqrt(square / (1 - 0.95**step)) + 1e-9)
         weights = weights - shape.rate * (1 - (step - 1) / shape.steps) * scaled
+    discard(held)
     return weights
 
 
@@ -346,78 +425,90 @@ def _tree(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return nodes, sides, odds
 
 
+def _renumbered(ids: np.ndarray, size: int) -> tuple[np.ndarray, int]:
+    """Numbers from 0 on in place of ``ids`` below ``size``, in their order, and how many there are."""
+    held = np.zeros(size, bool)
+    held[ids] = True
+    number = np.cumsum(held) - 1
+    return number[ids], int(number[-1]) + 1 if size else 0
+
+
 def _log_words(leaf: np.ndarray, words: np.ndarray, n: np.ndarray, weights: np.ndarray, shape: Shape) -> np.ndarray:
     """log P(leaf | words before) of distinct events, fitted to the first ones: those with a count in ``n``.
 
     ``words`` has a row for each family of features. A node's features are no other node's, so the
     tree is fitted level by level; a family's features exclude each other, so each has a Newton step of its own.
+    Events share a node's feature if they have a word and all sides before in common.
     """
     nodes, sides, odds = _tree(weights)
     out = np.zeros(len(leaf))
-    live = np.arange(len(leaf))
+    live = np.flatnonzero(nodes[0][leaf] >= 0) if len(nodes) else out[:0].astype(np.int64)
+    features = []
+    for w in words:
+        held, at = np.unique(w[live], return_inverse=True)
+        features.append((at, len(held)))
     for level in range(len(nodes)):
-        live = live[nodes[level][leaf[live]] >= 0]
         node, y = nodes[level][leaf[live]], sides[level][leaf[live]]
         k = int(np.searchsorted(live, len(n)))
-        count, want = n[live[:k]], y[:k].astype(float)
-        bits = max(8, (2 * k).bit_length())
-        salt = node.astype(np.uint32) * np.uint32(0x9E3779B1)
-        at = [(((w[live] ^ salt) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)).astype(np.int32) for w in words]
-        fitted = [np.zeros(1 << bits) for _ in words]
         z = odds[node]
+        count, now = n[live[:k]], z[:k]
+        right = count * y[:k]
+        fitted = [np.zeros(size) for _, size in features]
         for _ in range(shape.rounds if k else 0):
-            for w, index in zip(fitted, at, strict=True):
-                p = 1 / (1 + np.exp(-z[:k]))
-                down = np.bincount(index[:k], count * (want - p), len(w)) - shape.ridge * w
-                curve = np.bincount(index[:k], count * p * (1 - p), len(w)) + shape.ridge
+            for w, (at, size) in zip(fitted, features, strict=True):
+                at = at[:k]
+                p = np.exp(-now)
+                p += 1
+                mass = count / p
+                down = np.bincount(at, right - mass, size) - shape.ridge * w
+                curve = np.bincount(at, mass - mass / p, size) + shape.ridge
                 step = np.clip(down / curve, -2, 2)
                 w += step
-                z += step[index]
-        out[live] -= np.logaddexp(0, np.where(y, -z, z))
+                now += step[at]
+        for w, (at, _) in zip(fitted, features, strict=True):
+            z[k:] += w[at[k:]]
+        np.negative(z, out=z, where=y)
+        out[live] -= np.logaddexp(0, z)
+        if level + 1 < len(nodes):
+            on = nodes[level + 1][leaf[live]] >= 0
+            live, y = live[on], y[on]
+            features = [_renumbered(2 * at[on] + y, 2 * size) for at, size in features]
     return out
 
 
 def _class_scores(
     word: np.ndarray, before: np.ndarray, earlier: np.ndarray, learn: np.ndarray, shape: Shape
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Of a class's events how often the word occurs among those learned from, and log10 P(word | class, history)."""
-    words, counts = np.unique(word[learn], return_counts=True)
+    """Of a class's events how often the word occurs among those learned from, and log10 P(word | class, history).
+
+    Words are numbered in the order of their keys."""
+    counts = np.bincount(word[learn], minlength=int(word.max()) + 1 if len(word) else 0)
+    words = np.flatnonzero(counts)
     if not len(words):
         return np.zeros(len(word), np.int64), np.zeros(len(word))
-    leaf = np.minimum(np.searchsorted(words, word), len(words) - 1)
-    leaf = np.where(words[leaf] == word, leaf, len(words)).astype(np.int32)  # the last is for words not seen
+    leaves = np.full(len(counts), len(words), np.int32)  # the last is for words not seen
+    leaves[words] = np.arange(len(words), dtype=np.int32)
+    leaf = leaves[word]
     both = before * np.uint32(0xC2B2AE35) ^ earlier * np.uint32(0x27D4EB2F)
     both ^= both >> np.uint32(15)
     # Equal events are learned and scored as one, those to learn from first.
     event = (before.astype(np.uint64) << np.uint64(32) | earlier) * np.uint64(0x9E3779B97F4A7C15)
     event = (event ^ (event >> np.uint64(29))) + leaf.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
-    _, first, back = np.unique(event, return_index=True, return_inverse=True)
+    order = np.argsort(event)
+    event = event[order]
+    begins = np.concatenate(([True], event[1:] != event[:-1]))
+    first = order[begins]
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(begins) - 1
     n = np.bincount(back, learn, len(first))
     order = np.argsort(n == 0, kind="stable")
     place = np.empty_like(order)
     place[order] = np.arange(len(order))
     first, n = first[order], n[order]
     found = _log_words(
-        leaf[first], np.stack([before[first], earlier[first], both[first]]), n[: np.count_nonzero(n)], np.append(counts + 0.5, 0.5), shape
+        leaf[first], np.stack([before[first], earlier[first], both[first]]), n[: np.count_nonzero(n)], np.append(counts[words] + 0.5, 0.5), shape
     )
-    return np.append(counts, 0)[leaf], found[place[back]] / np.log(10)
-
-
-#: Columns of a blob of events: row, word (its number in the head, or its key), features of the words before, flags.
-_KINDS = {False: ("<i8", "<u4", "<u4", "<u4", "u1"), True: ("<i8", "<u8", "<u4", "<u4", "u1")}
-
-
-def _packed(columns: list[np.ndarray], outside: bool) -> bytes:
-    return b"".join(c.astype(kind).tobytes() for c, kind in zip(columns, _KINDS[outside], strict=True))
-
-
-def _unpacked(blob: bytes, outside: bool) -> list[np.ndarray]:
-    size = len(blob) // sum(np.dtype(k).itemsize for k in _KINDS[outside])
-    columns, start = [], 0
-    for kind in _KINDS[outside]:
-        columns.append(np.frombuffer(blob, kind, size, start))
-        start += columns[-1].nbytes
-    return columns
+    return counts[word], found[place[back]] / np.log(10)
 
 
 def score_texts(docs: DataFrame, training: DataFrame, shape: Shape | None = None) -> DataFrame:
@@ -442,7 +533,9 @@ def score_marked(texts: DataFrame, shape: Shape | None = None) -> DataFrame:
         shape = Shape.grown(counts.agg(F.sum("n")).first()[0] or 0)
     found = _vocabulary(counts, shape)
     vocabulary, head_keys = shared(spark, found), shared(spark, found.key)
+    discard(counts)
     weights = train(context_counts(training, vocabulary, shape), shape)
+    release(spark)
     log_classes = shared(spark, (weights, normalizers(weights, shape)))
     log_total = float(np.log10(found.n_tokens + 0.5 * (found.n_types + 1)))
 
@@ -476,60 +569,83 @@ def score_marked(texts: DataFrame, shape: Shape | None = None) -> DataFrame:
             yield {
                 "class": np.full(scored.sum(), -1 - (row[0] ^ row[0] >> 33) % PASSED).tolist(),
                 **{name: pa.array(c).filter(pa.array(scored)) for name, c in summary.items()},
-                "outside": pa.nulls(scored.sum(), pa.bool_()),
+                "keys": pa.nulls(scored.sum(), pa.binary()),
                 "events": pa.nulls(scored.sum(), pa.binary()),
             }
-            # Words within classes: their events go to the class's task.
+            # Words within classes: their events go to the class's task, those outside the head with their keys.
             end = [] if numbers.end_known else [END]
-            key = np.concatenate((v.key, np.array([word_key(w) for w in (*end, *others)], np.uint64)))
-            history = (key >> np.uint64(32)).astype(np.uint32)[at]
-            before, earlier = _before(history, starts, word_key(END) >> 32)
-            flags = np.repeat(LEARN * np.array(b["learn"], np.uint8) + SCORE * scored.astype(np.uint8), lengths)
-            owner = np.repeat(row, lengths)
-            for outside in (False, True):
-                event = np.flatnonzero((cls >= shape.single) & (in_head != outside))
-                event = event[np.argsort(cls[event].astype(np.uint16), kind="stable")]
-                word = key[at[event]] if outside else at[event]
-                columns = [owner[event], word, before[event], earlier[event], flags[event] + OUTSIDE * outside]
-                held, first = np.unique(cls[event], return_index=True)
-                ends = [*first.tolist()[1:], len(event)]
-                if len(held):
-                    none = {name: pa.nulls(len(held), pa.int64()) for name in ("row", "doc_id", "n_tokens", "known")}
-                    yield {
-                        "class": held.tolist(),
-                        **none,
-                        "base": pa.nulls(len(held), pa.float64()),
-                        "score": pa.nulls(len(held), pa.float64()),
-                        "outside": [outside] * len(held),
-                        "events": [_packed([c[i:j] for c in columns], outside) for i, j in zip(first, ends, strict=True)],
-                    }
+            new = np.array([word_key(w) for w in (*end, *others)], np.uint64)
+            history = (np.concatenate((v.key, new)) >> np.uint64(32)).astype(np.uint32)[at]
+            before, earlier = _before(history, starts, np.uint32(word_key(END) >> 32))
+            by_class = np.argsort(cls_of[known:], kind="stable")
+            classes = cls_of[known:][by_class]
+            name = np.empty(known + len(new), np.uint32)  # outside the head: the place among the keys sent for the class
+            name[:known] = np.arange(known)
+            name[known + by_class] = known + np.arange(len(new)) - np.searchsorted(classes, classes)
+            flags = LEARN * np.array(b["learn"], np.uint32) + SCORE * scored.astype(np.uint32)
+            owner = np.repeat((row - row[0]).astype(np.uint32) * np.uint32(4) + flags, lengths)
+            event = np.flatnonzero(cls >= shape.single)
+            event = event[np.argsort(cls[event].astype(np.uint16), kind="stable")]
+            columns = np.stack([owner[event], name[at[event]], before[event], earlier[event]])
+            held, first = np.unique(cls[event], return_index=True)
+            ends = [*first.tolist()[1:], len(event)]
+            if len(held):
+                sent = zip(np.searchsorted(classes, held), np.searchsorted(classes, held, "right"), strict=True)
+                none = pa.nulls(len(held), pa.int64())
+                yield {
+                    "class": held.tolist(),
+                    "row": np.full(len(held), row[0]),
+                    **{name: none for name in ("doc_id", "n_tokens", "known")},
+                    "base": pa.nulls(len(held), pa.float64()),
+                    "score": pa.nulls(len(held), pa.float64()),
+                    "keys": [new[by_class[i:j]].tobytes() for i, j in sent],
+                    "events": [columns[:, i:j].tobytes() for i, j in zip(first, ends, strict=True)],
+                }
 
     def of_class(group: pa.Table) -> pa.Table:
         names = ["row", "doc_id", "n_tokens", "known", "base", "score"]
         if group.column("class")[0].as_py() < 0:
             return group.select(names)
-        parts = [
-            _unpacked(e, o) for e, o in zip(group.column("events").to_pylist(), group.column("outside").to_pylist(), strict=True)
-        ]
-        key = head_keys()
-        word = np.concatenate([p[1] if p[1].dtype == np.uint64 else key[p[1]] for p in parts])
-        row, before, earlier, flags = (np.concatenate([p[k] for p in parts]) for k in (0, 2, 3, 4))
-        n, score = _class_scores(word, before, earlier, flags & LEARN > 0, shape)
-        scored = flags & SCORE > 0
-        new = flags[scored] & OUTSIDE > 0  # the others are in the base already
-        row, back = np.unique(row[scored], return_inverse=True)
-        n, score = n[scored], score[scored]
-        none = pa.nulls(len(row), pa.int64())
-        known, base, score = (
-            pa.array(np.bincount(back, weights, len(row)).astype(kind))
-            for weights, kind in ((new & (n > 0), np.int64), (np.where(new, np.log10(n + 0.5), 0), float), (score, float))
+        head = head_keys()
+        known = len(head)
+        new = [np.frombuffer(k.as_py(), np.uint64) for k in group.column("keys")]
+        outside, place = np.unique(np.concatenate(new), return_inverse=True)
+        place = (known + place).astype(np.uint32)
+        size = sum(len(e.as_py()) for e in group.column("events")) // 16
+        owner, word, before, earlier = columns = np.empty((4, size), np.uint32)
+        rows, ends = [], []
+        at = sent = 0
+        for base_row, k, e in zip(group.column("row").to_pylist(), new, group.column("events"), strict=True):
+            part = np.frombuffer(e.as_py(), np.uint32).reshape(4, -1)
+            end = at + part.shape[1]
+            columns[:, at:end] = part
+            late = np.flatnonzero(part[1] >= known)
+            word[at + late] = place[sent + (part[1][late] - np.uint32(known)).astype(np.int64)]
+            rows.append(base_row)
+            ends.append(end)
+            at, sent = end, sent + len(k)
+        # Words are numbered in the order of their keys.
+        held = np.zeros(known + len(outside), bool)
+        held[word] = True
+        held = np.flatnonzero(held)
+        number = np.empty(known + len(outside), np.int32)
+        number[held[np.argsort(np.concatenate((head, outside))[held])]] = np.arange(len(held), dtype=np.int32)
+        n, score = _class_scores(number[word], before, earlier, owner & LEARN > 0, shape)
+        scored = np.flatnonzero(owner & SCORE)
+        # A part's events are in order of their rows.
+        row = np.repeat(np.array(rows), np.diff([0, *ends]))[scored] + (owner[scored] >> 2)
+        begins = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))[: len(row)])
+        n, score, late = n[scored], score[scored], word[scored] >= known  # the others are in the base already
+        none = pa.nulls(len(begins), pa.int64())
+        known_n, base, score = (
+            pa.array(np.add.reduceat(x, begins).astype(kind) if len(begins) else np.zeros(0, kind))
+            for x, kind in ((late & (n > 0), np.int64), (np.where(late, np.log10(n + 0.5), 0), float), (score, float))
         )
-        columns = [pa.array(row), none, none, known, base, score]
-        return pa.table(dict(zip(names, columns, strict=True)))
+        return pa.table(dict(zip(names, [pa.array(row[begins]), none, none, known_n, base, score], strict=True)))
 
     result = "row long, doc_id long, n_tokens long, known long, base double, score double"
     keyed = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "learn", "scored")
-    parts = in_batches(keyed, rows, f"class int, {result}, outside boolean, events binary")
+    parts = in_batches(keyed, rows, f"class int, {result}, keys binary, events binary")
     return (
         parts.groupBy("class")
         .applyInArrow(of_class, result)

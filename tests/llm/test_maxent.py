@@ -1,9 +1,11 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import llm_cases
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from codeassay.llm import maxent as me
@@ -156,3 +158,99 @@ def test_words_within_a_class_against_brute_force():
 def test_gain_over_the_base_on_held_out_texts(spark):
     out = [r for r in me.op6_maxent_score(spark, "/root/testdata/sf0.1").collect() if r.held_out]
     assert sum(r.score - r.base_score for r in out) > 0.4 * sum(r.n_tokens for r in out)
+
+
+ODD = ["", "  ", None, "a", " A\x0b\x0cB \x1c\x1d c\xa0d\u2028E \x85", "\t\nAb\r\rC\u00c4 ", "x  y", "\x00 \U0001f600 b"]
+
+
+def test_numbers_are_those_of_the_tokens(spark):
+    """Without a head all words are the batch's others; with one they have its numbers, and ends are numbered too."""
+    for learned in ([], ["b a zz c\xa0d\u2028e", "a"]):
+        df = spark.createDataFrame(list(enumerate(learned)), "doc_id long, text string")
+        v = me._vocabulary(me.word_counts(df), SMALL)
+        numbers, starts, cls, others = me._Numbers(v).of([t and t.encode() for t in ODD])
+        names = {k: w for w, k in v.number.items()}
+        if not learned:
+            names[0] = me.END
+        names.update(enumerate(others, len(names)))
+        want = [me.tokens_of(t and t.encode()) for t in ODD]
+        assert [names[k] for k in numbers.tolist()] == [w for tokens in want for w in tokens]
+        assert starts.tolist() == [sum(map(len, want[:i])) for i in range(len(want))]
+        assert all(cls[k] == SMALL.hashed_class(w) for k, w in names.items() if w in others)
+
+
+def test_numbering_takes_few_bytes_a_token(spark):
+    """No token is an object of its own: on 0.51 GB that took an executor over its memory."""
+    rng = np.random.default_rng(1)
+    words = [f"word{k}" for k in range(30_000)]
+    texts = [" ".join(words[k] for k in rng.integers(0, 30_000, 1000)).encode() for _ in range(300)]
+    df = spark.createDataFrame([(0, " ".join(words[:20_000]))], "doc_id long, text string")
+    v = me._vocabulary(me.word_counts(df), SMALL)
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    try:
+        found = me._Numbers(v).of(texts)
+        taken = tracemalloc.get_traced_memory()[1] + pa.total_allocated_bytes() - before
+    finally:
+        tracemalloc.stop()
+    assert len(found[0]) == 300 * 1001 and taken < 50 * len(found[0])
+
+
+def brute_cells(texts, v, shape):
+    cells, number = Counter(), v.number
+    for t in texts:
+        cls = [0, 0, *(int(v.cls[number[w]]) for w in me.tokens_of(t and t.encode()))]
+        cells.update((a * shape.classes + b, c) for a, b, c in zip(cls, cls[1:], cls[2:], strict=False))
+    return cells
+
+
+def test_cells_and_gradient_steps_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(me, "CELLS", 100)
+    monkeypatch.setattr(me, "HELD", 500)
+    monkeypatch.setattr(me, "SLICE", 7)
+    shape = me.Shape(single=3, hashed=4, rows=40, steps=5)
+    texts = [r[1] for r in llm_cases.rows()]
+    df = llm_cases.table(spark).select("text")
+    v = me._vocabulary(me.stable(me.word_counts(df)), shape)
+    want = brute_cells(texts, v, shape)
+    contexts = me.context_counts(df, lambda: v, shape)
+    got = {}
+    for r in contexts.collect():
+        n, context, each = np.frombuffer(r.contexts, np.int64).reshape(3, -1)
+        count, c = np.frombuffer(r.cells, np.int64, each.sum()), np.frombuffer(r.cells, np.int32, offset=8 * each.sum())
+        assert r.n == n.sum() == count.sum()
+        got.update(zip(zip(np.repeat(context, each).tolist(), c.tolist(), strict=True), count.tolist(), strict=True))
+    assert got == want
+    weights, mean, square = (np.zeros((shape.rows, shape.classes)) for _ in range(3))
+    context, c = np.array(list(want)).T
+    n, rows = np.array(list(want.values()), float), me.features(context, shape)
+    for step in range(1, shape.steps + 1):
+        error = np.exp(me.log_softmax(weights, rows)) * n[:, None]
+        error[np.arange(len(c)), c] -= n
+        g = np.zeros_like(weights)
+        for row in rows.T:
+            np.add.at(g, row, error)
+        g = g / n.sum() + shape.decay * weights
+        mean, square = 0.8 * mean + 0.2 * g, 0.95 * square + 0.05 * g * g
+        scaled = (mean / (1 - 0.8**step)) / (np.sqrt(square / (1 - 0.95**step)) + 1e-9)
+        weights = weights - shape.rate * (1 - (step - 1) / shape.steps) * scaled
+    found = me.train(contexts, shape)
+    every = np.unique(context)
+    logs = [me.log_softmax(w, me.features(every, shape)) for w in (weights, found)]
+    assert np.abs(logs[0] - logs[1]).max() < 1e-3
+
+
+def test_a_step_moves_only_the_rows_of_its_contexts():
+    out = np.zeros((600, 4))
+    out[[3, 300, 599]] = 1
+    sent = [(x["k"][0], np.frombuffer(x["at"][0], np.int32).tolist(), len(x["g"][0])) for x in me._slices(out, np.float32)]
+    assert sent == [(0, [3], 16), (1, [300 - me.SLICE], 16), (2, [599 - 2 * me.SLICE], 16)]
+
+
+def test_features_of_words_share_no_cell():
+    """Many words before, each seen once before either of two words: each tells for itself."""
+    leaf = np.tile(np.array([0, 1], np.int32), 4000)
+    before = np.arange(8000, dtype=np.uint32) * np.uint32(2654435761)
+    none = np.zeros(8000, np.uint32)
+    got = me._log_words(leaf, np.stack([before, none, none]), np.ones(8000), np.array([4000.5, 4000.5, 0.5]), SMALL)
+    assert len(set(np.round(got, 9))) == 2

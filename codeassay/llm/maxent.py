@@ -429,7 +429,8 @@ def _renumbered(ids: np.ndarray, size: int) -> tuple[np.ndarray, int]:
     """Numbers from 0 on in place of ``ids`` below ``size``, in their order, and how many there are."""
     held = np.zeros(size, bool)
     held[ids] = True
-    number = np.cumsum(held) - 1
+    number = np.cumsum(held, dtype=np.int32)
+    number -= 1
     return number[ids], int(number[-1]) + 1 if size else 0
 
 
@@ -446,7 +447,7 @@ def _log_words(leaf: np.ndarray, words: np.ndarray, n: np.ndarray, weights: np.n
     features = []
     for w in words:
         held, at = np.unique(w[live], return_inverse=True)
-        features.append((at, len(held)))
+        features.append((at.astype(np.int32), len(held)))
     for level in range(len(nodes)):
         node, y = nodes[level][leaf[live]], sides[level][leaf[live]]
         k = int(np.searchsorted(live, len(n)))
@@ -462,13 +463,14 @@ def _log_words(leaf: np.ndarray, words: np.ndarray, n: np.ndarray, weights: np.n
                 mass = count / p
                 down = np.bincount(at, right - mass, size) - shape.ridge * w
                 curve = np.bincount(at, mass - mass / p, size) + shape.ridge
-                step = np.clip(down / curve, -2, 2)
-                w += step
-                now += step[at]
+                down /= curve
+                np.clip(down, -2, 2, out=down)
+                w += down
+                now += down[at]
         for w, (at, _) in zip(fitted, features, strict=True):
             z[k:] += w[at[k:]]
         np.negative(z, out=z, where=y)
-        out[live] -= np.logaddexp(0, z)
+        out[live] -= np.maximum(z, 0) + np.log(1 + np.exp(-np.abs(z)))
         if level + 1 < len(nodes):
             on = nodes[level + 1][leaf[live]] >= 0
             live, y = live[on], y[on]
@@ -498,12 +500,13 @@ def _class_scores(
     event = event[order]
     begins = np.concatenate(([True], event[1:] != event[:-1]))
     first = order[begins]
-    back = np.empty(len(order), np.int64)
-    back[order] = np.cumsum(begins) - 1
+    back = np.empty(len(order), np.int32)
+    back[order] = np.cumsum(begins, dtype=np.int32) - np.int32(1)
+    del event
     n = np.bincount(back, learn, len(first))
     order = np.argsort(n == 0, kind="stable")
-    place = np.empty_like(order)
-    place[order] = np.arange(len(order))
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
     first, n = first[order], n[order]
     found = _log_words(
         leaf[first], np.stack([before[first], earlier[first], both[first]]), n[: np.count_nonzero(n)], np.append(counts[words] + 0.5, 0.5), shape

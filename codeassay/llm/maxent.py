@@ -36,7 +36,9 @@ COUNTED = 1_000_000
 #: Cells of contexts and classes that are added up together.
 CELLS = 1 << 18
 #: Tokens whose cells a task holds before it counts them and hands them on.
-HELD = 1 << 21
+HELD = 1 << 20
+#: Tokens whose features are looked up at a time.
+AT_ONCE = 1 << 16
 #: Rows of weights whose gradients are added up together.
 SLICE = 256
 #: Groups that the rows of texts go through the shuffle in.
@@ -234,6 +236,7 @@ def context_counts(docs: DataFrame, vocabulary: Callable[[], Vocabulary], shape:
     cells, cells the counts and classes, in bytes."""
     size = shape.classes
     span = max(1, CELLS // size)  # contexts of a part
+    kind = np.int32 if size**3 < 1 << 31 else np.int64
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         numbers = _Numbers(vocabulary())
@@ -246,7 +249,8 @@ def context_counts(docs: DataFrame, vocabulary: Callable[[], Vocabulary], shape:
             held.clear()
             parts, first = np.unique(cell // (span * size), return_index=True)
             ends = [*first.tolist()[1:], len(cell)]
-            both = np.stack([cell % (span * size), n]).astype(np.uint32)
+            both = np.empty((2, len(cell)), np.uint32)
+            both[0], both[1] = cell % (span * size), n
             return {"part": parts.tolist(), "cells": [both[:, i:j].tobytes() for i, j in zip(first, ends, strict=True)]}
 
         for b in batches:
@@ -254,7 +258,7 @@ def context_counts(docs: DataFrame, vocabulary: Callable[[], Vocabulary], shape:
                 continue
             found, starts, cls_of, _ = numbers.of(b["text"])
             cls = cls_of[found]
-            held.append(place[_contexts(cls, starts, size)].astype(np.int64) * size + cls)
+            held.append(place[_contexts(cls, starts, size)].astype(kind) * kind(size) + cls.astype(kind))
             if sum(map(len, held)) > HELD:
                 yield counted()
         if held:
@@ -556,8 +560,9 @@ def score_marked(texts: DataFrame, shape: Shape | None = None) -> DataFrame:
             base = np.where(in_head, v.log_count[np.where(in_head, at, 0)], 0.0) if known else np.zeros(len(at))
             context = _contexts(cls, starts, size)
             of_class = -sums[context]
-            for r in features(context, shape).T:
-                of_class += by_feature[r, cls]
+            for part in (slice(k, k + AT_ONCE) for k in range(0, len(at), AT_ONCE)):
+                for r in features(context[part], shape).T:
+                    of_class[part] += by_feature[r, cls[part]]
             row = np.array(b["row"], np.int64)
             scored = np.array(b["scored"], bool)
             ended = 0 if numbers.end_known else 1  # an end that was never seen: 0.5 tokens of the base
@@ -589,7 +594,7 @@ def score_marked(texts: DataFrame, shape: Shape | None = None) -> DataFrame:
             owner = np.repeat((row - row[0]).astype(np.uint32) * np.uint32(4) + flags, lengths)
             event = np.flatnonzero(cls >= shape.single)
             event = event[np.argsort(cls[event].astype(np.uint16), kind="stable")]
-            columns = np.stack([owner[event], name[at[event]], before[event], earlier[event]])
+            columns = np.stack([c[event] for c in (owner, name[at], before, earlier)])
             held, first = np.unique(cls[event], return_index=True)
             ends = [*first.tolist()[1:], len(event)]
             if len(held):
